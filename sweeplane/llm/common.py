@@ -123,25 +123,33 @@ def classes(words: str) -> np.ndarray:
     return table
 
 
-def hash_tokens(texts: list[bytes], table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """64-bit hashes of all tokens (runs of one byte class) of the texts, and each text's end among them."""
+def _mixed(hashes: np.ndarray) -> np.ndarray:
+    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return hashes ^ (hashes >> np.uint64(32))
+
+
+def hash_tokens(texts: list[bytes], table: np.ndarray, prefix: int = 0) -> tuple[np.ndarray, ...]:
+    """64-bit hashes of all tokens (runs of one byte class) of the texts, and each text's end among them.
+
+    With ``prefix`` also, in second place, hashes of each token's first ``prefix`` bytes.
+    """
     data = np.frombuffer(b"\n".join(texts) + b"\n", dtype=np.uint8)
     kind = table[data]
     change = np.empty(len(kind), dtype=bool)
     change[0] = True
     np.not_equal(kind[1:], kind[:-1], out=change[1:])
     starts = np.flatnonzero(change)
-    hashes = np.zeros(0, dtype=np.uint64)
     keep = kind[starts] != 0
-    if len(starts):
-        lengths = np.diff(np.append(starts, len(data)))
-        place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
-        hashes = np.add.reduceat(_BYTE_VALUES[data] * _PLACES[place & 255], starts)
-    hashes, starts = hashes[keep], starts[keep]
-    hashes = (hashes ^ (hashes >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-    hashes ^= hashes >> np.uint64(32)
+    lengths = np.diff(np.append(starts, len(data)))
+    place = np.arange(len(data), dtype=np.int64) - np.repeat(starts, lengths)
+    values = _BYTE_VALUES[data] * _PLACES[place & 255]
+    found = [np.add.reduceat(values, starts)]
+    if prefix:
+        values[place >= prefix] = 0
+        found.append(np.add.reduceat(values, starts))
+    starts = starts[keep]
     ends = np.cumsum([len(t) + 1 for t in texts])
-    return hashes, np.searchsorted(starts, ends)
+    return *(_mixed(h[keep]) for h in found), np.searchsorted(starts, ends)
 
 
 def fit_sample(df: DataFrame, id_col: str, limit: int, salt: int = 7) -> DataFrame:

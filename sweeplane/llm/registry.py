@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sweeplane.llm import bpe, embed_dedup, media, packing, secrets, simhash, warc
+from sweeplane.llm import bpe, embed_dedup, langid, media, packing, quality, secrets, simhash, toxicity, warc
 from sweeplane.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,11 +22,19 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.simhash_groups(load(spark, sf_dir, "documents"))
 
 
+def op3_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.op3(load(spark, sf_dir, "documents"))
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return bpe.bpe_encode(load(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN, digests=True)
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.op5(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.op6(load(spark, sf_dir, "pages"))
 
@@ -38,6 +47,10 @@ def op8_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_vectors(load(spark, sf_dir, "embeddings"))
 
 
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.op9(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -46,13 +59,18 @@ def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
         "op2_simhash": op2_simhash,
+        "op3_language": op3_language,
         "op4_byte_bpe": op4_byte_bpe,
+        "op5_quality": op5_quality,
         "op6_warc": op6_warc,
         "op7_media": op7_media,
         "op8_embedding_dedup": op8_embedding_dedup,
+        "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_warc": warc.OP6_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL}
+    out = {"op6_warc": warc.OP6_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL}
+    return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

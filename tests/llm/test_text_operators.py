@@ -1,0 +1,198 @@
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import tiktoken
+from pyspark.sql import functions as F
+from tests.llm import brute
+from tokenizers import Tokenizer
+
+from sweeplane.llm import bpe, media, packing, secrets, simhash
+
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+
+
+def test_secrets_match_plain_patterns(docs, odd_docs, empty_docs):
+    assert secrets.op1(empty_docs).count() == 0
+    for table in (docs, odd_docs):
+        want = Counter()
+        for r in table.select("doc_id", "text").collect():
+            spans = brute.base_spans(r.text)
+            kinds = [s[2] for s in spans]
+            want[r.doc_id, kinds.count("assign"), kinds.count("access"), kinds.count("hex"), brute.sha(brute.joined(spans))] += 1
+        got = secrets.op1(table).collect()
+        assert Counter((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == want
+        for r in got:
+            base = [s for s in r.spans.split(",") if s and not s.startswith("owned")]
+            assert brute.sha(",".join(base)) == r.base_sha256
+
+
+def test_ownership_separates_examples_from_live_values(spark):
+    live, copied = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "EXAMPLE0KEY1EXAMPLE2KEY3"
+    rows = [(1, f"use {live} now", "a"), (2, f"again {live}", "a"), (3, f"see {copied}", "a"), (4, f"see {copied}", "b"),
+            (5, f"token = {copied}", "c")]
+    table = spark.createDataFrame(rows, "doc_id long, text string, source string").withColumn("lang", F.lit("en"))
+    got = {r.doc_id: r for r in secrets.op1(table).collect()}
+    assert [got[i].n_owned for i in (1, 2, 3, 4, 5)] == [1, 1, 0, 0, 0]
+    assert got[1].spans == f"owned:4:{4 + len(live)}" and got[3].spans == ""
+    assert (got[5].n_assign, got[5].n_live, got[5].n_example) == (1, 0, 1)
+
+
+def test_redaction_masks_spans_and_keeps_all_rows(odd_docs):
+    found = secrets.scan_secrets(odd_docs, F.col("source"), F.col("source"))
+    out = secrets.redact(odd_docs, found)
+    assert out.columns == odd_docs.columns and out.count() == odd_docs.count()
+    text = out.where("doc_id = 7").first().text
+    assert text == "[SECRET] and [SECRET] [SECRET]"
+
+
+def test_anchor_covering_meets_every_near_pair():
+    rng = np.random.default_rng(0)
+    for _ in range(300):
+        x = int(rng.integers(0, 2**63)) * 2 + int(rng.integers(2))
+        y = x
+        for b in rng.choice(64, rng.integers(0, 3), replace=False):
+            y ^= 1 << int(b)
+        row, anchor, home = simhash.anchors(np.array([x, y], dtype=np.uint64))
+        assert set(anchor[(row == 0) & home]) & set(anchor[row == 1])
+
+
+def _groups(rows):
+    prints = [(i, brute.simhash(t)) for i, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if bin(prints[a][1] ^ prints[b][1]).count("1") <= 2]
+    root = brute.components(range(len(rows)), links)
+    least = defaultdict(list)
+    for n, r in root.items():
+        least[r].append(rows[n][0])
+    small = {r: min((i for i in ids if i is not None), default=None) for r, ids in least.items()}
+    return Counter((i, f"{p:016x}", small[root[n]]) for n, (i, p) in enumerate(prints))
+
+
+def test_simhash_matches_all_pairs(docs, odd_docs, empty_docs, monkeypatch):
+    assert simhash.simhash_groups(empty_docs).count() == 0
+    for table in (docs, odd_docs):
+        want = _groups([(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()])
+        assert Counter(map(tuple, simhash.simhash_groups(table).collect())) == want
+
+
+def test_dense_anchors_connect_the_same_fingerprints(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    center = [int(rng.integers(0, 2**62)) for _ in range(3)]
+    fps = {c ^ (1 << int(a)) ^ (1 << int(b)) for c in center for a, b in rng.integers(0, 63, (40, 2))} | {int(x) for x in rng.integers(0, 2**62, 50)}
+    table = spark.createDataFrame([(f,) for f in sorted(fps)], "fp long")
+    want = brute.components(sorted(fps), [(a, b) for a in fps for b in fps if a < b and bin(a ^ b).count("1") <= 2])
+    for dense in (256, 1):
+        monkeypatch.setattr(simhash, "DENSE", dense)
+        edges = [tuple(r) for r in simhash.links(table).collect()]
+        assert all(bin(a ^ b).count("1") <= 2 for a, b in edges)
+        assert brute.components(sorted(fps), edges) == want
+
+
+def test_keep_one_of_each_group(odd_docs):
+    kept = simhash.keep_one(odd_docs)
+    assert kept.columns == odd_docs.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id) == [1, 3, 4, 7, 8, 9]
+
+
+def test_bpe_matches_the_library(docs, odd_docs, empty_docs):
+    with open(RANKS, "rb") as f:
+        ranks = bpe.load_ranks(f.read())
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert bpe.bpe_encode(empty_docs, RANKS, public_tokenizers.PATTERN, digests=True).count() == 0
+    for table in (docs, odd_docs):
+        want = Counter()
+        for r in table.select("doc_id", "text").collect():
+            ids = library.encode_ordinary(r.text or "")
+            want[r.doc_id, len(ids), brute.sha(",".join(map(str, ids))), brute.sha((r.text or "").encode())] += 1
+        got = bpe.bpe_encode(table, RANKS, public_tokenizers.PATTERN, digests=True).collect()
+        assert Counter(map(tuple, got)) == want
+    encoded = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN)
+    back = {r.doc_id: bytes(r.data).decode() for r in bpe.bpe_decode(encoded, RANKS).collect()}
+    assert back == {r.doc_id: r.text or "" for r in docs.collect()}
+
+
+def test_replay_takes_lower_ranks_that_come_up_first():
+    # "ab"+"c" has a lower rank than "ab" itself, so the second "ab" waits until "abc" is made.
+    ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4, b"cab": 5}
+    library = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
+    words = ["abcab", "abab", "cababc", "aaabbbccc", "abcabcabc", "cab"]
+    assert bpe.replay([w.encode() for w in words], ranks) == [library.encode_ordinary(w) for w in words]
+
+
+def test_media_round_trip(docs, odd_docs, empty_docs):
+    assert media.op7(empty_docs).count() == 0
+    for table in (docs, odd_docs):
+        want = Counter()
+        for r in table.select("doc_id", "text").collect():
+            data = (r.text or "").encode()
+            payload = data + b" " * (192 * max(1, -(-len(data) // 192)) - len(data))
+            image = media.encode_image(payload)
+            want[r.doc_id, len(data), len(payload), brute.sha(payload), zlib.crc32(payload[-16:]), len(image), brute.sha(image),
+                 media.describe(np.frombuffer(payload, np.uint8).reshape(-1, 192)), 192, len(payload) // 192, 8] += 1
+        assert Counter(map(tuple, media.op7(table).collect())) == want
+
+
+def test_image_checks_find_damage():
+    image = bytearray(media.encode_image(media.pad(b"abc")))
+    assert media.decode_image(bytes(image)).tobytes() == media.pad(b"abc")
+    image[45] ^= 1
+    try:
+        media.decode_image(bytes(image))
+    except ValueError:
+        return
+    raise AssertionError("damage was not seen")
+
+
+def test_packing_covers_every_id_once(docs, odd_docs, empty_docs):
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    assert packing.pack_documents(empty_docs, WORDS).count() == 0
+    for table in (docs, odd_docs):
+        rows = packing.pack_documents(table, WORDS).collect()
+        want = Counter()
+        for r in table.select("doc_id", "text").collect():
+            ids = [*tokenizer.encode(r.text or "", add_special_tokens=False).ids, 2]
+            for at in range(0, len(ids), 4096):
+                part = np.array(ids[at : at + 4096], dtype="<u4").tobytes()
+                want[r.doc_id, at, len(part) // 4, zlib.crc32(part), len(ids)] += 1
+        assert Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in rows) == want
+        filled = defaultdict(list)
+        for r in rows:
+            filled[r.sequence_id].append((r.offset, r.length))
+        for pieces in filled.values():
+            at = 0
+            for offset, length in sorted(pieces):
+                assert offset == at
+                at += length
+            assert at <= 4096
+    assert sum(r.length for r in rows) > 0.5 * 4096 * (len(filled) - 1)
+
+
+def test_patterns_meet_the_histogram_with_little_waste():
+    rng = np.random.default_rng(2)
+    histogram = Counter(np.minimum(1 + rng.exponential(40, 5000), 250).astype(int).tolist())
+    plan = packing.plan_patterns(dict(histogram), 256)
+    supply = Counter()
+    for times, pattern in plan:
+        assert sum(s * c for s, c in pattern.items()) <= 256
+        for s, c in pattern.items():
+            supply[s] += times * c
+    assert supply == histogram
+    assert sum(s * c for s, c in histogram.items()) > 0.98 * 256 * sum(t for t, _ in plan)
+
+
+def test_word_ids_match_whole_texts():
+    words = packing.WordIds(open(WORDS, encoding="utf-8").read())
+    pieces = ["we'll, THE end.", "İ. İstanbul,", "été x\x1cy z", "क़, ab.", "a<|endoftext|>b", "日本, 12.5 ..,", "ΣΑΣ. ΣΑΣ", ""]
+    for text in [*pieces, "  ".join(pieces)]:
+        plain = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+        assert words.encode([text])[0] == plain
+
+
+def test_arrow_types_of_ids_pass_through(spark):
+    table = spark.createDataFrame([("a", "x y"), ("b", "x y")], "doc_id string, text string")
+    assert {r.component_id for r in simhash.simhash_groups(table).collect()} == {"a"}
+    assert pa.__version__
