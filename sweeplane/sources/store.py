@@ -45,8 +45,8 @@ def synthetic(spark: SparkSession, n: int, factory: Callable[[int], dict], parti
         for pdf in batches:
             rows = []
             for i in pdf["id"].tolist():
-                row = {"sample_id": i, "path": None, "unit": "GHz", "s_def": "power", "z0_re": [50.0], "z0_im": [0.0], "comments": [], "params": {}, "params_str": {}, **factory(i)}
-                rows.append(row | {k: list(row[k].items()) for k in ("params", "params_str")})
+                blank = {"path": None, "unit": "GHz", "s_def": "power", "z0_re": [50.0], "z0_im": [0.0], "comments": [], "params": {}, "params_str": {}}
+                rows.append({"sample_id": i, **blank, **factory(i)})
             yield pd.DataFrame(rows)[names]
 
     names = [f.split()[0] for f in NETWORK_SCHEMA.replace("map<string,", "map<string;").split(", ")]

@@ -74,7 +74,7 @@ def read_touchstone(spark: SparkSession, folder: str, glob: str = GLOB) -> DataF
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
                 one = parse_touchstone(content.decode("utf-8", "replace"), int(_PORTS.search(path)[1]))
-                rows.append({"path": path, **one, "params": list(one["params"].items()), "params_str": list(one["params_str"].items())})
+                rows.append({"path": path, **one})
             yield pd.DataFrame(rows, columns=names)
 
     fields = [f.strip() for f in re.split(r",\s*(?=\w+ )", NETWORK_SCHEMA)][1:]
