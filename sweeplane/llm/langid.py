@@ -22,9 +22,11 @@ DIMS = 1 << 13
 SAMPLE_ROWS = 2400
 LANGUAGES = 48
 CENTROIDS = 4
-#: A text is rejected below this share of the cosine that all but REJECT_TAIL of its language's sample reach.
-REJECT_SHARE = 0.5
+#: A text is rejected below this share of the cosine that all but REJECT_TAIL of its language's sample reach. A text
+#: of less than FULL_SIZE n-grams cannot come as close to a centroid; its bound falls with the root of its size.
+REJECT_SHARE = 0.25
 REJECT_TAIL = 0.01
+FULL_SIZE = 400
 
 _LETTER = np.zeros(256, dtype=np.uint8)
 _LETTER[128:] = np.arange(128, 256)
@@ -65,15 +67,17 @@ class LanguageModel:
         x = np.log1p(counts).astype(np.float32) * self.idf
         return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
-    def nearest(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Each text's language (an index) and cosine; -1 and 0 where there is no model or no n-gram."""
-        best, score = np.full(len(texts), -1), np.zeros(len(texts))
+    def nearest(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Each text's language (an index), cosine, and n-grams; -1 and 0 where there is no model or no n-gram."""
+        best, score, size = np.full(len(texts), -1), np.zeros(len(texts)), np.zeros(len(texts), dtype=np.int64)
         if len(self.centroids):
             for lo, hi in blocks([len(t) + 4000 for t in texts]):
-                sims = self.vectors(ngram_counts(texts[lo:hi])) @ self.centroids.T
+                counts = ngram_counts(texts[lo:hi])
+                size[lo:hi] = counts.sum(axis=1)
+                sims = self.vectors(counts) @ self.centroids.T
                 top = sims.argmax(axis=1)
                 best[lo:hi], score[lo:hi] = self.owner[top], np.clip(sims[np.arange(hi - lo), top], 0, 1)
-        return best, score
+        return best, score, size
 
 
 def _spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -136,12 +140,12 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
 
 def identify(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
     """Language (``und`` without a letter or a model), cosine, and whether each text is rejected."""
-    best, score = model.nearest([t.encode("utf-8", "replace") for t in texts])
+    best, score, size = model.nearest([t.encode("utf-8", "replace") for t in texts])
     lettered = np.array([has_letter(t) for t in texts], dtype=bool)
     known = lettered & (best >= 0)
     names = [model.languages[b] if k else "und" for b, k in zip(best, known, strict=True)]
     rejected = ~known
-    rejected[known] = score[known] < model.least[best[known]]
+    rejected[known] = score[known] < model.least[best[known]] * np.sqrt(np.minimum(size[known] / FULL_SIZE, 1))
     return names, np.where(known, score, 0.0), rejected
 
 
