@@ -145,6 +145,21 @@ class DesignSpace:
     def from_json(cls, text: str) -> DesignSpace:
         return cls.from_dict(json.loads(text))
 
+    def to_yaml(self) -> str:
+        import yaml
+
+        return yaml.safe_dump(json.loads(self.to_json()), sort_keys=False, allow_unicode=True)
+
+    @classmethod
+    def from_file(cls, path: str) -> DesignSpace:
+        """A JSON or YAML file, by its suffix."""
+        with open(path, encoding="utf-8") as f:
+            if path.lower().endswith((".yaml", ".yml")):
+                import yaml
+
+                return cls.from_dict(yaml.safe_load(f))
+            return cls.from_dict(json.load(f))
+
 
 # -- generators: (spark, n, d, start=0, ...) -> point_id, u array<double> -------------------------------------------
 

@@ -15,6 +15,10 @@ from sweeplane.operators.goals import Specification
 from sweeplane.operators.surrogate import Surrogate
 
 
+#: Rows of a block of boxes, and of a block of points.
+BLOCK = 4096
+
+
 def estimate_yield(spark: SparkSession, space: DesignSpace, surrogate: Surrogate, spec: Specification, n: int = 8192, sampler: str = "normal", **options) -> DataFrame:
     """One row: n, yield. Constraints of the space are not applied. Points without a verdict fail."""
     points = space.sample(spark, n, sampler, reject_invalid=False, **options)
@@ -39,27 +43,26 @@ def candidate_boxes(passing: DataFrame, center: dict[str, float], mode: str = "s
 def score_boxes(candidates: DataFrame, cloud: DataFrame, variables: list[str]) -> DataFrame:
     """Candidates with ``inside`` and ``good``: how many points of the cloud lie within, and how many of those pass.
 
-    The cloud is the sampler's, of a size the caller states (n points), so it goes to each task; candidates are
-    scored in Arrow batches, block by block. No pair is made into a row.
+    Both sides are dealt in blocks of about BLOCK rows; each pair of blocks is one task's arrays, of fixed size. No pair
+    of rows is made into a row, and nothing goes through the driver but the two counts. ``cid`` must be unique.
     """
-    rows = cloud.select(*variables, F.col("ok").cast("int")).toPandas()
-    shared = cloud.sparkSession.sparkContext.broadcast((rows[variables].to_numpy(dtype=float), rows["ok"].to_numpy(dtype=bool)))
+    parts = [max(1, -(-df.count() // BLOCK)) for df in (candidates, cloud)]
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    left = candidates.withColumns({"a": block("cid", parts[0]), "b": every(parts[1])})
+    right = cloud.select("point_id", *variables, "ok").withColumns({"b": block("point_id", parts[1]), "a": every(parts[0])})
     lows, highs = [f"lo_{v}" for v in variables], [f"hi_{v}" for v in variables]
 
-    def run(batches):
-        x, ok = shared.value
-        for pdf in batches:
-            lo, hi = pdf[lows].to_numpy(dtype=float), pdf[highs].to_numpy(dtype=float)
-            inside, good = np.zeros(len(pdf), dtype=np.int64), np.zeros(len(pdf), dtype=np.int64)
-            for at in range(0, len(pdf), 256):
-                within = np.ones((len(lo[at : at + 256]), len(x)), dtype=bool)
-                for v in range(x.shape[1]):
-                    within &= (x[:, v] >= lo[at : at + 256, v, None]) & (x[:, v] <= hi[at : at + 256, v, None])
-                inside[at : at + 256], good[at : at + 256] = within.sum(axis=1), (within & ok).sum(axis=1)
-            yield pdf.assign(inside=inside, good=good)
-
-    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in candidates.schema)
-    return candidates.mapInPandas(run, f"{fields}, inside long, good long")
+    def score(boxes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        x, ok = points[variables].to_numpy(dtype=float), points["ok"].to_numpy(dtype=bool)
+        lo, hi = boxes[lows].to_numpy(dtype=float), boxes[highs].to_numpy(dtype=float)
+        within = np.ones((len(lo), len(x)), dtype=bool)
+        for v in range(len(variables)):
+            within &= (x[:, v] >= lo[:, v, None]) & (x[:, v] <= hi[:, v, None])
+        return pd.DataFrame({"cid": boxes["cid"], "n": within.sum(axis=1), "g": (within & ok).sum(axis=1)})
+
+    met = left.groupBy("a", "b").cogroup(right.groupBy("a", "b")).applyInPandas(score, "cid long, n long, g long")
+    return candidates.join(met.groupBy("cid").agg(F.sum("n").alias("inside"), F.sum("g").alias("good")), "cid")
 
 
 def best_box(scored: DataFrame, alpha: float) -> DataFrame:

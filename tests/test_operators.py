@@ -153,12 +153,15 @@ def test_splits_are_exact_and_repeatable(spark):
     assert all(int(r.p) == r.n for r in ranked)
 
 
-def test_design_spaces(spark):
+def test_design_spaces(spark, tmp_path):
     space = design.DesignSpace({"x": design.Continuous(0, 1), "y": design.Continuous(0, 1), "n": design.Integer(2, 8, 2), "m": design.Levels(("Cu", "Ag"))})
     space.add_constraint(F.col("x") + F.col("y") <= 1)
     got = space.sample(spark, 200, "sobol", seed=1).collect()
     assert len(got) == 200 and all(r.x + r.y <= 1 and r.n in (2, 4, 6, 8) and r.m in ("Cu", "Ag") for r in got)
     assert design.DesignSpace.from_json(space.to_json()).variables.keys() == space.variables.keys()
+    for suffix, text in (("json", space.to_json()), ("yaml", pytest.importorskip("yaml") and space.to_yaml())):
+        (tmp_path / f"space.{suffix}").write_text(text)
+        assert design.DesignSpace.from_file(str(tmp_path / f"space.{suffix}")).variables == space.variables
     with pytest.raises(ValueError):
         design.DesignSpace.from_dict({"a": {"type": "odd"}})
     with pytest.raises(KeyError):
@@ -235,6 +238,18 @@ def test_yield_and_boxes(spark):
         search.BoxFinder(spec(0.1), square, 0.0)
 
 
+def test_boxes_in_several_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    rows = [(i, float(a), float(b), bool(a * b > -0.2)) for i, (a, b) in enumerate(rng.uniform(-1, 1, (300, 2)))]
+    cloud = spark.createDataFrame(rows, "point_id long, x double, y double, ok boolean")
+    boxes = search.candidate_boxes(cloud.where("ok"), {"x": 0.0, "y": 0.0})
+    for block in (4096, 64):
+        monkeypatch.setattr(search, "BLOCK", block)
+        for r in search.score_boxes(boxes, cloud, ["x", "y"]).collect():
+            inside = [ok for _, a, b, ok in rows if r.lo_x <= a <= r.hi_x and r.lo_y <= b <= r.hi_y]
+            assert (r.inside, r.good) == (len(inside), sum(inside))
+
+
 def test_inverse_surrogate(spark):
     rng = np.random.default_rng(3)
     y = rng.normal(size=(200, 3))
