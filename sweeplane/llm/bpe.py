@@ -11,8 +11,9 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -20,7 +21,9 @@ from pyspark.sql import DataFrame
 from sweeplane.llm.common import map_arrow, prepare, sha256, texts_of
 
 #: Distinct matches whose ids a worker keeps between blocks; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_000_000
+#: Token pairs whose merge a worker remembers.
+KNOWN_PAIRS = 1_000_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -28,34 +31,53 @@ def load_ranks(data: bytes) -> dict[bytes, int]:
     return {base64.b64decode(a): int(b) for a, b in (line.split() for line in data.splitlines() if line)}
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Merges:
+    """A rank file's merges: which token two neighbours make, by their ids (a token's id is its rank)."""
+
+    def __init__(self, ranks: dict[bytes, int]) -> None:
+        self.ranks = ranks
+        self.token = {r: t for t, r in ranks.items()}
+        one = [bytes([b]) for b in range(256)]
+        self.byte_ids = np.array([ranks.get(b, -1) for b in one])
+        self.byte_pairs = np.array([[ranks.get(a + b, -1) for b in one] for a in one])
+        self.known: dict[int, int] = {}
+
+    def look_up(self, key: int) -> int:
+        """The rank of the pair ``left << 20 | right``, -1 if the two do not merge; remembered."""
+        if len(self.known) > KNOWN_PAIRS:
+            self.known.clear()
+        rank = self.ranks.get(self.token[key >> 20] + self.token[key & 0xFFFFF], -1)
+        self.known[key] = rank
+        return rank
+
+    def index(self, words: list[bytes]) -> tuple[list[int], list[int], list[int], list[int], dict[int, list[int]]]:
+        """Words laid out as bytes: tokens, next and previous places (-1 at a word's ends), heads, places by rank."""
+        data = np.frombuffer(b"".join(words), dtype=np.uint8)
+        ends = np.cumsum([len(w) for w in words])
+        heads = np.append(0, ends[:-1])
+        after, before = np.arange(1, len(data) + 1), np.arange(-1, len(data) - 1)
+        after[ends - 1] = before[heads] = -1
+        rank = self.byte_pairs[data[:-1], data[1:]]
+        rank[ends[:-1] - 1] = -1
+        places = np.flatnonzero(rank >= 0)
+        places = places[np.argsort(rank[places], kind="stable")]
+        found, starts = np.unique(rank[places], return_index=True)
+        by_rank = {r: p.tolist() for r, p in zip(found.tolist(), np.split(places, starts[1:]), strict=True)} if len(found) else {}
+        return self.byte_ids[data].tolist(), after.tolist(), before.tolist(), heads.tolist(), by_rank
+
+
+def replay(words: list[bytes], merges: Merges) -> list[list[int]]:
     """The ids of each distinct word, by replaying all merges over all words in rank order.
 
     Of the pairs that a word has at a time, the one of lowest rank merges first, and of equals the leftmost. A word
     that is a token as it stands gives that token.
     """
-    token: list[bytes] = []
-    after: list[int] = []
-    before: list[int] = []
-    heads: list[int] = []
-    for word in words:
-        if word in ranks:
-            heads.append(len(token))
-            token.append(word)
-            after.append(-1)
-            before.append(-1)
-            continue
-        at = len(token)
-        heads.append(at)
-        token.extend(word[i : i + 1] for i in range(len(word)))
-        after.extend(range(at + 1, at + len(word)))
-        after.append(-1)
-        before.append(-1)
-        before.extend(range(at, at + len(word) - 1))
-    index: dict[int, list[int]] = {}
-    for i, j in enumerate(after):
-        if j >= 0 and (r := ranks.get(token[i] + token[j])) is not None:
-            index.setdefault(r, []).append(i)
+    out = [[r] if (r := merges.ranks.get(w)) is not None else [] for w in words]
+    open_words = [n for n, ids in enumerate(out) if not ids and words[n]]
+    if not open_words:
+        return out
+    token, after, before, heads, index = merges.index([words[n] for n in open_words])
+    known, look_up = merges.known, merges.look_up
     queue = list(index)
     heapq.heapify(queue)
     while queue:
@@ -66,37 +88,44 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
         where.sort()
         for n, i in enumerate(where):
             j = after[i]
-            if token[i] is None or j < 0 or ranks.get(pair := token[i] + token[j]) != rank:
+            if j < 0 or token[i] < 0:
                 continue  # an earlier merge took one of the two
-            token[i], token[j] = pair, None
+            key = token[i] << 20 | token[j]
+            if (known[key] if key in known else look_up(key)) != rank:
+                continue
+            token[i], token[j] = rank, -1
             after[i] = k = after[j]
+            lower = False
             if k >= 0:
                 before[k] = i
-            lower = False
-            for left in (before[i], i):
-                right = after[left] if left >= 0 else -1
-                if right < 0:
-                    continue
-                r = ranks.get(token[left] + token[right])
-                if r is None:
-                    continue
-                if r not in index:
-                    index[r] = []
-                    heapq.heappush(queue, r)
-                index[r].append(left)
-                lower |= r < rank
+                key = rank << 20 | token[k]
+                r = known[key] if key in known else look_up(key)
+                if r >= 0:
+                    if r not in index:
+                        index[r] = []
+                        heapq.heappush(queue, r)
+                    index[r].append(i)
+                    lower = r < rank
+            if (left := before[i]) >= 0:
+                key = token[left] << 20 | rank
+                r = known[key] if key in known else look_up(key)
+                if r >= 0:
+                    if r not in index:
+                        index[r] = []
+                        heapq.heappush(queue, r)
+                    index[r].append(left)
+                    lower = lower or r < rank
             if lower and n + 1 < len(where):  # a lower rank came up: it goes before the rest of these
-                rest = index.setdefault(rank, [])
-                rest.extend(where[n + 1 :])
-                heapq.heappush(queue, rank)
+                if rank not in index:
+                    index[rank] = []
+                    heapq.heappush(queue, rank)
+                index[rank].extend(where[n + 1 :])
                 break
-    out = []
-    for i in heads:
-        ids = []
-        while i >= 0 and i < len(token):
-            ids.append(ranks[token[i]])
+    for n, i in zip(open_words, heads, strict=True):
+        ids = out[n]
+        while i >= 0:
+            ids.append(token[i])
             i = after[i]
-        out.append(ids)
     return out
 
 
@@ -104,15 +133,15 @@ class Encoder:
     """Encodes and decodes texts with one rank file; keeps the ids of recent words."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str) -> None:
-        self.ranks = ranks
+        self.merges = Merges(ranks)
         self.find = regex.compile(pattern).findall
         self.ids: dict[str, str] = {}
         self.token = {str(r): t for t, r in ranks.items()}
 
-    def learn(self, words: Iterable[str]) -> None:
+    def learn(self, words: set[str]) -> None:
         """Have the ids of these matches at hand, as decimal ids joined by commas."""
-        new = [w for w in words if w not in self.ids]
-        for word, ids in zip(new, replay([w.encode() for w in new], self.ranks), strict=True):
+        new = list(words.difference(self.ids))
+        for word, ids in zip(new, replay([w.encode() for w in new], self.merges), strict=True):
             self.ids[word] = ",".join(map(str, ids))
 
     def encode_block(self, texts: list[str]) -> list[str]:
@@ -120,7 +149,7 @@ class Encoder:
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
         found = [self.find(t) for t in texts]
-        self.learn({w for f in found for w in f})
+        self.learn(set().union(*found))
         look = self.ids.__getitem__
         return [",".join(map(look, f)) for f in found]
 
