@@ -119,7 +119,7 @@ def test_replay_takes_lower_ranks_that_come_up_first():
     ranks = {b"a": 0, b"b": 1, b"c": 2, b"abc": 3, b"ab": 4, b"cab": 5}
     library = tiktoken.Encoding("own", pat_str=r"\w+", mergeable_ranks=ranks, special_tokens={})
     words = ["abcab", "abab", "cababc", "aaabbbccc", "abcabcabc", "cab"]
-    assert bpe.replay([w.encode() for w in words], ranks) == [library.encode_ordinary(w) for w in words]
+    assert bpe.replay([w.encode() for w in words], bpe.Merges(ranks)) == [library.encode_ordinary(w) for w in words]
 
 
 def test_media_round_trip(docs, odd_docs, empty_docs):
