@@ -82,7 +82,7 @@ def check_grid(points: DataFrame, tol_hz: float = 1e-3) -> DataFrame:
     first = points.agg(F.min("sample_id").alias("sid"))
     base = grid.join(F.broadcast(first), grid["sample_id"] == first["sid"]).select(F.col("k").alias("bk"), F.col("f").alias("bf"))
     sizes = base.agg(F.count("*").alias("want"))
-    met = grid.join(base, grid["k"] == base["bk"], "left")
+    met = grid.join(F.broadcast(base), grid["k"] == base["bk"], "left")  # one sample's sweep: it does not grow with the table
     bad = F.when(F.col("bf").isNull() | (F.abs(F.col("f") - F.col("bf")) > tol_hz), 1).otherwise(0)
     out = met.groupBy("sample_id").agg(F.sum(bad).alias("bad"), F.count("*").alias("n"))
     out = out.join(F.broadcast(sizes)).withColumn("n_bad", F.col("bad") + F.greatest(F.col("want") - F.col("n"), F.lit(0)))

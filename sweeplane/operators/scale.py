@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweeplane.functions.tables import cut
+
 EPS = 1e-12
 
 
@@ -36,7 +38,7 @@ class StdScaler:
         if sequential_over:
             spread = _reduced(df.select(*self.keep, *sequential_over, value), value, list(self.keep), sequential_over, std, std)
             mean = _met(mean.drop("std"), spread.withColumnRenamed(value, "std"), self.keep)
-        return mean.withColumn("std", F.greatest(F.coalesce("std", F.lit(0.0)), F.lit(self.eps)))
+        return cut(mean.withColumn("std", F.greatest(F.coalesce("std", F.lit(0.0)), F.lit(self.eps))))
 
     def forward(self, df: DataFrame, stats: DataFrame, value: str) -> DataFrame:
         return _met(df, stats, self.keep).withColumn(value, (F.col(value) - F.col("mean")) / F.col("std")).drop("mean", "std")
@@ -63,7 +65,7 @@ class MinMaxScaler:
     def fit(self, df: DataFrame, value: str) -> DataFrame:
         """keep.., lo, width (at least eps)."""
         spread = F.greatest(F.max(value) - F.min(value), F.lit(self.eps))
-        return df.groupBy(*self.keep).agg(F.min(value).alias("lo"), spread.alias("width"))
+        return cut(df.groupBy(*self.keep).agg(F.min(value).alias("lo"), spread.alias("width")))
 
     def forward(self, df: DataFrame, stats: DataFrame, value: str) -> DataFrame:
         scaled: Column = (F.col(value) - F.col("lo")) / F.col("width") * (self.b - self.a) + self.a
@@ -74,6 +76,14 @@ class MinMaxScaler:
         return _met(df, stats, self.keep).withColumn(value, back).drop("lo", "width")
 
 
+#: Most rows of statistics that are broadcast.
+BROADCAST_ROWS = 100_000
+
+
 def _met(df: DataFrame, stats: DataFrame, keep: tuple[str, ...]) -> DataFrame:
-    """Rows with their statistics: one row (broadcast) without kept dimensions, else an equi-join."""
-    return df.join(stats, list(keep)) if keep else df.join(F.broadcast(stats))
+    """Rows with their statistics. Kept dimensions have few values, each with many rows, so a table of checked size is
+    broadcast and no row of the data moves; a larger one, with its many keys, meets them in an ordinary join."""
+    if not keep:
+        return df.join(F.broadcast(stats))
+    small = stats.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS
+    return df.join(F.broadcast(stats) if small else stats, list(keep))

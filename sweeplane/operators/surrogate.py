@@ -48,12 +48,16 @@ class LinearSurrogate:
     coefficients: tuple[tuple, ...]
 
     def transform(self, points: DataFrame) -> DataFrame:
-        rows = [(k, f, i, j, [w[v][0] for v in self.variables] + [c[0]], [w[v][1] for v in self.variables] + [c[1]]) for k, f, i, j, w, c in self.coefficients]
-        table = points.sparkSession.createDataFrame(rows, "k long, f_hz double, i long, j long, wr array<double>, wi array<double>")
+        rows = [
+            {"k": k, "f_hz": f, "i": i, "j": j, "wr": [w[v][0] for v in self.variables] + [c[0]], "wi": [w[v][1] for v in self.variables] + [c[1]]}
+            for k, f, i, j, w, c in self.coefficients
+        ]
+        # The coefficients are one constant of the plan: each point is unfolded by it within its row.
+        kind = "array<struct<k:long,f_hz:double,i:long,j:long,wr:array<double>,wi:array<double>>>"
         x = F.array(*(F.col(v).cast("double") for v in self.variables), F.lit(1.0))
-        dot = lambda w: F.aggregate(F.zip_with(x, w, lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
-        met = points.crossJoin(F.broadcast(table))  # every point has every coefficient: a product with a model of fixed size
-        return met.select(F.col("point_id").alias("sample_id"), "k", "f_hz", "i", "j", dot("wr").alias("re"), dot("wi").alias("im"))
+        dot = lambda w: F.aggregate(F.zip_with(x, F.col(w), lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
+        met = points.withColumn("e", F.explode(F.from_json(F.lit(json.dumps(rows)), kind)))
+        return met.select(F.col("point_id").alias("sample_id"), "e.k", "e.f_hz", "e.i", "e.j", dot("e.wr").alias("re"), dot("e.wi").alias("im"))
 
     def dumps(self) -> str:
         return json.dumps({"variables": self.variables, "coefficients": self.coefficients})
