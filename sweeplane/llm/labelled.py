@@ -37,6 +37,7 @@ def labelled_sample(
     order = F.xxhash64("id", F.lit(13))
     picked = known.where(F.pmod(order, F.lit(1_000_000)) / 1_000_000 < chance).orderBy(order, "id").limit(rows)
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # an id that repeats counts once
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]

@@ -111,7 +111,8 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
     for r in sizes:
         chance = F.when(F.col("lang") == r["lang"], min(1.0, share / r["n"])).otherwise(chance)
     place = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    picked = rows.where(place < chance).orderBy(F.xxhash64("id", F.lit(11)), "id", "text").limit(SAMPLE_ROWS)
+    once = rows.where(place < chance).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "r.*")
+    picked = once.orderBy(F.xxhash64("id", F.lit(11)), "id", "text").limit(SAMPLE_ROWS)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
