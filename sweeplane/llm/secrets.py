@@ -32,6 +32,9 @@ OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
 #: A value of more owners than this is an example, not a live credential.
 MAX_OWNERS = 1
 
+#: What stands for a secret in a redacted text.
+MASK = "[SECRET]"
+
 _KEYWORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _TO_HEX = bytes(104 if chr(i) in "0123456789abcdef" else 32 for i in range(256))
 _TO_OPAQUE = bytes(104 if chr(i).isascii() and (chr(i).isalnum() or chr(i) in "+/_=-") else 32 for i in range(256))
@@ -149,30 +152,41 @@ def span_text(spans: str, keep: Column | None = None) -> Column:
     return F.concat_ws(",", F.transform(items, one))
 
 
-def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every span of ``scanned`` replaced by ``mask``; all columns and clean rows as they were.
 
-    Rows are matched by id; only rows that have a span are rewritten. Ids that repeat must repeat whole rows.
+    Rows without a candidate, by the scan of their own text, pass straight through; only the others are matched with
+    their spans by id and rewritten. Ids that repeat must repeat whole rows.
     """
     spans = scanned.where(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
     spans = spans.dropDuplicates(["__id"])
-    joined = docs.join(spans, docs[id_col].eqNullSafe(spans["__id"]), "left").drop("__id")
     columns = docs.columns
     at = columns.index(text_col)
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        spans, texts = batch.column("__spans"), batch.column(text_col)
-        if spans.null_count < batch.num_rows:
-            out = []
-            for text, cuts in zip(texts.to_pylist(), spans.to_pylist(), strict=True):
-                for s, e in reversed(_union([(c["start"], c["end"]) for c in cuts or ()])):
-                    text = text[:s] + mask + text[e:]
-                out.append(text)
-            texts = pa.array(out, texts.type)
-        arrays = [texts if i == at else batch.column(i) for i in range(len(columns))]
+    def part(wanted: bool) -> DataFrame:
+        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+            return batch.filter(pa.array([has_candidate(t) == wanted for t in texts_of(batch, text_col)]))
+
+        return map_arrow(docs, kernel, docs.schema)
+
+    def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
+        texts, out = batch.column(text_col), []
+        for text, cuts in zip(texts.to_pylist(), batch.column("__spans").to_pylist(), strict=True):
+            for s, e in reversed(_union([(c["start"], c["end"]) for c in cuts or ()])):
+                text = text[:s] + mask + text[e:]
+            out.append(text)
+        arrays = [pa.array(out, texts.type) if i == at else batch.column(i) for i in range(len(columns))]
         return pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    return map_arrow(joined, kernel, docs.schema)
+    some = part(True)
+    joined = some.join(spans, some[id_col].eqNullSafe(spans["__id"]), "left").drop("__id")
+    return part(False).unionByName(map_arrow(joined, rewrite, docs.schema))
+
+
+def has_candidate(text: str) -> bool:
+    """Whether the scan finds anything in the text."""
+    found = base_spans(text)
+    return bool(found or opaque_spans(text, found))
 
 
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
