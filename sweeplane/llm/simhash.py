@@ -194,7 +194,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
     repeated = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
     named = docs.where(F.col(id_col).isNotNull())
-    kept = named.join(gone.distinct(), id_col, "left_anti").select(docs.columns)
+    # A merge join at any size: the list of ids grows with the table, so it is not one to broadcast.
+    kept = named.join(gone.distinct().hint("merge"), id_col, "left_anti").select(docs.columns)
     some = materialize(repeated, "repeated")
     if some.count():
         once = kept.join(some, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
