@@ -151,7 +151,8 @@ def links(distinct: DataFrame) -> DataFrame:
     if some:
         homes = homes.join(dense, "anchor", "left_anti")
     home = homes.select("anchor", F.col("fp").alias("a"))
-    met = home.join(replicas.withColumnRenamed("fp", "b"), "anchor").where((F.col("a") < F.col("b")) & (_differing("a", "b") <= THRESHOLD))
+    # The planner takes the replicas for as few as the fingerprints and would broadcast them; a merge join it is.
+    met = home.join(replicas.withColumnRenamed("fp", "b").hint("merge"), "anchor").where((F.col("a") < F.col("b")) & (_differing("a", "b") <= THRESHOLD))
     edges = met.select("a", "b").distinct()
     if some:
         crowd = replicas.join(dense, "anchor", "left_semi").select("fp").distinct()
