@@ -11,6 +11,8 @@ from __future__ import annotations
 
 import json
 import math
+import string
+import unicodedata
 import zlib
 from collections.abc import Iterator
 
@@ -24,8 +26,14 @@ from sweeplane.llm.common import materialize, prepare, texts_of
 
 #: Length classes are multiples of so many tokens.
 GRAIN = 16
+#: The linear program ends this close to the bound of sequences without any padding.
+NEAR_BOUND = 0.0005
+#: Rows of a chunk, in which pieces of one class are ranked.
+CHUNK_ROWS = 2000
 #: Distinct words whose ids a worker keeps; then it starts anew.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 350_000
+#: Marks that, behind letters, are split from them by the tokenizer's pattern.
+MARKS = string.punctuation
 #: White space to the tokenizer's pattern but not to ``str.split``, and the other way round.
 _ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
 
@@ -56,7 +64,7 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
 
 
 def column_generation(
-    sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = 4000
+    sizes: np.ndarray, demand: np.ndarray, capacity: int, max_columns: int = 1500
 ) -> tuple[np.ndarray, np.ndarray]:
     """Patterns (one a row) and how often to use each (fractional), covering ``demand`` with about least sequences.
 
@@ -65,30 +73,40 @@ def column_generation(
     """
     m = len(sizes)
     patterns = np.diag(capacity // sizes).astype(np.int64)
+    costs = np.ones(m)
     inverse = np.diag(1.0 / np.diag(patterns))
     use = demand * np.diag(inverse)
-    for step in range(max_columns):
-        duals = inverse.sum(axis=0)
-        value, pattern = price(np.maximum(duals, 0), sizes, capacity)
-        if value <= 1 + 1e-6:
+    bound = float(demand @ sizes) / capacity
+    for _ in range(max_columns):
+        duals = costs @ inverse
+        if use @ costs <= bound * (1 + NEAR_BOUND):
+            break
+        # Price near the duals that fill alone would give, for those of early bases swing; else with the duals as are.
+        for share in (0.2, 1.0):
+            _, pattern = price(np.maximum(share * duals + (1 - share) * sizes / capacity, 0), sizes, capacity)
+            if (value := float(duals @ pattern)) > 1 + 1e-6:
+                break
+        gain, cost = value - 1, 1.0
+        if -duals.min() > gain:  # worth more to cover a class beyond its demand: its surplus column comes in
+            gain, cost, pattern = -duals.min(), 0.0, np.zeros(m, dtype=np.int64)
+            pattern[int(duals.argmin())] = -1
+        if gain <= 1e-6:
             break
         direction = inverse @ pattern
         with np.errstate(divide="ignore", invalid="ignore"):
-            ratios = np.where(direction > 1e-9, use / direction, np.inf)
-        leave = int(ratios.argmin())
-        if not np.isfinite(ratios[leave]):
+            ratios = np.where(direction > 1e-7, use / direction, np.inf)
+        amount = float(ratios.min())
+        if not np.isfinite(amount):
             break
-        amount = ratios[leave]
+        tied = ratios <= amount * (1 + 1e-9) + 1e-9
+        leave = int(np.where(tied, direction, -1).argmax())  # of ties the largest pivot, for a stable inverse
         use = np.maximum(use - amount * direction, 0)
-        use[leave] = amount
-        patterns[leave] = pattern
+        use[leave], costs[leave], patterns[leave] = amount, cost, pattern
         inverse[leave] /= direction[leave]
         others = np.arange(m) != leave
         inverse[others] -= np.outer(direction[others], inverse[leave])
-        if step % 200 == 199:
-            inverse = np.linalg.inv(patterns.T.astype(float))
-            use = np.maximum(inverse @ demand, 0)
-    return patterns, use
+    real = costs > 0
+    return patterns[real], use[real]
 
 
 def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, dict[int, int]]]:
@@ -127,8 +145,26 @@ def plan_patterns(histogram: dict[int, int], capacity: int) -> list[tuple[int, d
 # -- tokens -------------------------------------------------------------------------------------------------------
 
 
+def _latin_tables() -> tuple[bytes, bytes]:
+    """For Latin-1 bytes: lower case with white space as spaces; and kinds (a letter or digit, m mark, p other, space)."""
+    lower, kinds = bytearray(256), bytearray(256)
+    for i, c in enumerate(map(chr, range(256))):
+        space = c.isspace() and c not in _ODD_SPACE
+        low = ord(c.lower())
+        lower[i] = 32 if space else low if low < 256 else i
+        kinds[i] = ord(" " if space else "a" if unicodedata.category(c)[0] in "LN" else "m" if c in ",." else "p")
+    return bytes(lower), bytes(kinds)
+
+
+_LOWER, _KINDS = _latin_tables()
+
+
 class WordIds:
-    """Ids of whole texts by a tokenizer that drops white space: each distinct word is encoded once, by the library."""
+    """Ids of whole texts by a tokenizer that drops white space: each distinct word is encoded once, by the library.
+
+    Texts of Latin-1 characters are cut as lower-case bytes, with a full stop or comma behind letters as a word of its
+    own, as the tokenizer's pattern cuts them too; other texts are cut at white space alone.
+    """
 
     def __init__(self, tokenizer_json: str) -> None:
         import regex
@@ -143,43 +179,68 @@ class WordIds:
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix := config["model"].get("end_of_word_suffix"):
             self.word_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
-        self.ids: dict[str, bytes] = {}
-
-    def words(self, text: str) -> list[str]:
-        if any(c in text for c in _ODD_SPACE):
-            return [w for w in self.space.split(text) if w]
-        return text.split()
-
-    def learn_letters(self, words: list[str]) -> None:
-        """Words of plain letters, encoded as one text; an id whose token has the end-of-word mark closes a word."""
+        self.ids: dict[bytes | str, bytes] = {}
+
+    def words(self, text: str) -> list:
+        """The text's words: bytes of a Latin-1 text, strings of others."""
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            if any(c in text for c in _ODD_SPACE):
+                return [w for w in self.space.split(text) if w]
+            return text.split()
+        kinds, raw = raw.translate(_KINDS), raw.translate(_LOWER)
+        if b"pm " not in kinds and b"mm " not in kinds:  # else a mark may belong to the one before it
+            raw = raw.replace(b", ", b" , ").replace(b". ", b" . ")
+        return raw.split(b" ")
+
+    def learn(self, words: set) -> None:
+        """Have the ids of these words at hand."""
+        ids, letters, others, marked = self.ids, [], [], []
+        for w in words:
+            text = w.decode("latin-1") if isinstance(w, bytes) else w
+            if isinstance(w, str):
+                others.append((w, text))
+            elif text.isalpha():
+                letters.append((w, text))
+            elif (p := text.rstrip(MARKS)).isalpha():  # marks behind letters are one token apart from them
+                p, m = p.encode("latin-1"), text[len(p) :].encode("latin-1")
+                marked.append((w, p, m))
+                if p not in ids and p not in words:
+                    letters.append((p, p.decode("latin-1")))
+                if m not in ids and m not in words:
+                    others.append((m, m.decode("latin-1")))
+            else:
+                others.append((w, text))
+        left = self._ask_letters(list(dict(letters).items()))
+        others = list(dict(left + others).items())
+        for (w, _), code in zip(others, self.tokenizer.encode_batch_fast([t for _, t in others], add_special_tokens=False), strict=True):
+            ids[w] = np.array(code.ids, dtype="<u4").tobytes()
+        ids.update([(w, ids[p] + ids[m]) for w, p, m in marked])
+
+    def _ask_letters(self, words: list[tuple[bytes, str]]) -> list[tuple[bytes, str]]:
+        """Words of letters, encoded as one text; an id whose token has the end-of-word mark closes a word.
+
+        Gives back the words if the tokenizer has no such mark.
+        """
         if not (self.word_end.any() and words):
-            return
-        ids = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, dtype="<u4")
+            return words
+        code = self.tokenizer.encode_batch_fast([" ".join([t for _, t in words])], add_special_tokens=False)[0]
+        ids = np.array(code.ids, dtype="<u4")
         ends = np.flatnonzero(self.word_end[ids]) + 1
-        if len(ends) == len(words):
-            data, at = ids.tobytes(), 0
-            for word, end in zip(words, (4 * ends).tolist(), strict=True):
-                self.ids[word], at = data[at:end], end
+        if len(ends) != len(words):
+            return words
+        data, stops = ids.tobytes(), (4 * ends).tolist()
+        self.ids.update((w, data[lo:hi]) for (w, _), lo, hi in zip(words, [0, *stops], stops, strict=False))
+        return []
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
         if len(self.ids) > CACHE_WORDS:
             self.ids.clear()
+        self.ids[b""] = b""  # between two spaces
         split = [self.words(t) for t in texts]
-        known = self.ids
-        new = {w for ws in split for w in ws if w not in known}
-        # A mark after letters is a token of its own, and ASCII letters count in lower case: such words share ids.
-        parts = {w: (w[:-1], w[-1]) for w in new if w[-1] in ",." and max(w) < "\u0130" and w[:-1].isalpha()}
-        plain = {p for pair in parts.values() for p in pair} | (new - parts.keys())
-        lower = {p: p.lower() for p in plain if p not in known and p.isascii()}
-        ask = [p for p in {lower.get(p, p) for p in plain} if p not in known]
-        letters = [w for w in ask if max(w) < "\u0130" and w.isalpha()]
-        self.learn_letters(letters)
-        ask = [w for w in ask if w not in self.ids]
-        for word, code in zip(ask, self.tokenizer.encode_batch_fast(ask, add_special_tokens=False), strict=True):
-            self.ids[word] = np.array(code.ids, dtype="<u4").tobytes()
-        self.ids |= {p: self.ids[q] for p, q in lower.items()}
-        self.ids |= {w: self.ids[a] + self.ids[b] for w, (a, b) in parts.items()}
+        self.learn(set().union(*split).difference(self.ids))
         look = self.ids.__getitem__
         return [b"".join(map(look, ws)) for ws in split]
 
@@ -201,9 +262,9 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id
         enc, end = _TOKENIZERS[key], int(end_id).to_bytes(4, "little")
         for batch in batches:
             ids, texts = batch.column(id_col).to_pylist(), texts_of(batch, text_col)
-            for at in range(0, len(ids), 64):
+            for at in range(0, len(ids), 128):
                 rows: list[list] = [[], [], [], [], [], []]
-                for doc, data in zip(ids[at : at + 64], enc.encode(texts[at : at + 64]), strict=True):
+                for doc, data in zip(ids[at : at + 128], enc.encode(texts[at : at + 128]), strict=True):
                     data += end
                     for start in range(0, len(data), 4 * capacity):
                         part = data[start : start + 4 * capacity]
@@ -240,7 +301,7 @@ def pack_documents(
     full = F.col("length") > capacity - grain
     # Ranks without a group that holds a whole class: chunks of the table, their counts, and a running total of those.
     total = pieces.count()
-    chunks = max(1, math.ceil(total / 20_000))
+    chunks = max(1, math.ceil(total / CHUNK_ROWS))
     dealt = pieces.withColumn("__size", F.when(full, F.lit(0)).otherwise(size))
     dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("__uid"), F.lit(chunks)).cast("int"))
     counts = materialize(dealt.groupBy("__size", "__chunk").agg(F.count("*").alias("__n")), "counts")
