@@ -1,0 +1,37 @@
+"""The pipeline's stages against plain Python on a small table."""
+
+from collections import Counter
+
+import corpus_pipeline
+from tests.llm import brute
+
+from sweeplane.llm import langid, toxicity
+from sweeplane.llm.common import load, materialize
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_take_effect_on_all_that_came_before(spark):
+    docs = load(spark, SF, "documents")
+    kept = [docs]
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        kept.append(materialize(stage(spark, kept[-1], SF), name))
+        assert kept[-1].columns == docs.columns
+    rows = [{r.doc_id: r for r in t.collect()} for t in kept]
+    told = langid.op3(docs).where("NOT rejected").collect()
+    assert rows[1].keys() == {r.doc_id for r in told}
+    model = toxicity.fit_toxicity(kept[1], load(spark, SF, "labels"), toxicity.learn_rows)
+    clean = toxicity.score_toxicity(kept[1], model).where("score < 0.5").collect()
+    assert rows[2].keys() == {r.doc_id for r in clean}
+    prints = {i: brute.simhash(r.text) for i, r in rows[2].items()}
+    links = [(a, b) for a in prints for b in prints if a < b and bin(prints[a] ^ prints[b]).count("1") <= 2]
+    assert rows[3].keys() == set(brute.components(prints, links).values())
+    assert rows[4].keys() == rows[3].keys()
+    for i, r in rows[4].items():
+        assert not brute.base_spans(r.text)
+        assert r.text == rows[3][i].text or (brute.base_spans(rows[3][i].text) or "[SECRET]" in r.text) and r.n_chars == len(r.text)
+    pieces = Counter()
+    for r in corpus_pipeline.run(spark, SF).collect():
+        pieces[r.doc_id] += r.length
+        assert pieces[r.doc_id] <= r.doc_tokens
+    assert pieces.keys() == rows[4].keys()
