@@ -61,6 +61,15 @@ def _lay_out(words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return first, second, begins, n
 
 
+def _responses(x: np.ndarray, w: np.ndarray, b: np.ndarray, begins: np.ndarray) -> np.ndarray:
+    """Each filter's response in every place; minus infinity where its window would reach the next text's words."""
+    places = len(x) - len(w) + 1
+    r = sum(x[o : o + places] @ w[o] for o in range(len(w))) + b
+    for o in range(1, len(w)):
+        r[begins[1:] - o] = -np.inf
+    return r
+
+
 @dataclass
 class ToxicityModel:
     tables: np.ndarray  # (2, BUCKETS + 1, DIMS); the last row is padding
@@ -80,9 +89,7 @@ class ToxicityModel:
         x = self.tables[0][first] + self.tables[1][second]
         parts = []
         for w, b in zip(self.filters, self.bias, strict=True):
-            places = len(x) - len(w) + 1
-            r = sum(x[o : o + places] @ w[o] for o in range(len(w))) + b
-            parts.append(np.maximum(np.maximum.reduceat(r, begins, axis=0), 0))
+            parts.append(np.maximum(np.maximum.reduceat(_responses(x, w, b, begins), begins, axis=0), 0))
         return np.concatenate(parts, axis=1)
 
     def raw(self, texts: list[bytes]) -> np.ndarray:
@@ -121,7 +128,7 @@ def train(words: list[np.ndarray], y: np.ndarray, epochs: int = EPOCHS, rate: fl
             stops = np.append(begins[1:], len(x))
             for w, b in zip(model.filters, model.bias, strict=True):
                 count = len(x) - len(w) + 1
-                r = sum(x[o : o + count] @ w[o] for o in range(len(w))) + b
+                r = _responses(x, w, b, begins)
                 where = np.stack([lo + r[lo : min(hi, count)].argmax(axis=0) for lo, hi in zip(begins, stops, strict=True)])
                 places.append(where)
                 pooled.append(r[where, np.arange(FILTERS)])

@@ -102,6 +102,18 @@ def test_toxicity_training_follows_its_gradient():
     assert np.mean((np.array(z) > 0) == np.array(y)) > 0.95
 
 
+def test_toxicity_of_a_block_equals_that_of_each_text():
+    rng = np.random.default_rng(6)
+    words = [rng.integers(0, 2**32, n, dtype=np.uint32).view(np.int32) for n in (5, 0, 1, 2, 40, 0, 0, 3)]
+    model = toxicity.train([], np.zeros(0))
+    # Every filter finds words, and nothing in padding: a window that reads into the next text would win.
+    model.tables[:, : toxicity.BUCKETS] = rng.uniform(0, 1, (2, toxicity.BUCKETS, toxicity.DIMS))
+    model.filters = [np.abs(f) for f in model.filters]
+    block = model.pooled(np.concatenate(words), np.cumsum([len(w) for w in words]))
+    alone = np.concatenate([model.pooled(w, np.array([len(w)])) for w in words])
+    assert np.allclose(block, alone, atol=1e-5) and not block[1].any() and block[2].any()
+
+
 def test_calibration_helpers():
     rng = np.random.default_rng(1)
     p = rng.uniform(0.02, 0.98, 4000)
