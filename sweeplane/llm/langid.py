@@ -1,12 +1,13 @@
 """Language identification by nearest centroid.
 
-Texts become TF-IDF vectors of hashed byte n-grams, at length one. Each language has several centroids, from spherical
-k-means on a bounded sample of labelled rows. A text gets the language of the centroid of highest cosine; below the
+Texts become TF-IDF vectors of hashed byte n-grams, at length one. Every language of the table has several centroids,
+from spherical k-means on a bounded sample of its labelled rows, in a task of its own. A text gets the language of the centroid of highest cosine; below the
 language's least cosine it counts as rejected.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -14,13 +15,12 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import blocks, bucket_of, held_out, map_arrow, prepare
+from sweeplane.llm.common import blocks, bucket_of, held_out, map_arrow, materialize, prepare
 
 #: Buckets of hashed n-grams.
 DIMS = 1 << 13
-#: Rows the model is fitted on at most, over all languages; languages at most (those of most rows); centroids of each.
-SAMPLE_ROWS = 2400
-LANGUAGES = 48
+#: Ids of each language the model is fitted on, about (a language of up to a fifth more is taken whole); centroids of each.
+LANGUAGE_ROWS = 600
 CENTROIDS = 4
 #: A text is rejected below this share of the cosine that all but REJECT_TAIL of its language's sample reach. A text
 #: of less than FULL_SIZE n-grams cannot come as close to a centroid; its bound falls with the root of its size.
@@ -95,48 +95,80 @@ def _spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centers
 
 
-def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
-    """Fit on rows where ``learn`` holds and text and language are not null: SAMPLE_ROWS of them at most.
+def _no_model() -> LanguageModel:
+    return LanguageModel([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
 
-    Each language has an equal share of the sample, picked by a hash of the id, so any partitioning gives one model.
-    """
-    prepare(docs.sparkSession)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
-    rows = rows.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull())
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()
-    if not sizes:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    share = max(1, SAMPLE_ROWS // len(sizes))
-    chance = F.lit(0.0)
-    for r in sizes:
-        chance = F.when(F.col("lang") == r["lang"], min(1.0, share / r["n"])).otherwise(chance)
-    place = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(1_000_000)) / 1_000_000
-    once = rows.where(place < chance).groupBy("id").agg(F.min(F.struct("text", "lang")).alias("r")).select("id", "r.*")
-    picked = once.orderBy(F.xxhash64("id", F.lit(11)), "id", "text").limit(SAMPLE_ROWS)
+
+def _sample(rows: DataFrame) -> DataFrame:
+    """lang, place (a hash of the id), x (n-gram counts' logarithms) of about LANGUAGE_ROWS ids of every language."""
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("id").alias("n"))
+    chance = F.when(F.col("n") <= 1.2 * LANGUAGE_ROWS, 1.0).otherwise(LANGUAGE_ROWS / F.col("n"))
+    place = F.xxhash64("id", F.lit(11))
+    near = rows.join(F.broadcast(sizes), "lang").where(F.pmod(place, F.lit(1_000_000)) / 1_000_000 < chance)
+    once = near.groupBy("id", "lang").agg(F.min("text").alias("text")).select("lang", place.alias("place"), "text")
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
         out = []
         for lo, hi in blocks([len(t) + 4000 for t in texts]):
             out += [r.tobytes() for r in np.log1p(ngram_counts(texts[lo:hi])).astype(np.float16)]
-        return pa.RecordBatch.from_arrays([batch.column("lang"), pa.array(out, pa.binary())], names=["lang", "x"])
-
-    sample = map_arrow(picked, kernel, "lang string, x binary").collect()
-    if not sample:
-        return LanguageModel([], np.zeros(0, int), np.zeros((0, DIMS), np.float32), np.ones(DIMS, np.float32), np.zeros(0))
-    x = np.frombuffer(b"".join(r["x"] for r in sample), dtype=np.float16).reshape(-1, DIMS).astype(np.float32)
-    langs = np.array([r["lang"] for r in sample])
-    idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.1).astype(np.float32)
-    x *= idf
-    x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
-    languages, centroids, owner, least = sorted(set(langs.tolist())), [], [], []
-    for i, lang in enumerate(languages):
-        own = x[langs == lang]
-        centers = _spherical_means(own, CENTROIDS)
-        centroids.append(centers)
-        owner += [i] * len(centers)
-        least.append(REJECT_SHARE * float(np.quantile((own @ centers.T).max(axis=1), REJECT_TAIL)))
-    return LanguageModel(languages, np.array(owner), np.concatenate(centroids), idf, np.array(least))
+        return pa.RecordBatch.from_arrays([batch.column("lang"), batch.column("place"), pa.array(out, pa.binary())], names=["lang", "place", "x"])
+
+    return map_arrow(once, kernel, "lang string, place long, x binary")
+
+
+def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, DIMS).astype(np.float32)
+
+
+def _frequencies(sample: DataFrame) -> tuple[int, np.ndarray]:
+    """Rows of the sample, and how many of them each bucket is in."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(DIMS + 1, dtype=np.int64)  # the last place counts rows
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                total[:DIMS] += (_matrix(batch.column("x")[at : at + 256]) > 0).sum(axis=0)
+            total[DIMS] += batch.num_rows
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
+
+    out = np.zeros(DIMS + 1, dtype=np.int64)
+    for r in sample.select("x").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+        out[r["bucket"]] = r["n"]
+    return int(out[DIMS]), out[:DIMS]
+
+
+def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+    """Fit on rows where ``learn`` holds and id, text and language are not null; every language of theirs is learned.
+
+    A language is fitted on about LANGUAGE_ROWS of its ids, picked by a hash of the id, so any partitioning gives one
+    model; a rare one on all of them. An id that repeats counts once for each language. Each language is fitted in its
+    own task, and only CENTROIDS rows of DIMS numbers of each (128 kB) reach the driver: the model grows with the
+    number of languages, not with the rows.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
+    rows = rows.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull()).drop("learn")
+    sample = materialize(_sample(rows), "languages")
+    count, frequency = _frequencies(sample)
+    if not count:
+        return _no_model()
+    idf = (np.log((1 + count) / (1 + frequency)) + 0.1).astype(np.float32)
+
+    def fit(group: pa.Table) -> pa.Table:
+        group = group.sort_by([("place", "ascending"), ("x", "ascending")])
+        own = _matrix(group.column("x")) * idf
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
+        centers = _spherical_means(own, CENTROIDS).astype(np.float32)
+        least = REJECT_SHARE * float(np.quantile((own @ centers.T).max(axis=1), REJECT_TAIL))
+        return pa.table({"lang": group.column("lang")[:1], "centers": pa.array([centers.tobytes()], pa.binary()), "least": [least]})
+
+    fitted = sample.groupBy("lang").applyInArrow(fit, "lang string, centers binary, least double").collect()
+    fitted.sort(key=lambda r: r["lang"])
+    centers = [np.frombuffer(r["centers"], dtype=np.float32).reshape(-1, DIMS) for r in fitted]
+    owner = np.repeat(np.arange(len(fitted)), [len(c) for c in centers])
+    return LanguageModel([r["lang"] for r in fitted], owner, np.concatenate(centers), idf, np.array([r["least"] for r in fitted]))
 
 
 def identify(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:

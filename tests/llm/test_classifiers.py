@@ -43,6 +43,22 @@ def test_language_model_does_not_depend_on_partitions(table):
     assert a.languages == b.languages and np.allclose(a.centroids, b.centroids)
 
 
+def test_every_language_of_a_table_is_learned(spark):
+    rng = np.random.default_rng(8)
+    spoken = {f"l{n:02}": ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 5)) for _ in range(12)] for n in range(60)}
+    rows = []
+    for n, (lang, words) in enumerate(spoken.items()):
+        rows += [(len(rows) + i, " ".join(rng.choice(words, 40)), lang) for i in range(6 if n < 12 else 12)]
+    # One more language has a single id, and so many rows that a sample by their number could miss it.
+    rows += [(10_000, "zq zzq qzzq " * 30, "one")] * 2000
+    table = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(5)
+    model = langid.fit_languages(table, F.lit(True))
+    assert model.languages == sorted({*spoken, "one"})
+    got = langid.detect_language(table, model).distinct().collect()
+    want = {i: lang for i, _, lang in rows}
+    assert all(r.lang_pred == want[r.doc_id] and not r.rejected for r in got) and len(got) == len(want)
+
+
 def test_features_of_blocks_equal_those_of_single_texts():
     texts = ["Ab c!! Ab c!!".encode(), b"", "x é é ü-1".encode() * 40, b"   "]
     for table_ in (common.classes("runs"), common.classes("words")):
