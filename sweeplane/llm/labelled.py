@@ -12,24 +12,28 @@ from pyspark.sql import functions as F
 from sweeplane.llm.common import map_arrow
 
 
+def known_labels(labels: DataFrame, label_col: str, learn: Callable[[str], Column], id_col: str = "doc_id") -> DataFrame:
+    """id and y (0 or 1) where ``learn(id column)`` holds; ids with two labels or none are left out."""
+    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
+        F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y2")
+    ).where("y = y2").select("id", "y")
+    return known.where(learn("id"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label_col: str, learn: Callable[[str], Column], rows: int,
-    features: Callable[[list[bytes]], list[np.ndarray]], extra: Callable[[list[str]], list[int]] | None = None,
-    id_col: str = "doc_id", text_col: str = "text",
-) -> tuple[np.ndarray, list[np.ndarray], np.ndarray, float]:
-    """(labels, feature arrays, extra integers, share of label 1 in the table) of ``rows`` labelled rows at most.
+    features: Callable[[list[bytes]], list[np.ndarray]], id_col: str = "doc_id", text_col: str = "text",
+) -> tuple[np.ndarray, list[np.ndarray], list[str], float]:
+    """(labels, feature arrays, ids as text, share of label 1 in the table) of ``rows`` labelled rows at most.
 
     Half the sample goes to each label, as far as there are so many; rows are picked by a hash of the id. Ids with
     two labels or none, and rows whose label is not 0 or 1, are left out. Only the sample reaches the driver, as the
     features of its whole texts.
     """
-    known = labels.where(F.col(label_col).isin(0, 1)).groupBy(F.col(id_col).alias("id")).agg(
-        F.min(label_col).cast("int").alias("y"), F.max(label_col).cast("int").alias("y2")
-    ).where("y = y2").select("id", "y")
-    known = known.where(learn("id"))
+    known = known_labels(labels, label_col, learn, id_col)
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not sizes:
-        return np.zeros(0, int), [], np.zeros(0, int), 0.5
+        return np.zeros(0, int), [], [], 0.5
     spare = sum(max(0, rows // 2 - n) for n in sizes.values())
     chance = F.lit(0.0)
     for y, n in sizes.items():
@@ -41,17 +45,16 @@ def labelled_sample(
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         raw = [t.as_py() or b"" for t in batch.column("text").cast(pa.binary())]
-        more = extra([t.decode() for t in raw]) if extra else [0] * len(raw)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id").cast(pa.string()), batch.column("y"), pa.array([f.tobytes() for f in features(raw)], pa.binary()), pa.array(more, pa.int32())],
-            names=["id", "y", "x", "more"],
+            [batch.column("id").cast(pa.string()), batch.column("y"), pa.array([f.tobytes() for f in features(raw)], pa.binary())],
+            names=["id", "y", "x"],
         )
 
-    got = map_arrow(texts, kernel, "id string, y int, x binary, more int").collect()
+    got = map_arrow(texts, kernel, "id string, y int, x binary").collect()
     got.sort(key=lambda r: (r["id"], r["x"]))
     share = sizes.get(1, 0) / sum(sizes.values())
     x = [np.frombuffer(r["x"], dtype=np.int32) for r in got]
-    return np.array([r["y"] for r in got], dtype=int), x, np.array([r["more"] for r in got], dtype=int), share
+    return np.array([r["y"] for r in got], dtype=int), x, [r["id"] for r in got], share
 
 
 def score_rows(docs: DataFrame, score: Callable[[list[str]], np.ndarray], id_col: str, text_col: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A word's embedding is the sum of two table rows: one picked by the word's hash, one by that of its first bytes. Filters of several widths slide over a text's
 words; each keeps its greatest response in the whole text; a linear layer gives the logit. After training, a threshold
-is chosen for each language on rows set aside, and scores are shifted so that 0.5 is the threshold of the text's
+is chosen for each language on all labelled rows that were not trained on, and scores are shifted so that 0.5 is the threshold of the text's
 language. That language comes from the text, by the nearest-centroid model.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweeplane.llm.common import blocks, bucket_of, classes, hash_tokens, held_out, map_arrow, prepare
-from sweeplane.llm.labelled import labelled_sample, score_rows
+from sweeplane.llm.labelled import known_labels, labelled_sample, score_rows
 from sweeplane.llm.langid import LanguageModel, fit_languages
 
 #: Rows of each table, first bytes of a word that have a row of their own, components of an embedding, filter widths in words, filters of each width.
@@ -25,11 +25,14 @@ PREFIX = 4
 DIMS = 16
 WIDTHS = (1, 2, 3)
 FILTERS = 12
-#: Rows the model is fitted on at most; of each four, one sets thresholds.
+#: Rows the model is sampled from at most; of each four, one is not trained on, so that thresholds have rows in small tables too.
 SAMPLE_ROWS = 3600
 EPOCHS = 8
 #: Rows of either label a language needs for a threshold of its own.
 LEAST_ROWS = 12
+#: Logits are counted for thresholds in steps of 1 / STEPS, up to REACH to either side.
+STEPS = 128
+REACH = 40
 _TOKENS = classes("words")
 _PAD = max(WIDTHS)  # so that each filter has a place even in a text without words
 
@@ -180,14 +183,12 @@ def fit_toxicity(
 ) -> ToxicityModel:
     """Fit on SAMPLE_ROWS labelled rows at most where ``learn(id column)`` holds, half of either label.
 
-    Languages, for the thresholds alone, are learned from such rows too and then told from the text. Without rows of
-    both labels every score is that of the label there is, or 0.5.
+    Languages, for the thresholds alone, are learned from such rows too and then told from the text. Thresholds are set
+    on every labelled row where ``learn`` holds, but for those trained on. Without rows of both labels every score is
+    that of the label there is, or 0.5.
     """
     prepare(docs.sparkSession)
-    languages = fit_languages(docs, learn(id_col), id_col, text_col, lang_col)
-    shared = docs.sparkSession.sparkContext.broadcast(languages)
-    spoken = lambda texts: shared.value.nearest([t.encode() for t in texts])[0].tolist()
-    y, words, lang, share = labelled_sample(docs, labels, label_col, learn, SAMPLE_ROWS, split_features, spoken, id_col, text_col)
+    y, words, ids, _ = labelled_sample(docs, labels, label_col, learn, SAMPLE_ROWS, split_features, id_col, text_col)
     if len(set(y.tolist())) < 2:
         model = train([], y)
         model.out[:] = 0
@@ -195,21 +196,58 @@ def fit_toxicity(
         return model
     check = np.arange(len(y)) % 4 == 3
     model = train([w for w, c in zip(words, check, strict=True) if not c], y[~check])
-    ends = np.cumsum([len(w) for w, c in zip(words, check, strict=True) if c])
-    held = [w for w, c in zip(words, check, strict=True) if c]
-    z = np.concatenate([model.pooled(w, np.array([len(w)])) @ model.out + model.base for w in held]) if len(ends) else np.zeros(0)
-    y, lang = y[check], lang[check]
-    # The sample has as many of either label; rows are weighted back to their shares among all labelled rows.
-    weight = np.where(y == 1, share / max(y.mean(), 1e-9), (1 - share) / max(1 - y.mean(), 1e-9))
-    shift = {-1: best_threshold(z, y, weight)} if len(set(y.tolist())) == 2 else {-1: 0.0}
-    for one in set(lang.tolist()) - {-1}:
-        at = lang == one
-        if min((y[at] == 1).sum(), (y[at] == 0).sum()) >= LEAST_ROWS:
-            shift[one] = best_threshold(z[at], y[at], weight[at])
-    model.languages, model.shift = languages, shift
+    model.languages = fit_languages(docs, learn(id_col), id_col, text_col, lang_col)
+    trained = frozenset(i for i, c in zip(ids, check, strict=True) if not c)
+    counts = count_logits(docs, known_labels(labels, label_col, learn, id_col), model, trained, learn, id_col, text_col)
+    model.shift = thresholds(counts)
     return model
 
 
+def count_logits(
+    docs: DataFrame, known: DataFrame, model: ToxicityModel, trained: frozenset[str], learn, id_col: str = "doc_id", text_col: str = "text"
+) -> np.ndarray:
+    """Rows of (language, label, trained on, step of the logit, ids) over all of ``known`` (id, y) that have a text.
+
+    Texts are scored where they lie; only id, language and step are shuffled. An id that repeats counts once.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast((model, trained))
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
+        model, trained = shared.value
+        texts = [(t or "").encode("utf-8", "replace") for t in batch.column("text").to_pylist()]
+        step = np.rint((np.clip(model.raw(texts), -REACH, REACH) + REACH) * STEPS).astype(np.int64)
+        own = np.array([i in trained for i in batch.column("id").cast(pa.string()).to_pylist()], dtype=np.int64)
+        lang = model.languages.nearest(texts)[0].astype(np.int64) + 1
+        return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(step << 32 | lang << 1 | own)], names=["id", "code"])
+
+    rows = docs.where(learn(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    once = map_arrow(rows, kernel, f"id {kind}, code long").groupBy("id").agg(F.min("code").alias("code"))
+    # Both sides grow with the table, so neither is one to broadcast.
+    met = once.join(known.hint("merge"), "id").groupBy("code", "y").agg(F.count("*").alias("n")).collect()
+    out = [((r["code"] >> 1 & 0x7FFFFFFF) - 1, r["y"], r["code"] & 1, (r["code"] >> 32) - REACH * STEPS, r["n"]) for r in met]
+    return np.array(sorted(out), dtype=np.int64).reshape(-1, 5)
+
+
+def thresholds(counts: np.ndarray) -> dict[int, float]:
+    """The best threshold of each language, and of all (-1), by the counts of rows not trained on.
+
+    Each label's rows weigh as much as all its rows, those trained on included: the sample has as many of either label.
+    """
+    out = {-1: 0.0}
+    for one in [-1, *sorted(set(counts[:, 0].tolist()) - {-1})]:
+        of = counts if one == -1 else counts[counts[:, 0] == one]
+        free = of[of[:, 2] == 0]
+        rows = [int(free[free[:, 1] == y, 4].sum()) for y in (0, 1)]
+        if min(rows) >= (1 if one == -1 else LEAST_ROWS):
+            weight = free[:, 4] * np.array([of[of[:, 1] == y, 4].sum() / rows[y] for y in (0, 1)])[free[:, 1]]
+            # Rows of one step stand or fall together.
+            steps, at = np.unique(free[:, 3], return_inverse=True)
+            whole = np.bincount(at, weight)
+            out[one] = best_threshold(steps / STEPS, np.bincount(at, weight * free[:, 1]) / whole, whole)
+    return out
+
+
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1; 0.5 is the threshold of the text's language) of every whole text.
 

@@ -130,6 +130,29 @@ def test_toxicity_of_a_block_equals_that_of_each_text():
     assert np.allclose(block, alone, atol=1e-5) and not block[1].any() and block[2].any()
 
 
+def test_thresholds_cover_all_labelled_rows(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "SAMPLE_ROWS", 48)
+    rng = np.random.default_rng(9)
+    spoken = {"aa": ["abba", "bacca", "cabba", "dabba"], "zz": ["zyxi", "yxzi", "xyzzy", "zizzy"]}
+    rows, marks = [], []
+    for i in range(900):
+        lang, bad = ("zz" if i % 12 < 2 else "aa"), i % 2
+        rows.append((i, " ".join([*rng.choice(spoken[lang], 20), *(["grrr"] if bad else [])]), lang))
+        marks.append((i, bad))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    labels = spark.createDataFrame(marks, "doc_id long, toxic int")
+    every = lambda _: F.lit(True)
+    model = toxicity.fit_toxicity(docs, labels, every)
+    assert model.shift.keys() == {-1, 0, 1}
+    counts = toxicity.count_logits(docs, labels.withColumnsRenamed({"doc_id": "id", "toxic": "y"}), model, frozenset(["0", "1"]), every)
+    assert counts[:, 4].sum() == 900 and counts[counts[:, 2] == 1, 4].sum() == 2
+    assert counts[counts[:, 0] == 1, 4].sum() == 150 and counts[counts[:, 1] == 1, 4].sum() == 450
+    # A language's threshold is that of its own rows: here label 1 begins at 3 in one, at -3 in the other.
+    own = [(g, int(z >= edge), 0, z * toxicity.STEPS, 20) for g, edge in ((0, 3), (1, -3)) for z in range(-6, 7)]
+    cut = toxicity.thresholds(np.array(own))
+    assert 2 < cut[0] < 3 and -4 < cut[1] < -3
+
+
 def test_calibration_helpers():
     rng = np.random.default_rng(1)
     p = rng.uniform(0.02, 0.98, 4000)
