@@ -8,12 +8,14 @@ become spans of kind ``owned``; base spans stay in either case and are counted a
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StructField, StructType
 
 from sweeplane.llm.common import join_heavy, map_arrow, materialize, prepare, texts_of
 
@@ -74,25 +76,26 @@ _SPAN = pa.list_(pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end",
 
 
 def candidates(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column) -> DataFrame:
-    """One small row a document: its spans with hashed values, and who holds it."""
+    """One small row a document: its spans with hashed values, who holds it, and the text's key if it has spans."""
     rows = docs.select(
         F.col(id_col).alias("id"), F.col(text_col).alias("text"), repo.cast("string").alias("repo"),
         owner.cast("string").alias("owner"),
     )
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        base, opaque = [], []
+        base, opaque, keys = [], [], []
         for text in texts_of(batch, "text"):
             found = base_spans(text)
             for spans, out in ((found, base), (opaque_spans(text, found), opaque)):
                 out.append([(s, k, e, xxhash.xxh64_intdigest(v.encode()) - (1 << 63)) for s, k, e, v in spans])
+            keys.append(text_key(text) if base[-1] or opaque[-1] else None)
         return pa.RecordBatch.from_arrays(
-            [batch.column("id"), batch.column("repo"), batch.column("owner"), pa.array(base, _SPAN), pa.array(opaque, _SPAN)],
-            names=["id", "repo", "owner", "base", "opaque"],
+            [batch.column("id"), batch.column("repo"), batch.column("owner"), pa.array(base, _SPAN), pa.array(opaque, _SPAN), pa.array(keys, pa.binary())],
+            names=["id", "repo", "owner", "base", "opaque", "text_key"],
         )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(rows, kernel, f"id {kind}, repo string, owner string, {_CANDIDATES}")
+    return map_arrow(rows, kernel, f"id {kind}, repo string, owner string, {_CANDIDATES}, text_key binary")
 
 
 def ownership(found: DataFrame) -> DataFrame:
@@ -112,7 +115,8 @@ def scan_secrets(
     docs: DataFrame, repo: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text",
     max_owners: int = MAX_OWNERS,
 ) -> DataFrame:
-    """Every whole text's secrets: id, n_assign, n_access, n_hex, n_owned, n_live, n_example, spans array<struct>.
+    """Every whole text's secrets: id, n_assign, n_access, n_hex, n_owned, n_live, n_example, spans array<struct>,
+    text_key (the text's hash; null where the text has no candidate).
 
     ``spans`` (start, kind, end, live) are by start, then kind; offsets are code points, the end exclusive. Null texts
     are empty. A null repository or owner counts as one value. Each row gives one row, repeated rows and null ids
@@ -133,13 +137,13 @@ def scan_secrets(
     )
     counted = [f"n_{name}" for name in KINDS] + ["n_live", "n_example"]
     bare = found.where((F.size("base") == 0) & (F.size("opaque") == 0))
-    some = found.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("uid", "id")
+    some = found.where((F.size("base") > 0) | (F.size("opaque") > 0)).select("uid", "id", "text_key")
     empty = F.from_json(F.lit("[]"), per_doc.schema["spans"].dataType)
-    none = bare.select(F.col("id").alias(id_col), *(F.lit(0).cast("long").alias(c) for c in counted), empty.alias("spans"))
+    none = bare.select(F.col("id").alias(id_col), *(F.lit(0).cast("long").alias(c) for c in counted), empty.alias("spans"), "text_key")
     with_some = some.join(per_doc, "uid", "left").select(
         F.col("id").alias(id_col),
         *(F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in counted),
-        F.coalesce("spans", empty).alias("spans"),
+        F.coalesce("spans", empty).alias("spans"), "text_key",
     )
     return none.unionByName(with_some)
 
@@ -152,22 +156,24 @@ def span_text(spans: str, keep: Column | None = None) -> Column:
     return F.concat_ws(",", F.transform(items, one))
 
 
-def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col: str = "text", mask: str = MASK) -> DataFrame:
+def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every span of ``scanned`` replaced by ``mask``; all columns and clean rows as they were.
 
     Rows without a candidate, by the scan of their own text, pass straight through; only the others are matched with
-    their spans by id and rewritten. Ids that repeat must repeat whole rows.
+    their spans and rewritten. They are matched by a hash of the text, on which alone a scan's spans depend: ids may
+    be null, repeat, or stand for several texts.
     """
-    spans = scanned.where(F.size("spans") > 0).select(F.col(id_col).alias("__id"), F.col("spans").alias("__spans"))
-    spans = spans.dropDuplicates(["__id"])
+    spans = scanned.where(F.size("spans") > 0).groupBy(F.col("text_key").alias("__key"))
+    spans = materialize(spans.agg(F.first("spans").alias("__spans"), F.count("*").alias("__n")), "spans")
     columns = docs.columns
     at = columns.index(text_col)
 
     def part(wanted: bool) -> DataFrame:
         def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            return batch.filter(pa.array([has_candidate(t) == wanted for t in texts_of(batch, text_col)]))
+            batch = batch.filter(pa.array([has_candidate(t) == wanted for t in texts_of(batch, text_col)]))
+            return batch.append_column("__key", pa.array(map(text_key, texts_of(batch, text_col)), pa.binary())) if wanted else batch
 
-        return map_arrow(docs, kernel, docs.schema)
+        return map_arrow(docs, kernel, StructType([*docs.schema.fields, StructField("__key", BinaryType())]) if wanted else docs.schema)
 
     def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, out = batch.column(text_col), []
@@ -178,11 +184,14 @@ def redact(docs: DataFrame, scanned: DataFrame, id_col: str = "doc_id", text_col
         arrays = [pa.array(out, texts.type) if i == at else batch.column(i) for i in range(len(columns))]
         return pa.RecordBatch.from_arrays(arrays, names=columns)
 
-    some = part(True)
-    joined = some.join(spans, some[id_col].eqNullSafe(spans["__id"]), "left").drop("__id")
+    joined = join_heavy(part(True), spans, "__key", "__n", "left").select(*columns, "__spans")
     return part(False).unionByName(map_arrow(joined, rewrite, docs.schema))
 
 
+def text_key(text: str) -> bytes:
+    return hashlib.sha256(text.encode("utf-8", "replace")).digest()
+
+
 def has_candidate(text: str) -> bool:
     """Whether the scan finds anything in the text."""
     found = base_spans(text)
