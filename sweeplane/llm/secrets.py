@@ -2,7 +2,7 @@
 
 Patterns give base spans. Opaque tokens outside them are candidates too weak to report on their form alone: for these,
 and for the base spans' values, hashes are counted over distinct repositories and owners of the whole corpus. A value
-that several owners share is a widely copied example; one that a single owner has looks live. Live opaque tokens
+that several owners or many repositories share is a widely copied example; one that a single owner has in few looks live. Live opaque tokens
 become spans of kind ``owned``; base spans stay in either case and are counted as live or example.
 """
 
@@ -31,8 +31,10 @@ HEX = re.compile(r"[0-9a-f]{16,}")  # runs of 16 and more are the runs of any le
 KINDS = ("assign", "access", "hex", "owned")
 #: Candidates by ownership: opaque tokens with letters and digits.
 OPAQUE = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
-#: A value of more owners than this is an example, not a live credential.
+#: A value of more owners, or in more repositories, than this is an example, not a live credential. A live one has one
+#: owner, who may use it in a few repositories; what is all over an owner's repositories is a placeholder.
 MAX_OWNERS = 1
+MAX_REPOS = 3
 
 #: What stands for a secret in a redacted text.
 MASK = "[SECRET]"
@@ -101,7 +103,7 @@ def candidates(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner:
 def ownership(found: DataFrame) -> DataFrame:
     """Per value hash: hits, distinct repositories and distinct owners over the whole corpus.
 
-    Counted in two steps of partial aggregation, so a value that is everywhere is a few rows a task.
+    A repository is its owner's: one name under two owners counts twice. Counted in two steps of partial aggregation, so a value that is everywhere is a few rows a task.
     """
     spans = found.select(F.explode(F.concat("base", "opaque")).alias("s"), "repo", "owner").select("s.hash", "repo", "owner")
     by_repo = spans.groupBy("hash", "owner", "repo").agg(F.count("*").alias("n"))
@@ -113,12 +115,12 @@ def ownership(found: DataFrame) -> DataFrame:
 
 def scan_secrets(
     docs: DataFrame, repo: Column, owner: Column, id_col: str = "doc_id", text_col: str = "text",
-    max_owners: int = MAX_OWNERS,
+    max_owners: int = MAX_OWNERS, max_repos: int = MAX_REPOS,
 ) -> DataFrame:
     """Every whole text's secrets: id, n_assign, n_access, n_hex, n_owned, n_live, n_example, spans array<struct>,
     text_key (the text's hash; null where the text has no candidate).
 
-    ``spans`` (start, kind, end, live) are by start, then kind; offsets are code points, the end exclusive. Null texts
+    ``spans`` (start, kind, end, live, repos, owners) are by start, then kind; offsets are code points, the end exclusive. Null texts
     are empty. A null repository or owner counts as one value. Each row gives one row, repeated rows and null ids
     included. Other columns are not looked at.
     """
@@ -127,10 +129,10 @@ def scan_secrets(
     found = materialize(found, "candidates")
     counts = ownership(found)
     hits = found.select("uid", F.explode(F.concat("base", "opaque")).alias("s")).select("uid", "s.*")
-    judged = join_heavy(hits, materialize(counts.select("hash", "hits", "owners"), "ownership"), "hash", "hits")
-    judged = judged.withColumn("live", F.col("owners") <= max_owners).where("kind < 3 OR live")
+    judged = join_heavy(hits, materialize(counts.select("hash", "hits", "repos", "owners"), "ownership"), "hash", "hits")
+    judged = judged.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where("kind < 3 OR live")
     per_doc = judged.groupBy("uid").agg(
-        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live"))).alias("spans"),
+        F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "repos", "owners"))).alias("spans"),
         *(F.count_if(F.col("kind") == k).alias(f"n_{name}") for k, name in enumerate(KINDS)),
         F.count_if("live").alias("n_live"),
         F.count_if(~F.col("live")).alias("n_example"),
@@ -210,9 +212,10 @@ def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 def op1(docs: DataFrame) -> DataFrame:
-    """The contract's columns; repository = source and language, owner = source."""
+    """The contract's columns; repository = source and language, owner = source. span_counts: repositories:owners of each span."""
     out = scan_secrets(docs, F.concat_ws("/", F.col("source"), F.col("lang")), F.col("source"))
     return out.select(
         "doc_id", "n_assign", "n_access", "n_hex", F.sha2(span_text("spans", F.lit(True)), 256).alias("base_sha256"),
         span_text("spans").alias("spans"), "n_owned", "n_live", "n_example",
+        F.concat_ws(",", F.transform("spans", lambda s: F.concat_ws(":", s["repos"].cast("string"), s["owners"].cast("string")))).alias("span_counts"),
     )

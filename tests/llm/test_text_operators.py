@@ -41,6 +41,15 @@ def test_ownership_separates_examples_from_live_values(spark):
     assert (got[5].n_assign, got[5].n_live, got[5].n_example) == (1, 0, 1)
 
 
+def test_values_all_over_one_owner_are_examples(spark):
+    live, copied = "Zx9Qw8Er7Ty6Ui5Op4As3Df2", "EXAMPLE0KEY1EXAMPLE2KEY3"
+    rows = [(i, f"use {v}", lang) for i, (v, lang) in enumerate([*((copied, f"l{n}") for n in range(4)), *((live, f"l{n}") for n in range(3))])]
+    table = spark.createDataFrame([*rows, (7, f"token = {copied}", "l0")], "doc_id long, text string, lang string").withColumn("source", F.lit("hot"))
+    got = {r.doc_id: r for r in secrets.op1(table).collect()}
+    assert [got[i].n_owned for i in range(7)] == [0] * 4 + [1] * 3
+    assert (got[7].n_live, got[7].n_example, got[7].span_counts, got[4].span_counts) == (0, 1, "4:1", "3:1")
+
+
 def test_redaction_masks_spans_and_keeps_all_rows(odd_docs):
     found = secrets.scan_secrets(odd_docs, F.col("source"), F.col("source"))
     out = secrets.redact(odd_docs, found)
