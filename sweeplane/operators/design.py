@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 import math
+import warnings
 from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from itertools import combinations, product
@@ -12,6 +13,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweeplane.functions.registry import lookup, register
 from sweeplane.functions.tables import hashed_rank, normal, uniform
 
 
@@ -166,21 +168,8 @@ class DesignSpace:
 GENERATORS: dict[str, Callable[..., DataFrame]] = {}
 
 
-def register(*aliases: str):
-    def add(f):
-        for a in aliases:
-            if GENERATORS.setdefault(a, f) is not f:
-                raise KeyError(f"{a!r} is taken")
-        return f
-
-    return add
-
-
 def generator(alias: str) -> Callable[..., DataFrame]:
-    try:
-        return GENERATORS[alias.lower()]
-    except KeyError:
-        raise KeyError(f"unknown sampler {alias!r}; known: {sorted(GENERATORS)}") from None
+    return lookup(GENERATORS, alias)
 
 
 def _range(spark: SparkSession, n: int, start: int) -> DataFrame:
@@ -207,7 +196,7 @@ def radical_inverse(index: Column, base: int) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(digits)), state, step, lambda s: s["sum"])
 
 
-@register("halton", "qmc_halton")
+@register(GENERATORS, "halton", "qmc_halton")
 def halton(spark: SparkSession, n: int, d: int, start: int = 0, scramble: bool = False, seed: int = 0) -> DataFrame:
     """Halton points; scrambling rotates each dimension by a seeded amount modulo 1."""
     shift = lambda c, x: F.pmod(x + uniform(seed, F.lit(c)), F.lit(1.0)) if scramble else x
@@ -252,7 +241,7 @@ def sobol_directions(d: int, bits: int = 52, seed: int = 1) -> list[list[int]]:
     return rows
 
 
-@register("sobol", "qmc_sobol")
+@register(GENERATORS, "sobol", "qmc_sobol")
 def sobol(spark: SparkSession, n: int, d: int, start: int = 0, scramble: bool = True, seed: int = 0) -> DataFrame:
     """A digital net in base 2 in Gray-code order; scrambling is a seeded digital shift."""
     bits = 52
@@ -267,7 +256,7 @@ def sobol(spark: SparkSession, n: int, d: int, start: int = 0, scramble: bool =
     return _range(spark, n, start).select("point_id", F.array(*columns).alias("u"))
 
 
-@register("lhs", "latin")
+@register(GENERATORS, "lhs", "latin")
 def lhs(spark: SparkSession, n: int, d: int, start: int = 0, seed: int = 0) -> DataFrame:
     """One point in each of n strata of every dimension; ``start`` picks another design."""
     points = _range(spark, n, start)
@@ -276,22 +265,42 @@ def lhs(spark: SparkSession, n: int, d: int, start: int = 0, seed: int = 0) -> D
     return points.select("point_id", F.array(*((F.col(f"__{c}") + uniform(seed, F.lit(c), "point_id")) / n for c in range(d))).alias("u"))
 
 
-@register("lhs_maximin")
+#: Points whose distances a maximin design compares on the driver.
+MAXIMIN_POINTS = 16_384
+
+
+@register(GENERATORS, "lhs_maximin")
 def lhs_maximin(spark: SparkSession, n: int, d: int, start: int = 0, seed: int = 0, iterations: int = 10) -> DataFrame:
-    """Of several LHS designs the one whose closest two points are farthest apart; plain LHS beyond 10 dimensions, below
-    2d points or above 4096 points."""
-    if d > 10 or n < 2 * d or n > 4096:
+    """Of several LHS designs the one whose closest two points are farthest apart.
+
+    Beyond 10 dimensions or below 2d points it is plain LHS, with a warning; above MAXIMIN_POINTS points it raises.
+    """
+    if n > MAXIMIN_POINTS:
+        raise ValueError(f"a maximin design has at most {MAXIMIN_POINTS} points; take plain LHS")
+    if d > 10 or n < 2 * d:
+        warnings.warn("maximin means little beyond 10 dimensions or below 2d points: plain LHS", RuntimeWarning, stacklevel=2)
         return lhs(spark, n, d, start, seed)
     best, chosen = -1.0, 0
     for t in range(iterations):
-        u = np.array([r["u"] for r in lhs(spark, n, d, start, seed + t).select("u").collect()])
-        near = min(float(np.sort(((u[i + 1 :] - u[i]) ** 2).sum(axis=1))[0]) for i in range(n - 1))
+        near = least_distance(np.array([r["u"] for r in lhs(spark, n, d, start, seed + t).select("u").collect()]))
         if near > best:
             best, chosen = near, t
     return lhs(spark, n, d, start, seed + chosen)
 
 
-@register("normal", "gauss")
+def least_distance(u: np.ndarray) -> float:
+    """The distance of the closest two rows: each with those next to it along the first dimension, as far as they can be it."""
+    u = u[np.argsort(u[:, 0])]
+    best = float("inf")
+    for step in range(1, len(u)):
+        ahead = u[step:] - u[:-step]
+        best = min(best, float((ahead**2).sum(axis=1).min()))
+        if float(ahead[:, 0].min()) ** 2 >= best:
+            break
+    return best**0.5
+
+
+@register(GENERATORS, "normal", "gauss")
 def gaussian(spark: SparkSession, n: int, d: int, start: int = 0, seed: int = 0, k: float = 3.0) -> DataFrame:
     """Normal around the centre with bounds k deviations away, clipped to them."""
     if k <= 0:
@@ -300,12 +309,17 @@ def gaussian(spark: SparkSession, n: int, d: int, start: int = 0, seed: int = 0,
     return _range(spark, n, start).select("point_id", F.array(*(draw(c) for c in range(d))).alias("u"))
 
 
-@register("factorial_full", "ff2k")
-def factorial_full(spark: SparkSession, n: int, d: int, start: int = 0) -> DataFrame:
-    """All 2^d corners (n is not looked at); the first variable is the most significant bit."""
+@register(GENERATORS, "factorial_full", "ff2k")
+def factorial_full(spark: SparkSession, n: int, d: int, start: int = 0, shuffle: bool = False, seed: int = 0) -> DataFrame:
+    """All 2^d corners (n is not looked at); the first variable is the most significant bit. ``shuffle``: in a seeded order."""
     if d > 10:
         raise ValueError("more than 10 variables")
-    return _range(spark, 1 << d, 0).select("point_id", F.array(*(F.getbit("point_id", F.lit(d - 1 - c)).cast("double") for c in range(d))).alias("u"))
+    corners = _range(spark, 1 << d, 0)
+    if shuffle:
+        ranked = hashed_rank(corners, seed, "point_id", "__rank")
+        at = F.col("point_id")
+        return ranked.select(F.col("__rank").cast("long").alias("point_id"), F.array(*(F.getbit(at, F.lit(d - 1 - c)).cast("double") for c in range(d))).alias("u"))
+    return corners.select("point_id", F.array(*(F.getbit("point_id", F.lit(d - 1 - c)).cast("double") for c in range(d))).alias("u"))
 
 
 def _small(spark: SparkSession, rows: list) -> DataFrame:
@@ -313,7 +327,7 @@ def _small(spark: SparkSession, rows: list) -> DataFrame:
     return spark.createDataFrame([(n, [(float(x) + 1) / 2 for x in r]) for n, r in enumerate(rows)], "point_id long, u array<double>")
 
 
-@register("factorial_frac", "ff_fractional")
+@register(GENERATORS, "factorial_frac", "ff_fractional")
 def factorial_fractional(spark: SparkSession, n: int, d: int, start: int = 0, gen: str = "") -> DataFrame:
     """By a generator such as ``a b ab``: letters are base factors, words their products, a minus turns the sign."""
     words = gen.split()
@@ -327,7 +341,7 @@ def factorial_fractional(spark: SparkSession, n: int, d: int, start: int = 0, ge
     return _small(spark, rows)
 
 
-@register("pb", "plackett_burman")
+@register(GENERATORS, "pb", "plackett_burman")
 def plackett_burman(spark: SparkSession, n: int, d: int, start: int = 0) -> DataFrame:
     """Runs are the smallest power of two above d, or a multiple of four one above a prime (a cyclic design)."""
     q = 3
@@ -343,7 +357,7 @@ def plackett_burman(spark: SparkSession, n: int, d: int, start: int = 0) -> Data
     return _small(spark, rows)
 
 
-@register("ccd", "central_comp")
+@register(GENERATORS, "ccd", "central_comp")
 def central_composite(spark: SparkSession, n: int, d: int, start: int = 0, center: tuple[int, int] = (4, 4)) -> DataFrame:
     """Corners, star points at the orthogonal distance (beyond the bounds), and centre points of either block."""
     corners = [list(r) for r in product((-1, 1), repeat=d)]
@@ -352,7 +366,7 @@ def central_composite(spark: SparkSession, n: int, d: int, start: int = 0, cente
     return _small(spark, corners + [[0] * d] * center[0] + stars + [[0] * d] * center[1])
 
 
-@register("box_behnken")
+@register(GENERATORS, "box_behnken")
 def box_behnken(spark: SparkSession, n: int, d: int, start: int = 0, center: int = 3) -> DataFrame:
     """Corners of each pair of variables with the others at their centre."""
     if d < 3:

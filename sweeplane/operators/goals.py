@@ -8,31 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplane.functions.complexcols import NAN, axial_ratio, db, mag
+from sweeplane.functions.registry import register
 
 SELECTORS: dict[str, type] = {}
 AGGREGATORS: dict[str, type] = {}
 COMPARATORS: dict[str, type] = {}
 
 
-def register(table: dict[str, type], *aliases: str):
-    """Add a class to a registry under its aliases; one alias names one class."""
-
-    def add(cls: type) -> type:
-        for a in aliases:
-            if table.setdefault(a.lower(), cls) is not cls:
-                raise KeyError(f"{a!r} is taken")
-        return cls
-
-    return add
-
-
-def lookup(table: dict[str, type], alias: str) -> type:
-    try:
-        return table[alias.lower()]
-    except KeyError:
-        raise KeyError(f"unknown alias {alias!r}; known: {sorted(table)}") from None
-
-
 @dataclass(frozen=True)
 class Selector:
     """Values along the sweep within a band in GHz, both ends included."""
@@ -155,6 +137,21 @@ class SoftLE(LE):
         return F.when(self.ok(v), 0.0).otherwise(F.pow((v - self.limit) / self.margin, F.lit(float(self.power))))
 
 
+@register(COMPARATORS, "window")
+@dataclass(frozen=True)
+class Window(LE):
+    """Extension: from the limit to ``upper``, both included."""
+
+    upper: float = float("inf")
+
+    def __post_init__(self) -> None:
+        if self.upper < self.limit:
+            raise ValueError("the window must not be empty")
+
+    def ok(self, v: Column) -> Column:
+        return F.coalesce(v.between(self.limit, self.upper) & ~F.isnan(v), F.lit(False))
+
+
 @dataclass(frozen=True)
 class Criterion:
     selector: SMag | AxialRatio

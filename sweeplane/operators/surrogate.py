@@ -12,23 +12,14 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from sweeplane.functions.registry import lookup, register
 from sweeplane.operators.network import to_points
 
 SURROGATES: dict[str, type] = {}
 
 
-def register(name: str):
-    def add(cls: type) -> type:
-        SURROGATES[name] = cls
-        return cls
-
-    return add
-
-
 def get_surrogate(name: str) -> type:
-    if name not in SURROGATES:
-        raise KeyError(f"unknown surrogate {name!r}")
-    return SURROGATES[name]
+    return lookup(SURROGATES, name)
 
 
 class Surrogate(Protocol):
@@ -36,7 +27,7 @@ class Surrogate(Protocol):
         """point_id and variables in; points of networks (sample_id = point_id) out."""
 
 
-@register("linear")
+@register(SURROGATES, "linear")
 @dataclass(frozen=True)
 class LinearSurrogate:
     """Each element of the matrix is an affine function of the variables, at each frequency.
@@ -69,7 +60,7 @@ class LinearSurrogate:
         return cls(tuple(d["variables"]), rows)
 
 
-@register("kernel")
+@register(SURROGATES, "kernel")
 @dataclass(frozen=True)
 class KernelSurrogate:
     """Any vectorised forward function: an (n, d) array to complex (n, F, P, P), applied to Arrow batches."""
@@ -94,7 +85,7 @@ class KernelSurrogate:
         return to_points(points.select("point_id", *names).mapInPandas(run, schema))
 
 
-@register("inverse_linear")
+@register(SURROGATES, "inverse_linear")
 @dataclass(frozen=True)
 class InverseLinear:
     """Least-squares map from encoded responses back to parameters; fitted from sums, so no row leaves the executors."""

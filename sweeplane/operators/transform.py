@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sweeplane.functions.complexcols import TWO_PI, deg, div, mul, scale_of, turn
+from sweeplane.functions.complexcols import TWO_PI, deg, mul, scale_of, turn
 from sweeplane.functions.tables import normal, uniform
+from sweeplane.operators.network import to_packed, to_points
 
 Amount = float | tuple[float, float] | Callable[[], Column]
 
@@ -78,87 +79,79 @@ def dereciprocal(points: DataFrame, sigma_db: float, seed: int = 0) -> DataFrame
 
 
 def z0_shift(points: DataFrame, delta_ohm: Amount, z0: float = 50.0, seed: int = 0) -> DataFrame:
-    """Two-port renormalisation from z0 to z0 + delta at every port: (S - rI)(I - rS)^-1, r = delta / (2 z0 + delta)."""
-    d = amount(delta_ohm, seed, "delta")
-    r = d / (2 * z0 + d)
-    el = lambda i, j: F.max(F.when((F.col("i") == i) & (F.col("j") == j), F.struct("re", "im"))).alias(f"s{i}{j}")
-    wide = points.groupBy("sample_id", "k", "f_hz").agg(*(el(i, j) for i in (0, 1) for j in (0, 1))).withColumn("r", r)
-    s = {(i, j): (F.col(f"s{i}{j}.re"), F.col(f"s{i}{j}.im")) for i in (0, 1) for j in (0, 1)}
-    r = F.col("r")
-    minus = lambda a, b: (a[0] - b[0], a[1] - b[1])
-    times = lambda a, x: (a[0] * x, a[1] * x)
-    cross = minus(mul(s[0, 0], s[1, 1]), mul(s[0, 1], s[1, 0]))
-    trace = (s[0, 0][0] + s[1, 1][0], s[0, 0][1] + s[1, 1][1])
-    under = (1 - r * trace[0] + r * r * cross[0], -r * trace[1] + r * r * cross[1])
-
-    def element(i: int, j: int) -> tuple[Column, Column]:
-        if i != j:
-            return div(times(s[i, j], 1 - r * r), under)
-        other = s[1 - i, 1 - i]
-        over = (s[i, i][0] - r * (1 + cross[0]) + r * r * other[0], s[i, i][1] - r * cross[1] + r * r * other[1])
-        return div(over, under)
-
-    rows = [F.struct(F.lit(i).cast("long").alias("i"), F.lit(j).cast("long").alias("j"), *(c.alias(n) for c, n in zip(element(i, j), ("re", "im"), strict=True))) for i in (0, 1) for j in (0, 1)]
-    return wide.select("sample_id", "k", "f_hz", F.explode(F.array(*rows)).alias("e")).select("sample_id", "k", "f_hz", "e.*")
-
-
-def renormalize(networks: DataFrame, delta_ohm: float) -> DataFrame:
-    """The same for packed networks of any port count and any real z0 equal at all ports, in Arrow batches."""
+    """Renormalisation from z0 to z0 + delta at every port, for any port count; each sample's sweep is one row on the way."""
+    sweeps = to_packed(points).withColumn("z0_re", F.array_repeat(F.lit(float(z0)), F.col("n_ports")))
+    return to_points(renormalize(sweeps, delta_ohm, seed))
+
+
+def renormalize(networks: DataFrame, delta_ohm: Amount, seed: int = 0) -> DataFrame:
+    """Packed networks with z0 + delta for z0: (S - rI)(I - rS)^-1, r = delta / (2 z0 + delta).
+
+    Any port count and any real z0 equal at all ports (50 where none is given). A batch's matrices of one port count are
+    solved at once; nothing is shuffled.
+    """
 
     def run(batches):
         for pdf in batches:
-            out_re, out_im = [], []
-            for p, z0, re, im in zip(pdf["n_ports"], pdf["z0_re"], pdf["s_re"], pdf["s_im"], strict=True):
-                r = delta_ohm / (2 * (z0[0] if z0 is not None and len(z0) else 50.0) + delta_ohm)
-                s = (np.asarray(re) + 1j * np.asarray(im)).reshape(-1, p, p)
-                eye = np.eye(p)
-                new = np.linalg.solve((eye - r * s).transpose(0, 2, 1), (s - r * eye).transpose(0, 2, 1)).transpose(0, 2, 1)
-                out_re.append(new.real.ravel())
-                out_im.append(new.imag.ravel())
-            yield pdf.assign(s_re=out_re, s_im=out_im, z0_re=[None if z is None else [x + delta_ohm for x in z] for z in pdf["z0_re"]])
+            ports, re, im = pdf["n_ports"].to_numpy(), pdf["s_re"].tolist(), pdf["s_im"].tolist()
+            old = np.array([z[0] if z is not None and len(z) else 50.0 for z in pdf["z0_re"]])
+            delta = pdf["__delta"].to_numpy(dtype=float)
+            r = delta / (2 * old + delta)
+            for p in np.unique(ports):
+                at = np.flatnonzero(ports == p)
+                sizes = [len(re[n]) // (p * p) for n in at]
+                s = (np.concatenate([re[n] for n in at]) + 1j * np.concatenate([im[n] for n in at])).reshape(-1, p, p)
+                k, eye = np.repeat(r[at], sizes)[:, None, None], np.eye(p)
+                new = np.linalg.solve((eye - k * s).transpose(0, 2, 1), (s - k * eye).transpose(0, 2, 1)).transpose(0, 2, 1)
+                for n, one in zip(at, np.split(new, np.cumsum(sizes)[:-1]), strict=True):
+                    re[n], im[n] = one.real.ravel(), one.imag.ravel()
+            shifted = [None if z is None else [x + d for x in z] for z, d in zip(pdf["z0_re"], delta, strict=True)]
+            yield pdf.drop(columns="__delta").assign(s_re=re, s_im=im, z0_re=shifted)
 
-    return networks.mapInPandas(run, networks.schema)
+    return networks.withColumn("__delta", amount(delta_ohm, seed, "delta")).mapInPandas(run, networks.schema)
 
 
-def resample_uniform(points: DataFrame, n: int) -> DataFrame:
-    """``n`` evenly spaced frequencies over each sample's span; real and imaginary parts are interpolated linearly.
-
-    Sources are taken as uniform, so a target's bracket is found by division and met by an equi-join. For grids
-    that are not uniform use ``resample_packed``.
-    """
-    if n < 2:
-        raise ValueError("at least two points")
-    spans = points.groupBy("sample_id").agg(F.min("f_hz").alias("f0"), F.max("f_hz").alias("f1"), F.max("k").alias("last"))
-    target = spans.withColumn("kk", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    spot = F.col("kk") * F.col("last") / (n - 1)
-    at = F.least(F.floor(spot), F.col("last") - 1)
-    target = target.select("sample_id", F.col("kk").cast("long").alias("kk"), (F.col("f0") + F.col("kk") * (F.col("f1") - F.col("f0")) / (n - 1)).alias("ft"), at.alias("k"), (spot - at).alias("w"))
-    ahead = Window.partitionBy("sample_id", "i", "j").orderBy("k")
-    source = points.withColumns({"re1": F.lead("re").over(ahead), "im1": F.lead("im").over(ahead)})
-    met = target.join(source.drop("f_hz"), ["sample_id", "k"])
-    blend = lambda c: F.col(c) + F.col("w") * (F.col(f"{c}1") - F.col(c))
-    return met.select("sample_id", F.col("kk").alias("k"), F.col("ft").alias("f_hz"), "i", "j", blend("re").alias("re"), blend("im").alias("im"))
+#: How far a target frequency may lie outside a sweep, in Hz.
+OUTSIDE_HZ = 1e-3
 
 
 def resample_packed(networks: DataFrame, grid: int | list[float], unit: str = "Hz") -> DataFrame:
-    """Linear interpolation of packed networks on any grid, without a shuffle; a target outside the span raises."""
-    fixed = None if isinstance(grid, int) else np.asarray(grid, dtype=float) * scale_of(unit)
+    """Packed networks on another grid: real and imaginary parts are interpolated linearly, within the row.
 
-    def run(batches):
-        for pdf in batches:
-            fs, res, ims = [], [], []
-            for p, f, re, im in zip(pdf["n_ports"], pdf["f_hz"], pdf["s_re"], pdf["s_im"], strict=True):
-                f = np.asarray(f, dtype=float)
-                to = np.linspace(f[0], f[-1], grid) if fixed is None else fixed
-                if to.min() < f[0] - 1e-3 or to.max() > f[-1] + 1e-3:
-                    raise ValueError("a target frequency lies outside the sweep")
-                both = [np.stack([np.interp(to, f, c) for c in np.asarray(x).reshape(len(f), -1).T], axis=1).ravel() for x in (re, im)]
-                fs.append(to)
-                res.append(both[0])
-                ims.append(both[1])
-            yield pdf.assign(f_hz=fs, s_re=res, s_im=ims)
-
-    return networks.mapInPandas(run, networks.schema)
+    A number stands for so many evenly spaced frequencies over a sample's own span. Source grids ascend, and need not be
+    uniform; a target outside the span raises.
+    """
+    f, last = F.col("f_hz"), F.size("f_hz") - 1
+    if isinstance(grid, int):
+        if grid < 2:
+            raise ValueError("at least two points")
+        first, span = F.get(f, F.lit(0)), F.get(f, last) - F.get(f, F.lit(0))
+        target = F.transform(F.sequence(F.lit(0), F.lit(grid - 1)), lambda k: first + k * span / (grid - 1))
+    else:
+        target = F.array(*(F.lit(float(x) * scale_of(unit)) for x in grid))
+    # Each target's lower neighbour, then its weight, once for all port pairs.
+    lower = F.transform("__to", lambda t: F.struct(t.alias("t"), (F.greatest(F.least(F.size(F.filter(f, lambda x: x <= t)), last), F.lit(1)) - 1).alias("k")))
+    share = lambda p: F.try_divide(p["t"] - F.get(f, p["k"]), F.get(f, p["k"] + 1) - F.get(f, p["k"]))
+    weight = lambda p: F.coalesce(F.least(F.greatest(share(p), F.lit(0.0)), F.lit(1.0)), F.lit(0.0))
+    rows = networks.withColumn("__to", target).withColumn("__at", lower)
+    rows = rows.withColumn("__at", F.transform("__at", lambda p: F.struct(p["k"].alias("k"), weight(p).alias("w"))))
+    pairs = F.col("n_ports") * F.col("n_ports")
+
+    def along(name: str) -> Column:
+        def value(p: Column, e: Column) -> Column:
+            a = F.get(name, p["k"] * pairs + e)
+            return a + p["w"] * (F.coalesce(F.get(name, (p["k"] + 1) * pairs + e), a) - a)
+
+        return F.flatten(F.transform("__at", lambda p: F.transform(F.sequence(F.lit(0), pairs - 1), lambda e: value(p, e))))
+
+    outside = (F.array_min("__to") < F.get(f, F.lit(0)) - OUTSIDE_HZ) | (F.array_max("__to") > F.get(f, last) + OUTSIDE_HZ)
+    grid_of = F.when(outside, F.raise_error(F.lit("a target frequency lies outside the sweep"))).otherwise(F.col("__to"))
+    return rows.withColumns({"s_re": along("s_re"), "s_im": along("s_im"), "f_hz": grid_of}).select(networks.columns)
+
+
+def resample_uniform(points: DataFrame, n: int) -> DataFrame:
+    """``n`` evenly spaced frequencies over each sample's span, on points; each sample's sweep is one row on the way."""
+    return to_points(resample_packed(to_packed(points), n))
 
 
 def unwrapped_deg(points: DataFrame, name: str = "deg") -> DataFrame:

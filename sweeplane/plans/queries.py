@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweeplane.functions import complexcols, params
 from sweeplane.operators import analyze, dataset, design, goals, network, scale, search, transform
 from sweeplane.operators.codec import Backup, Codec
+from sweeplane.plans import designs, stores  # noqa: F401  (they register their queries)
+from sweeplane.plans.catalog import QUERIES, SQL, query
 from sweeplane.plans.views import SQL_DB, SQL_PARTS, packed, parts, points, r6, rounded, sql_points, table
 from sweeplane.streaming.running_yield import packed_verdicts
 
-Query = Callable[[SparkSession, str], DataFrame]
-QUERIES: dict[str, Query] = {}
-SQL: dict[str, str] = {}
-
 S2, S4 = sql_points(2), sql_points(4)
 KEY = ("sample_id", "k", "i", "j")
 SPEC = goals.Specification((
@@ -28,16 +24,6 @@ SPEC = goals.Specification((
 WORST = goals.Specification((goals.Criterion(goals.SMag((1.5, 3.5), 1, 1), goals.MaxAgg(), goals.LE(-12.0)),))
 
 
-def query(sql: str | None = None, name: str | None = None):
-    def add(f: Query) -> Query:
-        QUERIES[name or f.__name__] = f
-        if sql:
-            SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
 def _sql_in(m: int, n: int, lo: float | None = None, hi: float | None = None) -> str:
     band = f" AND f_hz / 1e9 BETWEEN {lo} AND {hi}" if lo is not None else ""
     return f"i = {m - 1} AND j = {n - 1}{band}"
@@ -149,19 +135,20 @@ _points_query(
     "composed_transforms", network.compose(lambda p: network.band_mask(p, (1.5, 4.0)), lambda p: transform.phase_angle(p, 30.0), lambda p: network.port(p, 1, 2)),
     f"WITH {S2} {_ROW}{_rotated('radians(30)')} FROM s WHERE f_hz / 1e9 BETWEEN 1.5 AND 4.0 AND i = 0 AND j = 1",
 )
-_points_query("resample_uniform", lambda p: transform.resample_uniform(p, 13), f"""WITH {S2}, t AS (SELECT sample_id, kk, kk * 7 / 12.0 AS x FROM (SELECT DISTINCT sample_id FROM s), range(13) t(kk)),
+@query(f"""WITH {S2}, t AS (SELECT sample_id, kk, kk * 7 / 12.0 AS x FROM (SELECT DISTINCT sample_id FROM s), range(13) t(kk)),
 b AS (SELECT sample_id, kk, least(CAST(floor(x) AS BIGINT), 6) AS k0, x - least(floor(x), 6) AS w FROM t)
 SELECT b.sample_id, kk AS k, a.i, a.j, round(1e9 + kk * 3.5e9 / 12, 3) + 0.0 AS f_hz, round(a.re + w * (c.re - a.re), 6) + 0.0 AS re, round(a.im + w * (c.im - a.im), 6) + 0.0 AS im
 FROM b JOIN s a ON a.sample_id = b.sample_id AND a.k = k0 JOIN s c ON c.sample_id = b.sample_id AND c.k = k0 + 1 AND c.i = a.i AND c.j = a.j""")
-QUERIES["resample_uniform"] = lambda spark, d: rounded(
-    transform.resample_uniform(points(spark, d), 13).select(*KEY, (F.round("f_hz", 3) + 0.0).alias("f_hz"), "re", "im"), "re", "im"
-)
+def resample_uniform(spark, d):
+    out = network.to_points(transform.resample_packed(packed(spark, d), 13)).withColumn("f_hz", F.round("f_hz", 3) + 0.0)
+    return rounded(out.select(*KEY, "f_hz", "re", "im"), "re", "im")
 
 
 @query(f"""WITH {S2}, g AS (SELECT * FROM (VALUES (0, 1.1e9), (1, 2.0e9), (2, 3.3e9)) t(kk, ft))
 SELECT a.sample_id, CAST(kk AS BIGINT) AS k, a.i, a.j, round(a.re + (ft - a.f_hz) / 5e8 * (c.re - a.re), 6) + 0.0 AS re, round(a.im + (ft - a.f_hz) / 5e8 * (c.im - a.im), 6) + 0.0 AS im
 FROM g JOIN s a ON ft >= a.f_hz AND ft < a.f_hz + 5e8 JOIN s c ON c.sample_id = a.sample_id AND c.k = a.k + 1 AND c.i = a.i AND c.j = a.j""")
 def resample_grid(spark, d):
+    """A grid of its own; the sweeps stay within their rows."""
     out = network.to_points(transform.resample_packed(packed(spark, d), [1.1, 2.0, 3.3], "GHz"))
     return rounded(out.select(*KEY, "re", "im"), "re", "im")
 
@@ -193,7 +180,7 @@ def augment_noise(spark, d):
 
 # -- aggregators and specifications -------------------------------------------------------------------------------
 
-for _name, _agg, _fn in (("max", goals.MaxAgg(), "max(v)"), ("min", goals.MinAgg(), "min(v)"), ("mean", goals.MeanAgg(), "avg(v)"), ("ripple", goals.RippleAgg(), "max(v) - min(v)")):
+for _name, _agg, _fn in (("max", goals.MaxAgg(), "max(v)"), ("min", goals.MinAgg(), "min(v)"), ("mean", goals.MeanAgg(), "avg(v)"), ("ripple", goals.RippleAgg(), "max(v) - min(v)"), ("std", goals.StdAgg(), "stddev_pop(v)")):
     _one = goals.Specification((goals.Criterion(goals.SMag((1.2, 4.2), 2, 1), _agg, goals.LE(0.0), name="v"),))
     query(f"WITH {S2}, v AS (SELECT sample_id, {SQL_DB} AS v FROM s WHERE {_sql_in(2, 1, 1.2, 4.2)}) SELECT sample_id, round({_fn}, 6) + 0.0 AS v FROM v GROUP BY sample_id", f"agg_{_name}")(
         lambda spark, d, one=_one: rounded(one.values(points(spark, d)), "v")

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import os
 import re
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,19 +18,24 @@ from sweeplane.functions.tables import ordered_rank
 from sweeplane.operators.network import NETWORK_SCHEMA
 
 GLOB = "*.[sS][0-9]*[pP]"
+#: First lines of a file in which parameters may stand outside of comments, up to its option line.
+HEADER_LINES = 100
 _PORTS = re.compile(r"\.s(\d+)p$", re.IGNORECASE)
 
 
 def parse_touchstone(text: str, n_ports: int) -> dict:
     """One file's network: grid in Hz, matrices row-major, parameters from its comments."""
     unit, kind, form, z0 = "GHz", "S", "MA", 50.0
-    comments, numbers = [], []
-    for line in text.splitlines():
+    comments, numbers, header, options = [], [], None, False
+    for at, line in enumerate(text.splitlines()):
         data, mark, comment = line.partition("!")
+        if not (mark or options or header) and at < HEADER_LINES and "parameters" in line.lower() and (header := re.search(PATTERN, line)):
+            continue  # parameters in a header that is no comment
         if mark:
             comments.append(comment.strip())
         data = data.strip()
         if data.startswith("#"):
+            options = True
             words = data[1:].split()
             upper = [w.upper() for w in words]
             unit = next((w for w in words if w.lower() in UNITS), unit)
@@ -50,7 +56,7 @@ def parse_touchstone(text: str, n_ports: int) -> dict:
     s = a + 1j * b if form == "RI" else size * np.exp(1j * np.radians(b))
     if n_ports == 2:
         s = s[:, [0, 2, 1, 3]]  # two-port files go down the columns
-    found = re.search(PATTERN, " ".join(comments))
+    found = re.search(PATTERN, " ".join(comments)) or header
     params, texts = split_params(found[1]) if found else ({}, {})
     return {
         "n_ports": n_ports, "unit": next(u for u in ("Hz", "kHz", "MHz", "GHz") if u.lower() == unit.lower()), "s_def": "power",
@@ -109,24 +115,26 @@ def format_touchstone(row: dict, form: str = "RI") -> str:
 
 
 def write_touchstone(networks: DataFrame, folder: str | None, form: str = "RI") -> DataFrame:
-    """Write sample_<id>.sNp files below a folder that all executors can reach; returns sample_id, path.
+    """Write sample_<id>.sNp files below a folder or URI that all executors can reach; returns sample_id, path.
 
-    A file is written under another name and then renamed, so a task that runs again leaves one whole file.
+    A file is written under another name and then moved, so a task that runs again leaves one whole file.
     """
     if not folder:
         raise ValueError("a target folder is needed")
+    folder = folder.rstrip("/")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        os.makedirs(folder, exist_ok=True)
+        fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+        fs.create_dir(root, recursive=True)
         for pdf in batches:
-            paths = []
+            names = []
             for row in pdf.to_dict("records"):
-                path = os.path.join(folder, f"sample_{row['sample_id']:06d}.s{row['n_ports']}p")
-                with open(f"{path}.part{os.getpid()}", "w", encoding="utf-8") as f:
-                    f.write(format_touchstone(row, form))
-                os.replace(f.name, path)
-                paths.append(path)
-            yield pd.DataFrame({"sample_id": pdf["sample_id"], "path": paths})
+                names.append(f"sample_{row['sample_id']:06d}.s{row['n_ports']}p")
+                part = f"{root}/{names[-1]}.{uuid.uuid4().hex}"
+                with fs.open_output_stream(part) as f:
+                    f.write(format_touchstone(row, form).encode())
+                fs.move(part, f"{root}/{names[-1]}")
+            yield pd.DataFrame({"sample_id": pdf["sample_id"], "path": [f"{folder}/{n}" for n in names]})
 
     return networks.mapInPandas(run, "sample_id long, path string")
 

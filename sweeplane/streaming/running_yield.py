@@ -6,13 +6,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from sweeplane.operators.goals import Criterion, MaxAgg, MeanAgg, MinAgg, RippleAgg, SMag, Specification
+from sweeplane.operators.goals import Criterion, MaxAgg, MeanAgg, MinAgg, RippleAgg, SMag, Specification, StdAgg
 
 
 def packed_verdicts(networks: DataFrame, spec: Specification) -> DataFrame:
     """ok for packed networks, within the row: no shuffle, so it runs on streams. S-magnitude criteria only.
 
-    Maximum, minimum, mean and ripple are taken over the band by array functions, with the rules of ``Specification``.
+    Maximum, minimum, mean, ripple and deviation are taken over the band by array functions, with the rules of ``Specification``.
     """
     out = F.lit(True)
     for c in spec.criteria:
@@ -38,8 +38,10 @@ def _value(c: Criterion) -> Column:
         v = F.transform(values, lambda x: F.when(x["m"] == 0, F.lit(float("-inf"))).otherwise(20 * F.log10(x["m"])))
     else:
         v = F.transform(values, lambda x: x["m"])
-    mean = F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), F.size(v).cast("double"))
-    of = {MaxAgg: F.array_max(v), MinAgg: F.array_min(v), MeanAgg: mean, RippleAgg: F.array_max(v) - F.array_min(v)}
+    over = lambda values: F.try_divide(F.aggregate(values, F.lit(0.0), lambda a, x: a + x), F.size(v).cast("double"))
+    mean = over(v)
+    std = F.sqrt(over(F.transform(v, lambda x: (x - mean) * (x - mean))))
+    of = {StdAgg: std, MaxAgg: F.array_max(v), MinAgg: F.array_min(v), MeanAgg: mean, RippleAgg: F.array_max(v) - F.array_min(v)}
     return of[type(c.aggregator)]
 
 

@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from sweeplane.functions import registry
 from sweeplane.functions.params import split_params
 from sweeplane.functions.tables import normal, ordered_rank
 from sweeplane.operators import analyze, dataset, design, goals, network, scale, search, transform
@@ -95,6 +96,30 @@ def test_resample_kernel_and_join_agree(sweeps):
     assert a.keys() == b.keys() and all(abs(a[k] - b[k]) < 1e-12 for k in a)
     with pytest.raises(Exception, match="outside"):
         transform.resample_packed(sweeps, [0.5, 1.1], "GHz").collect()
+    bent = sweeps.withColumn("f_hz", F.array(*(F.lit(f) for f in (1e9, 1.01e9, 1.2e9, 1.21e9, 1.9e9))))
+    to = [1.0, 1.005, 1.19, 1.2, 1.5, 1.9]
+    got = _matrices(transform.resample_packed(bent, to, "GHz"))
+    for s, m in _matrices(bent).items():
+        for i in range(2):
+            for j in range(2):
+                assert np.allclose(got[s][:, i, j], np.interp(to, [1.0, 1.01, 1.2, 1.21, 1.9], m[:, i, j]))
+    single = network.to_points(bent).where("k = 0")
+    assert all(abs(v - _of_points(single)[s, 0, i, j]) < 1e-12 for (s, _, i, j), v in _of_points(transform.resample_uniform(single, 3)).items())
+
+
+def test_renormalisation_of_any_port_count(spark):
+    rng = np.random.default_rng(7)
+    rows, want = [], {}
+    for n, p in enumerate((1, 2, 4, 3, 4)):
+        s = rng.normal(0, 0.2, (3, p, p)) + 1j * rng.normal(0, 0.2, (3, p, p))
+        rows.append((n, None, p, "GHz", "power", [50.0] * p, [0.0] * p, [], {}, {}, GRID[:3], s.real.ravel().tolist(), s.imag.ravel().tolist()))
+        z = 50 * np.array([np.linalg.solve(np.eye(p) - m, np.eye(p) + m) for m in s])
+        want[n] = np.array([np.linalg.solve((m + 70 * np.eye(p)).T, (m - 70 * np.eye(p)).T).T for m in z])
+    nets = spark.createDataFrame(rows, network.NETWORK_SCHEMA)
+    for got in (transform.renormalize(nets, 20.0), network.to_packed(transform.z0_shift(network.to_points(nets), 20.0))):
+        assert all(np.allclose(m, want[n]) for n, m in _matrices(got).items())
+    drawn = _matrices(transform.renormalize(nets, (20.0, 1.0), seed=3))
+    assert all(0 < np.abs(m - want[n]).max() < 0.1 for n, m in drawn.items())
 
 
 def test_params_and_statistics(sweeps):
@@ -192,6 +217,12 @@ def test_generators(spark):
     assert len(u(design.box_behnken, 0, 3)) == 15 and len(u(design.central_composite, 0, 2)) == 16
     with pytest.raises(ValueError):
         design.factorial_full(spark, 0, 11)
+    with pytest.raises(ValueError):
+        design.lhs_maximin(spark, design.MAXIMIN_POINTS + 1, 2)
+    with pytest.warns(RuntimeWarning):
+        design.lhs_maximin(spark, 20, 11).count()
+    x = np.random.default_rng(1).uniform(size=(300, 3))
+    assert math.isclose(design.least_distance(x), min(float(np.linalg.norm(x[i + 1 :] - x[i], axis=1).min()) for i in range(299)))
 
 
 def test_specifications(sweeps, spark):
@@ -207,9 +238,9 @@ def test_specifications(sweeps, spark):
         goals.Specification((worst, worst))
     with pytest.raises(ValueError):
         goals.SoftLE(0.0, 0.0)
-    assert goals.lookup(goals.SELECTORS, "sdb") is goals.SMag
+    assert registry.lookup(goals.SELECTORS, "sdb") is goals.SMag
     with pytest.raises(KeyError):
-        goals.lookup(goals.AGGREGATORS, "median")
+        registry.lookup(goals.AGGREGATORS, "median")
     one = goals.Specification((worst,))
     a = {r.sample_id: r.ok for r in one.is_ok(points).collect()}
     assert a == {r.sample_id: r.ok for r in running_yield.packed_verdicts(sweeps, one).collect()}
@@ -272,6 +303,11 @@ def test_touchstone_round_trip(sweeps, spark, tmp_path):
     one = touchstone.parse_touchstone(text, 3)
     assert one["f_hz"] == [1e8] and one["z0_re"] == [60.0] * 3 and one["params"] == {"a": 1.5} and one["params_str"] == {"b": "x"}
     assert np.allclose(one["s_re"], [1, 0, -3, 4, 5, 6, 7, 8, 9]) and np.allclose(one["s_im"][:3], [0, 2, 0])
+    header = "Made by a tool\n Parameters = {c=2; d=y}\n# GHz S RI R 50\n1 0.5 0\n"
+    two = touchstone.parse_touchstone(header.split("\n", 1)[1], 1)
+    assert two["params"] == {"c": 2.0} and two["params_str"] == {"d": "y"} and two["s_re"] == [0.5]
+    uri = touchstone.write_touchstone(sweeps, f"file://{tmp_path}/uri").collect()
+    assert len(uri) == 6 and touchstone.read_touchstone(spark, f"file://{tmp_path}/uri").count() == 6
     with pytest.raises(ValueError):
         touchstone.write_touchstone(sweeps, None)
     (tmp_path / "none").mkdir()

@@ -39,12 +39,22 @@ def test_query_matches_sql(spark, duck, name):
 
 def test_band_is_cut_before_exploding_and_scan_is_pruned(spark):
     plan = QUERIES["flagship_yield_by_family"](spark, SF)._jdf.queryExecution().toString()
-    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:" in plan.replace("label:bigint", "label:") or "ReadSchema" in plan
-    assert "BatchEvalPython" not in plan
+    assert "ReadSchema: struct<vec_id:bigint,embedding:array<float>,label:int>" in plan
+    assert "Python" not in plan and "Arrow" not in plan
+    narrow = QUERIES["split_members"](spark, SF)._jdf.queryExecution().toString()
+    assert "ReadSchema: struct<vec_id:bigint>" in narrow
+    report = QUERIES["touchstone_params"].__name__ and QUERIES["constraint_filter"](spark, SF)._jdf.queryExecution().toString()
+    assert "PushedFilters: [IsNotNull(l_quantity), GreaterThanOrEqual(l_quantity,5.0)]" in report and "l_orderkey" not in report.split("ReadSchema")[-1]
+
+
+def test_sweeps_are_resampled_and_scanned_within_their_rows(spark):
+    for name in ("resample_uniform", "resample_grid", "resample_bent", "s_real_imag"):
+        plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+        assert "Exchange" not in plan and "Pandas" not in plan
 
 
 def test_entry_module_lists_queries():
     import __spark_entry__ as entry
 
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert len(QUERIES) > 70
+    assert len(QUERIES) > 110
