@@ -1,30 +1,38 @@
-"""Helpers the training-data operators share: table access, lineage cuts, skew-safe joins, Arrow maps."""
+"""Helpers the training-data operators share: table access, lineage cuts, skew-safe joins, marked keys, Arrow maps."""
 
 from __future__ import annotations
 
 import hashlib
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; texts are long, so this bounds a Python worker's memory.
+from sweeplane.functions.tables import shared_path, shared_root
+
+#: Rows and bytes of one Arrow batch (one longer row is a batch by itself): they bound a Python worker's memory.
 ARROW_ROWS = 1024
+ARROW_BYTES = 4 << 20
 #: UTF-8 bytes that vectorised kernels take at once (one longer text is a block by itself).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 #: Keys that a skew-safe join serves by broadcast. Any other key holds at most 1/257 of the rows.
 HEAVY_KEYS = 256
+#: Rows of small records that make a file worth its own.
+FILE_ROWS = 1 << 16
+#: A bitmap of marked keys has 2^MARK_BITS bits (4 MB), however many keys there are.
+MARK_BITS = 25
 
 
 def prepare(spark: SparkSession) -> SparkSession:
     """Bound Arrow batches, and see that a checkpoint folder is set (the session's own wins)."""
-    now = int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000"))
-    if now <= 0 or now > ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        now = int(spark.conf.get(key).rstrip("b"))
+        if not 0 < now <= most:
+            spark.conf.set(key, str(most))
     shared_root(spark)
     return spark
 
@@ -33,23 +41,15 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return prepare(spark).read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``, which driver and executors share."""
-    sc = spark.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="sweeplane-"))
-    root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
-    return root if "://" in root or root.startswith("file:") else f"file://{root}"
-
-
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared folder."""
-    return f"{shared_root(spark).rstrip('/')}/sweeplane-{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
-
+def materialize(df: DataFrame, name: str, rows: int | None = None) -> DataFrame:
+    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors.
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back: cuts lineage, survives lost executors."""
+    With ``rows``, the most rows it can have, partitions of few rows are written together, so that a small table is not
+    hundreds of files; a large one keeps all its partitions.
+    """
     path = shared_path(df.sparkSession, name)
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // FILE_ROWS)))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -67,6 +67,33 @@ def join_heavy(left: DataFrame, right: DataFrame, on: str, weight: str, how: str
     return few.unionByName(rest)
 
 
+@dataclass(frozen=True)
+class KeyMarks:
+    """A bitmap of keys' hashes, of fixed size: words of 64 bits as a table that is broadcast.
+
+    Rows that have nothing to do with a join on these keys need not be shuffled for it: those whose bit is not set have
+    surely none of the keys. The others, which hold a key or share a bit with one, go through the join, which decides.
+    With many more keys than bits every row does.
+    """
+
+    words: DataFrame
+
+    def rows(self, df: DataFrame, marked: bool, key: Column | str) -> DataFrame:
+        """The rows of ``df`` whose key, of the type of the marked ones, may be one of them; or those whose key is none."""
+        place = df.withColumn("__bit", F.shiftrightunsigned(F.xxhash64(key), 64 - MARK_BITS))
+        met = place.join(F.broadcast(self.words), F.shiftright("__bit", 6) == F.col("__word"), "left")
+        held = F.expr("coalesce(shiftright(__bits, CAST(__bit & 63 AS INT)) & 1, 0) = 1")
+        return met.where(held if marked else ~held).select(df.columns)
+
+
+def mark_keys(keys: DataFrame, key: str) -> KeyMarks:
+    """Mark the values of a column; the driver holds its words, at most 2^(MARK_BITS - 6) rows of two numbers."""
+    bits = keys.select(F.shiftrightunsigned(F.xxhash64(key), 64 - MARK_BITS).alias("bit"))
+    words = bits.groupBy(F.shiftright("bit", 6).alias("__word"))
+    found = words.agg(F.expr("bit_or(shiftleft(1L, CAST(bit & 63 AS INT)))").alias("__bits")).toArrow()
+    return KeyMarks(keys.sparkSession.createDataFrame(found, "__word long, __bits long"))
+
+
 def bucket_of(id_col: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(buckets)
@@ -150,9 +177,3 @@ def hash_tokens(texts: list[bytes], table: np.ndarray, prefix: int = 0) -> tuple
     starts = starts[keep]
     ends = np.cumsum([len(t) + 1 for t in texts])
     return *(_mixed(h[keep]) for h in found), np.searchsorted(starts, ends)
-
-
-def fit_sample(df: DataFrame, id_col: str, limit: int, salt: int = 7) -> DataFrame:
-    """At most ``limit`` rows, chosen by a hash of the id: the same rows for any partitioning."""
-    order = F.xxhash64(F.col(id_col), F.lit(salt))
-    return df.orderBy(order, id_col).limit(limit)

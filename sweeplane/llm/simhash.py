@@ -15,10 +15,10 @@ from itertools import combinations, repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_heavy, map_arrow, materialize, prepare
+from sweeplane.llm.common import map_arrow, mark_keys, materialize, prepare
 from sweeplane.llm.graph import connected_components
 
 SEED = 42
@@ -30,6 +30,7 @@ DENSE = 256
 GOLAY = 0b110001110101
 _BITS = 23
 _CHUNK = 1 << 15
+_FPS = 128  # fingerprints whose anchors are worked out at once
 
 
 def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
@@ -50,13 +51,15 @@ def fingerprint(data: bytes, shingle: int = SHINGLE) -> int:
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, fp long (the fingerprint's 64 bits as a signed integer). A null text has no words."""
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = batch.column(text_col).cast(pa.binary())
-        fps = np.array([fingerprint(t.as_py() or b"") for t in texts], dtype=np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(id_col), pa.array(fps)], names=["id", "fp"])
+    return docs.select(F.col(id_col).alias("id"), fingerprint_column(text_col).alias("fp"))
+
 
-    kind = docs.schema[id_col].dataType.simpleString()
-    return map_arrow(docs.select(id_col, text_col), kernel, f"id {kind}, fp long")
+def fingerprint_column(text_col: str) -> Column:
+    @F.arrow_udf("long")
+    def prints(texts: pa.Array) -> pa.Array:
+        return pa.array(np.array([fingerprint(t.as_py() or b"") for t in texts.cast(pa.binary())], dtype=np.uint64).view(np.int64))
+
+    return prints(F.col(text_col))
 
 
 # -- the covering code --------------------------------------------------------------------------------------------
@@ -127,8 +130,12 @@ def _replicas(distinct: DataFrame, homes_only: bool) -> DataFrame:
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = batch.column("fp").to_numpy(zero_copy_only=False)
-        row, anchor, home = anchors(fps.view(np.uint64), 0 if homes_only else THRESHOLD)
-        return pa.RecordBatch.from_arrays([pa.array(anchor), pa.array(fps[row])], names=["anchor", "fp"])
+        found = []
+        for at in range(0, len(fps), _FPS):
+            part = fps[at : at + _FPS]
+            row, anchor, _ = anchors(part.view(np.uint64), 0 if homes_only else THRESHOLD)
+            found.append((anchor, part[row]))
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in zip(*found, strict=True)], names=["anchor", "fp"])
 
     return map_arrow(distinct.select("fp"), kernel, "anchor long, fp long")
 
@@ -143,10 +150,10 @@ def links(distinct: DataFrame) -> DataFrame:
     An edge joins fingerprints at two or fewer differing bits. Sparse anchors give every such pair; dense ones give
     each shared neighbour's fingerprints a star, which connects the same fingerprints.
     """
-    homes = materialize(_replicas(distinct, True), "homes")
+    homes = _replicas(distinct, True)
     dense = homes.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > DENSE).select("anchor")
-    dense = materialize(dense, "dense")
-    some = dense.count() > 0
+    some = not dense.isEmpty()
+    dense = materialize(dense, "dense") if some else dense
     replicas = _replicas(distinct, False)
     if some:
         homes = homes.join(dense, "anchor", "left_anti")
@@ -164,6 +171,17 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges
 
 
+def _components(prints: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of ``prints`` (id, fp): each fingerprint's component (fp, root), and each component's first document (root, id, fp)."""
+    rows = prints.count()
+    distinct = materialize(prints.groupBy("fp").agg(F.min("id").alias("least")), "distinct", rows)
+    roots = connected_components(links(distinct))
+    members = distinct.join(roots, distinct["fp"] == roots["node"], "left")
+    members = materialize(members.select("fp", "least", F.coalesce("root", "fp").alias("root")), "members", rows)
+    first = members.groupBy("root").agg(F.min(F.struct(F.col("least").isNull().alias("none"), F.col("least").alias("id"), "fp")).alias("f"))
+    return members.select("fp", "root"), materialize(first.select("root", "f.id", "f.fp"), "first", rows)
+
+
 def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a document: id, fingerprint (16 hex digits), component_id (smallest id reachable by links).
 
@@ -173,35 +191,42 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """
     prepare(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = prints.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
-    distinct = materialize(distinct, "distinct")
-    roots = materialize(connected_components(links(distinct)), "roots")
-    linked = roots.join(distinct, roots["node"] == distinct["fp"]).select("node", "root", "least")
-    smallest = materialize(linked.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("size")), "smallest")
-    of_linked = join_heavy(linked.select("node", "root"), smallest, "root", "size").select(F.col("node").alias("fp"), "smallest")
-    groups = distinct.join(of_linked, "fp", "left").select("fp", "n", F.coalesce("smallest", "least").alias("component_id"))
-    out = join_heavy(prints, materialize(groups, "groups"), "fp", "n")
+    members, first = _components(prints)
+    groups = members.join(first.select("root", F.col("id").alias("component_id")), "root").select("fp", "component_id")
+    out = prints.join(materialize(groups, "groups", prints.count()), "fp")  # a hot fingerprint is split by Spark: both sides are scans
     return out.select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each component: the one of smallest id (one row, if that id repeats).
+    """``docs`` with one row of each component: of its smallest id, among those of its smallest fingerprint.
 
-    Rows with a null id stay only where their whole component has null ids, and then one of each fingerprint.
+    Null ids come after all others, so a row without an id stays only if its whole component has none. Which of several
+    rows of one id and one fingerprint stays is not defined. Null and empty texts are one component. An id may stand for
+    several texts: each is judged by its own component. An empty table gives no rows; all columns stay as they were.
+    Rows whose id is certain to stay are not shuffled.
     """
-    groups = materialize(simhash_groups(docs, id_col, text_col).withColumn("uid", F.monotonically_increasing_id()), "groups")
-    gone = groups.where(F.col(id_col) != F.col("component_id")).select(id_col)
-    repeated = groups.where(F.col(id_col) == F.col("component_id")).groupBy(id_col).count().where("count > 1").select(id_col)
-    named = docs.where(F.col(id_col).isNotNull())
-    # A merge join at any size: the list of ids grows with the table, so it is not one to broadcast.
-    kept = named.join(gone.distinct().hint("merge"), id_col, "left_anti").select(docs.columns)
-    some = materialize(repeated, "repeated")
-    if some.count():
-        once = kept.join(some, id_col, "left_semi").select(docs.columns).dropDuplicates([id_col])
-        kept = kept.join(some, id_col, "left_anti").select(docs.columns).unionByName(once)
-    nameless = groups.where(F.col(id_col).isNull() & F.col("component_id").isNull())
-    if not nameless.isEmpty():
-        kept = kept.unionByName(docs.where(F.col(id_col).isNull()).dropDuplicates([text_col]))
-    return kept
+    prepare(docs.sparkSession)
+    prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
+    _, first = _components(prints)
+    stay = first.select("id", "fp")
+    named = prints.where("id IS NOT NULL")
+    gone = named.join(stay, ["id", "fp"], "left_anti").select("id", F.lit(False).alias("odd"))
+    odd = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("odd"))
+    # Ids that go, and those of several rows, which are judged by row.
+    doubtful = gone.unionByName(odd).groupBy("id").agg(F.max("odd").alias("odd"))
+    doubtful = materialize(doubtful, "doubtful", prints.count()).withColumnRenamed("id", "__id")
+    marks, key, columns = mark_keys(doubtful, "__id"), F.col(id_col), docs.columns
+    named_docs = docs.where(key.isNotNull())
+    may = marks.rows(named_docs, True, id_col)
+    kept = marks.rows(named_docs, False, id_col).unionByName(may.join(doubtful, key == F.col("__id"), "left_anti"))
+    several = doubtful.where("odd")
+    if several.isEmpty() and prints.where("id IS NULL").isEmpty():
+        return kept
+    by_row = may.join(several, key == F.col("__id"), "left_semi").unionByName(docs.where(key.isNull()))
+    # Rows of one id and fingerprint meet as partial aggregates, so a hot pair is one row a task.
+    by_row = by_row.withColumn("__fp", fingerprint_column(text_col)).dropDuplicates([id_col, "__fp"])
+    stay = stay.select(F.col("id").alias("__id"), F.col("fp").alias("__first"))
+    same = key.eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__first"))
+    return kept.unionByName(by_row.join(stay, same, "left_semi").select(columns))
