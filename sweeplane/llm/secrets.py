@@ -15,9 +15,8 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import BinaryType, StructField, StructType
 
-from sweeplane.llm.common import join_heavy, map_arrow, materialize, prepare, texts_of
+from sweeplane.llm.common import join_heavy, map_arrow, mark_keys, materialize, prepare, texts_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -122,14 +121,15 @@ def scan_secrets(
 
     ``spans`` (start, kind, end, live, repos, owners) are by start, then kind; offsets are code points, the end exclusive. Null texts
     are empty. A null repository or owner counts as one value. Each row gives one row, repeated rows and null ids
-    included. Other columns are not looked at.
+    included; an empty table gives none. Other columns are not looked at.
     """
     prepare(docs.sparkSession)
     found = candidates(docs, id_col, text_col, repo, owner).withColumn("uid", F.monotonically_increasing_id())
     found = materialize(found, "candidates")
     counts = ownership(found)
+    rows = found.count()
     hits = found.select("uid", F.explode(F.concat("base", "opaque")).alias("s")).select("uid", "s.*")
-    judged = join_heavy(hits, materialize(counts.select("hash", "hits", "repos", "owners"), "ownership"), "hash", "hits")
+    judged = join_heavy(hits, materialize(counts.select("hash", "hits", "repos", "owners"), "ownership", 4 * rows), "hash", "hits")
     judged = judged.withColumn("live", (F.col("owners") <= max_owners) & (F.col("repos") <= max_repos)).where("kind < 3 OR live")
     per_doc = judged.groupBy("uid").agg(
         F.array_sort(F.collect_list(F.struct("start", "kind", "end", "live", "repos", "owners"))).alias("spans"),
@@ -161,45 +161,41 @@ def span_text(spans: str, keep: Column | None = None) -> Column:
 def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mask: str = MASK) -> DataFrame:
     """``docs`` with every span of ``scanned`` replaced by ``mask``; all columns and clean rows as they were.
 
-    Rows without a candidate, by the scan of their own text, pass straight through; only the others are matched with
-    their spans and rewritten. They are matched by a hash of the text, on which alone a scan's spans depend: ids may
-    be null, repeat, or stand for several texts.
+    Base spans are found again in the text at hand; ``owned`` ones, which the whole corpus decides on, are taken from the
+    scan by a hash of the text, on which alone a scan's spans depend: ids may be null, repeat, or stand for several texts.
+    Only rows whose text may have such a span are shuffled. Null and empty texts stay as they are, each repeated row is
+    masked for itself, spans that overlap become one mask, and an empty table gives no rows.
     """
-    spans = scanned.where(F.size("spans") > 0).groupBy(F.col("text_key").alias("__key"))
-    spans = materialize(spans.agg(F.first("spans").alias("__spans"), F.count("*").alias("__n")), "spans")
-    columns = docs.columns
-    at = columns.index(text_col)
-
-    def part(wanted: bool) -> DataFrame:
-        def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-            batch = batch.filter(pa.array([has_candidate(t) == wanted for t in texts_of(batch, text_col)]))
-            return batch.append_column("__key", pa.array(map(text_key, texts_of(batch, text_col)), pa.binary())) if wanted else batch
-
-        return map_arrow(docs, kernel, StructType([*docs.schema.fields, StructField("__key", BinaryType())]) if wanted else docs.schema)
-
-    def rewrite(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts, out = batch.column(text_col), []
-        for text, cuts in zip(texts.to_pylist(), batch.column("__spans").to_pylist(), strict=True):
-            for s, e in reversed(_union([(c["start"], c["end"]) for c in cuts or ()])):
-                text = text[:s] + mask + text[e:]
-            out.append(text)
-        arrays = [pa.array(out, texts.type) if i == at else batch.column(i) for i in range(len(columns))]
-        return pa.RecordBatch.from_arrays(arrays, names=columns)
-
-    joined = join_heavy(part(True), spans, "__key", "__n", "left").select(*columns, "__spans")
-    return part(False).unionByName(map_arrow(joined, rewrite, docs.schema))
+    owned = scanned.where(F.exists("spans", lambda s: s["kind"] == 3)).groupBy(F.col("text_key").alias("__key"))
+    cut = F.transform(F.filter(F.first("spans"), lambda s: s["kind"] == 3), lambda s: F.struct(s["start"], s["end"]))
+    owned = materialize(owned.agg(cut.alias("__owned")), "owned", docs.count())
+    key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
+    marks = mark_keys(owned, "__key")
+
+    @F.arrow_udf("string")
+    def masked(texts: pa.Array, owned: pa.Array) -> pa.Array:
+        """The masked text; null where nothing is masked."""
+        out: list[str | None] = []
+        for text, spans in zip(texts.to_pylist(), owned.to_pylist(), strict=True):
+            cuts = [(s, e) for s, _, e, _ in base_spans(text or "")] + [(c["start"], c["end"]) for c in spans or ()]
+            parts, at = [], 0
+            for s, e in _union(cuts):
+                parts += [text[at:s], mask]
+                at = e
+            out.append("".join([*parts, text[at:]]) if cuts else None)
+        return pa.array(out, pa.string())
+
+    clear = marks.rows(docs, False, key).withColumn("__owned", F.lit(None).cast(owned.schema["__owned"].dataType))
+    met = marks.rows(docs, True, key).withColumn("__key", key).join(owned, "__key", "left").select(*docs.columns, "__owned")
+    text = F.coalesce(masked(F.col(text_col), F.col("__owned")), F.col(text_col))
+    return clear.unionByName(met).withColumn(text_col, text).select(docs.columns)
 
 
 def text_key(text: str) -> bytes:
+    """SHA-256 of the text, as Spark's ``sha2`` gives it too."""
     return hashlib.sha256(text.encode("utf-8", "replace")).digest()
 
 
-def has_candidate(text: str) -> bool:
-    """Whether the scan finds anything in the text."""
-    found = base_spans(text)
-    return bool(found or opaque_spans(text, found))
-
-
 def _union(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Overlapping spans as one."""
     out: list[tuple[int, int]] = []
