@@ -8,9 +8,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sweeplane.llm.common import map_arrow
 
+#: Bytes of text a sample has at most, and bytes of a text that is learned from: they bound what reaches the driver.
+SAMPLE_BYTES = 64 << 20
+TEXT_BYTES = 1 << 20
+
 
 def known_labels(labels: DataFrame, label_col: str, learn: Callable[[str], Column], id_col: str = "doc_id") -> DataFrame:
     """id and y (0 or 1) where ``learn(id column)`` holds; ids with two labels or none are left out."""
@@ -28,7 +33,7 @@ def labelled_sample(
 
     Half the sample goes to each label, as far as there are so many; rows are picked by a hash of the id. Ids with
     two labels or none, and rows whose label is not 0 or 1, are left out. Only the sample reaches the driver, as the
-    features of its whole texts.
+    features of its whole texts; it ends before its texts exceed SAMPLE_BYTES, and has none of over TEXT_BYTES.
     """
     known = known_labels(labels, label_col, learn, id_col)
     sizes = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -40,7 +45,12 @@ def labelled_sample(
         chance = F.when(F.col("y") == y, min(1.0, (rows // 2 + spare) / n)).otherwise(chance)
     order = F.xxhash64("id", F.lit(13))
     picked = known.where(F.pmod(order, F.lit(1_000_000)) / 1_000_000 < chance).orderBy(order, "id").limit(rows)
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "id")
+    own = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    sized = own.select("id", size.alias("size")).join(F.broadcast(picked), "id").groupBy("id", "y").agg(F.max("size").alias("size"))
+    total = F.sum("size").over(Window.orderBy(order, "id"))  # over ``rows`` rows at most
+    picked = sized.where(F.col("size") <= TEXT_BYTES).withColumn("total", total).where(F.col("total") <= SAMPLE_BYTES).select("id", "y")
+    texts = own.join(F.broadcast(picked), "id")
     texts = texts.groupBy("id", "y").agg(F.min("text").alias("text"))  # an id that repeats counts once
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:

@@ -1,31 +1,33 @@
 """Language identification by nearest centroid.
 
 Texts become TF-IDF vectors of hashed byte n-grams, at length one. Every language of the table has several centroids,
-from spherical k-means on a bounded sample of its labelled rows, in a task of its own. A text gets the language of the centroid of highest cosine; below the
-language's least cosine it counts as rejected.
+from spherical k-means on a bounded sample of its labelled rows, in a task of its own. Document frequencies, and the cosines
+that the bounds of rejection come from, are counted over all labelled rows. A text gets the language of the centroid of
+highest cosine; below the language's least cosine it counts as rejected.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import blocks, bucket_of, held_out, map_arrow, materialize, prepare
+from sweeplane.llm.common import blocks, bucket_of, held_out, map_arrow, prepare
 
 #: Buckets of hashed n-grams.
 DIMS = 1 << 13
 #: Ids of each language the model is fitted on, about (a language of up to a fifth more is taken whole); centroids of each.
 LANGUAGE_ROWS = 600
 CENTROIDS = 4
-#: A text is rejected below this share of the cosine that all but REJECT_TAIL of its language's sample reach. A text
-#: of less than FULL_SIZE n-grams cannot come as close to a centroid; its bound falls with the root of its size.
+#: A text is rejected below this share of the cosine that all but REJECT_TAIL of its language's rows reach, in steps of
+#: 1 / STEPS. A text of less than FULL_SIZE n-grams cannot come as close to a centroid; its bound falls with the root of its size.
 REJECT_SHARE = 0.25
 REJECT_TAIL = 0.01
+STEPS = 1000
 FULL_SIZE = 400
 
 _LETTER = np.zeros(256, dtype=np.uint8)
@@ -79,6 +81,15 @@ class LanguageModel:
                 best[lo:hi], score[lo:hi] = self.owner[top], np.clip(sims[np.arange(hi - lo), top], 0, 1)
         return best, score, size
 
+    def cosines(self, texts: list[bytes], languages: list[int]) -> np.ndarray:
+        """Each text's cosine with the nearest centroid of the language given for it."""
+        out, asked = np.zeros(len(texts)), np.array(languages, dtype=np.int64)
+        for lo, hi in blocks([len(t) + 4000 for t in texts]):
+            sims = self.vectors(ngram_counts(texts[lo:hi])) @ self.centroids.T
+            sims[self.owner[None, :] != asked[lo:hi, None]] = 0
+            out[lo:hi] = np.clip(sims.max(axis=1), 0, 1)
+        return out
+
 
 def _spherical_means(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """k-means by cosine; starts from rows far from those already chosen."""
@@ -121,37 +132,55 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, DIMS).astype(np.float32)
 
 
-def _frequencies(sample: DataFrame) -> tuple[int, np.ndarray]:
-    """Rows of the sample, and how many of them each bucket is in."""
+def _frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Rows with a text, and how many of them each bucket is in: one row a bucket from each task, then a sum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(DIMS + 1, dtype=np.int64)  # the last place counts rows
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                total[:DIMS] += (_matrix(batch.column("x")[at : at + 256]) > 0).sum(axis=0)
+            texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
+            for lo, hi in blocks([len(t) + 4000 for t in texts]):
+                total[:DIMS] += (ngram_counts(texts[lo:hi]) > 0).sum(axis=0)
             total[DIMS] += batch.num_rows
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
 
     out = np.zeros(DIMS + 1, dtype=np.int64)
-    for r in sample.select("x").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
+    for r in rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
         out[r["bucket"]] = r["n"]
     return int(out[DIMS]), out[:DIMS]
 
 
-def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> LanguageModel:
+def _tails(rows: DataFrame, model: LanguageModel) -> dict[str, float]:
+    """For each language, the cosine with their own centroids that all but REJECT_TAIL of its rows reach."""
+    shared = rows.sparkSession.sparkContext.broadcast((model, {name: n for n, name in enumerate(model.languages)}))
+
+    @F.arrow_udf("long")
+    def step(texts: pa.Array, langs: pa.Array) -> pa.Array:
+        model, number = shared.value
+        own = [number[name] for name in langs.to_pylist()]
+        return pa.array((model.cosines([t.as_py() for t in texts.cast(pa.binary())], own) * STEPS).astype(np.int64))
+
+    steps = rows.select("lang", step("text", "lang").alias("step")).groupBy("lang", "step").agg(F.count("*").alias("n"))
+    found = steps.groupBy("lang").agg(F.percentile("step", F.lit(REJECT_TAIL), F.col("n")).alias("step")).collect()
+    return {r["lang"]: r["step"] / STEPS for r in found}
+
+
+def fit_languages(
+    docs: DataFrame, learn: Column, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", bounds: bool = True
+) -> LanguageModel:
     """Fit on rows where ``learn`` holds and id, text and language are not null; every language of theirs is learned.
 
-    A language is fitted on about LANGUAGE_ROWS of its ids, picked by a hash of the id, so any partitioning gives one
-    model; a rare one on all of them. An id that repeats counts once for each language. Each language is fitted in its
+    Centroids come from about LANGUAGE_ROWS of a language's ids, picked by a hash of the id, so any partitioning gives one
+    model; a rare one is fitted on all of them. An id that repeats counts once for each language there. Document
+    frequencies and, unless ``bounds`` is false, the least cosines come from all rows. Each language is fitted in its
     own task, and only CENTROIDS rows of DIMS numbers of each (128 kB) reach the driver: the model grows with the
-    number of languages, not with the rows.
+    number of languages, not with the rows. Without a row there is no centroid.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
-    rows = rows.where(F.col("learn") & F.col("text").isNotNull() & F.col("lang").isNotNull()).drop("learn")
-    sample = materialize(_sample(rows), "languages")
-    count, frequency = _frequencies(sample)
+    rows = rows.where(F.col("learn") & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).drop("learn")
+    count, frequency = _frequencies(rows)
     if not count:
         return _no_model()
     idf = (np.log((1 + count) / (1 + frequency)) + 0.1).astype(np.float32)
@@ -161,14 +190,17 @@ def fit_languages(docs: DataFrame, learn: Column, id_col: str = "doc_id", text_c
         own = _matrix(group.column("x")) * idf
         own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-9)
         centers = _spherical_means(own, CENTROIDS).astype(np.float32)
-        least = REJECT_SHARE * float(np.quantile((own @ centers.T).max(axis=1), REJECT_TAIL))
-        return pa.table({"lang": group.column("lang")[:1], "centers": pa.array([centers.tobytes()], pa.binary()), "least": [least]})
+        return pa.table({"lang": group.column("lang")[:1], "centers": pa.array([centers.tobytes()], pa.binary())})
 
-    fitted = sample.groupBy("lang").applyInArrow(fit, "lang string, centers binary, least double").collect()
+    fitted = _sample(rows).groupBy("lang").applyInArrow(fit, "lang string, centers binary").collect()
     fitted.sort(key=lambda r: r["lang"])
     centers = [np.frombuffer(r["centers"], dtype=np.float32).reshape(-1, DIMS) for r in fitted]
     owner = np.repeat(np.arange(len(fitted)), [len(c) for c in centers])
-    return LanguageModel([r["lang"] for r in fitted], owner, np.concatenate(centers), idf, np.array([r["least"] for r in fitted]))
+    model = LanguageModel([r["lang"] for r in fitted], owner, np.concatenate(centers), idf, np.zeros(len(fitted)))
+    if not bounds:
+        return model
+    tails = _tails(rows, model)
+    return replace(model, least=REJECT_SHARE * np.array([tails[name] for name in model.languages]))
 
 
 def identify(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndarray, np.ndarray]:
@@ -185,8 +217,9 @@ def identify(texts: list[str], model: LanguageModel) -> tuple[list[str], np.ndar
 def detect_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, lang_pred, score, rejected for every whole text.
 
-    Null texts and texts without a letter are ``und``, with score 0, and rejected. Each row gives one row, repeated
-    rows and null ids included; other columns are not looked at. Without a row to learn from all texts are ``und``.
+    Null texts and texts without a letter are ``und``, with score 0, and rejected. Of equal cosines the first language in
+    order counts. Each row gives one row, repeated rows and null ids included; an empty table gives none; other columns
+    are not looked at. Without a row to learn from all texts are ``und``.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -203,14 +236,20 @@ def detect_language(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id
 
 
 def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rejected rows, all columns as they were."""
+    """``docs`` without the rejected rows, all columns as they were.
+
+    Null texts and texts without a letter are rejected. Each repeated row is judged for itself, null ids too; of equal
+    cosines the centroid of the first language in order counts; an empty table gives no rows. Only the text goes through
+    Python.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        _, _, rejected = identify([t or "" for t in batch.column(text_col).to_pylist()], shared.value)
-        return batch.filter(pa.array(~rejected))
+    @F.arrow_udf("boolean")
+    def told(texts: pa.Array) -> pa.Array:
+        _, _, rejected = identify([t or "" for t in texts.to_pylist()], shared.value)
+        return pa.array(~rejected)
 
-    return map_arrow(docs, kernel, docs.schema)
+    return docs.where(told(F.col(text_col)))
 
 
 def learn_rows(id_col: str = "doc_id") -> Column:

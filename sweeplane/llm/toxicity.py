@@ -28,7 +28,7 @@ FILTERS = 12
 #: Rows the model is sampled from at most; of each four, one is not trained on, so that thresholds have rows in small tables too.
 SAMPLE_ROWS = 3600
 EPOCHS = 8
-#: Rows of either label a language needs for a threshold of its own.
+#: A parameter of the fit: rows of either label a language needs for a threshold of its own. ``shift`` lists those that have one.
 LEAST_ROWS = 12
 #: Logits are counted for thresholds in steps of 1 / STEPS, up to REACH to either side.
 STEPS = 128
@@ -196,7 +196,7 @@ def fit_toxicity(
         return model
     check = np.arange(len(y)) % 4 == 3
     model = train([w for w, c in zip(words, check, strict=True) if not c], y[~check])
-    model.languages = fit_languages(docs, learn(id_col), id_col, text_col, lang_col)
+    model.languages = fit_languages(docs, learn(id_col), id_col, text_col, lang_col, bounds=False)
     trained = frozenset(i for i, c in zip(ids, check, strict=True) if not c)
     counts = count_logits(docs, known_labels(labels, label_col, learn, id_col), model, trained, learn, id_col, text_col)
     model.shift = thresholds(counts)
@@ -251,22 +251,26 @@ def thresholds(counts: np.ndarray) -> dict[int, float]:
 def score_toxicity(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1; 0.5 is the threshold of the text's language) of every whole text.
 
-    Null and empty texts are scored as padding. Each row gives one row, repeated rows and null ids included; other
-    columns are not looked at.
+    Null and empty texts are scored as padding. Each row gives one row, repeated rows and null ids included; equal texts
+    have equal scores; an empty table gives no rows. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_rows(docs, lambda texts: shared.value.scores([t.encode("utf-8", "replace") for t in texts]), id_col, text_col)
 
 
 def keep_clean(docs: DataFrame, model: ToxicityModel, text_col: str = "text") -> DataFrame:
-    """``docs`` without rows scored 0.5 or more, all columns as they were."""
+    """``docs`` without rows scored 0.5 or more, all columns as they were.
+
+    Null and empty texts are scored as padding. Each repeated row is judged for itself, null ids too; an empty table
+    gives no rows. Only the text goes through Python.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [(t or "").encode("utf-8", "replace") for t in batch.column(text_col).to_pylist()]
-        return batch.filter(pa.array(shared.value.scores(texts) < 0.5))
+    @F.arrow_udf("boolean")
+    def clean(texts: pa.Array) -> pa.Array:
+        return pa.array(shared.value.scores([t.as_py() or b"" for t in texts.cast(pa.binary())]) < 0.5)
 
-    return map_arrow(docs, kernel, docs.schema)
+    return docs.where(clean(F.col(text_col)))
 
 
 def learn_rows(id_col: str):
@@ -275,6 +279,7 @@ def learn_rows(id_col: str):
 
 
 def op9(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns: a row for each row of ``docs``, whatever its id and text; none for an empty table."""
     scored = score_toxicity(docs, fit_toxicity(docs, labels, learn_rows))
     return scored.select(
         "doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
