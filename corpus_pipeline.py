@@ -31,7 +31,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with every secret in their texts masked; n_chars follows the text."""
     found = secrets.scan_secrets(docs, F.concat_ws("/", F.col("source"), F.col("lang")), F.col("source"))
-    masked = secrets.redact(docs, materialize(found, "secrets"))
+    masked = secrets.redact(docs, found)
     changed = F.contains(F.col("text"), F.lit(secrets.MASK))
     return masked.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
 
