@@ -1,9 +1,11 @@
 """Media columns: content-addressed payloads in tar shards.
 
-Payloads are stored as grey PNG images in tar shards, each under its digest, once a shard. Rows carry digest, shard,
-offset and length. Metadata columns come from range reads of the image headers alone; features come from range reads
-of whole images. Shards are files in the shared folder, opened through ``pyarrow.fs``, named by their own content, so
-that a task that runs again writes the same files.
+Payloads are stored as grey PNG images in tar shards, each under its digest, once in all. Rows carry digest, shard,
+offset and length. A payload that one row has goes into a shard of the task that reads the row; one that several rows
+have goes into a shard of the digest's own partition, so only such payloads are shuffled. Metadata columns come from
+range reads of the image headers alone; features come from range reads of whole images, in the order in which members
+lie in their shards. Shards are files in the shared folder, opened through ``pyarrow.fs``, named by their own content,
+so that a task that runs again on the same rows writes the same files.
 """
 
 from __future__ import annotations
@@ -14,20 +16,23 @@ import struct
 import tarfile
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_heavy, materialize, prepare, shared_path
+from sweeplane.llm.common import mark_keys, materialize, prepare, shared_path
 
 #: Samples of an image row; payloads are padded to a multiple.
 WIDTH = 192
 #: Bytes of members after which a task closes a shard.
 SHARD_BYTES = 32 << 20
+#: Effort of compression: less would make shards larger by a sixth.
+LEVEL = 6
 # Fixed values of the image format.
 _SIGNATURE = b"\x89PNG\r\n\x1a\n"
 HEADER_BYTES = 33
@@ -44,7 +49,7 @@ def encode_image(payload: bytes, width: int = WIDTH) -> bytes:
     lines = np.zeros((len(rows), width + 1), dtype=np.uint8)
     lines[:, 1:] = rows
     chunks = (
-        (b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines.tobytes(), 1)), (b"IEND", b""),
+        (b"IHDR", struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)), (b"IDAT", zlib.compress(lines.tobytes(), LEVEL)), (b"IEND", b""),
     )
     return _SIGNATURE + b"".join(
         struct.pack(">I", len(body)) + kind + body + struct.pack(">I", zlib.crc32(kind + body)) for kind, body in chunks
@@ -93,136 +98,163 @@ class _Shards:
         self.start()
 
     def start(self) -> None:
-        self.buffer, self.places = io.BytesIO(), {}
+        self.buffer, self.members = io.BytesIO(), 0
         self.tar = tarfile.open(fileobj=self.buffer, mode="w", format=tarfile.USTAR_FORMAT)
 
-    def add(self, digest: str, data: bytes) -> None:
-        info = tarfile.TarInfo(f"{digest[:2]}/{digest}.png")
+    def add(self, digest: bytes, data: bytes) -> tuple[int, int]:
+        """Add a member: its offset and length."""
+        info = tarfile.TarInfo(f"{digest.hex()[:2]}/{digest.hex()}.png")
         info.size = len(data)
-        self.places[digest] = (self.tar.offset + tarfile.BLOCKSIZE, len(data))
+        place = (self.tar.offset + tarfile.BLOCKSIZE, len(data))
         self.tar.addfile(info, io.BytesIO(data))
+        self.members += 1
+        return place
 
     def close(self) -> str:
-        """Write the shard if there is anything in it; its path."""
+        """Write the shard if there is anything in it; its name."""
         self.tar.close()
         content = self.buffer.getvalue()
-        name = f"{self.folder}/{hashlib.sha256(content).hexdigest()[:32]}.tar"
-        if self.places and self.fs.get_file_info(name).type == pafs.FileType.NotFound:
-            part = f"{name}.{uuid.uuid4().hex}"
+        name = f"{hashlib.sha256(content).hexdigest()[:32]}.tar"
+        path = f"{self.folder}/{name}"
+        if self.members and self.fs.get_file_info(path).type == pafs.FileType.NotFound:
+            part = f"{path}.{uuid.uuid4().hex}"
             with self.fs.open_output_stream(part) as f:
                 f.write(content)
-            self.fs.move(part, name)
+            self.fs.move(part, path)
         return name
 
 
-def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Store each whole text's padded bytes as an image: id, n_bytes, digest, shard, offset, length.
+def payload_digest(text: Column) -> Column:
+    """SHA-256 of a text's padded bytes (those of ``pad``), as 32 bytes."""
+    n = F.octet_length(text)
+    spaces = F.when(n == 0, WIDTH).otherwise((WIDTH - n % WIDTH) % WIDTH)
+    return F.unhex(F.sha2(F.concat(text, F.repeat(F.lit(" "), spaces)).cast("binary"), 256))
 
-    A null text is an empty one. Equal payloads of a shard are one member. Each row gives one row, repeated rows and
-    null ids included. The rows are written to the shared folder once, so the shards are written once.
-    """
-    prepare(docs.sparkSession)
-    kind = docs.schema[id_col].dataType.simpleString()
-    id_type = {}
+
+def _write(rows: DataFrame, folder: str) -> DataFrame:
+    """Each row's text as a member: the row's columns but ``text``, and shard, offset, length. Digests are distinct."""
+    kept = [f for f in rows.schema.fields if f.name != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shards = _Shards(folder)
-        rows: list[tuple] = []
-
-        def flush() -> pa.RecordBatch:
-            name = shards.close()
-            ids, n_bytes, digests = zip(*rows, strict=True)
-            places = [shards.places[d] for d in digests]
-            return pa.RecordBatch.from_arrays(
-                [
-                    pa.array(ids, id_type["is"]), pa.array(n_bytes, pa.int64()), pa.array(digests), pa.array([name] * len(rows)),
-                    pa.array([p[0] for p in places], pa.int64()), pa.array([p[1] for p in places], pa.int64()),
-                ],
-                names=["id", "n_bytes", "digest", "shard", "offset", "length"],
-            )
+        done: list[pa.RecordBatch] = []
+        places: list[tuple[int, int]] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            name, at = shards.close(), 0
+            for batch in done:
+                own = places[at : at + batch.num_rows]
+                at += batch.num_rows
+                columns = [*batch.columns, pa.array([name] * len(own)), *(pa.array(c, pa.int64()) for c in zip(*own, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in kept] + ["shard", "offset", "length"])
 
         for batch in batches:
-            id_type["is"] = batch.column(id_col).type
-            texts = batch.column(text_col).cast(pa.binary())
-            for key, text in zip(batch.column(id_col).to_pylist(), texts, strict=True):
-                data = text.as_py() or b""
-                payload = pad(data)
-                digest = hashlib.sha256(payload).hexdigest()
-                if digest not in shards.places:
-                    shards.add(digest, encode_image(payload))
-                rows.append((key, len(data), digest))
-                if shards.tar.offset >= SHARD_BYTES or len(rows) >= 50_000:
-                    yield flush()
-                    rows = []
+            narrow = batch.select([f.name for f in kept])
+            at = 0
+            for n, (text, digest) in enumerate(zip(batch.column("text").cast(pa.binary()), batch.column("digest"), strict=True)):
+                places.append(shards.add(digest.as_py(), encode_image(pad(text.as_py()))))
+                if shards.tar.offset >= SHARD_BYTES:
+                    done.append(narrow.slice(at, n + 1 - at))
+                    at = n + 1
+                    yield from flush()
+                    done, places = [], []
                     shards.start()
-        if rows:
-            yield flush()
+            if at < batch.num_rows:
+                done.append(narrow.slice(at))
+        if done:
+            yield from flush()
+
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in kept)
+    return rows.mapInArrow(run, f"{fields}, shard string, offset long, length long")
+
+
+@dataclass(frozen=True)
+class Media:
+    """Stored payloads. ``alone``: id, n_bytes, digest, shard, offset, length of rows whose payload no other row has;
+    ``copies``: id, n_bytes, digest of the others; ``members``: digest, shard, offset, length of the payloads of those."""
 
-    schema = f"id {kind}, n_bytes long, digest string, shard string, offset long, length long"
-    return materialize(docs.select(id_col, text_col).mapInArrow(run, schema), "media")
+    folder: str
+    alone: DataFrame
+    copies: DataFrame
+    members: DataFrame
 
+    def rows(self) -> DataFrame:
+        """Every row with its payload's place: id, n_bytes, digest, shard, offset, length."""
+        return self.alone.unionByName(self.copies.join(self.members, "digest"))
 
-def places(stored: DataFrame) -> DataFrame:
-    """One place (shard, offset, length) for each digest, and its rows ``n``."""
-    return stored.groupBy("digest").agg(
-        F.min(F.struct("shard", "offset", "length")).alias("p"), F.count("*").alias("n")
-    ).select("digest", "p.*", "n")
 
+def store_media(docs: DataFrame, folder: str, id_col: str = "doc_id", text_col: str = "text") -> Media:
+    """Store each distinct text's padded bytes as an image, once.
 
-def _read(located: DataFrame, folder: str, kernel, schema: str, header: bool) -> DataFrame:
-    """Range reads of each place, shard by shard: the header's bytes alone, or the whole member."""
+    A null text is an empty one. Each row gives one row, repeated rows and null ids included; an empty table writes
+    nothing. Other columns are not looked at. The rows are written to the shared folder once, so the shards are too.
+    Texts whose digest is none of the repeated ones are not shuffled; of the others each task sends one a digest.
+    """
+    prepare(docs.sparkSession)
+    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    rows = rows.withColumns({"n_bytes": F.octet_length("text").cast("long"), "digest": payload_digest(F.col("text"))})
+    repeated = rows.groupBy("digest").agg(F.count("*").alias("n")).where("n > 1").select("digest")
+    marks = mark_keys(repeated, "digest")
+    alone = materialize(_write(marks.rows(rows, False, "digest"), folder), "media")
+    several = marks.rows(rows, True, "digest")
+    once = several.select("digest", "text").dropDuplicates(["digest"])
+    members = materialize(_write(once, folder), "members")
+    return Media(folder, alone, materialize(several.select("id", "n_bytes", "digest"), "copies"), members)
+
+
+def _read(located: DataFrame, folder: str, kernel: Callable[[Callable[[int], bytes], int], tuple], columns: str) -> DataFrame:
+    """``located`` with columns of its members, read in the order of its rows. The kernel may read a first part or all."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, _ = pafs.FileSystem.from_uri(folder)
+        fs, root = pafs.FileSystem.from_uri(folder)
         name, file = None, None
         for batch in batches:
             out = []
-            for digest, shard, offset, length in zip(
-                *(batch.column(c).to_pylist() for c in ("digest", "shard", "offset", "length")), strict=True
-            ):
+            for shard, offset, length in zip(*(batch.column(c).to_pylist() for c in ("shard", "offset", "length")), strict=True):
                 if shard != name:
                     if file:
                         file.close()
-                    name, file = shard, fs.open_input_file(shard)
-                out.append((digest, *kernel(file.read_at(HEADER_BYTES if header else length, offset))))
-            columns = [pa.array(c) for c in zip(*out, strict=True)]
-            yield pa.RecordBatch.from_arrays(columns, names=[c.split()[0] for c in schema.split(", ")])
+                    name, file = shard, fs.open_input_file(f"{root}/{shard}")
+                out.append(kernel(lambda n, file=file, offset=offset: file.read_at(n, offset), length))
+            if out:
+                names = batch.schema.names + [c.split()[0] for c in columns.split(", ")]
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(pa.array, zip(*out, strict=True))], names=names)
 
-    chunk = F.floor(F.col("offset") / (4 << 20))
-    spread = located.select("digest", "shard", "offset", "length").repartition("shard", chunk)
-    return spread.sortWithinPartitions("shard", "offset").mapInArrow(run, schema)
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in located.schema.fields)
+    return located.mapInArrow(run, f"{fields}, {columns}")
+
+
+METADATA = "width long, height long, depth long"
+FEATURES = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def media_metadata(located: DataFrame, folder: str) -> DataFrame:
-    """digest, width, height, depth, from the members' headers alone."""
-    return _read(located, folder, read_header, "digest string, width long, height long, depth long", True)
+    """Rows with shard, offset and length, and width, height, depth: from the members' headers alone."""
+    return _read(located, folder, lambda read, _: read_header(read(HEADER_BYTES)), METADATA)
 
 
 def media_features(located: DataFrame, folder: str) -> DataFrame:
-    """digest, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature; from whole members."""
+    """The same with payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature too, of whole members."""
 
-    def kernel(data: bytes) -> tuple:
+    def kernel(read: Callable[[int], bytes], length: int) -> tuple:
+        header = read_header(read(HEADER_BYTES))
+        data = read(length)
         samples = decode_image(data)
         payload = samples.tobytes()
         return (
-            len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data),
+            *header, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data),
             hashlib.sha256(data).hexdigest(), describe(samples),
         )
 
-    schema = "digest string, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return _read(located, folder, kernel, schema, False)
+    return _read(located, folder, kernel, f"{METADATA}, {FEATURES}")
 
 
 def op7(docs: DataFrame) -> DataFrame:
     """The contract's columns, and width, height and depth from header reads."""
-    folder = shared_path(prepare(docs.sparkSession), "shards")
-    stored = store_media(docs, folder)
-    located = materialize(places(stored), "places")
-    meta = media_metadata(located, folder).withColumnRenamed("digest", "d")
-    features = media_features(located, folder).join(located.select("digest", "n"), "digest")
-    whole = features.join(meta, features["digest"] == meta["d"]).drop("d")
-    rows = stored.select(F.col("id").alias("doc_id"), "n_bytes", "digest")
-    return join_heavy(rows, materialize(whole, "features"), "digest", "n").select(
-        "doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature",
-        "width", "height", "depth",
-    )
+    media = store_media(docs, shared_path(prepare(docs.sparkSession), "shards"))
+    found = [c.split()[0] for c in f"{FEATURES}, {METADATA}".split(", ")]
+    alone = media_features(media.alone.drop("digest"), media.folder)
+    # A hot payload's rows are split by Spark: both sides are scans.
+    members = materialize(media_features(media.members, media.folder), "features")
+    rows = alone.select("id", "n_bytes", *found).unionByName(media.copies.join(members, "digest").select("id", "n_bytes", *found))
+    return rows.withColumnRenamed("id", "doc_id")
