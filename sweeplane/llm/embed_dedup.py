@@ -1,7 +1,7 @@
 """Embedding near-duplicates by an exact metric range join.
 
 Unit vectors at cosine c are sqrt(2 - 2c) apart, so links are pairs within a radius. Pivots of each label partition
-its vectors: a vector is at home in its nearest pivot's cell. For a vector x at home with pivot p, and another pivot q,
+its vectors, about half the root of the label's size of them: a vector is at home in its nearest pivot's cell. For a vector x at home with pivot p, and another pivot q,
 the triangle inequality bounds how far x is from any vector of q's cell: at least (d(x,q) - d(x,p)) / 2, and at least
 the distance (d(x,q)^2 - d(x,p)^2) / 2d(p,q) to the plane between the two. Where neither exceeds the radius, x visits
 q's cell. A pair of two cells is compared in the lower-numbered one only. Cells join independently, in blocks of
@@ -19,13 +19,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_heavy, map_arrow, materialize, prepare
+from sweeplane.llm.common import map_arrow, materialize, prepare
 from sweeplane.llm.graph import connected_components
 
-#: Distinct vectors a pivot is to have, and the most pivots of one label: their broadcast is bounded by PIVOTS_ALL.
-PER_PIVOT = 1024
-PIVOTS_LABEL = 64
-PIVOTS_ALL = 4096
+#: Pivots of a label by the root of its distinct vectors. Over all labels they are about PIVOTS at most, which bounds their
+#: broadcast: beyond it every label has fewer in proportion.
+PIVOT_SHARE = 0.5
+PIVOTS = 32768
 #: Most home vectors, and most vectors they are compared with, in one block.
 BLOCK = 2048
 #: Slack of the cell bounds for rounding; links themselves are decided by the cosine alone.
@@ -33,17 +33,19 @@ SLACK = 1e-9
 
 
 def _keyed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) -> DataFrame:
-    """uid, id, label, key (null where a vector cannot link), vec: its components as doubles in bytes."""
+    """id, label, key (null where a vector cannot link), vec: its components in bytes, single or double as in the table."""
     rows = vectors.select(
         F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(vector_col).alias("v")
     )
 
+    dtype = _dtype(vectors, vector_col)
+
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
         keys, packed = [], []
         for label, vector in zip(batch.column("label").to_pylist(), batch.column("v"), strict=True):
             values = vector.values
             usable = label is not None and values is not None and len(values) and not values.null_count
-            x = values.to_numpy(zero_copy_only=False).astype(np.float64) + 0.0 if usable else None
+            x = values.to_numpy(zero_copy_only=False).astype(dtype) + dtype(0) if usable else None
             if usable and np.isfinite(x).all() and x.any():
                 data = x.tobytes()
                 keys.append(hashlib.blake2b(data + label.encode(), digest_size=16).digest())
@@ -60,27 +62,30 @@ def _keyed(vectors: DataFrame, id_col: str, vector_col: str, label_col: str) ->
     return map_arrow(rows, kernel, f"id {kind}, label string, key binary, vec binary")
 
 
-def _unit(vecs) -> np.ndarray:
-    """Vectors in rows, at length one; scaled first, so that no square overflows or vanishes."""
-    x = np.frombuffer(b"".join(vecs), dtype=np.float64).reshape(len(vecs), -1)
+def _dtype(vectors: DataFrame, vector_col: str) -> type:
+    return np.float32 if vectors.schema[vector_col].dataType.simpleString() == "array<float>" else np.float64
+
+
+def _unit(vecs, dtype: type) -> np.ndarray:
+    """Vectors in rows, in double precision at length one; scaled first, so that no square overflows or vanishes."""
+    x = np.frombuffer(b"".join(vecs), dtype=dtype).reshape(len(vecs), -1).astype(np.float64)
     x = x / np.abs(x).max(axis=1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
-def choose_pivots(nodes: DataFrame) -> dict[str, np.ndarray]:
-    """Per group, unit pivots picked by hash of the vector; PIVOTS_ALL at most over all groups, those of most vectors first."""
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n")).where(F.col("n") > PER_PIVOT)
-    wanted = sizes.withColumn("want", F.least(F.ceil(F.col("n") / PER_PIVOT), F.lit(PIVOTS_LABEL)))
-    wanted = wanted.orderBy(F.desc("n"), "grp").limit(PIVOTS_ALL // 2).collect()
-    pivots: dict[str, np.ndarray] = {}
-    total = 0
-    for r in wanted:
-        total += int(r["want"])
-        if total > PIVOTS_ALL:
-            break
-        picked = nodes.where(F.col("grp") == r["grp"]).orderBy(F.xxhash64("key"), "key").limit(int(r["want"]))
-        pivots[r["grp"]] = _unit([x["vec"] for x in picked.select("vec").collect()])
-    return pivots
+def choose_pivots(nodes: DataFrame, dtype: type) -> dict[str, np.ndarray]:
+    """Unit pivots of each group, picked by a hash of the vector; groups that would have less than two are left out."""
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    wish = PIVOT_SHARE * F.sqrt("n")
+    scale = min(1.0, PIVOTS / (sizes.agg(F.sum(wish)).first()[0] or 1.0))
+    # At most PIVOTS / 2 groups have two pivots or more, so their sizes can be broadcast.
+    wanted = sizes.withColumn("want", F.floor(scale * wish)).where("want >= 2")
+    place = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
+    picked = nodes.select("grp", "key", "vec").join(F.broadcast(wanted), "grp").where(place < F.col("want") / F.col("n")).select("grp", "key", "vec").collect()
+    groups: dict[str, list] = {}
+    for r in sorted(picked, key=lambda r: bytes(r["key"])):
+        groups.setdefault(r["grp"], []).append(r["vec"])
+    return {g: _unit(vecs, dtype) for g, vecs in groups.items()}
 
 
 def assign_cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
@@ -94,7 +99,8 @@ def assign_cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.n
     return home, by_triangle & by_plane & (np.arange(len(pivots)) < home[:, None])
 
 
-def _cells(nodes: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> DataFrame:
+def _cells(nodes: DataFrame, pivots: dict[str, np.ndarray], radius: float, dtype: type) -> DataFrame:
+    """Each node in its home cell and in those it visits."""
     shared = nodes.sparkSession.sparkContext.broadcast(pivots)
 
     def kernel(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -103,7 +109,7 @@ def _cells(nodes: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> Da
         for group in np.unique(groups):
             at = np.flatnonzero(groups == group)
             if group in shared.value:
-                home, visits = assign_cells(_unit([batch.column("vec")[int(i)].as_py() for i in at]), shared.value[group], radius)
+                home, visits = assign_cells(_unit([batch.column("vec")[int(i)].as_py() for i in at], dtype), shared.value[group], radius)
                 who, cell = np.nonzero(visits)
             else:
                 home, who, cell = np.zeros(len(at), dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)
@@ -122,7 +128,16 @@ def _cells(nodes: DataFrame, pivots: dict[str, np.ndarray], radius: float) -> Da
     return map_arrow(nodes.select("node", "grp", "n", "vec"), kernel, schema)
 
 
-def _block_links(least: float):
+def compared_pairs(cells: DataFrame) -> tuple[int, int]:
+    """(pairs that cells compare, pairs of equal group): what the pivots prune."""
+    home = F.count_if("home")
+    by_cell = cells.groupBy("grp", "cell").agg(home.alias("h"), (F.count("*") - home).alias("v"))
+    by_group = by_cell.groupBy("grp").agg(F.sum(F.col("h") * (F.col("h") - 1) / 2 + F.col("h") * F.col("v")).alias("c"), F.sum("h").alias("n"))
+    r = by_group.agg(F.sum("c"), F.sum(F.col("n") * (F.col("n") - 1) / 2)).first()
+    return int(r[0] or 0), int(r[1] or 0)
+
+
+def _block_links(least: float, dtype: type):
     """One block pair: how many vectors each node links with here, and edges that connect what is linked."""
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +146,7 @@ def _block_links(least: float):
             return pd.DataFrame({"node": [], "links": [], "other": []}).astype("int64")
         same = bool(pdf["same"].iloc[0])
         right = left if same else right
-        a, b = _unit(left["vec"]), _unit(right["vec"])
+        a, b = _unit(left["vec"], dtype), _unit(right["vec"], dtype)
         na, nb = left["n"].to_numpy(), right["n"].to_numpy()
         ia, ib = left["node"].to_numpy(), right["node"].to_numpy()
         links_a, links_b = np.zeros(len(a), dtype=np.int64), np.zeros(len(b), dtype=np.int64)
@@ -186,8 +201,8 @@ def near_vectors(
 
     Vectors that are null, zero, or hold null or non-finite components, and those without a label, link with nothing;
     nor do vectors of different lengths. Equal vectors are compared once and counted for each row, so repeated rows
-    link with each other. Null ids are passed over in the smallest id; a null id is never kept. Other columns are not
-    looked at. Cosines are taken in double precision.
+    link with each other. Null ids are passed over in the smallest id; a null id is never kept. An empty table gives no
+    rows. Other columns are not looked at. Cosines are taken in double precision.
     """
     prepare(vectors.sparkSession)
     keyed = materialize(_keyed(vectors, id_col, vector_col, label_col), "vectors")
@@ -196,8 +211,10 @@ def near_vectors(
     )
     group = F.concat_ws(":", F.length("vec").cast("string"), "label")
     nodes = nodes.withColumn("grp", group).withColumn("node", F.monotonically_increasing_id())
-    nodes = materialize(nodes.drop("label"), "nodes")
-    cells = materialize(_cells(nodes, choose_pivots(nodes), math.sqrt(max(0.0, 2 - 2 * least))), "cells")
+    rows = keyed.count()
+    nodes = materialize(nodes.drop("label"), "nodes", 16 * rows)  # a vector is as long as many small rows
+    dtype = _dtype(vectors, vector_col)
+    cells = materialize(_cells(nodes, choose_pivots(nodes, dtype), math.sqrt(max(0.0, 2 - 2 * least)), dtype), "cells")
     # Blocks of a cell: its homes and its visitors in parts of about BLOCK, each part of homes with each other part.
     sizes = cells.groupBy("grp", "cell").agg(
         F.ceil(F.count_if("home") / BLOCK).alias("parts"), F.ceil(F.count_if(~F.col("home")) / BLOCK).alias("guests")
@@ -220,20 +237,16 @@ def near_vectors(
     dealt = dealt.select(
         "grp", "cell", "t.*", "node", "n", "vec", ((F.col("t.a") == F.col("t.b")) & (F.col("t.kind") == "home")).alias("same")
     )
-    found = dealt.groupBy("grp", "cell", "a", "b", "kind").applyInPandas(_block_links(least), "node long, links long, other long")
+    found = dealt.groupBy("grp", "cell", "a", "b", "kind").applyInPandas(_block_links(least, dtype), "node long, links long, other long")
     found = materialize(found, "links")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
     roots = connected_components(found.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))
-    roots = materialize(roots, "roots")
-    linked = roots.join(nodes, "node").select("node", "root", "least")
-    smallest = linked.groupBy("root").agg(F.min("least").alias("smallest"), F.count("*").alias("size"))
-    of_linked = join_heavy(materialize(linked, "linked"), materialize(smallest, "smallest"), "root", "size")
-    result = nodes.select("node", "key", "n", "least").join(of_linked.select("node", "smallest"), "node", "left")
-    result = result.join(counts, "node", "left").select(
-        "key", "n", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"),
-        F.coalesce("smallest", "least").alias("component_id"),
-    )
-    usable = join_heavy(keyed.where("key IS NOT NULL").select("id", "key"), materialize(result, "result"), "key", "n")
+    members = nodes.select("node", "key", "n", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    members = materialize(members.join(counts, "node", "left"), "members", rows)
+    smallest = materialize(members.groupBy("root").agg(F.min("least").alias("component_id")), "smallest", rows)
+    result = members.join(smallest, "root").select("key", (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("n_links"), "component_id")
+    # A hot vector's rows are split by Spark: both sides are scans.
+    usable = keyed.where("key IS NOT NULL").select("id", "key").join(materialize(result, "result", rows), "key")
     alone = keyed.where("key IS NULL").select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
     out = usable.select("id", "n_links", "component_id").unionByName(alone)
     return out.select(
