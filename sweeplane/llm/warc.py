@@ -3,7 +3,8 @@
 Archives are rows (archive, content binary) of a table in the shared folder, so Spark writes and reads them on any
 store; ``spark.read.format("binaryFile")`` gives the same shape for archive files. Each record is a gzip member of its
 own. The reader checks every member, header and digest. After a failed check it searches for the next member, or in
-plain archives the next version line, goes on from there, and logs the bytes between as a quarantined gap.
+plain archives the next version line, goes on from there, and logs the bytes between as a quarantined gap. It passes
+over an archive once, whatever the number of records and damages.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_heavy, materialize, prepare
+from sweeplane.llm.common import mark_keys, materialize, prepare
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -30,6 +31,11 @@ _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 
 #: Bytes of records (compressed) after which a task starts the next archive.
 ARCHIVE_BYTES = 4 << 20
+#: Compressed bytes that are inflated at once, and inflated bytes after which a member counts as damaged.
+INFLATE_BYTES = 1 << 16
+RECORD_BYTES = 1 << 30
+#: Bytes that a header may have.
+HEADER_BYTES = 1 << 20
 
 
 def digest_of(payload: bytes) -> str:
@@ -57,7 +63,7 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
     line = _LINE.match(data, at)
     if not line:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at)
+    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
     if end < 0:
         raise Damaged("no end of header")
     fields = {}
@@ -71,36 +77,54 @@ def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
         raise Damaged("no length")
     start = end + 4
     stop = start + int(length)
-    block = data[start:stop]
-    if len(block) < int(length) or data[stop : stop + 4] != b"\r\n\r\n":
+    if data[stop : stop + 4] != b"\r\n\r\n":  # before the block is copied
         raise Damaged("length does not fit")
-    want = fields.get("warc-block-digest")
-    if want and want != "sha1:" + digest_of(block):
-        raise Damaged("block digest differs")
+    block = data[start:stop]
+    for name in _digests_of(fields):
+        want = fields.get(name, "")
+        if want.startswith("sha1:") and want != "sha1:" + digest_of(block):
+            raise Damaged(f"{name} differs")
     return fields, block, stop + 4
 
 
+def _digests_of(fields: dict[str, str]) -> list[str]:
+    """The digests that are of the block: a revisit's payload is elsewhere, and within HTTP it is only a part of it."""
+    inner = fields.get("warc-type") == "revisit" or fields.get("content-type", "").startswith("application/http")
+    return ["warc-block-digest"] + ["warc-payload-digest"] * (not inner)
+
+
+def _inflate(content: memoryview, at: int) -> tuple[bytes, int]:
+    """The gzip member that begins at ``at``, and where it ends."""
+    inflate, parts, size = zlib.decompressobj(31), [], 0
+    while not inflate.eof:
+        if at >= len(content):
+            raise Damaged("member is cut off")
+        part = content[at : at + INFLATE_BYTES]
+        try:
+            parts.append(inflate.decompress(part))
+        except zlib.error as e:
+            raise Damaged(str(e)) from e
+        at, size = at + len(part), size + len(parts[-1])
+        if size > RECORD_BYTES:
+            raise Damaged("member is too large")
+    return b"".join(parts), at - len(inflate.unused_data)
+
+
 def read_archive(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
     """(offset, length, fields, block) of each record; fields are None for a quarantined gap."""
     at = gap = 0
+    view, starts = memoryview(content), _Starts(content)
     while at < len(content):
         try:
             if content.startswith(_MAGIC, at):
-                inflate = zlib.decompressobj(31)
-                try:
-                    record = inflate.decompress(content[at:] if at else content)
-                except zlib.error as e:
-                    raise Damaged(str(e)) from e
-                if not inflate.eof:
-                    raise Damaged("member is cut off")
+                record, end = _inflate(view, at)
                 fields, block, used = parse_record(record)
                 if used != len(record):
                     raise Damaged("more than a record in the member")
-                end = len(content) - len(inflate.unused_data)
             else:
                 fields, block, end = parse_record(content, at)
         except Damaged:
-            at = _next_start(content, at + 1)
+            at = starts.after(at + 1)
             continue
         if gap < at:
             yield gap, at - gap, None, b""
@@ -110,12 +134,21 @@ def read_archive(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | No
         yield gap, len(content) - gap, None, b""
 
 
-def _next_start(content: bytes, at: int) -> int:
-    """Where the next member or version line begins, at the earliest at ``at``."""
-    member = content.find(_MAGIC, at)
-    line = _LINE.search(content, at)
-    found = [x for x in (member, line.start() if line else -1) if x >= 0]
-    return min(found, default=len(content))
+class _Starts:
+    """Where members and version lines begin. Each is searched for once: what was found ahead is kept."""
+
+    def __init__(self, content: bytes) -> None:
+        self.content, self.member, self.line = content, -1, -1
+
+    def after(self, at: int) -> int:
+        """The first beginning at ``at`` or later; the content's end without one."""
+        if self.member < at:
+            found = self.content.find(_MAGIC, at)
+            self.member = found if found >= 0 else len(self.content)
+        if self.line < at:
+            line = _LINE.search(self.content, at)
+            self.line = line.start() if line else len(self.content)
+        return min(self.member, self.line)
 
 
 def write_warc(pages: DataFrame, id_col: str = "page_id", payload_col: str = "html") -> DataFrame:
@@ -123,7 +156,8 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
 
     Of rows with equal payloads the one with the smallest id is a response with the payload; the others are revisits
     that refer to it. Null payloads are empty ones. Null ids come after all others; rows that share the smallest id
-    are all responses. Digests are counted first, so no group of equal payloads is gathered anywhere.
+    are all responses. Digests are counted first, so no group of equal payloads is gathered anywhere, and payloads whose
+    digest is none of the repeated ones are not shuffled. An empty table gives no archive.
     """
     prepare(pages.sparkSession)
     rows = pages.select(
@@ -131,11 +165,11 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
         F.col(id_col).alias("sorted"),
         F.coalesce(F.col(payload_col), F.lit("")).alias("payload"),
     ).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
-    first = rows.groupBy("digest").agg(F.min("sorted").alias("first"), F.count("*").alias("n"))
-    # Only digests that repeat take part in a join by shuffle; a payload alone on its digest is a response as it is.
-    first = materialize(first, "digests")
-    some = first.where("n > 1")
-    placed = _with_first(rows, materialize(some, "repeated"))
+    first = rows.groupBy("digest").agg(F.min("sorted").cast("string").alias("first"), F.count("*").alias("n"))
+    repeated = materialize(first.where("n > 1").select("digest", "first"), "repeated", pages.count())
+    marks = mark_keys(repeated, "digest")
+    alone = marks.rows(rows, False, "digest").withColumn("first", F.lit(None).cast("string"))
+    placed = alone.unionByName(marks.rows(rows, True, "digest").join(repeated, "digest", "left")).select("id", "first", "payload", "digest")
     names = [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,16 +208,11 @@ def _archive(members: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["archive", "content"])
 
 
-def _with_first(rows: DataFrame, repeated: DataFrame) -> DataFrame:
-    """``rows`` with the first id of their digest, null where no other row has it."""
-    first = repeated.withColumn("first", F.col("first").cast("string"))
-    return join_heavy(rows, first, "digest", "n", "left").select("id", "first", "payload", "digest")
-
-
 def read_warc(archives: DataFrame, content_col: str = "content", archive_col: str = "archive") -> DataFrame:
     """Records and gaps of archives: archive, offset, length, quarantined boolean, fields map, block binary.
 
-    A row whose content is null gives nothing. Records come in the order of their offsets within an archive.
+    A row whose content is null or empty gives nothing; nor does an empty table. Records come in the order of their
+    offsets within an archive.
     """
     prepare(archives.sparkSession)
     kind = archives.schema[archive_col].dataType.simpleString()
