@@ -1,16 +1,18 @@
 """Quality classifier: random-indexing word vectors, pooled by document, and a two-layer network.
 
 A word's index vector is sparse and ternary, drawn from its hash. Its context vector sums the index vectors of the
-words around it over the sample; the two together are its vector. A document is the mean of its words' vectors, with
+words around it over all documents; the two together are its vector. A document is the mean of its words' vectors, with
 the mean's length, the document's size, and how often a word is that one or two places before. The network has one hidden layer; a temperature fitted on rows it was not
 trained on calibrates its probabilities.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -53,28 +55,51 @@ def index_vectors() -> np.ndarray:
     return out
 
 
-def word_vectors(documents: list[np.ndarray]) -> np.ndarray:
-    """Index vectors plus context vectors of the documents, the latter at length one."""
-    index = index_vectors()
-    context = np.zeros_like(index)
-    words = np.concatenate([np.append(d, -1) for d in documents]) if documents else np.zeros(0, np.int32)
-    for apart in range(1, WINDOW + 1):
-        a, b = words[:-apart], words[apart:]
-        inside = (a >= 0) & (b >= 0)
-        if apart == 2:
-            inside &= words[1:-1] >= 0
-        a, b = a[inside], b[inside]
-        pairs, times = np.unique(a.astype(np.int64) * BUCKETS + b, return_counts=True)
-        for at in range(0, len(pairs), 1 << 18):
-            p, t = pairs[at : at + (1 << 18)], times[at : at + (1 << 18), None].astype(np.float32)
-            left, right = p // BUCKETS, p % BUCKETS
-            starts = np.flatnonzero(np.append(True, left[1:] != left[:-1])) if len(p) else np.zeros(0, int)
-            context[left[starts]] += np.add.reduceat(index[right] * t, starts)
-            order = np.argsort(right, kind="stable")
-            right, left, t = right[order], left[order], t[order]
-            starts = np.flatnonzero(np.append(True, right[1:] != right[:-1]))
-            context[right[starts]] += np.add.reduceat(index[left] * t, starts)
-    return index + context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)
+def add_contexts(total: np.ndarray, words: np.ndarray, ends: np.ndarray, index: np.ndarray) -> None:
+    """Add to each word's row of ``total`` the index vectors of the words up to WINDOW places away in its text.
+
+    ``index`` has one more row, of zeros, which stands for the places beyond a text.
+    """
+    text = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
+    at = np.arange(len(words)) + WINDOW * (text + 1)
+    laid = np.full(len(words) + WINDOW * (len(ends) + 1), BUCKETS, dtype=np.int64)
+    laid[at] = words
+    near = sum(index[laid[at + o]] for o in range(-WINDOW, WINDOW + 1) if o)
+    order = np.argsort(words.astype(np.uint16), kind="stable")
+    own = words[order]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
+    total[own[starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+
+
+def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
+    """Each bucket's context sums over all texts: partial sums from each task, then a sum by bucket.
+
+    A task holds one table of BUCKETS rows, whatever it reads, and so does the driver.
+    """
+    columns = [f"d{n}" for n in range(DIMS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = np.concatenate([index_vectors(), np.zeros((1, DIMS))]).astype(np.int8)
+        total = np.zeros((BUCKETS, DIMS), dtype=np.int64)
+        for batch in batches:
+            texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.binary())]
+            for lo, hi in blocks([len(t) for t in texts]):
+                add_contexts(total, *word_buckets(texts[lo:hi]), index)
+        rows = np.flatnonzero(total.any(axis=1))
+        for at in range(0, len(rows), 4096):
+            part = rows[at : at + 4096]
+            yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c) for c in total[part].T.copy())], names=["bucket", *columns])
+
+    sums = docs.select(text_col).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
+    found = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
+    out = np.zeros((BUCKETS, DIMS), dtype=np.int64)
+    out[found.column("bucket").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
+    return out
+
+
+def word_vectors(context: np.ndarray) -> np.ndarray:
+    """Index vectors plus context vectors, the latter at length one."""
+    return index_vectors() + (context / np.maximum(np.linalg.norm(context, axis=1, keepdims=True), 1e-6)).astype(np.float32)
 
 
 def pool(words: np.ndarray, ends: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -156,11 +181,12 @@ def fit_temperature(logits: np.ndarray, y: np.ndarray, offset: float) -> float:
 def fit_quality(docs: DataFrame, labels: DataFrame, learn, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text") -> QualityModel:
     """Fit on SAMPLE_ROWS labelled rows at most where ``learn(id column)`` holds, half of either label.
 
-    The share of label 1 among all labelled rows sets the probabilities' offset. Without rows the score is 0.5.
+    Context vectors come from all texts of ``docs``, labelled or not. The share of label 1 among all labelled rows sets
+    the probabilities' offset. Without rows the score is 0.5.
     """
     prepare(docs.sparkSession)
     y, words, _, share = labelled_sample(docs, labels, label_col, learn, SAMPLE_ROWS, split_features, id_col=id_col, text_col=text_col)
-    vectors = word_vectors(words)
+    vectors = word_vectors(context_sums(docs, text_col))
     if len(set(y.tolist())) < 2:
         z = np.zeros((POOLED, HIDDEN))
         sure = 0.0 if not len(y) else (4.0 if y[0] else -4.0)
@@ -180,7 +206,8 @@ def fit_quality(docs: DataFrame, labels: DataFrame, learn, label_col: str = "qua
 def score_quality(docs: DataFrame, model: QualityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, higher: better quality) of every whole text; null and empty texts have a score too.
 
-    Each row gives one row, repeated rows and null ids included; other columns are not looked at.
+    Each row gives one row, repeated rows and null ids included; equal texts have equal scores; an empty table gives no
+    rows. Other columns are not looked at.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
     return score_rows(docs, lambda texts: shared.value.scores([t.encode("utf-8", "replace") for t in texts]), id_col, text_col)
@@ -192,6 +219,7 @@ def learn_rows(id_col: str):
 
 
 def op5(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """The contract's columns: a row for each row of ``docs``, whatever its id and text; none for an empty table."""
     scored = score_quality(docs, fit_quality(docs, labels, learn_rows))
     return scored.select(
         "doc_id", held_out("doc_id", 3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
