@@ -15,6 +15,8 @@ from sweeplane.functions.params import param
 from sweeplane.operators.transform import resample_packed, unwrapped_deg
 
 VERSION = 1
+#: Parameters that schema inference takes as columns at most.
+MAX_KEYS = 10_000
 PARTS = ("real", "imag", "db", "mag", "deg")
 _TAG = re.compile(r"s(\d+)_(\d+)\.(real|imag|db|mag|deg)", re.IGNORECASE)
 
@@ -50,11 +52,16 @@ class Codec:
 
     @classmethod
     def infer(cls, networks: DataFrame, components: tuple[str, ...] = ("real", "imag"), **options) -> Codec:
-        """Keys are the sorted union over all samples; ports and grid are those of the smallest sample id."""
+        """Keys are the sorted union over all samples; ports and grid are those of the smallest sample id.
+
+        A codec's keys are columns of x: more than MAX_KEYS of them raise.
+        """
         first = networks.orderBy("sample_id").select("n_ports", "f_hz").first()
         if first is None:
             raise ValueError("no sample to infer from")
-        keys = networks.select(F.explode(F.map_keys("params")).alias("k")).distinct().orderBy("k").collect()
+        keys = networks.select(F.explode(F.map_keys("params")).alias("k")).distinct().orderBy("k").limit(MAX_KEYS + 1).collect()
+        if len(keys) > MAX_KEYS:
+            raise ValueError(f"more than {MAX_KEYS} parameters: name those that are wanted")
         ports = range(1, first["n_ports"] + 1)
         tags = tuple(f"S{i}_{j}.{part}" for part in components for i in ports for j in ports)
         return cls(tuple(r["k"] for r in keys), tags, tuple(first["f_hz"]), **options)
