@@ -83,6 +83,96 @@ def test_pooling_matches_a_plain_loop():
         assert np.allclose(row, [*mean, np.linalg.norm(mean), math.log1p(len(part)), *again], atol=1e-5)
 
 
+def test_context_sums_match_a_plain_loop(spark):
+    texts = ["a b c a b", "c c, d", None, "", "x", "one two three two one " * 30]
+    table = spark.createDataFrame([(t,) for t in texts], "text string").repartition(3)
+    index, want = quality.index_vectors(), np.zeros((quality.BUCKETS, quality.DIMS))
+    for t in texts:
+        words, _ = quality.word_buckets([(t or "").encode()])
+        for i, w in enumerate(words):
+            for j in range(max(0, i - quality.WINDOW), min(len(words), i + quality.WINDOW + 1)):
+                want[w] += index[words[j]] if i != j else 0
+    assert np.array_equal(quality.context_sums(table), want)
+    assert not quality.context_sums(table.where("false")).any()
+
+
+def test_quality_scores_match_a_plain_network(table, labels):
+    model = quality.fit_quality(table, labels, quality.learn_rows)
+    texts = [t.text for t in table.limit(25).select("text").collect()] + ["", "one", "!! ??"]
+    w1, b1, w2, b2 = model.weights
+    for text, got in zip(texts, model.scores([(t or "").encode() for t in texts]), strict=True):
+        words, _ = quality.word_buckets([(text or "").encode()])
+        mean = [sum(float(model.vectors[w][d]) for w in words) / max(1, len(words)) for d in range(quality.DIMS)]
+        again = [sum(a == b for a, b in zip(words[n:], words[:-n], strict=True)) / max(1, len(words)) for n in (1, 2)]
+        pooled = [*mean, math.sqrt(sum(m * m for m in mean)), math.log1p(len(words)), *again]
+        x = [(p - c) / s for p, c, s in zip(pooled, model.center, model.scale, strict=True)]
+        hidden = [math.tanh(sum(x[i] * w1[i][h] for i in range(len(x))) + b1[h]) for h in range(quality.HIDDEN)]
+        z = (sum(v * w for v, w in zip(hidden, w2, strict=True)) + float(b2)) / model.temperature + model.offset
+        assert abs(got - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-3
+
+
+def test_language_scores_match_plain_vectors(table):
+    model = langid.fit_languages(table, langid.learn_rows())
+    mix, mask, shift = [int(m) for m in langid._MIX], (1 << 32) - 1, 32 - langid.DIMS.bit_length() + 1
+
+    def plain(text):
+        data, counts = [0, *(b if b >= 128 or 97 <= b <= 122 else 0 for b in text.encode().lower()), 0], Counter()
+        for a, b, c in zip(data, data[1:], data[2:], strict=False):
+            if b:
+                counts[((a * mix[0] & mask) ^ (b * mix[1] & mask) ^ (c * mix[2] & mask)) * mix[3] % (1 << 32) >> shift] += 1
+                counts[((b * mix[2] & mask) ^ (c * mix[0] & mask)) * mix[1] % (1 << 32) >> shift] += 1
+        x = {k: math.log1p(n) * float(model.idf[k]) for k, n in counts.items()}
+        size = math.sqrt(sum(v * v for v in x.values())) or 1.0
+        return [sum(v * float(c[k]) for k, v in x.items()) / size for c in model.centroids]
+
+    rows = [(r.doc_id, r.text or "") for r in table.limit(25).select("doc_id", "text").collect()]
+    got = {r.doc_id: r for r in langid.detect_language(table.limit(25), model).collect()}
+    for i, text in rows:
+        cosines = plain(text)
+        assert abs(max(cosines) - got[i].score) < 1e-4
+        assert model.languages[model.owner[int(np.argmax(cosines))]] == got[i].lang_pred
+
+
+def test_rejection_bounds_come_from_all_rows(table):
+    learn = langid.learn_rows()
+    model = langid.fit_languages(table, learn)
+    rows = table.where(learn).where("text IS NOT NULL AND lang IS NOT NULL").select("text", "lang").collect()
+    for n, lang in enumerate(model.languages):
+        own = [r.text.encode() for r in rows if r.lang == lang]
+        steps = np.floor(model.cosines(own, [n] * len(own)) * langid.STEPS)
+        assert math.isclose(model.least[n], langid.REJECT_SHARE * np.quantile(steps, langid.REJECT_TAIL) / langid.STEPS, rel_tol=1e-9)
+        counts = langid.ngram_counts(own[:1])[0]
+        assert counts.sum() and (model.idf[counts > 0] <= model.idf.max()).all()
+
+
+def test_toxicity_scores_match_a_plain_convolution(table, labels):
+    model = toxicity.fit_toxicity(table, labels, toxicity.learn_rows)
+    texts = [t.text or "" for t in table.limit(15).select("text").collect()] + ["", "one", "two words"]
+    spoken = model.languages.nearest([t.encode() for t in texts])[0]
+    for text, lang, got in zip(texts, spoken, model.scores([t.encode() for t in texts]), strict=True):
+        words, _ = toxicity.word_rows([text.encode()])
+        raw = words.view(np.uint32).astype(np.int64)
+        x = [model.tables[0][r >> 16] + model.tables[1][r & 0xFFFF] for r in raw] + [np.zeros(toxicity.DIMS)] * toxicity._PAD
+        pooled = []
+        for w, b in zip(model.filters, model.bias, strict=True):
+            places = [sum(x[p + o] @ w[o] for o in range(len(w))) + b for p in range(len(x) - len(w) + 1)]
+            pooled += np.maximum(np.max(places, axis=0), 0).tolist()
+        z = float(np.dot(pooled, model.out)) + model.base - model.shift.get(int(lang), model.shift[-1])
+        assert abs(got - 1 / (1 + math.exp(-max(-40, min(40, z))))) < 1e-3
+
+
+def test_filters_of_rows_without_ids_and_of_no_rows(table, labels, odd_docs, empty_docs):
+    told = langid.fit_languages(table, langid.learn_rows())
+    clean = toxicity.fit_toxicity(table, labels, toxicity.learn_rows)
+    for keep, model, verdict in (
+        (langid.keep_identified, told, lambda d: langid.detect_language(d, told).where("NOT rejected")),
+        (toxicity.keep_clean, clean, lambda d: toxicity.score_toxicity(d, clean).where("score < 0.5")),
+    ):
+        kept = keep(odd_docs, model)
+        assert kept.columns == odd_docs.columns and keep(empty_docs, model).count() == 0
+        assert Counter(r.doc_id for r in kept.collect()) == Counter(r.doc_id for r in verdict(odd_docs).collect())
+
+
 def _held(rows, label):
     return [(r["score"], r["predicted"], r[label]) for r in rows if r["held_out"]]
 

@@ -1,3 +1,4 @@
+import time
 import zlib
 from collections import Counter
 
@@ -65,6 +66,30 @@ def test_salvage_of_plain_archives_and_of_none():
     assert list(warc.read_archive(b"nothing here")) == [(0, 12, None, b"")]
 
 
+def test_payload_digests_are_checked_where_the_payload_is_the_block():
+    def one(kind, **fields):
+        return warc.format_record({"WARC-Type": kind, "WARC-Payload-Digest": "sha1:" + warc.digest_of(b"body")} | fields, b"bodi")
+
+    for record, good in ((one("response"), False), (one("revisit"), True), (one("response", **{"Content-Type": "application/http;msgtype=response"}), True),
+                         (warc.format_record({"WARC-Type": "response", "WARC-Payload-Digest": "sha1:" + warc.digest_of(b"body")}, b"body"), True)):
+        for data in (record, warc.compress_record(record)):
+            assert [f is not None for _, _, f, _ in warc.read_archive(data)] == [good]
+
+
+def test_reading_time_follows_the_archive():
+    def seconds(n, kind):
+        record = warc.format_record({"WARC-Type": "response"}, np.random.default_rng(n).bytes(2000))
+        damaged = warc.compress_record(record)[:-9] + b"\x00" * 9 if kind == "gzip" else record.replace(b"Content-Length: 2000", b"Content-Length: 9999999")
+        content = (damaged + (warc.compress_record(record) if kind == "gzip" else record)) * n
+        began = time.process_time()
+        assert sum(f is not None for _, _, f, _ in warc.read_archive(content)) == n
+        return time.process_time() - began
+
+    for kind in ("gzip", "plain"):
+        seconds(50, kind)
+        assert seconds(4000, kind) < 12 * seconds(800, kind) + 0.3
+
+
 def test_salvage_as_a_table(spark):
     members = _members(3)
     table = spark.createDataFrame([("a", b"xx".join(members)), ("b", None), ("c", b"")], "archive string, content binary")
@@ -91,9 +116,10 @@ def _neighbours(rows, least=0.98):
     return Counter((rows[n][0], degree[n], small.get(root[n]), rows[n][0] is not None and small[root[n]] == rows[n][0]) for n in range(len(rows)))
 
 
-@pytest.mark.parametrize("per_pivot,block", [(1024, 2048), (20, 16)])
-def test_embeddings_match_all_pairs(spark, monkeypatch, per_pivot, block):
-    monkeypatch.setattr(embed_dedup, "PER_PIVOT", per_pivot)
+@pytest.mark.parametrize("share,pivots,block,kind", [(0.5, 32768, 2048, "float"), (2.0, 32768, 16, "double"), (2.0, 12, 2048, "float")])
+def test_embeddings_match_all_pairs(spark, monkeypatch, share, pivots, block, kind):
+    monkeypatch.setattr(embed_dedup, "PIVOT_SHARE", share)
+    monkeypatch.setattr(embed_dedup, "PIVOTS", pivots)
     monkeypatch.setattr(embed_dedup, "BLOCK", block)
     rng = np.random.default_rng(9)
     centers = rng.normal(size=(12, 8))
@@ -103,12 +129,24 @@ def test_embeddings_match_all_pairs(spark, monkeypatch, per_pivot, block):
         rows.append((i, [float(np.float32(c)) for c in v], i % 12 % 2))
     rows += [rows[0], (500, rows[3][1], rows[3][2]), (501, None, 1), (502, [0.0] * 8, 1), (503, [float("nan")] + [1.0] * 7, 1),
              (504, [None] + [1.0] * 7, 1), (505, rows[1][1], None), (None, rows[5][1], rows[5][2]), (506, rows[1][1][:4], 1), (507, [], 1)]
-    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    table = spark.createDataFrame(rows, f"vec_id long, embedding array<{kind}>, label int")
     table = table.withColumns({"node": F.lit(1), "cell": F.lit(1), "key": F.lit("k")}).repartition(3)
     assert Counter(map(tuple, embed_dedup.near_vectors(table).collect())) == _neighbours(rows)
     assert embed_dedup.near_vectors(table.where("false")).count() == 0
 
 
+def test_pivots_partition_tables_of_any_size_and_prune_pairs(spark):
+    rng = np.random.default_rng(3)
+    centers = rng.normal(size=(9, 16))
+    rows = [(i, (centers[i % 9] + rng.normal(scale=0.05, size=16)).tolist(), i % 2) for i in range(400)]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    nodes = embed_dedup._keyed(table, "vec_id", "embedding", "label").selectExpr("id AS node", "label AS grp", "1L AS n", "key", "vec")
+    pivots = embed_dedup.choose_pivots(nodes, np.float64)
+    assert pivots.keys() == {"0", "1"} and all(2 <= len(p) <= 20 for p in pivots.values())
+    compared, whole = embed_dedup.compared_pairs(embed_dedup._cells(nodes, pivots, 0.2, np.float64))
+    assert whole == 2 * 200 * 199 // 2 and 0 < compared < 0.6 * whole
+
+
 def test_components_of_chains_stars_and_loops(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 140)] + [(7, 7), (3, 2), (2, 3), (-5, 200)]
     table = spark.createDataFrame(edges, "a long, b long")

@@ -1,15 +1,19 @@
+import hashlib
+import re
+import tarfile
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tests.llm import brute
 from tokenizers import Tokenizer
 
-from sweeplane.llm import bpe, media, packing, secrets, simhash
+from sweeplane.llm import bpe, common, media, packing, secrets, simhash
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
@@ -50,6 +54,32 @@ def test_values_all_over_one_owner_are_examples(spark):
     assert (got[7].n_live, got[7].n_example, got[7].span_counts, got[4].span_counts) == (0, 1, "4:1", "3:1")
 
 
+def test_ownership_matches_a_plain_count(docs, odd_docs):
+    for table in (docs, odd_docs):
+        table = table.withColumn("lang", F.coalesce("lang", F.lit("none")))
+        rows = [(r.doc_id, r.text or "", r.source, r.lang) for r in table.select("doc_id", "text", "source", "lang").collect()]
+        repos, owners, found = defaultdict(set), defaultdict(set), []
+        for _, text, source, lang in rows:
+            base = [(s, k, e, v) for s, k, _, e, v in brute.base_spans(text)]
+            taken = [(s, e) for s, _, e, _ in base]
+            for m in re.finditer(r"[A-Za-z0-9+/_=-]{20,}", text):
+                if re.search("[0-9]", m[0]) and re.search("[A-Za-z]", m[0]) and not any(s < m.end() and m.start() < e for s, e in taken):
+                    base.append((m.start(), 3, m.end(), m[0]))
+            for _, _, _, v in base:
+                repos[v].add((source, f"{source}/{lang}" if source is not None else lang))
+                owners[v].add(source)
+            found.append(sorted(base))
+        want = Counter()
+        for (i, *_), spans in zip(rows, found, strict=True):
+            live = [len(owners[v]) <= secrets.MAX_OWNERS and len(repos[v]) <= secrets.MAX_REPOS for *_, v in spans]
+            kept = [(*s, ok) for s, ok in zip(spans, live, strict=True) if s[1] < 3 or ok]
+            text = ",".join(f"{secrets.KINDS[k]}:{s}:{e}" for s, k, e, _, _ in kept)
+            counts = ",".join(f"{len(repos[v])}:{len(owners[v])}" for *_, v, _ in kept)
+            want[i, text, sum(k == 3 for _, k, *_ in kept), sum(ok for *_, ok in kept), sum(not ok for *_, ok in kept), counts] += 1
+        got = secrets.op1(table).collect()
+        assert Counter((r.doc_id, r.spans, r.n_owned, r.n_live, r.n_example, r.span_counts) for r in got) == want
+
+
 def test_redaction_masks_spans_and_keeps_all_rows(odd_docs):
     found = secrets.scan_secrets(odd_docs, F.col("source"), F.col("source"))
     out = secrets.redact(odd_docs, found)
@@ -109,10 +139,39 @@ def test_dense_anchors_connect_the_same_fingerprints(spark, monkeypatch):
         assert brute.components(sorted(fps), edges) == want
 
 
-def test_keep_one_of_each_group(odd_docs):
-    kept = simhash.keep_one(odd_docs)
-    assert kept.columns == odd_docs.columns
-    assert sorted(r.doc_id for r in kept.select("doc_id").collect() if r.doc_id) == [1, 3, 4, 7, 8, 9]
+def _first_of_each(rows):
+    prints = [(i is None, i, brute.simhash(t) - (1 << 64) * (brute.simhash(t) >> 63)) for i, t in rows]
+    links = [(a, b) for a in range(len(rows)) for b in range(a) if bin((prints[a][2] ^ prints[b][2]) & (2**64 - 1)).count("1") <= 2]
+    groups = defaultdict(list)
+    for n, r in brute.components(range(len(rows)), links).items():
+        groups[r].append((prints[n][0], prints[n][1] or 0, prints[n][2], prints[n][1]))
+    return Counter((x[3], x[2]) for x in map(min, groups.values()))
+
+
+def test_keep_one_of_each_group(spark, docs, odd_docs, empty_docs):
+    t, u = "one two three four five six seven eight", "quite another text of its own that nobody copied"
+    odd = spark.createDataFrame(
+        [(1, t), (None, t), (None, u), (5, t), (5, u), (6, "x y z w"), (6, "x y z w"), (None, None), (None, ""), (7, u + " v"), (None, "alone at last")],
+        "doc_id long, text string",
+    ).withColumns({c: F.lit(c) for c in ("id", "fp", "odd", "root", "key")}).repartition(3)
+    for table in (docs, odd_docs, odd, empty_docs):
+        kept = simhash.keep_one(table)
+        assert kept.columns == table.columns
+        rows = [(r.doc_id, r.text) for r in table.select("doc_id", "text").collect()]
+        got = [(r.doc_id, r.text) for r in kept.select("doc_id", "text").collect()]
+        signed = lambda x: x - (1 << 64) * (x >> 63)
+        assert Counter((i, signed(brute.simhash(x))) for i, x in got) == _first_of_each(rows)
+        assert not Counter(got) - Counter(rows)
+
+
+def test_marked_keys_are_never_missed(spark):
+    keys = spark.range(0, 500, 1).select(F.col("id").alias("k"))
+    all_rows = spark.range(0, 40_000).withColumn("k", F.col("id")).unionByName(spark.createDataFrame([(-1, None)], "id long, k long"))
+    marks = common.mark_keys(keys, "k")
+    got = {r.id for r in marks.rows(all_rows, True, "k").collect()}
+    assert set(range(500)) <= got and len(got) < 600
+    assert marks.rows(all_rows, False, "k").count() + len(got) == 40_001 and marks.rows(all_rows, True, "k").columns == ["id", "k"]
+    assert common.mark_keys(keys.where("false"), "k").rows(all_rows, True, "k").isEmpty()
 
 
 def test_bpe_matches_the_library(docs, odd_docs, empty_docs):
@@ -130,6 +189,11 @@ def test_bpe_matches_the_library(docs, odd_docs, empty_docs):
     encoded = bpe.bpe_encode(docs, RANKS, public_tokenizers.PATTERN)
     back = {r.doc_id: bytes(r.data).decode() for r in bpe.bpe_decode(encoded, RANKS).collect()}
     assert back == {r.doc_id: r.text or "" for r in docs.collect()}
+    odd = docs.sparkSession.createDataFrame([(1, None), (2, []), (3, [0, None])], "doc_id long, ids array<int>")
+    assert [bytes(r.data) for r in bpe.bpe_decode(odd.where("doc_id < 3"), RANKS).collect()] == [b"", b""]
+    assert bpe.bpe_decode(odd.where("false"), RANKS).count() == 0
+    with pytest.raises(Exception, match="KeyError"):
+        bpe.bpe_decode(odd, RANKS).collect()
 
 
 def test_replay_takes_lower_ranks_that_come_up_first():
@@ -153,6 +217,22 @@ def test_media_round_trip(docs, odd_docs, empty_docs):
         assert Counter(map(tuple, media.op7(table).collect())) == want
 
 
+def test_equal_texts_of_different_partitions_are_stored_once(spark, tmp_path):
+    texts = [f"own text {i} " * 20 for i in range(30)] + ["copied " * 50] * 40 + [None, "", ""]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)
+    stored = media.store_media(table, f"file://{tmp_path}/shards")
+    rows = stored.rows().collect()
+    names = [m.name for p in (tmp_path / "shards").iterdir() for m in tarfile.open(p)]
+    assert len(rows) == len(texts) and len(names) == len(set(names)) == len({t or "" for t in texts})
+    assert {bytes(r.digest) for r in rows} == {hashlib.sha256(media.pad((t or "").encode())).digest() for t in texts}
+    for r in rows:
+        data = (tmp_path / "shards" / r.shard).read_bytes()[r.offset : r.offset + r.length]
+        assert media.decode_image(data).tobytes() == media.pad((texts[r.id] or "").encode())
+    heads = media.media_metadata(stored.rows(), stored.folder).collect()
+    assert len(heads) == len(texts) and all((r.width, r.depth) == (192, 8) for r in heads)
+    assert media.media_metadata(stored.rows().where("false"), stored.folder).count() == 0
+
+
 def test_image_checks_find_damage():
     image = bytearray(media.encode_image(media.pad(b"abc")))
     assert media.decode_image(bytes(image)).tobytes() == media.pad(b"abc")
@@ -166,7 +246,6 @@ def test_image_checks_find_damage():
 
 def test_packing_covers_every_id_once(docs, odd_docs, empty_docs):
     tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
     assert packing.pack_documents(empty_docs, WORDS).count() == 0
     for table in (docs, odd_docs):
         rows = packing.pack_documents(table, WORDS).collect()
@@ -204,10 +283,41 @@ def test_patterns_meet_the_histogram_with_little_waste():
 
 def test_word_ids_match_whole_texts():
     words = packing.WordIds(open(WORDS, encoding="utf-8").read())
+    library = Tokenizer.from_file(WORDS)
     pieces = ["we'll, THE end.", "İ. İstanbul,", "été x\x1cy z", "क़, ab.", "a<|endoftext|>b", "日本, 12.5 ..,", "ΣΑΣ. ΣΑΣ", ""]
-    for text in [*pieces, "  ".join(pieces)]:
-        plain = np.array(words.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
+    pieces += ["a<|ENDOFTEXT|>b <|startOfText|>", "日本 <|EndOfText|>", "x <|startoftext|><|endoftext|> y", "<|endoftext"]
+    for text in [*pieces, "  ".join(pieces), "  ".join(pieces[:4] + pieces[5:10])]:
+        plain = np.array(library.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
         assert words.encode([text])[0] == plain
+    assert library.encode("hello <|endoftext|> world", add_special_tokens=False).ids == [3306, 49407, 1002]
+
+
+def test_short_texts_are_packed_with_little_padding(spark):
+    rng = np.random.default_rng(5)
+    sizes = [0] * 9000 + [int(n) for n in rng.integers(1, 40, 6000)] + [19] * 5000
+    table = spark.createDataFrame([(i, "the " * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(4)
+    rows = packing.pack_documents(table, WORDS).collect()
+    assert len(rows) == len(sizes) and all(r.length == sizes[r.doc_id] + 1 for r in rows)
+    filled = Counter()
+    for r in rows:
+        filled[r.sequence_id] += r.length
+    assert max(filled.values()) <= 4096 and sorted(filled) == list(range(len(filled)))
+    assert sum(filled.values()) > 0.97 * 4096 * (len(filled) - 1)
+
+
+def test_plan_table_deals_every_rank_within_capacity():
+    rng = np.random.default_rng(11)
+    for _ in range(20):
+        histogram = {int(c): int(n) for c, n in zip(rng.integers(1, 257, 30), rng.integers(1, 700, 30), strict=True)}
+        histogram |= {int(c) * 16: int(n) for c, n in zip(rng.integers(17, 255, 20), rng.integers(1, 90, 20), strict=True)} | {0: 5}
+        table = packing.plan_table(histogram, 4096)
+        load = Counter()
+        for c, n in histogram.items():
+            own = table[table[:, 0] == c]
+            for rank in range(n):
+                _, first, base, count = own[own[:, 1] <= rank][-1]
+                load[int(base) + (rank - int(first)) // int(count)] += c or 4096
+        assert max(load.values()) <= 4096 and set(load) == set(range(max(load) + 1))
 
 
 def test_arrow_types_of_ids_pass_through(spark):
