@@ -1,16 +1,16 @@
 """Sequence packing as cutting stock: column generation over the length histogram, patterns dealt to ranked documents.
 
 A document longer than a sequence is cut into full sequences and a rest. The rests' lengths are rounded up to GRAIN
-tokens and counted; the counts (at most length/GRAIN of them, whatever the table's size) go to the driver. A linear
-program picks patterns of classes that fill a sequence; a knapsack dynamic program prices new patterns; the rounded
-solution is a table of patterns. Rests are ranked within their class and a rank leads to sequence by arithmetic, so
-the rows themselves never leave the executors.
+tokens and counted; the counts (at most length/GRAIN of them, whatever the table's size) go to the driver. Rests of up to
+SHORT tokens have a class for every length, and so many of one length are an item that rounding costs next to nothing. A
+linear program picks patterns of items that fill a sequence; a knapsack dynamic program prices new patterns; the rounded
+solution is a table of patterns. Rests are ranked within their class and a rank leads to its sequence by a search in that
+table, so the rows themselves never leave the executors.
 """
 
 from __future__ import annotations
 
 import json
-import math
 import string
 import unicodedata
 import zlib
@@ -24,14 +24,18 @@ from pyspark.sql.window import Window
 
 from sweeplane.llm.common import materialize, prepare, texts_of
 
-#: Length classes are multiples of so many tokens.
+#: Length classes are multiples of so many tokens; up to SHORT tokens every length is a class, whose pieces go together in
+#: items that rounding makes longer by a share of ITEM_SLACK at most, if items of ITEM_TOKENS can.
 GRAIN = 16
+SHORT = 256
+ITEM_SLACK = 0.01
+ITEM_TOKENS = 512
 #: The linear program ends this close to the bound of sequences without any padding.
 NEAR_BOUND = 0.0005
-#: Rows of a chunk, in which pieces of one class are ranked.
-CHUNK_ROWS = 2000
-#: Distinct words whose ids a worker keeps; then it starts anew.
-CACHE_WORDS = 350_000
+#: Chunks of the table; pieces of one class are ranked within each. Their counts are CHUNKS times the classes at most.
+CHUNKS = 1024
+#: Bytes of words and their ids, with what holds them, that a worker keeps; then it starts anew.
+CACHE_BYTES = 32 << 20
 #: Marks that, behind letters, are split from them by the tokenizer's pattern.
 MARKS = string.punctuation
 #: White space to the tokenizer's pattern but not to ``str.split``, and the other way round.
@@ -163,7 +167,8 @@ class WordIds:
     """Ids of whole texts by a tokenizer that drops white space: each distinct word is encoded once, by the library.
 
     Texts of Latin-1 characters are cut as lower-case bytes, with a full stop or comma behind letters as a word of its
-    own, as the tokenizer's pattern cuts them too; other texts are cut at white space alone.
+    own, as the tokenizer's pattern cuts them too; other texts are cut at white space alone. A text in which a special
+    token's string stands is encoded whole, by the library as it loads, which gives that token's id.
     """
 
     def __init__(self, tokenizer_json: str) -> None:
@@ -172,14 +177,18 @@ class WordIds:
 
         config = json.loads(tokenizer_json)
         assert not config.get("post_processor"), "only tokenizers without a post-processor join word by word"
+        self.json, self.whole = tokenizer_json, None
+        self.special = [t["content"] for t in config["added_tokens"]]
+        # Words are lower-case already, so that what looks like a special token among them was none in the text.
         self.tokenizer = Tokenizer.from_str(tokenizer_json)
-        self.tokenizer.encode_special_tokens = True  # a special token's string in a text is ordinary text
+        self.tokenizer.encode_special_tokens = True
         self.space = regex.compile(r"\s+")
         vocabulary = self.tokenizer.get_vocab()
         self.word_end = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
         if suffix := config["model"].get("end_of_word_suffix"):
             self.word_end[[i for t, i in vocabulary.items() if t.endswith(suffix)]] = True
         self.ids: dict[bytes | str, bytes] = {}
+        self.held = 0
 
     def words(self, text: str) -> list:
         """The text's words: bytes of a Latin-1 text, strings of others."""
@@ -236,13 +245,24 @@ class WordIds:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian unsigned 32-bit integers."""
-        if len(self.ids) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.ids.clear()
+            self.held = 0
         self.ids[b""] = b""  # between two spaces
-        split = [self.words(t) for t in texts]
-        self.learn(set().union(*split).difference(self.ids))
+        alone = {n for n, t in enumerate(texts) if any(s in t for s in self.special)}
+        split = [[] if n in alone else self.words(t) for n, t in enumerate(texts)]
+        new = set().union(*split).difference(self.ids)
+        self.learn(new)
         look = self.ids.__getitem__
-        return [b"".join(map(look, ws)) for ws in split]
+        self.held += sum(len(w) + len(look(w)) + 200 for w in new)
+        out = [b"".join(map(look, ws)) for ws in split]
+        if alone and self.whole is None:
+            from tokenizers import Tokenizer
+
+            self.whole = Tokenizer.from_str(self.json)
+        for n in alone:
+            out[n] = np.array(self.whole.encode(texts[n], add_special_tokens=False).ids, dtype="<u4").tobytes()
+        return out
 
 
 _TOKENIZERS: dict[int, WordIds] = {}
@@ -284,6 +304,50 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
+def item_pieces(length: int, grain: int = GRAIN) -> int:
+    """How many pieces of a length are one item: the fewest whose rounding to ``grain`` costs little."""
+    waste = {k: -(-k * length // grain) * grain / (k * length) - 1 for k in range(1, max(1, ITEM_TOKENS // length) + 1)}
+    return min(waste, key=lambda k: (max(waste[k], ITEM_SLACK), k))
+
+
+def plan_table(histogram: dict[int, int], capacity: int, grain: int = GRAIN) -> np.ndarray:
+    """Rows (class, first rank, first sequence, pieces of the class in a sequence), by class, then rank.
+
+    ``histogram`` has the pieces of each class: 0 for those that fill a sequence, a length up to SHORT, else a multiple of
+    ``grain``. Sequences are numbered without a gap.
+    """
+    whole = histogram.get(0, 0)
+    rows, base = [(0, 0, 0, 1)] if whole else [], whole
+    # Items of one size, in the order of their classes: (class, pieces in an item, items).
+    items: dict[int, list[tuple[int, int, int]]] = {}
+    for c, n in sorted(histogram.items()):
+        if c:
+            k = item_pieces(c, grain) if c <= SHORT else 1
+            items.setdefault(-(-k * c // grain), []).append((c, k, -(-n // k)))
+    given = {size: [0, 0] for size in items}  # the class whose items are dealt now, and how many of them are
+    for times, pattern in plan_patterns({s: sum(n for _, _, n in own) for s, own in items.items()}, capacity // grain):
+        for size, count in pattern.items():
+            at, left = 0, times * count  # places of this size in these sequences, in order
+            while left:
+                which, done = given[size]
+                c, k, n = items[size][which]
+                take = min(left, n - done)
+                # A run of places may begin or end within a sequence: up to that sequence's end, whole ones, and the rest.
+                for lo, hi in _runs(at, at + take, count):
+                    rows.append((c, (done + lo - at) * k, base + lo // count, min(count, hi - lo) * k))
+                at, left = at + take, left - take
+                given[size] = [which, done + take] if done + take < n else [which + 1, 0]
+        base += times
+    return np.array(sorted(rows), dtype=np.int64).reshape(-1, 4)
+
+
+def _runs(lo: int, hi: int, count: int) -> list[tuple[int, int]]:
+    """The range cut where its first whole sequence of ``count`` places begins and its last one ends."""
+    first, last = min(hi, -(-lo // count) * count), max(lo, hi // count * count)
+    cuts = sorted({lo, first, max(first, last), hi})
+    return list(zip(cuts, cuts[1:], strict=False))
+
+
 def pack_documents(
     docs: DataFrame, tokenizer_path: str, capacity: int = 4096, end_id: int = 2, grain: int = GRAIN,
     id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = False,
@@ -297,43 +361,30 @@ def pack_documents(
     spark = prepare(docs.sparkSession)
     pieces = _pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids)
     pieces = materialize(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
-    size = (F.ceil(F.col("length") / grain) * grain).cast("int")
+    size = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / grain) * grain).cast("int")
     full = F.col("length") > capacity - grain
     # Ranks without a group that holds a whole class: chunks of the table, their counts, and a running total of those.
-    total = pieces.count()
-    chunks = max(1, math.ceil(total / CHUNK_ROWS))
     dealt = pieces.withColumn("__size", F.when(full, F.lit(0)).otherwise(size))
-    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("__uid"), F.lit(chunks)).cast("int"))
-    counts = materialize(dealt.groupBy("__size", "__chunk").agg(F.count("*").alias("__n")), "counts")
+    dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("__uid"), F.lit(CHUNKS)).cast("int"))
+    counts = materialize(dealt.groupBy("__size", "__chunk").agg(F.count("*").alias("__n")), "counts", pieces.count())
+    histogram = {r["__size"]: r["n"] for r in counts.groupBy("__size").agg(F.sum("__n").alias("n")).collect()}
+    plan = spark.sparkContext.broadcast(plan_table(histogram, capacity, grain))
     before = Window.partitionBy("__size").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy("__size", "__chunk").orderBy("__uid")
     ranked = dealt.withColumn("__rank", F.row_number().over(within) - 1).join(counts, ["__size", "__chunk"])
-    ranked = ranked.withColumn("__rank", F.col("__rank") + F.col("__before"))
-    histogram = {r["__size"] // grain: r["n"] for r in counts_of(dealt)}
-    whole = histogram.pop(0, 0)
-    # Sequences 0 .. whole-1 hold one full piece each; then come the patterns' sequences, in order.
-    rows, base = [(0, 0, whole, 0, 1)], whole
-    given: dict[int, int] = {}
-    for times, pattern in plan_patterns(histogram, capacity // grain):
-        for s, count in pattern.items():
-            first = given.get(s, 0)
-            rows.append((s * grain, first, first + times * count, base, count))
-            given[s] = first + times * count
-        base += times
-    plan = spark.createDataFrame(rows, "__size int, __first long, __end long, __base long, __count long")
-    hit = (
-        (ranked["__size"] == plan["__size"]) & (ranked["__rank"] >= plan["__first"]) & (ranked["__rank"] < plan["__end"])
-    )
-    placed = ranked.join(F.broadcast(plan), hit).drop(plan["__size"])
-    sequence = F.col("__base") + F.floor((F.col("__rank") - F.col("__first")) / F.col("__count"))
-    placed = placed.withColumn("sequence_id", sequence.cast("long"))
+
+    @F.arrow_udf("long")
+    def sequence(size: pa.Array, rank: pa.Array) -> pa.Array:
+        """The plan's row of a class with the last first rank that is not above the rank, and from there by arithmetic."""
+        table = plan.value
+        size, rank = size.to_numpy().astype(np.int64), rank.to_numpy()
+        at = np.searchsorted(table[:, 0] << 44 | table[:, 1], size << 44 | rank, side="right") - 1
+        _, first, base, count = table[at].T
+        return pa.array(base + (rank - first) // count)
+
+    placed = ranked.withColumn("sequence_id", sequence(F.col("__size"), F.col("__rank") + F.col("__before")))
     inside = Window.partitionBy("sequence_id").orderBy("__uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
     columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     return placed.select(*columns, *["ids"] * keep_ids)
-
-
-def counts_of(dealt: DataFrame) -> list:
-    """The length histogram: at most capacity/grain rows."""
-    return dealt.groupBy("__size").agg(F.count("*").alias("n")).collect()
