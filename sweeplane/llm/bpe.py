@@ -20,10 +20,10 @@ from pyspark.sql import DataFrame
 
 from sweeplane.llm.common import map_arrow, prepare, sha256, texts_of
 
-#: Distinct matches whose ids a worker keeps between blocks; then it starts anew.
-CACHE_WORDS = 1_000_000
+#: Bytes of distinct matches and their ids, with what holds them, that a worker keeps between blocks; then it starts anew.
+CACHE_BYTES = 64 << 20
 #: Token pairs whose merge a worker remembers.
-KNOWN_PAIRS = 1_000_000
+KNOWN_PAIRS = 300_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
@@ -136,18 +136,21 @@ class Encoder:
         self.merges = Merges(ranks)
         self.find = regex.compile(pattern).findall
         self.ids: dict[str, str] = {}
+        self.held = 0
         self.token = {str(r): t for t, r in ranks.items()}
 
     def learn(self, words: set[str]) -> None:
         """Have the ids of these matches at hand, as decimal ids joined by commas."""
         new = list(words.difference(self.ids))
         for word, ids in zip(new, replay([w.encode() for w in new], self.merges), strict=True):
-            self.ids[word] = ",".join(map(str, ids))
+            self.ids[word] = joined = ",".join(map(str, ids))
+            self.held += len(word) + len(joined) + 250
 
     def encode_block(self, texts: list[str]) -> list[str]:
         """Each text's ids, joined by commas."""
-        if len(self.ids) > CACHE_WORDS:
+        if self.held > CACHE_BYTES:
             self.ids.clear()
+            self.held = 0
         found = [self.find(t) for t in texts]
         self.learn(set().union(*found))
         look = self.ids.__getitem__
@@ -179,8 +182,8 @@ def bpe_encode(
 ) -> DataFrame:
     """Encode every whole text: id, ids array<int>; with ``digests`` instead n_tokens, ids_sha256, decoded_sha256.
 
-    A null text is encoded as an empty one (no ids). Each row gives one row, repeated rows and null ids included;
-    other columns are not looked at. The rank file's content (of fixed size) is broadcast.
+    A null text is encoded as an empty one (no ids). Each row gives one row, repeated rows and null ids included; an empty
+    table gives none; other columns are not looked at. The rank file's content (of fixed size) is broadcast.
     """
     prepare(docs.sparkSession)
     ranks = _ranks_broadcast(docs, ranks_path)
@@ -211,7 +214,7 @@ def bpe_encode(
 
 
 def bpe_decode(encoded: DataFrame, ranks_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Ids back to bytes: id, data binary. Null ids give empty data; an unknown id raises KeyError."""
+    """Ids back to bytes: id, data binary. Null ids give empty data; an unknown id raises KeyError; no row gives no row."""
     prepare(encoded.sparkSession)
     ranks = _ranks_broadcast(encoded, ranks_path)
 
