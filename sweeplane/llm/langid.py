@@ -1,8 +1,8 @@
 """Language identification by nearest centroid.
 
 Texts become TF-IDF vectors of hashed byte n-grams, at length one. Every language of the table has several centroids,
-from spherical k-means on a bounded sample of its labelled rows, in a task of its own. Document frequencies, and the cosines
-that the bounds of rejection come from, are counted over all labelled rows. A text gets the language of the centroid of
+from spherical k-means on a bounded sample of its labelled rows, in a task of its own. Document frequencies (by language,
+then averaged), and the cosines that the bounds of rejection come from, are counted over all labelled rows. A text gets the language of the centroid of
 highest cosine; below the language's least cosine it counts as rejected.
 """
 
@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from sweeplane.llm.common import blocks, bucket_of, held_out, map_arrow, prepare
 
@@ -132,23 +133,35 @@ def _matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype=np.float16).reshape(-1, DIMS).astype(np.float32)
 
 
-def _frequencies(rows: DataFrame) -> tuple[int, np.ndarray]:
-    """Rows with a text, and how many of them each bucket is in: one row a bucket from each task, then a sum."""
+def _shares(rows: DataFrame) -> tuple[int, np.ndarray]:
+    """Languages, and the share of a language's rows that each bucket is in, averaged over the languages.
+
+    So a language does not count for more by having more rows. A task gives one row for each language and bucket.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(DIMS + 1, dtype=np.int64)  # the last place counts rows
+        totals: dict[str, np.ndarray] = {}
         for batch in batches:
+            langs = np.array(batch.column("lang").to_pylist())
             texts = [t.as_py() for t in batch.column("text").cast(pa.binary())]
             for lo, hi in blocks([len(t) + 4000 for t in texts]):
-                total[:DIMS] += (ngram_counts(texts[lo:hi]) > 0).sum(axis=0)
-            total[DIMS] += batch.num_rows
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], names=["bucket", "n"])
-
-    out = np.zeros(DIMS + 1, dtype=np.int64)
-    for r in rows.select("text").mapInArrow(run, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).collect():
-        out[r["bucket"]] = r["n"]
-    return int(out[DIMS]), out[:DIMS]
+                found = ngram_counts(texts[lo:hi]) > 0
+                for lang in np.unique(langs[lo:hi]):
+                    own = langs[lo:hi] == lang
+                    total = totals.setdefault(str(lang), np.zeros(DIMS + 1, dtype=np.int64))  # the last place counts rows
+                    total[:DIMS] += found[own].sum(axis=0)
+                    total[DIMS] += own.sum()
+        for lang, total in totals.items():
+            at = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at), pa.array(total[at])], names=["lang", "bucket", "n"])
+
+    counts = rows.select("text", "lang").mapInArrow(run, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    size = F.max(F.when(F.col("bucket") == DIMS, F.col("n"))).over(Window.partitionBy("lang"))  # DIMS + 1 rows a language
+    shares = counts.withColumn("rows", size).groupBy("bucket").agg(F.sum(F.col("n") / F.col("rows")).alias("share"))
+    out = np.zeros(DIMS + 1)
+    for r in shares.collect():
+        out[r["bucket"]] = r["share"]
+    return int(round(out[DIMS])), out[:DIMS] / max(1.0, out[DIMS])
 
 
 def _tails(rows: DataFrame, model: LanguageModel) -> dict[str, float]:
@@ -180,10 +193,11 @@ def fit_languages(
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
     rows = rows.where(F.col("learn") & F.col("id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).drop("learn")
-    count, frequency = _frequencies(rows)
-    if not count:
+    languages, share = _shares(rows)
+    if not languages:
         return _no_model()
-    idf = (np.log((1 + count) / (1 + frequency)) + 0.1).astype(np.float32)
+    count = languages * LANGUAGE_ROWS
+    idf = (np.log((1 + count) / (1 + count * share)) + 0.1).astype(np.float32)
 
     def fit(group: pa.Table) -> pa.Table:
         group = group.sort_by([("place", "ascending"), ("x", "ascending")])
