@@ -22,6 +22,8 @@ BLOCK_BYTES = 1 << 18
 HEAVY_KEYS = 256
 #: Rows of small records that make a file worth its own.
 FILE_ROWS = 1 << 16
+#: Rows that are counted before they are broadcast; more of them meet the other side in a shuffled join of marked rows.
+BROADCAST_ROWS = 1 << 17
 #: A bitmap of marked keys has 2^MARK_BITS bits (4 MB), however many keys there are.
 MARK_BITS = 25
 
@@ -94,6 +96,21 @@ def mark_keys(keys: DataFrame, key: str) -> KeyMarks:
     return KeyMarks(keys.sparkSession.createDataFrame(found, "__word long, __bits long"))
 
 
+def join_marked(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
+    """Left, or left anti, join of ``df`` (any size, any skew) with written ``keys`` (one row a key), both with a column ``key``.
+
+    Up to BROADCAST_ROWS keys are broadcast. With more, only rows that may hold one are shuffled, and a hot key among them is
+    split by Spark: both sides are scans.
+    """
+    if keys.count() <= BROADCAST_ROWS:
+        return df.join(F.broadcast(keys), key, how)
+    marks = mark_keys(keys, key)
+    clear = marks.rows(df, False, key)
+    if how == "left":
+        clear = clear.withColumns({f.name: F.lit(None).cast(f.dataType) for f in keys.schema.fields if f.name != key})
+    return clear.unionByName(marks.rows(df, True, key).join(keys, key, how))
+
+
 def bucket_of(id_col: str, buckets: int) -> Column:
     """crc32 of the id as text, modulo ``buckets``; null for a null id."""
     return F.crc32(F.col(id_col).cast("string")) % F.lit(buckets)

@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_heavy, map_arrow, mark_keys, materialize, prepare, texts_of
+from sweeplane.llm.common import join_heavy, join_marked, map_arrow, materialize, prepare, texts_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -163,14 +163,13 @@ def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mask: st
 
     Base spans are found again in the text at hand; ``owned`` ones, which the whole corpus decides on, are taken from the
     scan by a hash of the text, on which alone a scan's spans depend: ids may be null, repeat, or stand for several texts.
-    Only rows whose text may have such a span are shuffled. Null and empty texts stay as they are, each repeated row is
+    Where texts with such spans are too many to broadcast, only rows that may be one of them are shuffled. Null and empty texts stay as they are, each repeated row is
     masked for itself, spans that overlap become one mask, and an empty table gives no rows.
     """
     owned = scanned.where(F.exists("spans", lambda s: s["kind"] == 3)).groupBy(F.col("text_key").alias("__key"))
     cut = F.transform(F.filter(F.first("spans"), lambda s: s["kind"] == 3), lambda s: F.struct(s["start"], s["end"]))
     owned = materialize(owned.agg(cut.alias("__owned")), "owned", docs.count())
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
-    marks = mark_keys(owned, "__key")
 
     @F.arrow_udf("string")
     def masked(texts: pa.Array, owned: pa.Array) -> pa.Array:
@@ -185,10 +184,9 @@ def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mask: st
             out.append("".join([*parts, text[at:]]) if cuts else None)
         return pa.array(out, pa.string())
 
-    clear = marks.rows(docs, False, key).withColumn("__owned", F.lit(None).cast(owned.schema["__owned"].dataType))
-    met = marks.rows(docs, True, key).withColumn("__key", key).join(owned, "__key", "left").select(*docs.columns, "__owned")
+    met = join_marked(docs.withColumn("__key", key), owned, "__key", "left")
     text = F.coalesce(masked(F.col(text_col), F.col("__owned")), F.col(text_col))
-    return clear.unionByName(met).withColumn(text_col, text).select(docs.columns)
+    return met.withColumn(text_col, text).select(docs.columns)
 
 
 def text_key(text: str) -> bytes:

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import map_arrow, mark_keys, materialize, prepare
+from sweeplane.llm.common import join_marked, map_arrow, materialize, prepare
 from sweeplane.llm.graph import connected_components
 
 SEED = 42
@@ -205,7 +205,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Null ids come after all others, so a row without an id stays only if its whole component has none. Which of several
     rows of one id and one fingerprint stays is not defined. Null and empty texts are one component. An id may stand for
     several texts: each is judged by its own component. An empty table gives no rows; all columns stay as they were.
-    Rows whose id is certain to stay are not shuffled.
+    Where the ids that go are too many to broadcast, only rows that may have one of them are shuffled.
     """
     prepare(docs.sparkSession)
     prints = materialize(fingerprints(docs, id_col, text_col), "fingerprints")
@@ -217,14 +217,13 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     # Ids that go, and those of several rows, which are judged by row.
     doubtful = gone.unionByName(odd).groupBy("id").agg(F.max("odd").alias("odd"))
     doubtful = materialize(doubtful, "doubtful", prints.count()).withColumnRenamed("id", "__id")
-    marks, key, columns = mark_keys(doubtful, "__id"), F.col(id_col), docs.columns
-    named_docs = docs.where(key.isNotNull())
-    may = marks.rows(named_docs, True, id_col)
-    kept = marks.rows(named_docs, False, id_col).unionByName(may.join(doubtful, key == F.col("__id"), "left_anti"))
+    key, columns = F.col(id_col), docs.columns
+    named_docs = docs.where(key.isNotNull()).withColumn("__id", key)
+    kept = join_marked(named_docs, doubtful.select("__id"), "__id", "left_anti").select(columns)
     several = doubtful.where("odd")
     if several.isEmpty() and prints.where("id IS NULL").isEmpty():
         return kept
-    by_row = may.join(several, key == F.col("__id"), "left_semi").unionByName(docs.where(key.isNull()))
+    by_row = named_docs.join(several.select("__id"), "__id", "left_semi").select(columns).unionByName(docs.where(key.isNull()))
     # Rows of one id and fingerprint meet as partial aggregates, so a hot pair is one row a task.
     by_row = by_row.withColumn("__fp", fingerprint_column(text_col)).dropDuplicates([id_col, "__fp"])
     stay = stay.select(F.col("id").alias("__id"), F.col("fp").alias("__first"))

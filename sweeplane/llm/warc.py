@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import mark_keys, materialize, prepare
+from sweeplane.llm.common import join_marked, materialize, prepare
 
 # Fixed values of the format.
 VERSION = b"WARC/1.1"
@@ -167,9 +167,7 @@ def write_warc(pages: DataFrame, id_col: str = "page_id", payload_col: str = "ht
     ).withColumn("digest", F.sha1(F.col("payload").cast("binary")))
     first = rows.groupBy("digest").agg(F.min("sorted").cast("string").alias("first"), F.count("*").alias("n"))
     repeated = materialize(first.where("n > 1").select("digest", "first"), "repeated", pages.count())
-    marks = mark_keys(repeated, "digest")
-    alone = marks.rows(rows, False, "digest").withColumn("first", F.lit(None).cast("string"))
-    placed = alone.unionByName(marks.rows(rows, True, "digest").join(repeated, "digest", "left")).select("id", "first", "payload", "digest")
+    placed = join_marked(rows, repeated, "digest", "left").select("id", "first", "payload", "digest")
     names = [id_col]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

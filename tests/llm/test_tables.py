@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 from tests.llm import brute
 
-from sweeplane.llm import embed_dedup, graph, warc
+from sweeplane.llm import common, embed_dedup, graph, warc
 
 SF = "/root/testdata/sf0.001"
 
@@ -27,7 +27,9 @@ def _revisits(rows):
     return out
 
 
-def test_warc_round_trip(spark):
+@pytest.mark.parametrize("broadcast", [1 << 17, 0])
+def test_warc_round_trip(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(common, "BROADCAST_ROWS", broadcast)
     pages = spark.read.parquet(f"{SF}/pages.parquet")
     odd = spark.createDataFrame(
         [(5, "same"), (3, "same"), (4, None), (9, ""), (7, "é" * 500_000), (7, "é" * 500_000), (None, "same"), (1, "WARC/1.1\r\n\r\n")],
