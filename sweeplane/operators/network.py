@@ -89,6 +89,12 @@ def check_grid(points: DataFrame, tol_hz: float = 1e-3) -> DataFrame:
     return out.where("n_bad > 0").select("sample_id", "n_bad")
 
 
+def check_units(networks: DataFrame) -> DataFrame:
+    """Samples whose frequency unit is not that of the smallest sample id: sample_id, unit. Empty means consistent."""
+    first = networks.agg(F.min_by("unit", "sample_id").alias("__unit"))
+    return networks.join(F.broadcast(first)).where(~F.col("unit").eqNullSafe(F.col("__unit"))).select("sample_id", "unit")
+
+
 def with_shared_grid(networks: DataFrame, grids: DataFrame) -> DataFrame:
     """A sample's own f_hz where it has one, else the shared one of its grid_id. Grids are a small dimension table."""
     shared = grids.select(F.col("grid_id"), F.col("f_hz").alias("__f"))

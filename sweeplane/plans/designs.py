@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplane.operators import design, goals, search, transform
-from sweeplane.operators.surrogate import KernelSurrogate, LinearSurrogate
+from sweeplane.operators.surrogate import InverseLinear, KernelSurrogate, LinearSurrogate
 from sweeplane.plans.catalog import query
 from sweeplane.plans.views import SQL_DB, points, r6, rounded, sql_points, table
 
@@ -166,12 +166,32 @@ def prediction_meta(spark, d):
     """A surrogate's predictions meet the samples' meta data by id."""
     p = table(spark, d, "part")
     surrogate = LinearSurrogate(("size",), ((0, 1e9, 0, 0, {"size": (0.01, 0.0)}, (0.1, 0.2)),))
+    surrogate = LinearSurrogate.loads(surrogate.dumps())
     spec = goals.Specification((goals.Criterion(goals.SMag(None, 1, 1), goals.MaxAgg(), goals.LE(0.0), name="v"),))
     values = spec.values(surrogate.transform(p.select(F.col("p_partkey").alias("point_id"), F.col("p_size").cast("double").alias("size"))))
     meta = p.select(F.col("p_partkey").alias("sample_id"), F.col("p_brand").alias("brand"))
     return rounded(values.join(meta, "sample_id"), "v")
 
 
+@query("SELECT p_partkey AS sample_id, round(0.5 + 2 * p_size - p_retailprice / 100, 5) + 0.0 AS a, round(-1 + 0.25 * p_size, 5) + 0.0 AS b FROM part")
+def inverse_surrogate(spark, d):
+    """Parameters found again from responses by a fitted inverse."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("sample_id"), F.array(F.col("p_size").cast("double"), F.col("p_retailprice") / 100).alias("y"))
+    size, price = F.get("y", F.lit(0)), F.get("y", F.lit(1))
+    p = p.withColumn("x", F.array(0.5 + 2 * size - price, -1 + 0.25 * size))
+    found = p.withColumn("p", InverseLinear.fit(p).predict("y"))
+    return found.select("sample_id", (F.round(F.get("p", F.lit(0)), 5) + 0.0).alias("a"), (F.round(F.get("p", F.lit(1)), 5) + 0.0).alias("b"))
+
+
+@query("SELECT CAST(n AS BIGINT) AS point_id, round(CAST(n AS DOUBLE) / 15 * 4 - 1, 6) + 0.0 AS x, ['low', 'mid', 'high'][CAST(round_even(n / 15.0 * 2, 0) AS INT) + 1] AS level FROM range(16) t(n)")
+def space_from_text(spark, d):
+    """A space written as text and read again: bounds, levels, points."""
+    space = design.DesignSpace({"x": design.Continuous(-1.0, 3.0), "level": design.Levels(("low", "mid", "high"), ordered=True)})
+    again = design.DesignSpace.from_json(space.to_json())
+    z = F.col("id") / 15
+    return rounded(again.denormalize(spark.range(16).select(F.col("id").alias("point_id"), F.array(z, z).alias("u"))), "x")
+
+
 @query(f"""WITH {S2}, v AS (SELECT sample_id, stddev_pop({SQL_DB}) AS sd, max({SQL_DB}) AS top FROM s WHERE i = 1 AND j = 0 GROUP BY sample_id)
 SELECT sample_id, round(sd, 6) + 0.0 AS sd, top BETWEEN -30 AND -12 AS ok FROM v""")
 def window_criterion(spark, d):

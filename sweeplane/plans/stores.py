@@ -68,6 +68,33 @@ def store_append(spark, d):
     return store.open_networks(spark, path).select("sample_id", r6(F.get("s_re", F.lit(0)), "re0"))
 
 
+@query("""WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS re0 FROM embeddings WHERE vec_id < 40), t AS (SELECT max(vec_id) + 1 AS top FROM e)
+SELECT vec_id AS sample_id, re0 FROM e UNION ALL SELECT vec_id + top, re0 FROM e, t""")
+def touchstone_append(spark, d):
+    """Files added to a folder are numbered behind those it has."""
+    folder, some = shared_path(spark, "touchstone"), dataset.first_samples(_networks(spark, d), 40)
+    touchstone.write_touchstone(some, folder).count()
+    touchstone.append_touchstone(some, folder).count()
+    back = touchstone.read_touchstone(spark, folder)
+    return back.select(F.regexp_extract("path", r"sample_(\d+)", 1).cast("long").alias("sample_id"), r6(F.get("s_re", F.lit(0)), "re0"))
+
+
+@query("SELECT vec_id AS sample_id, 2 AS n_ports, round(CAST(embedding[2] AS DOUBLE), 6) + 0.0 AS im0 FROM embeddings")
+def pack_job(spark, d):
+    """A folder of files packed into a store by the command line's function."""
+    folder = shared_path(spark, "touchstone")
+    touchstone.write_touchstone(_networks(spark, d), folder).count()
+    store.main(["--src", folder, "--dst", f"{folder}.parquet"])
+    back = store.open_networks(spark, f"{folder}.parquet")
+    return back.select(F.regexp_extract("path", r"sample_(\d+)", 1).cast("long").alias("sample_id"), "n_ports", r6(F.get("s_im", F.lit(0)), "im0"))
+
+
+@query("SELECT vec_id AS sample_id, 'MHz' AS unit FROM embeddings WHERE vec_id % 11 = 5")
+def unit_consistency(spark, d):
+    n = _networks(spark, d)
+    return network.check_units(n.withColumn("unit", F.when(F.col("sample_id") % 11 == 5, "MHz").otherwise(F.col("unit"))))
+
+
 @query("SELECT p_partkey AS sample_id, CAST(p_size AS DOUBLE) AS size, CASE WHEN p_partkey % 7 = 0 THEN NULL ELSE CAST(p_partkey % 5 AS DOUBLE) END AS q FROM part")
 def params_table(spark, d):
     """A column for each parameter."""

@@ -139,6 +139,14 @@ def write_touchstone(networks: DataFrame, folder: str | None, form: str = "RI")
     return networks.mapInPandas(run, "sample_id long, path string")
 
 
+def append_touchstone(networks: DataFrame, folder: str, form: str = "RI") -> DataFrame:
+    """Write more files into a folder, with numbers behind those its files have; returns sample_id, path."""
+    files = networks.sparkSession.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
+    number = F.regexp_extract("path", r"sample_(\d+)\.[^/]*$", 1)
+    stored = files.select(F.when(number != "", number).cast("long").alias("sample_id"))
+    return write_touchstone(append_ids(stored, networks), folder, form)
+
+
 def append_ids(existing: DataFrame, new: DataFrame) -> DataFrame:
     """``new`` with sample ids behind those of ``existing``, in the order of its own."""
     top = existing.agg(F.coalesce(F.max("sample_id"), F.lit(-1)).alias("__top"))
