@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sweeplane.functions.complexcols import NAN, db, mag, no_nan
-from sweeplane.operators.transform import unwrapped_deg
+from sweeplane.operators.network import to_points
+from sweeplane.operators.transform import unwrapped_deg, unwrapped_packed
 
 
 def params_long(networks: DataFrame) -> DataFrame:
@@ -67,6 +68,11 @@ def summarize_s(points: DataFrame, kind: str = "db") -> DataFrame:
     return metric(points, kind).groupBy("k", "i", "j").agg(*_spread(no_nan(F.col("v"))))
 
 
+def summarize_phase(networks: DataFrame) -> DataFrame:
+    """``summarize_s`` of the unwrapped phase of packed networks, whose sweeps stay within their rows."""
+    return to_points(unwrapped_packed(networks), also=("s_deg",)).groupBy("k", "i", "j").agg(*_spread(no_nan(F.col("s_deg"))))
+
+
 def norm_stats(points: DataFrame, kind: str = "db") -> DataFrame:
     """The same as arrays along the sweep, one row a port pair."""
     rows = F.array_sort(F.collect_list(F.struct("k", "mean", "std", "min", "max")))

@@ -18,18 +18,23 @@ NETWORK_SCHEMA = (
 POINTS = ("sample_id", "k", "f_hz", "i", "j", "re", "im")
 
 
-def to_points(networks: DataFrame, band_hz: tuple[float, float] | None = None, keep: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each sample, frequency and port pair (ports from 0). A band drops frequencies before exploding."""
+def to_points(
+    networks: DataFrame, band_hz: tuple[float, float] | None = None, keep: tuple[str, ...] = (), also: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row for each sample, frequency and port pair (ports from 0). A band drops frequencies before exploding.
+
+    ``keep`` are columns of the sample; ``also`` arrays in the order of s_re, of which each row gets its element.
+    """
     f = F.arrays_zip(F.sequence(F.lit(0), F.size("f_hz") - 1).alias("k"), F.col("f_hz").alias("f"))
     if band_hz:
         f = F.filter(f, lambda x: (x["f"] >= band_hz[0]) & (x["f"] <= band_hz[1]))
-    rows = networks.where(F.size("f_hz") > 0).select("sample_id", "n_ports", *keep, F.explode(f).alias("p"), "s_re", "s_im")
+    rows = networks.where(F.size("f_hz") > 0).select("sample_id", "n_ports", *keep, F.explode(f).alias("p"), "s_re", "s_im", *also)
     pairs = F.col("n_ports") * F.col("n_ports")
     at = F.col("p.k") * pairs + F.col("e")
     return rows.withColumn("e", F.explode(F.sequence(F.lit(0), pairs - 1))).select(
         "sample_id", *keep, F.col("p.k").cast("long").alias("k"), F.col("p.f").alias("f_hz"),
         F.expr("CAST(e div n_ports AS BIGINT)").alias("i"), (F.col("e") % F.col("n_ports")).cast("long").alias("j"),
-        F.get("s_re", at).alias("re"), F.get("s_im", at).alias("im"),
+        F.get("s_re", at).alias("re"), F.get("s_im", at).alias("im"), *(F.get(c, at).alias(c) for c in also),
     )
 
 

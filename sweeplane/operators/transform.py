@@ -166,6 +166,28 @@ def unwrapped_deg(points: DataFrame, name: str = "deg") -> DataFrame:
     return step.withColumn("__c", fix).withColumn(name, F.col("__p") + total).drop("__p", "__d", "__c")
 
 
+def unwrapped_packed(networks: DataFrame, name: str = "s_deg") -> DataFrame:
+    """Packed networks with an array of unwrapped phases in the order of s_re; each sweep is followed within its row."""
+    pairs, places = F.col("n_ports") * F.col("n_ports"), F.sequence(F.lit(0), F.size("f_hz") - 1)
+    rows = networks.withColumn("__p", F.zip_with("s_re", "s_im", lambda a, b: deg(a, b)))
+
+    def sweep(e: Column) -> Column:
+        def step(seen: Column, k: Column) -> Column:
+            p = F.get("__p", k * pairs + e)
+            d = p - seen["last"]
+            inside = F.pmod(d + 180, F.lit(360.0)) - 180
+            inside = F.when((inside == -180) & (d > 0), F.lit(180.0)).otherwise(inside)
+            shift = seen["shift"] + F.coalesce(F.when(F.abs(d) < 180, F.lit(0.0)).otherwise(inside - d), F.lit(0.0))
+            return F.struct(p.alias("last"), shift.alias("shift"), F.concat(seen["out"], F.array(p + shift)).alias("out"))
+
+        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("shift"), F.array().cast("array<double>").alias("out"))
+        return F.aggregate(places, start, step, lambda seen: seen["out"])
+
+    rows = rows.withColumn("__u", F.transform(F.sequence(F.lit(0), pairs - 1), sweep))
+    flat = F.flatten(F.transform(places, lambda k: F.transform("__u", lambda u: F.get(u, k))))
+    return rows.withColumn(name, flat).drop("__p", "__u")
+
+
 def group_delay(points: DataFrame) -> DataFrame:
     """Extension: -d(phase)/d(omega) in seconds between neighbours; null at the last point."""
     sweep = Window.partitionBy("sample_id", "i", "j").orderBy("k")

@@ -76,6 +76,13 @@ def s_deg_unwrapped(spark, d):
     return rounded(transform.unwrapped_deg(points(spark, d)).select(*KEY, "deg"), "deg")
 
 
+@query(SQL["s_deg_unwrapped"])
+def s_deg_packed(spark, d):
+    """The same within packed rows, without a shuffle."""
+    out = network.to_points(transform.unwrapped_packed(packed(spark, d)), also=("s_deg",))
+    return out.select(*KEY, r6("s_deg", "deg"))
+
+
 @query(f"""WITH {S4}, w AS (SELECT a.sample_id, a.k, a.re AS cr, a.im AS ci, b.re AS dr, b.im AS di FROM s a JOIN s b USING (sample_id, k) WHERE a.i = 2 AND a.j = 0 AND b.i = 3 AND b.j = 0)
 SELECT sample_id, k, round(abs(tan(asin(greatest(least(2 * (dr*ci - di*cr) / (cr*cr + ci*ci + dr*dr + di*di), 1.0), -1.0)) / 2)), 6) + 0.0 AS ar FROM w""")
 def axial_ratio(spark, d):
@@ -226,6 +233,12 @@ for _name, _v in (("db", SQL_DB), ("mag", "sqrt(re*re + im*im)")):
 
 @query(SQL["s_deg_unwrapped"].replace("SELECT sample_id, k, i, j, round(p + sum(c)", "SELECT k, i, j, " + _STATS + " FROM (SELECT k, i, j, (p + sum(c)").replace(", 6) + 0.0 AS deg FROM c", ") AS v FROM c) GROUP BY ALL"))
 def summarize_s_deg(spark, d):
+    return rounded(analyze.summarize_phase(packed(spark, d)), *_FOUR)
+
+
+@query(SQL["summarize_s_deg"])
+def summarize_s_deg_points(spark, d):
+    """The same of points, whose sweeps meet in a window."""
     return rounded(analyze.summarize_s(points(spark, d), "deg"), *_FOUR)
 
 

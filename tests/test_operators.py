@@ -56,6 +56,13 @@ def test_unwrap_like_numpy(spark):
     assert np.allclose([r.deg for r in got], want, atol=1e-9)
 
 
+def test_unwrapping_within_rows_equals_that_of_points(sweeps):
+    turned = transform.phase_delay(network.to_points(sweeps), 4000.0)
+    want = {(r.sample_id, r.k, r.i, r.j): r.deg for r in transform.unwrapped_deg(turned).collect()}
+    got = network.to_points(transform.unwrapped_packed(network.to_packed(turned)), also=("s_deg",)).collect()
+    assert len(got) == len(want) and all(abs(r.s_deg - want[r.sample_id, r.k, r.i, r.j]) < 1e-9 for r in got)
+
+
 def test_renormalisation_paths_agree_and_undo(sweeps):
     a = _of_points(transform.z0_shift(network.to_points(sweeps), 12.0))
     b = _of_points(network.to_points(transform.renormalize(sweeps, 12.0)))

@@ -48,7 +48,7 @@ def test_band_is_cut_before_exploding_and_scan_is_pruned(spark):
 
 
 def test_sweeps_are_resampled_and_scanned_within_their_rows(spark):
-    for name in ("resample_uniform", "resample_grid", "resample_bent", "s_real_imag"):
+    for name in ("resample_uniform", "resample_grid", "resample_bent", "s_real_imag", "s_deg_packed"):
         plan = QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
         assert "Exchange" not in plan and "Pandas" not in plan
 
