@@ -46,29 +46,44 @@ def split_features(texts: list[bytes]) -> list[np.ndarray]:
     return out
 
 
+def index_slots() -> tuple[np.ndarray, np.ndarray]:
+    """Each bucket's NONZERO components, and their signs."""
+    rng = np.random.default_rng(5)
+    drawn = [(rng.integers(0, DIMS, BUCKETS), rng.choice(np.float32([-1, 1]), BUCKETS)) for _ in range(NONZERO)]
+    return np.stack([d for d, _ in drawn]), np.stack([s for _, s in drawn])
+
+
 def index_vectors() -> np.ndarray:
     """Each bucket's sparse ternary vector."""
-    rng = np.random.default_rng(5)
     out = np.zeros((BUCKETS, DIMS), dtype=np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(BUCKETS), rng.integers(0, DIMS, BUCKETS)] += rng.choice(np.float32([-1, 1]), BUCKETS)
+    for where, sign in zip(*index_slots(), strict=True):
+        out[np.arange(BUCKETS), where] += sign
     return out
 
 
-def add_contexts(total: np.ndarray, words: np.ndarray, ends: np.ndarray, index: np.ndarray) -> None:
+def add_contexts(total: np.ndarray, words: np.ndarray, ends: np.ndarray, slots: tuple[np.ndarray, np.ndarray]) -> None:
     """Add to each word's row of ``total`` the index vectors of the words up to WINDOW places away in its text.
 
-    ``index`` has one more row, of zeros, which stands for the places beyond a text.
+    Pairs of a word and a neighbour are counted first; each distinct one adds to the few components of the neighbour.
     """
     text = np.repeat(np.arange(len(ends)), np.diff(np.append(0, ends)))
     at = np.arange(len(words)) + WINDOW * (text + 1)
-    laid = np.full(len(words) + WINDOW * (len(ends) + 1), BUCKETS, dtype=np.int64)
+    laid = np.full(len(words) + WINDOW * (len(ends) + 1), BUCKETS, dtype=np.int64)  # the places between texts have no word
     laid[at] = words
-    near = sum(index[laid[at + o]] for o in range(-WINDOW, WINDOW + 1) if o)
-    order = np.argsort(words.astype(np.uint16), kind="stable")
-    own = words[order]
-    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1])) if len(own) else np.zeros(0, int)
-    total[own[starts]] += np.add.reduceat(near[order], starts, axis=0, dtype=np.int32)
+    pairs = []
+    for o in range(-WINDOW, WINDOW + 1):
+        near = laid[at + o]
+        inside = near < BUCKETS
+        if o:
+            pairs.append(words[inside].astype(np.int64) * BUCKETS + near[inside])
+    pairs, times = np.unique(np.concatenate(pairs), return_counts=True)
+    own, near = pairs // BUCKETS * DIMS, pairs % BUCKETS
+    for where, sign in zip(*slots, strict=True):
+        np.add.at(total.reshape(-1), own + where[near], times * sign[near].astype(np.int64))
+
+
+#: Partitions of the table that a task of the context sums reads, so that its table of sums is small against its texts.
+CONTEXT_PARTITIONS = 8
 
 
 def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
@@ -79,18 +94,21 @@ def context_sums(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     columns = [f"d{n}" for n in range(DIMS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = np.concatenate([index_vectors(), np.zeros((1, DIMS))]).astype(np.int8)
+        slots = index_slots()
         total = np.zeros((BUCKETS, DIMS), dtype=np.int64)
         for batch in batches:
             texts = [t.as_py() or b"" for t in batch.column(0).cast(pa.binary())]
             for lo, hi in blocks([len(t) for t in texts]):
-                add_contexts(total, *word_buckets(texts[lo:hi]), index)
+                add_contexts(total, *word_buckets(texts[lo:hi]), slots)
         rows = np.flatnonzero(total.any(axis=1))
         for at in range(0, len(rows), 4096):
             part = rows[at : at + 4096]
             yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.array(c) for c in total[part].T.copy())], names=["bucket", *columns])
 
-    sums = docs.select(text_col).mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
+    texts = docs.select(text_col)
+    parts, slots = texts.rdd.getNumPartitions(), 4 * docs.sparkSession.sparkContext.defaultParallelism
+    texts = texts.coalesce(max(1, min(parts, slots), -(-parts // CONTEXT_PARTITIONS)))
+    sums = texts.mapInArrow(run, "bucket long, " + ", ".join(f"{c} long" for c in columns))
     found = sums.groupBy("bucket").agg(*(F.sum(c).alias(c) for c in columns)).toArrow()
     out = np.zeros((BUCKETS, DIMS), dtype=np.int64)
     out[found.column("bucket").to_numpy()] = np.stack([found.column(c).to_numpy() for c in columns], axis=1)
