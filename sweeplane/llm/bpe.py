@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame
 from sweeplane.llm.common import map_arrow, prepare, sha256, texts_of
 
 #: Bytes of distinct matches and their ids, with what holds them, that a worker keeps between blocks; then it starts anew.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 192 << 20
 #: Token pairs whose merge a worker remembers.
-KNOWN_PAIRS = 300_000
+KNOWN_PAIRS = 1_000_000
 
 
 def load_ranks(data: bytes) -> dict[bytes, int]:
