@@ -34,8 +34,9 @@ ITEM_TOKENS = 512
 NEAR_BOUND = 0.0005
 #: Chunks of the table; pieces of one class are ranked within each. Their counts are CHUNKS times the classes at most.
 CHUNKS = 1024
-#: Bytes of words and their ids, with what holds them, that a worker keeps; then it starts anew.
-CACHE_BYTES = 32 << 20
+#: Bytes of words and their ids, with what holds them (WORD_BYTES each), that a worker keeps; then it starts anew.
+CACHE_BYTES = 96 << 20
+WORD_BYTES = 200
 #: Marks that, behind letters, are split from them by the tokenizer's pattern.
 MARKS = string.punctuation
 #: White space to the tokenizer's pattern but not to ``str.split``, and the other way round.
@@ -254,7 +255,7 @@ class WordIds:
         new = set().union(*split).difference(self.ids)
         self.learn(new)
         look = self.ids.__getitem__
-        self.held += sum(len(w) + len(look(w)) + 200 for w in new)
+        self.held += 2 * sum(map(len, new)) + WORD_BYTES * len(new)  # ids take about the bytes of their word
         out = [b"".join(map(look, ws)) for ws in split]
         if alone and self.whole is None:
             from tokenizers import Tokenizer
