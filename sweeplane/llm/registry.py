@@ -8,7 +8,7 @@ import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from sweeplane.llm import bpe, embed_dedup, langid, media, packing, quality, secrets, simhash, toxicity, warc
+from sweeplane.llm import bpe, divergence, embed_dedup, langid, media, packing, quality, secrets, simhash, topk, toxicity, trie, warc
 from sweeplane.llm.common import load
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +55,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(load(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op11(load(spark, sf_dir, "embeddings"))
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(load(spark, sf_dir, "conversations"))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.source_divergence(load(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_secret_scan": op1_secret_scan,
@@ -67,10 +79,14 @@ def queries() -> dict[str, Query]:
         "op8_embedding_dedup": op8_embedding_dedup,
         "op9_toxicity": op9_toxicity,
         "op10_packing": op10_packing,
+        "op11_top_k": op11_top_k,
+        "op12_prefix_trie": op12_prefix_trie,
+        "op13_source_divergence": op13_source_divergence,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    out = {"op6_warc": warc.OP6_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL}
+    out = {"op6_warc": warc.OP6_SQL, "op8_embedding_dedup": embed_dedup.OP8_SQL, "op11_top_k": topk.OP11_SQL}
+    out |= {"op12_prefix_trie": trie.OP12_SQL, "op13_source_divergence": divergence.OP13_SQL}
     return out | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
