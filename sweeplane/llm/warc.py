@@ -31,11 +31,12 @@ _REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-di
 
 #: Bytes of records (compressed) after which a task starts the next archive.
 ARCHIVE_BYTES = 4 << 20
-#: Compressed bytes that are inflated at once, and inflated bytes after which a member counts as damaged.
+#: Compressed bytes that are inflated at once.
 INFLATE_BYTES = 1 << 16
-RECORD_BYTES = 1 << 30
-#: Bytes that a header may have.
-HEADER_BYTES = 1 << 20
+#: What a reader of foreign archives takes in by default: inflated bytes of a record, and bytes of its header. What is larger is
+#: quarantined with that as the reason. Without limits a small member may inflate to any size.
+RECORD_BYTES: int | None = 1 << 30
+HEADER_BYTES: int | None = 1 << 20
 
 
 def digest_of(payload: bytes) -> str:
@@ -58,14 +59,14 @@ class Damaged(ValueError):
     """A record that fails a check."""
 
 
-def parse_record(data: bytes, at: int = 0) -> tuple[dict[str, str], bytes, int]:
-    """The header fields (names in lower case), the block, and where the record ends."""
+def parse_record(data: bytes, at: int = 0, header_bytes: int | None = None) -> tuple[dict[str, str], bytes, int]:
+    """The header fields (names in lower case), the block, and where the record ends; a header may have ``header_bytes``."""
     line = _LINE.match(data, at)
     if not line:
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + HEADER_BYTES)
+    end = data.find(b"\r\n\r\n", at, len(data) if header_bytes is None else at + header_bytes)
     if end < 0:
-        raise Damaged("no end of header")
+        raise Damaged("no end of header" + ("" if header_bytes is None else f" in {header_bytes} bytes"))
     fields = {}
     for one in data[line.end() : end].split(b"\r\n"):
         name, colon, value = one.partition(b":")
@@ -93,8 +94,8 @@ def _digests_of(fields: dict[str, str]) -> list[str]:
     return ["warc-block-digest"] + ["warc-payload-digest"] * (not inner)
 
 
-def _inflate(content: memoryview, at: int) -> tuple[bytes, int]:
-    """The gzip member that begins at ``at``, and where it ends."""
+def _inflate(content: memoryview, at: int, record_bytes: int | None) -> tuple[bytes, int]:
+    """The gzip member that begins at ``at``, and where it ends; it may inflate to ``record_bytes``."""
     inflate, parts, size = zlib.decompressobj(31), [], 0
     while not inflate.eof:
         if at >= len(content):
@@ -105,33 +106,46 @@ def _inflate(content: memoryview, at: int) -> tuple[bytes, int]:
         except zlib.error as e:
             raise Damaged(str(e)) from e
         at, size = at + len(part), size + len(parts[-1])
-        if size > RECORD_BYTES:
-            raise Damaged("member is too large")
+        if record_bytes is not None and size > record_bytes:
+            raise Damaged(f"a member of more than {record_bytes} bytes")
     return b"".join(parts), at - len(inflate.unused_data)
 
 
-def read_archive(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
-    """(offset, length, fields, block) of each record; fields are None for a quarantined gap."""
+def salvage(content: bytes, record_bytes: int | None = None, header_bytes: int | None = None) -> Iterator[tuple[int, int, dict[str, str] | None, bytes, str | None]]:
+    """(offset, length, fields, block, None) of each record; (offset, length, None, b"", reason) of each quarantined gap.
+
+    The reason is that of the gap's first failed check. Records and headers have any size unless a limit is given.
+    """
     at = gap = 0
+    why = None
     view, starts = memoryview(content), _Starts(content)
     while at < len(content):
         try:
             if content.startswith(_MAGIC, at):
-                record, end = _inflate(view, at)
-                fields, block, used = parse_record(record)
+                record, end = _inflate(view, at, record_bytes)
+                fields, block, used = parse_record(record, 0, header_bytes)
                 if used != len(record):
                     raise Damaged("more than a record in the member")
             else:
-                fields, block, end = parse_record(content, at)
-        except Damaged:
+                fields, block, end = parse_record(content, at, header_bytes)
+                if record_bytes is not None and end - at > record_bytes:
+                    raise Damaged(f"a record of more than {record_bytes} bytes")
+        except Damaged as e:
+            why = why or str(e)
             at = starts.after(at + 1)
             continue
         if gap < at:
-            yield gap, at - gap, None, b""
-        yield at, end - at, fields, block
+            yield gap, at - gap, None, b"", why
+        yield at, end - at, fields, block, None
         at = gap = end
+        why = None
     if gap < len(content):
-        yield gap, len(content) - gap, None, b""
+        yield gap, len(content) - gap, None, b"", why
+
+
+def read_archive(content: bytes) -> Iterator[tuple[int, int, dict[str, str] | None, bytes]]:
+    """``salvage`` without limits and reasons."""
+    return (found[:4] for found in salvage(content))
 
 
 class _Starts:
@@ -206,11 +220,16 @@ def _archive(members: list[bytes]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([name]), pa.array([content], pa.binary())], names=["archive", "content"])
 
 
-def read_warc(archives: DataFrame, content_col: str = "content", archive_col: str = "archive") -> DataFrame:
-    """Records and gaps of archives: archive, offset, length, quarantined boolean, fields map, block binary.
+def read_warc(
+    archives: DataFrame, content_col: str = "content", archive_col: str = "archive",
+    record_bytes: int | None = RECORD_BYTES, header_bytes: int | None = HEADER_BYTES,
+) -> DataFrame:
+    """Records and gaps of archives: archive, offset, length, quarantined boolean, reason, fields map, block binary.
 
     A row whose content is null or empty gives nothing; nor does an empty table. Records come in the order of their
-    offsets within an archive.
+    offsets within an archive; repeated archives give theirs each time. A record of more than ``record_bytes`` inflated bytes,
+    or whose header has more than ``header_bytes``, is quarantined and says so in ``reason``; None is no limit, and a task then
+    holds the largest record there is. Other columns are not looked at.
     """
     prepare(archives.sparkSession)
     kind = archives.schema[archive_col].dataType.simpleString()
@@ -221,7 +240,7 @@ def read_warc(archives: DataFrame, content_col: str = "content", archive_col: st
                 content = batch.column(content_col)[i].as_py() or b""
                 rows: list[tuple] = []
                 size = 0
-                for record in read_archive(content):
+                for record in salvage(content, record_bytes, header_bytes):
                     rows.append(record)
                     size += len(record[3])
                     if size > (8 << 20):
@@ -230,27 +249,33 @@ def read_warc(archives: DataFrame, content_col: str = "content", archive_col: st
                 if rows:
                     yield _records(batch.column(archive_col)[i], rows)
 
-    schema = f"archive {kind}, offset long, length long, quarantined boolean, fields map<string,string>, block binary"
+    schema = f"archive {kind}, offset long, length long, quarantined boolean, reason string, fields map<string,string>, block binary"
     return archives.select(archive_col, content_col).mapInArrow(run, schema)
 
 
 def _records(archive: pa.Scalar, rows: list[tuple]) -> pa.RecordBatch:
-    offset, length, fields, block = zip(*rows, strict=True)
+    offset, length, fields, block, reason = zip(*rows, strict=True)
     return pa.RecordBatch.from_arrays(
         [
             pa.array([archive.as_py()] * len(rows), archive.type), pa.array(offset, pa.int64()), pa.array(length, pa.int64()),
-            pa.array([f is None for f in fields]),
+            pa.array([f is None for f in fields]), pa.array(reason, pa.string()),
             pa.array([list((f or {}).items()) for f in fields], pa.map_(pa.string(), pa.string())),
             pa.array(block, pa.binary()),
         ],
-        names=["archive", "offset", "length", "quarantined", "fields", "block"],
+        names=["archive", "offset", "length", "quarantined", "reason", "fields", "block"],
     )
 
 
 def op6(pages: DataFrame) -> DataFrame:
-    """Pages written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to."""
+    """Pages written to archives and read back: page_id, payload_bytes, payload_digest, record_type, refers_to.
+
+    Null and empty payloads are records of no bytes; payloads of any size are read back. Ids may be null or repeat (as in
+    ``write_warc``); an empty table gives no rows. A gap in the query's own archives, which would lose a page, raises.
+    """
     kind = pages.schema["page_id"].dataType
-    records = read_warc(write_warc(pages)).where("NOT quarantined")
+    records = read_warc(write_warc(pages), record_bytes=None, header_bytes=None)
+    lost = F.raise_error(F.concat(F.lit("a gap in archive "), "archive", F.lit(": "), "reason"))
+    records = records.where(F.when(F.col("quarantined"), lost.cast("boolean")).otherwise(True))
     prefix = F.lit(len("urn:page_id:") + 1)
     uri = F.col("fields")["warc-target-uri"]
     refers = F.col("fields")["warc-refers-to-target-uri"]
