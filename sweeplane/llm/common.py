@@ -96,19 +96,33 @@ def mark_keys(keys: DataFrame, key: str) -> KeyMarks:
     return KeyMarks(keys.sparkSession.createDataFrame(found, "__word long, __bits long"))
 
 
-def join_marked(df: DataFrame, keys: DataFrame, key: str, how: str) -> DataFrame:
-    """Left, or left anti, join of ``df`` (any size, any skew) with written ``keys`` (one row a key), both with a column ``key``.
+def join_marked(df: DataFrame, keys: DataFrame, key: str, how: str, weight: Column | None = None) -> DataFrame:
+    """Inner, left or left anti join of ``df`` (any size, any skew) with written ``keys`` (one row a key), both with a column ``key``.
 
-    Up to BROADCAST_ROWS keys are broadcast. With more, only rows that may hold one are shuffled, and a hot key among them is
-    split by Spark: both sides are scans.
+    Up to BROADCAST_ROWS keys are broadcast; where rows are not of fixed width, ``weight`` tells how many small rows each
+    stands for. With more, only rows that may hold one are shuffled, and a hot key among them is split by Spark: both sides
+    are scans. ``df`` must have no column named ``__bit``, ``__word`` or ``__bits``: a caller's rows go in a struct.
     """
-    if keys.count() <= BROADCAST_ROWS:
+    if (keys.agg(F.sum(F.lit(1) if weight is None else weight)).first()[0] or 0) <= BROADCAST_ROWS:
         return df.join(F.broadcast(keys), key, how)
     marks = mark_keys(keys, key)
+    met = marks.rows(df, True, key).join(keys, key, how)
+    if how == "inner":
+        return met
     clear = marks.rows(df, False, key)
     if how == "left":
         clear = clear.withColumns({f.name: F.lit(None).cast(f.dataType) for f in keys.schema.fields if f.name != key})
-    return clear.unionByName(marks.rows(df, True, key).join(keys, key, how))
+    return clear.unionByName(met)
+
+
+def as_row(df: DataFrame) -> Column:
+    """All columns as one struct, so that no helper column can have the name of one of them."""
+    return F.struct(*(F.col(f"`{c}`") for c in df.columns))
+
+
+def from_row(df: DataFrame, row: str = "row") -> list[Column]:
+    """The columns of ``df`` out of such a struct."""
+    return [F.col(row).getField(c).alias(c) for c in df.columns]
 
 
 def bucket_of(id_col: str, buckets: int) -> Column:

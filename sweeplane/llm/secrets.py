@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_heavy, join_marked, map_arrow, materialize, prepare, texts_of
+from sweeplane.llm.common import as_row, from_row, join_heavy, join_marked, map_arrow, materialize, prepare, texts_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(
@@ -163,12 +163,12 @@ def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mask: st
 
     Base spans are found again in the text at hand; ``owned`` ones, which the whole corpus decides on, are taken from the
     scan by a hash of the text, on which alone a scan's spans depend: ids may be null, repeat, or stand for several texts.
-    Where texts with such spans are too many to broadcast, only rows that may be one of them are shuffled. Null and empty texts stay as they are, each repeated row is
+    Where such spans are too many to broadcast, only rows that may be one of their texts are shuffled. Columns may have any names. Null and empty texts stay as they are, each repeated row is
     masked for itself, spans that overlap become one mask, and an empty table gives no rows.
     """
-    owned = scanned.where(F.exists("spans", lambda s: s["kind"] == 3)).groupBy(F.col("text_key").alias("__key"))
+    owned = scanned.where(F.exists("spans", lambda s: s["kind"] == 3)).groupBy(F.col("text_key").alias("key"))
     cut = F.transform(F.filter(F.first("spans"), lambda s: s["kind"] == 3), lambda s: F.struct(s["start"], s["end"]))
-    owned = materialize(owned.agg(cut.alias("__owned")), "owned", docs.count())
+    owned = materialize(owned.agg(cut.alias("owned")), "owned", docs.count())
     key = F.unhex(F.sha2(F.coalesce(F.col(text_col), F.lit("")).cast("binary"), 256))
 
     @F.arrow_udf("string")
@@ -184,9 +184,11 @@ def redact(docs: DataFrame, scanned: DataFrame, text_col: str = "text", mask: st
             out.append("".join([*parts, text[at:]]) if cuts else None)
         return pa.array(out, pa.string())
 
-    met = join_marked(docs.withColumn("__key", key), owned, "__key", "left")
-    text = F.coalesce(masked(F.col(text_col), F.col("__owned")), F.col(text_col))
-    return met.withColumn(text_col, text).select(docs.columns)
+    rows = docs.select(as_row(docs).alias("row"), F.col(text_col).alias("text"), key.alias("key"))
+    # A text's spans are a row of any length, so they are what is counted before a broadcast.
+    met = join_marked(rows, owned, "key", "left", 1 + F.size("owned"))
+    met = met.select("row", F.coalesce(masked("text", "owned"), "text").alias("text"))
+    return met.select(*(F.col("text").alias(c) if c == text_col else out for c, out in zip(docs.columns, from_row(docs), strict=True)))
 
 
 def text_key(text: str) -> bytes:

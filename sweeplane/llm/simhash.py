@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import join_marked, map_arrow, materialize, prepare
+from sweeplane.llm.common import as_row, from_row, join_marked, map_arrow, materialize, prepare
 from sweeplane.llm.graph import connected_components
 
 SEED = 42
@@ -204,7 +204,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     Null ids come after all others, so a row without an id stays only if its whole component has none. Which of several
     rows of one id and one fingerprint stays is not defined. Null and empty texts are one component. An id may stand for
-    several texts: each is judged by its own component. An empty table gives no rows; all columns stay as they were.
+    several texts: each is judged by its own component. An empty table gives no rows; all columns, of any names, stay as they were.
     Where the ids that go are too many to broadcast, only rows that may have one of them are shuffled.
     """
     prepare(docs.sparkSession)
@@ -216,16 +216,16 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     odd = named.groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id", F.lit(True).alias("odd"))
     # Ids that go, and those of several rows, which are judged by row.
     doubtful = gone.unionByName(odd).groupBy("id").agg(F.max("odd").alias("odd"))
-    doubtful = materialize(doubtful, "doubtful", prints.count()).withColumnRenamed("id", "__id")
-    key, columns = F.col(id_col), docs.columns
-    named_docs = docs.where(key.isNotNull()).withColumn("__id", key)
-    kept = join_marked(named_docs, doubtful.select("__id"), "__id", "left_anti").select(columns)
+    doubtful = materialize(doubtful, "doubtful", prints.count())
+    key = F.col(id_col)
+    rows = docs.select(key.alias("id"), F.col(text_col).alias("text"), as_row(docs).alias("row"))
+    kept = join_marked(rows.where("id IS NOT NULL"), doubtful.select("id"), "id", "left_anti").select(from_row(docs))
     several = doubtful.where("odd")
     if several.isEmpty() and prints.where("id IS NULL").isEmpty():
         return kept
-    by_row = named_docs.join(several.select("__id"), "__id", "left_semi").select(columns).unionByName(docs.where(key.isNull()))
+    by_row = rows.join(several.select("id"), "id", "left_semi").unionByName(rows.where("id IS NULL").select("id", "text", "row"))
     # Rows of one id and fingerprint meet as partial aggregates, so a hot pair is one row a task.
-    by_row = by_row.withColumn("__fp", fingerprint_column(text_col)).dropDuplicates([id_col, "__fp"])
-    stay = stay.select(F.col("id").alias("__id"), F.col("fp").alias("__first"))
-    same = key.eqNullSafe(F.col("__id")) & (F.col("__fp") == F.col("__first"))
-    return kept.unionByName(by_row.join(stay, same, "left_semi").select(columns))
+    by_row = by_row.withColumn("fp", fingerprint_column("text")).dropDuplicates(["id", "fp"])
+    stay = stay.select(F.col("id").alias("stay"), F.col("fp").alias("first"))
+    same = F.col("id").eqNullSafe(F.col("stay")) & (F.col("fp") == F.col("first"))
+    return kept.unionByName(by_row.join(stay, same, "left_semi").select(from_row(docs)))

@@ -15,7 +15,8 @@ def odd_docs(spark):
         (None, None, None, None), (8, "日本語 ünïcode 😀 <|endoftext|> 'll we'll", "fr", "s3"), (9, "x", "en", "s0"),
     ]
     df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
-    extra = {c: F.lit(c) for c in ("id", "fp", "uid", "key", "n", "spans", "shard", "length", "start", "score", "root", "component_id")}
+    extra = {c: F.lit(c) for c in ("id", "fp", "uid", "key", "n", "spans", "shard", "length", "start", "score", "root", "component_id",
+                                          "__key", "__id", "__fp", "__owned", "__bit", "__bits", "__word", "row", "owned", "first", "stay")}
     return df.withColumns({"n_chars": F.length("text").cast("long"), **extra}).repartition(3)
 
 

@@ -156,3 +156,32 @@ def test_components_of_chains_stars_and_loops(spark):
     assert {r.node: r.root for r in graph.connected_components(table).collect()} == brute.components(nodes, edges)
     assert graph.connected_components(table.where("false")).count() == 0
     assert zlib.crc32(b"") == 0
+
+
+def test_warc_limits_are_reasons_and_none_loses_nothing(spark, monkeypatch):
+    small, large = b"s" * 50, b"l" * 5000
+    members = [warc.compress_record(warc.format_record({"WARC-Type": "response", "N": str(n)}, b)) for n, b in enumerate((small, large, small))]
+    wide = warc.compress_record(warc.format_record({"WARC-Type": "response", "X": "y" * 3000}, small))
+    table = spark.createDataFrame([("a", b"".join(members)), ("b", wide)], "archive string, content binary")
+    assert warc.read_warc(table, record_bytes=None, header_bytes=None).where("quarantined").count() == 0
+    rows = {r.archive: r for r in warc.read_warc(table, record_bytes=4000, header_bytes=1000).where("quarantined").collect()}
+    assert (rows["a"].offset, rows["a"].length, rows["a"].reason) == (len(members[0]), len(members[1]), "a member of more than 4000 bytes")
+    assert rows["b"].reason == "no end of header in 1000 bytes"
+    plain = warc.format_record({"WARC-Type": "response"}, large)
+    assert [f[4] for f in warc.salvage(plain + warc.format_record({"N": "1"}, small), record_bytes=4000)] == ["a record of more than 4000 bytes", None]
+
+
+def test_op6_raises_on_a_gap(spark, monkeypatch):
+    broken = spark.createDataFrame([("a", b"no record")], "archive string, content binary")
+    monkeypatch.setattr(warc, "write_warc", lambda pages: broken)
+    with pytest.raises(Exception, match="a gap in archive a: no version line"):
+        warc.op6(spark.createDataFrame([(1, "x")], "page_id long, html string")).collect()
+
+
+def test_cells_do_not_depend_on_slices(monkeypatch):
+    x = np.random.default_rng(1).normal(size=(200, 8))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    home, visits = embed_dedup.assign_cells(x, x[:23], 0.2)
+    monkeypatch.setattr(embed_dedup, "DISTANCES", 60)
+    again = embed_dedup.assign_cells(x, x[:23], 0.2)
+    assert (home == again[0]).all() and (visits == again[1]).all()
