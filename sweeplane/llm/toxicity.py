@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sweeplane.llm.common import blocks, bucket_of, classes, hash_tokens, held_out, map_arrow, prepare
+from sweeplane.llm.common import blocks, bucket_of, classes, hash_tokens, held_out, map_arrow, mark_keys, prepare
 from sweeplane.llm.labelled import known_labels, labelled_sample, score_rows
 from sweeplane.llm.langid import LanguageModel, fit_languages
 
@@ -222,6 +222,9 @@ def count_logits(
         return pa.RecordBatch.from_arrays([batch.column("id"), pa.array(step << 32 | lang << 1 | own)], names=["id", "code"])
 
     rows = docs.where(learn(id_col)).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    # Most texts have no label: a bitmap of the labelled ids, of fixed size, leaves them unscored.
+    as_text = F.col("id").cast("string")
+    rows = mark_keys(known.select(as_text.alias("id")), "id").rows(rows, True, as_text)
     once = map_arrow(rows, kernel, f"id {kind}, code long").groupBy("id").agg(F.min("code").alias("code"))
     # Both sides grow with the table, so neither is one to broadcast.
     met = once.join(known.hint("merge"), "id").groupBy("code", "y").agg(F.count("*").alias("n")).collect()
