@@ -26,6 +26,10 @@ from sweeplane.llm.graph import connected_components
 #: broadcast: beyond it every label has fewer in proportion.
 PIVOT_SHARE = 0.5
 PIVOTS = 32768
+#: Bytes of all pivots in double precision, which long vectors reach first.
+PIVOT_BYTES = 32 << 20
+#: Distances between vectors and pivots that a task holds at once.
+DISTANCES = 1 << 20
 #: Most home vectors, and most vectors they are compared with, in one block.
 BLOCK = 2048
 #: Slack of the cell bounds for rounding; links themselves are decided by the cosine alone.
@@ -75,9 +79,10 @@ def _unit(vecs, dtype: type) -> np.ndarray:
 
 def choose_pivots(nodes: DataFrame, dtype: type) -> dict[str, np.ndarray]:
     """Unit pivots of each group, picked by a hash of the vector; groups that would have less than two are left out."""
-    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"))
+    sizes = nodes.groupBy("grp").agg(F.count("*").alias("n"), F.max(F.octet_length("vec")).alias("bytes"))
     wish = PIVOT_SHARE * F.sqrt("n")
-    scale = min(1.0, PIVOTS / (sizes.agg(F.sum(wish)).first()[0] or 1.0))
+    total, held = sizes.agg(F.sum(wish), F.sum(wish * F.col("bytes")) * (8 / np.dtype(dtype).itemsize)).first()
+    scale = min(1.0, PIVOTS / (total or 1.0), PIVOT_BYTES / (held or 1.0))
     # At most PIVOTS / 2 groups have two pivots or more, so their sizes can be broadcast.
     wanted = sizes.withColumn("want", F.floor(scale * wish)).where("want >= 2")
     place = F.pmod(F.xxhash64("key"), F.lit(1 << 40)) / float(1 << 40)
@@ -89,14 +94,22 @@ def choose_pivots(nodes: DataFrame, dtype: type) -> dict[str, np.ndarray]:
 
 
 def assign_cells(x: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
-    """Each unit vector's home cell, and whether it visits each cell (of a lower number than its home)."""
-    d2 = np.maximum(2 - 2 * x @ pivots.T, 0)
-    home = d2.argmin(axis=1)
-    near2 = d2[np.arange(len(x)), home][:, None]
-    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))[home]
-    by_triangle = (np.sqrt(d2) - np.sqrt(near2)) / 2 <= radius + SLACK
-    by_plane = d2 - near2 <= 2 * apart * (radius + SLACK) + SLACK
-    return home, by_triangle & by_plane & (np.arange(len(pivots)) < home[:, None])
+    """Each unit vector's home cell, and whether it visits each cell (of a lower number than its home).
+
+    Distances are taken for so many vectors at once that no matrix exceeds DISTANCES.
+    """
+    home, visits = np.zeros(len(x), dtype=np.int64), np.zeros((len(x), len(pivots)), dtype=bool)
+    step = max(1, DISTANCES // max(1, len(pivots)))
+    for at in range(0, len(x), step):
+        part = slice(at, at + step)
+        d2 = np.maximum(2 - 2 * x[part] @ pivots.T, 0)
+        near = d2.argmin(axis=1)
+        near2 = d2[np.arange(len(near)), near][:, None]
+        apart = np.sqrt(np.maximum(2 - 2 * pivots[near] @ pivots.T, 0))
+        by_triangle = (np.sqrt(d2) - np.sqrt(near2)) / 2 <= radius + SLACK
+        by_plane = d2 - near2 <= 2 * apart * (radius + SLACK) + SLACK
+        home[part], visits[part] = near, by_triangle & by_plane & (np.arange(len(pivots)) < near[:, None])
+    return home, visits
 
 
 def _cells(nodes: DataFrame, pivots: dict[str, np.ndarray], radius: float, dtype: type) -> DataFrame:
