@@ -11,6 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
+def is_local(spark: SparkSession) -> bool:
+    """Whether driver and executors are one process, and so have the same files."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which driver and executors share.
 
@@ -19,7 +25,7 @@ def shared_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if root is None:
-        if sc.master != "local" and not sc.master.startswith("local["):
+        if not is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="sweeplane-")
     if sc.getCheckpointDir() is None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame
@@ -18,6 +19,11 @@ NETWORK_SCHEMA = (
 POINTS = ("sample_id", "k", "f_hz", "i", "j", "re", "im")
 
 
+def network_fields() -> list[tuple[str, str]]:
+    """Names and types of the schema's fields."""
+    return [tuple(f.split(" ", 1)) for f in re.split(r",\s*(?=\w+ )", NETWORK_SCHEMA)]
+
+
 def to_points(
     networks: DataFrame, band_hz: tuple[float, float] | None = None, keep: tuple[str, ...] = (), also: tuple[str, ...] = ()
 ) -> DataFrame:

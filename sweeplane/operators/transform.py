@@ -5,6 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -167,25 +169,43 @@ def unwrapped_deg(points: DataFrame, name: str = "deg") -> DataFrame:
 
 
 def unwrapped_packed(networks: DataFrame, name: str = "s_deg") -> DataFrame:
-    """Packed networks with an array of unwrapped phases in the order of s_re; each sweep is followed within its row."""
-    pairs, places = F.col("n_ports") * F.col("n_ports"), F.sequence(F.lit(0), F.size("f_hz") - 1)
-    rows = networks.withColumn("__p", F.zip_with("s_re", "s_im", lambda a, b: deg(a, b)))
-
-    def sweep(e: Column) -> Column:
-        def step(seen: Column, k: Column) -> Column:
-            p = F.get("__p", k * pairs + e)
-            d = p - seen["last"]
-            inside = F.pmod(d + 180, F.lit(360.0)) - 180
-            inside = F.when((inside == -180) & (d > 0), F.lit(180.0)).otherwise(inside)
-            shift = seen["shift"] + F.coalesce(F.when(F.abs(d) < 180, F.lit(0.0)).otherwise(inside - d), F.lit(0.0))
-            return F.struct(p.alias("last"), shift.alias("shift"), F.concat(seen["out"], F.array(p + shift)).alias("out"))
-
-        start = F.struct(F.lit(None).cast("double").alias("last"), F.lit(0.0).alias("shift"), F.array().cast("array<double>").alias("out"))
-        return F.aggregate(places, start, step, lambda seen: seen["out"])
-
-    rows = rows.withColumn("__u", F.transform(F.sequence(F.lit(0), pairs - 1), sweep))
-    flat = F.flatten(F.transform(places, lambda k: F.transform("__u", lambda u: F.get(u, k))))
-    return rows.withColumn(name, flat).drop("__p", "__u")
+    """Packed networks with an array of unwrapped phases in the order of s_re; each sweep is followed within its row.
+
+    A batch's sweeps of one shape are unwrapped together by running sums, so the time is in proportion to the points. A null
+    part has a null phase and is no step; from a NaN on a sweep is NaN.
+    """
+
+    @F.arrow_udf("array<double>")
+    def unwrap(ports: pa.Array, re: pa.Array, im: pa.Array) -> pa.Array:
+        pairs = [-1 if p is None or not r.is_valid or not i.is_valid else p * p for p, r, i in zip(ports.to_pylist(), re, im, strict=True)]
+        return _unwrapped(np.array(pairs, dtype=np.int64), re, im)
+
+    return networks.withColumn(name, unwrap("n_ports", "s_re", "s_im"))
+
+
+def _unwrapped(pairs: np.ndarray, re: pa.Array, im: pa.Array) -> pa.Array:
+    """Unwrapped phases of each row's sweeps of so many port pairs; -1 stands for a null row."""
+    sizes = np.array([len(r) if r.is_valid else 0 for r in re], dtype=np.int64)
+    ends = np.append(0, np.cumsum(np.where(pairs < 0, 0, sizes)))
+    values, nulls = np.zeros(ends[-1]), np.zeros(ends[-1], dtype=bool)
+    for shape in sorted(set(zip(pairs.tolist(), sizes.tolist(), strict=True))):
+        if shape[0] < 1 or not shape[1]:
+            continue
+        at = np.flatnonzero((pairs == shape[0]) & (sizes == shape[1]))
+        rows = [(re[int(n)].values, im[int(n)].values) for n in at]
+        a, b = (np.stack([r[part].to_numpy(zero_copy_only=False).astype(float) for r in rows]).reshape(len(at), -1, shape[0]) for part in (0, 1))
+        gone = np.stack([pc.or_(x.is_null(), y.is_null()).to_numpy(zero_copy_only=False) for x, y in rows]).reshape(a.shape)
+        p = np.degrees(np.arctan2(b, a))
+        d = np.diff(p, axis=1)
+        inside = np.mod(d + 180, 360.0) - 180
+        inside = np.where((inside == -180) & (d > 0), 180.0, inside)
+        fix = np.where(np.abs(d) < 180, 0.0, inside - d)
+        fix[gone[:, 1:] | gone[:, :-1]] = 0.0
+        p[:, 1:] += np.cumsum(fix, axis=1)
+        place = ends[at][:, None] + np.arange(shape[1])
+        values[place], nulls[place] = p.reshape(place.shape), gone.reshape(place.shape)
+    valid = pa.array(np.append(ends[:-1], ends[-1]), pa.int32(), mask=np.append(pairs < 0, False))
+    return pa.ListArray.from_arrays(valid, pa.array(values, mask=nulls))
 
 
 def group_delay(points: DataFrame) -> DataFrame:

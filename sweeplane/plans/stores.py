@@ -17,7 +17,7 @@ KEY = ("sample_id", "k", "i", "j")
 POINT = "round(re, 6) + 0.0 AS re, round(im, 6) + 0.0 AS im"
 
 
-def _networks(spark, d) -> DataFrame:
+def networks(spark, d) -> DataFrame:
     """Packed networks with all fields of the schema; the label is a parameter, and a text one."""
     p = packed(spark, d)
     label = F.coalesce(F.col("label").cast("double"), F.lit(-1.0))
@@ -30,7 +30,7 @@ def _networks(spark, d) -> DataFrame:
 
 def _files(spark, d, form: str) -> DataFrame:
     folder = shared_path(spark, "touchstone")
-    written = touchstone.write_touchstone(_networks(spark, d), folder, form).agg(F.count("*")).first()[0]
+    written = touchstone.write_touchstone(networks(spark, d), folder, form).agg(F.count("*")).first()[0]
     back = touchstone.read_touchstone(spark, folder)
     own = F.regexp_extract("path", r"sample_(\d+)", 1).cast("long")
     return back.withColumnsRenamed({"sample_id": "rank"}).withColumns({"sample_id": own, "written": F.lit(written)})
@@ -63,18 +63,18 @@ SELECT vec_id AS sample_id, re0 FROM e UNION ALL SELECT vec_id + top, re0 FROM e
 def store_append(spark, d):
     """A store, and the same samples appended with ids behind those stored."""
     path = shared_path(spark, "nets") + ".parquet"
-    store.write_store(_networks(spark, d), path)
-    store.append_store(_networks(spark, d), path)
+    store.write_store(networks(spark, d), path)
+    store.append_store(networks(spark, d), path)
     return store.open_networks(spark, path).select("sample_id", r6(F.get("s_re", F.lit(0)), "re0"))
 
 
-@query("""WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS re0 FROM embeddings WHERE vec_id < 40), t AS (SELECT max(vec_id) + 1 AS top FROM e)
+@query("""WITH e AS (SELECT vec_id, round(CAST(embedding[1] AS DOUBLE), 6) + 0.0 AS re0 FROM embeddings ), t AS (SELECT max(vec_id) + 1 AS top FROM e)
 SELECT vec_id AS sample_id, re0 FROM e UNION ALL SELECT vec_id + top, re0 FROM e, t""")
 def touchstone_append(spark, d):
     """Files added to a folder are numbered behind those it has."""
-    folder, some = shared_path(spark, "touchstone"), dataset.first_samples(_networks(spark, d), 40)
-    touchstone.write_touchstone(some, folder).count()
-    touchstone.append_touchstone(some, folder).count()
+    folder, nets = shared_path(spark, "touchstone"), networks(spark, d)
+    touchstone.write_touchstone(nets, folder).count()
+    touchstone.append_touchstone(nets, folder).count()
     back = touchstone.read_touchstone(spark, folder)
     return back.select(F.regexp_extract("path", r"sample_(\d+)", 1).cast("long").alias("sample_id"), r6(F.get("s_re", F.lit(0)), "re0"))
 
@@ -83,7 +83,7 @@ def touchstone_append(spark, d):
 def pack_job(spark, d):
     """A folder of files packed into a store by the command line's function."""
     folder = shared_path(spark, "touchstone")
-    touchstone.write_touchstone(_networks(spark, d), folder).count()
+    touchstone.write_touchstone(networks(spark, d), folder).count()
     store.main(["--src", folder, "--dst", f"{folder}.parquet"])
     back = store.open_networks(spark, f"{folder}.parquet")
     return back.select(F.regexp_extract("path", r"sample_(\d+)", 1).cast("long").alias("sample_id"), "n_ports", r6(F.get("s_im", F.lit(0)), "im0"))
@@ -91,7 +91,7 @@ def pack_job(spark, d):
 
 @query("SELECT vec_id AS sample_id, 'MHz' AS unit FROM embeddings WHERE vec_id % 11 = 5")
 def unit_consistency(spark, d):
-    n = _networks(spark, d)
+    n = networks(spark, d)
     return network.check_units(n.withColumn("unit", F.when(F.col("sample_id") % 11 == 5, "MHz").otherwise(F.col("unit"))))
 
 

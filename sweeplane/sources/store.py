@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sweeplane.operators.network import NETWORK_SCHEMA
+from sweeplane.operators.network import NETWORK_SCHEMA, network_fields
 from sweeplane.sources.touchstone import append_ids, read_touchstone
 
 
@@ -49,7 +49,7 @@ def synthetic(spark: SparkSession, n: int, factory: Callable[[int], dict], parti
                 rows.append({"sample_id": i, **blank, **factory(i)})
             yield pd.DataFrame(rows)[names]
 
-    names = [f.split()[0] for f in NETWORK_SCHEMA.replace("map<string,", "map<string;").split(", ")]
+    names = [name for name, _ in network_fields()]
     return spark.range(0, n, 1, partitions).mapInPandas(run, NETWORK_SCHEMA)
 
 

@@ -14,13 +14,15 @@ from pyspark.sql import functions as F
 
 from sweeplane.functions.complexcols import UNITS, scale_of
 from sweeplane.functions.params import PATTERN, split_params
-from sweeplane.functions.tables import ordered_rank
-from sweeplane.operators.network import NETWORK_SCHEMA
+from sweeplane.functions.tables import cut, is_local, ordered_rank
+from sweeplane.operators.network import network_fields
 
 GLOB = "*.[sS][0-9]*[pP]"
+#: Paths, with their numbers, that are broadcast to the rows parsed; more meet them in a shuffled join.
+BROADCAST_PATHS = 1 << 16
 #: First lines of a file in which parameters may stand outside of comments, up to its option line.
 HEADER_LINES = 100
-_PORTS = re.compile(r"\.s(\d+)p$", re.IGNORECASE)
+PORTS = re.compile(r"\.s(\d+)p$", re.IGNORECASE)
 
 
 def parse_touchstone(text: str, n_ports: int) -> dict:
@@ -79,14 +81,17 @@ def read_touchstone(spark: SparkSession, folder: str, glob: str = GLOB) -> DataF
         for pdf in batches:
             rows = []
             for path, content in zip(pdf["path"], pdf["content"], strict=True):
-                one = parse_touchstone(content.decode("utf-8", "replace"), int(_PORTS.search(path)[1]))
+                one = parse_touchstone(content.decode("utf-8", "replace"), int(PORTS.search(path)[1]))
                 rows.append({"path": path, **one})
             yield pd.DataFrame(rows, columns=names)
 
-    fields = [f.strip() for f in re.split(r",\s*(?=\w+ )", NETWORK_SCHEMA)][1:]
-    names = [f.split()[0] for f in fields]
-    parsed = files.mapInPandas(run, ", ".join(fields))
-    return ordered_rank(parsed, "path", "sample_id").select("sample_id", *names)
+    fields = network_fields()[1:]
+    names = [name for name, _ in fields]
+    parsed = files.mapInPandas(run, ", ".join(" ".join(f) for f in fields))
+    # Paths alone are sorted, without their contents; each file is read and parsed once.
+    ranks = cut(ordered_rank(files.select("path"), "path", "sample_id"))
+    few = ranks.count() <= BROADCAST_PATHS
+    return parsed.join(F.broadcast(ranks) if few else ranks, "path").select("sample_id", *names)
 
 
 def format_touchstone(row: dict, form: str = "RI") -> str:
@@ -122,6 +127,8 @@ def write_touchstone(networks: DataFrame, folder: str | None, form: str = "RI")
     if not folder:
         raise ValueError("a target folder is needed")
     folder = folder.rstrip("/")
+    if "://" not in folder and not is_local(networks.sparkSession):
+        raise ValueError("on a cluster the target is a URI, for a plain path is each machine's own")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fs, root = pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
