@@ -1,7 +1,7 @@
 """Source divergence audit: how the term frequencies of a language's sources differ, with strings materialised late.
 
-Texts are split once, in the tasks that read them. Each writes its counts by group (language and source) and term, with the
-term's 64-bit digest; counts are shuffled and added up by digest alone. The least and the greatest string of a digest tell
+Texts are split once, in the tasks that read them. Each writes its counts by language and term, those of the language's
+sources side by side, with the term's 64-bit digest; counts are shuffled and added up by digest alone. The least and the greatest string of a digest tell
 whether two terms share it; only digests frequent enough to be kept are asked, and only for those are strings shuffled, two
 a task. The few digests that collide are split: their counts are added up again by string, and each of their terms has a
 slot of its own. All else goes by (digest, slot), until the rows to return are known; just these are joined to their text.
@@ -30,8 +30,8 @@ PRIOR = 5
 UNIT = 1_000_000_000
 #: Ranks that part ``term`` goes to.
 TERM_RANKS = 50
-#: Distinct terms of all groups that a task counts before it writes them.
-TASK_TERMS = 1 << 18
+#: Distinct terms, summed over its groups, that a task counts before it writes them.
+TASK_TERMS = 1 << 19
 #: Kept terms of a language whose frequencies in up to SOURCES sources are compared at once.
 TERMS, SOURCES = 2048, 64
 
@@ -40,38 +40,50 @@ _TERM_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128
 
 
 def term_counts(docs: DataFrame, digest_bits: int) -> DataFrame:
-    """gid, digest, term, n (occurrences), docs: of each task, for each flush of its counters."""
+    """lid, digest, term, docs, n (occurrences), gids and ns (the occurrences in each group): of each task, for each flush
+    of its counters. A language's term is one row with its groups side by side."""
     mask = (1 << digest_bits) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts: dict[int, tuple[Counter, Counter]] = {}
+        counts: dict[int, tuple[Counter, dict[int, Counter]]] = {}
         for batch in batches:
-            for gid, text in zip(batch.column("gid").to_pylist(), batch.column("text"), strict=True):
+            for lid, gid, text in zip(batch.column("lid").to_pylist(), batch.column("gid").to_pylist(), batch.column("text"), strict=True):
                 data = text.as_buffer()
                 if data is None or not data.size:
                     continue
                 terms = data.to_pybytes().translate(_TERM_BYTES).split()
-                n, held = counts.setdefault(gid, (Counter(), Counter()))
-                n.update(terms)
-                held.update(set(terms))
-            if sum(len(n) for n, _ in counts.values()) >= TASK_TERMS:
+                docs, by_group = counts.setdefault(lid, (Counter(), {}))
+                docs.update(set(terms))
+                by_group.setdefault(gid, Counter()).update(terms)
+            if sum(len(n) for _, by_group in counts.values() for n in by_group.values()) >= TASK_TERMS:
                 yield from _flushed(counts, mask)
                 counts = {}
         yield from _flushed(counts, mask)
 
-    return docs.select("gid", F.col("text").cast("binary").alias("text")).mapInArrow(run, "gid long, digest long, term binary, n long, docs long")
-
-
-def _flushed(counts: dict[int, tuple[Counter, Counter]], mask: int) -> Iterator[pa.RecordBatch]:
-    for gid, (n, held) in counts.items():
-        terms = list(n)
-        for at in range(0, len(terms), 1 << 15):
-            some = terms[at : at + (1 << 15)]
-            digests = np.array([xxhash.xxh64_intdigest(t) & mask for t in some], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([gid] * len(some), pa.int64()), pa.array(digests), pa.array(some, pa.binary()), pa.array([n[t] for t in some], pa.int64()), pa.array([held[t] for t in some], pa.int64())],
-                names=["gid", "digest", "term", "n", "docs"],
-            )
+    schema = "lid long, digest long, term binary, docs long, n long, gids array<long>, ns array<long>"
+    return docs.select("lid", "gid", F.col("text").cast("binary").alias("text")).mapInArrow(run, schema)
+
+
+def _flushed(counts: dict[int, tuple[Counter, dict[int, Counter]]], mask: int) -> Iterator[pa.RecordBatch]:
+    for lid, (docs, by_group) in counts.items():
+        terms = list(docs)
+        place = dict(zip(terms, range(len(terms)), strict=True))
+        at = np.concatenate([np.fromiter(map(place.__getitem__, n), np.int64, len(n)) for n in by_group.values()])
+        gids = np.repeat(list(by_group), [len(n) for n in by_group.values()])
+        ns = np.concatenate([np.fromiter(n.values(), np.int64, len(n)) for n in by_group.values()])
+        order = np.argsort(at, kind="stable")
+        at, gids, ns = at[order], gids[order], ns[order]
+        ends = np.searchsorted(at, np.arange(len(terms) + 1)).astype(np.int32)
+        totals = np.add.reduceat(ns, ends[:-1]) if len(terms) else ns
+        digests = np.array([xxhash.xxh64_intdigest(t) & mask for t in terms], dtype=np.uint64).view(np.int64)
+        batch = pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.full(len(terms), lid)), pa.array(digests), pa.array(terms, pa.binary()), pa.array(list(docs.values()), pa.int64()), pa.array(totals),
+                pa.ListArray.from_arrays(ends, gids), pa.ListArray.from_arrays(ends, ns),
+            ],
+            names=["lid", "digest", "term", "docs", "n", "gids", "ns"],
+        )
+        yield from (batch.slice(start, 1 << 14) for start in range(0, len(terms), 1 << 14))
 
 
 def grouped(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
@@ -82,30 +94,28 @@ def grouped(docs: DataFrame, text_col: str, lang_col: str, source_col: str) -> t
     # A language is known by the least of its groups.
     langs = groups.groupBy("lang").agg(F.min("gid").alias("lid"))
     groups = materialize(groups.join(langs, "lang").select("gid", "lid", "lang", "source"), "groups")
-    keys = groups.select(F.struct("lang", "source").alias("pair"), "gid")
+    keys = groups.select(F.struct("lang", "source").alias("pair"), "gid", "lid")
     rows = named.select(F.struct("lang", "source").alias("pair"), "text")
-    return groups, join_marked(rows, keys, "pair", "left").select("gid", "text")
+    return groups, join_marked(rows, keys, "pair", "left").select("gid", "lid", "text")
 
 
-def kept_terms(raw: DataFrame, groups: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+def kept_terms(raw: DataFrame, least_docs: int) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Counts (gid, lid, digest, slot, n) of the kept terms; (lid, digest, slot, n) of their languages; and the strings
     (digest, slot, term) of the digests asked for.
 
-    Documents of a digest are at least those of each of its terms, so no term that is kept is missed before the split.
+    Documents of a digest are at least those of each of its terms, so no term that is kept is missed before the split. Groups
+    are counted for frequent digests alone, and unfolded behind the shuffle.
     """
-    of_groups = groups.select("gid", "lid")
-    by_group = raw.groupBy("gid", "digest").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    by_group = materialize(by_group.join(of_groups, "gid"), "by_group")
     by_lang = lambda df, *key: df.groupBy("lid", *key).agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")).where(F.col("docs") >= least_docs)
-    frequent = materialize(by_lang(by_group, "digest").drop("docs"), "frequent")
+    frequent = materialize(by_lang(raw, "digest").drop("docs"), "frequent")
     asked = frequent.select("digest").distinct()
     # The marks leave out most rows of digests that are not asked for; the join all others.
-    told = mark_keys(asked, "digest").rows(raw.select("digest", "term"), True, "digest").groupBy("digest")
+    marks = mark_keys(asked, "digest")
+    told = marks.rows(raw.select("digest", "term"), True, "digest").groupBy("digest")
     told = materialize(told.agg(F.min("term").alias("least"), F.max("term").alias("greatest")).join(asked, "digest"), "told")
-    shared = told.where("least <> greatest").select("digest")
+    shared = materialize(told.where("least <> greatest").select("digest"), "shared")
     zero = F.lit(0).cast("long").alias("slot")
-    split = raw.join(shared, "digest").groupBy("gid", "digest", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    split = materialize(split.join(of_groups, "gid"), "split")
+    split = materialize(join_marked(raw, shared, "digest", "inner"), "split")
     # A slot is the term's rank among those of its digest: no more than collide.
     slots = split.select("digest", "term").distinct().withColumn("slot", F.row_number().over(Window.partitionBy("digest").orderBy("term")).cast("long"))
     slots = materialize(slots, "slots")
@@ -113,10 +123,11 @@ def kept_terms(raw: DataFrame, groups: DataFrame, least_docs: int) -> tuple[Data
     kept_split = by_lang(parted, "digest", "slot").drop("docs")
     langs = frequent.join(shared, "digest", "left_anti").select("lid", "digest", zero, "n")
     langs = materialize(langs.unionByName(kept_split.select(langs.columns)), "kept")
-    whole = by_group.select("gid", "lid", "digest", zero, "n")
-    counts = whole.join(langs.where("slot = 0").select("lid", "digest"), ["lid", "digest"], "left_semi")
-    apart = parted.join(langs.where("slot > 0").select("lid", "digest", "slot"), ["lid", "digest", "slot"], "left_semi")
-    counts = materialize(counts.unionByName(apart.select(counts.columns)), "counts")
+    key = ["lid", "digest", "slot"]
+    whole = marks.rows(raw.select("lid", "digest", zero, "gids", "ns"), True, "digest")
+    both = whole.unionByName(parted.select(whole.columns)).join(langs.select(key), key, "left_semi")
+    each = both.select(*key, F.explode(F.arrays_zip("gids", "ns")).alias("e"))
+    counts = materialize(each.groupBy(*key, F.col("e.gids").alias("gid")).agg(F.sum("e.ns").alias("n")), "counts")
     strings = told.where("least = greatest").select("digest", zero, F.col("least").alias("term"))
     return counts, langs, strings.unionByName(slots.select("digest", "slot", "term"))
 
@@ -202,7 +213,7 @@ def source_divergence(
     prepare(docs.sparkSession)
     groups, texts = grouped(docs, text_col, lang_col, source_col)
     raw = materialize(term_counts(texts, digest_bits), "term_counts")
-    counts, langs, strings = kept_terms(raw, groups, least_docs)
+    counts, langs, strings = kept_terms(raw, least_docs)
     of_lang = langs.groupBy("lid").agg(F.count("*").alias("kinds"), F.sum("n").alias("lang_total"))
     totals = counts.groupBy("gid").agg(F.sum("n").alias("total"))
     groups = groups.join(of_lang, "lid", "left").join(totals, "gid", "left").fillna(0, ["kinds", "lang_total", "total"])
