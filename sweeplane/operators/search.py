@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -15,8 +16,12 @@ from sweeplane.operators.goals import Specification
 from sweeplane.operators.surrogate import Surrogate
 
 
-#: Rows of a block of boxes, and of a block of points.
+#: Rows of a block of edges of boxes, and of a block of points.
 BLOCK = 4096
+#: Pairs of a box and a point that are compared without an index.
+DIRECT_PAIRS = 1 << 30
+#: Cells of the index of a cloud, over all its axes: 256 columns of each of two, 40 of each of three.
+CELLS = 1 << 16
 
 
 def estimate_yield(spark: SparkSession, space: DesignSpace, surrogate: Surrogate, spec: Specification, n: int = 8192, sampler: str = "normal", **options) -> DataFrame:
@@ -40,21 +45,125 @@ def candidate_boxes(passing: DataFrame, center: dict[str, float], mode: str = "s
     return passing.select(F.col("point_id").alias("cid"), *columns, volume.alias("volume"))
 
 
-def score_boxes(candidates: DataFrame, cloud: DataFrame, variables: list[str]) -> DataFrame:
-    """Candidates with ``inside`` and ``good``: how many points of the cloud lie within, and how many of those pass.
+@dataclass(frozen=True)
+class CloudIndex:
+    """Columns of a cloud along each axis, and running totals of its points and passing points over their cells.
 
-    Both sides are dealt in blocks of about BLOCK rows; each pair of blocks is one task's arrays, of fixed size. No pair
-    of rows is made into a row, and nothing goes through the driver but the two counts. ``cid`` must be unique.
+    ``borders`` are an axis's, by quantiles, so that columns hold about as many points each; ``totals`` is (2, columns + 1, ...):
+    at most CELLS cells in all, whatever the cloud.
     """
-    parts = [max(1, -(-df.count() // BLOCK)) for df in (candidates, cloud)]
+
+    variables: tuple[str, ...]
+    borders: tuple[np.ndarray, ...]
+    totals: np.ndarray
+
+    @classmethod
+    def build(cls, cloud: DataFrame, variables: list[str]) -> CloudIndex:
+        per_axis = max(2, int(CELLS ** (1 / len(variables))))
+        shares = [q / per_axis for q in range(1, per_axis)]
+        row = cloud.agg(*(F.percentile_approx(F.col(v).cast("double"), shares, 10 * per_axis).alias(f"q{n}") for n, v in enumerate(variables))).first()
+        borders = tuple(np.unique(np.array(row[f"q{n}"] or [], dtype=float)) for n in range(len(variables)))
+        shape = tuple(len(b) + 1 for b in borders)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            total = np.zeros((2, int(np.prod(shape))), dtype=np.int64)
+            for pdf in batches:
+                x = pdf[variables].to_numpy(dtype=float)
+                cell = np.ravel_multi_index([np.searchsorted(b, x[:, n], "right") for n, b in enumerate(borders)], shape)
+                total[0] += np.bincount(cell, minlength=total.shape[1])
+                total[1] += np.bincount(cell[pdf["ok"].to_numpy(dtype=bool)], minlength=total.shape[1])
+            at = np.flatnonzero(total[0])
+            yield pd.DataFrame({"cell": at, "n": total[0, at], "g": total[1, at]})
+
+        counted = cloud.select(*variables, "ok").mapInPandas(count, "cell long, n long, g long").groupBy("cell").agg(F.sum("n").alias("n"), F.sum("g").alias("g"))
+        cells = np.zeros((2, int(np.prod(shape))), dtype=np.int64)
+        for r in counted.collect():  # CELLS rows at most
+            cells[:, r["cell"]] = r["n"], r["g"]
+        totals = np.pad(cells.reshape(2, *shape), [(0, 0)] + [(1, 0)] * len(shape))
+        for axis in range(1, totals.ndim):
+            totals = totals.cumsum(axis=axis)
+        return cls(tuple(variables), borders, totals)
+
+    def columns(self, x: np.ndarray) -> np.ndarray:
+        """The column of each row's value along each axis."""
+        return np.stack([np.searchsorted(b, x[:, n], "right") for n, b in enumerate(self.borders)], axis=1)
+
+    def whole(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        """(points, passing points) of the cells strictly between the columns ``low`` and ``high`` of each row, by inclusion and exclusion."""
+        out = np.zeros((2, len(low)), dtype=np.int64)
+        a, b = low + 1, np.maximum(high, low + 1)
+        for corner in range(1 << low.shape[1]):
+            upper = [corner >> n & 1 for n in range(low.shape[1])]
+            place = tuple(b[:, n] if up else a[:, n] for n, up in enumerate(upper))
+            out += (-1) ** (low.shape[1] - sum(upper)) * self.totals[(slice(None), *place)]
+        return out
+
+
+def _edges(candidates: DataFrame, index: CloudIndex) -> DataFrame:
+    """For each box: a row with what its whole cells hold (axis -1), and a row for each column in which it has an edge."""
+    variables = index.variables
+    lows, highs = [f"lo_{v}" for v in variables], [f"hi_{v}" for v in variables]
+    shared = candidates.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            own = shared.value
+            low, high = own.columns(pdf[lows].to_numpy(dtype=float)), own.columns(pdf[highs].to_numpy(dtype=float))
+            n, g = own.whole(low, high)
+            yield pdf.assign(axis=-1, part=0, n=n, g=g)
+            for axis in range(len(variables)):
+                yield pdf.assign(axis=axis, part=low[:, axis], n=0, g=0)
+                two = low[:, axis] != high[:, axis]
+                yield pdf[two].assign(axis=axis, part=high[two, axis], n=0, g=0)
+
+    bounds = ", ".join(f"{c} double" for c in (*lows, *highs))
+    doubles = [F.col(c).cast("double").alias(c) for c in (*lows, *highs)]
+    return candidates.select(F.col("cid").cast("long").alias("cid"), *doubles).mapInPandas(run, f"cid long, {bounds}, axis long, part long, n long, g long")
+
+
+def _in_columns(cloud: DataFrame, index: CloudIndex) -> DataFrame:
+    """Each point (its coordinates as x_0, x_1, ...) once for each axis, in its column there."""
+    names = _places(len(index.variables))
+    shared = cloud.sparkSession.sparkContext.broadcast(index)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            at = shared.value.columns(pdf[names].to_numpy(dtype=float))
+            for axis in range(len(names)):
+                yield pdf.assign(axis=axis, part=at[:, axis])
+
+    rows = cloud.select("point_id", *(F.col(v).cast("double").alias(x) for v, x in zip(index.variables, names, strict=True)), "ok")
+    return rows.mapInPandas(run, f"point_id {cloud.schema['point_id'].dataType.simpleString()}, {', '.join(f'{x} double' for x in names)}, ok boolean, axis long, part long")
+
+
+def _places(n: int) -> list[str]:
+    """Coordinates by position, so that no variable's name is that of a helper column."""
+    return [f"x_{k}" for k in range(n)]
+
+
+def compared_pairs(candidates: DataFrame, cloud: DataFrame, variables: list[str]) -> tuple[int, int]:
+    """(pairs of a box and a point that are compared, all pairs): what the index saves."""
+    index = CloudIndex.build(cloud, variables)
+    at = ("axis", "part")
+    boxes = _edges(candidates, index).groupBy(*at).agg(F.count("*").alias("b"))
+    points = _in_columns(cloud, index).groupBy(*at).agg(F.count("*").alias("p"))
+    met = boxes.join(points, list(at)).agg(F.sum(F.col("b") * F.col("p"))).first()[0]
+    return int(met or 0), candidates.count() * cloud.count()
+
+
+def _score_directly(candidates: DataFrame, cloud: DataFrame, variables: list[str], rows: list[int]) -> DataFrame:
+    """``score_boxes`` without an index: every block of boxes with every block of points, each about BLOCK rows."""
+    parts = [max(1, -(-n // BLOCK)) for n in rows]
     block = lambda key, n: F.pmod(F.xxhash64(key), F.lit(n))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)).cast("array<long>"))
+    names = _places(len(variables))
     left = candidates.withColumns({"a": block("cid", parts[0]), "b": every(parts[1])})
-    right = cloud.select("point_id", *variables, "ok").withColumns({"b": block("point_id", parts[1]), "a": every(parts[0])})
+    right = cloud.select("point_id", *(F.col(v).alias(x) for v, x in zip(variables, names, strict=True)), "ok")
+    right = right.withColumns({"b": block("point_id", parts[1]), "a": every(parts[0])})
     lows, highs = [f"lo_{v}" for v in variables], [f"hi_{v}" for v in variables]
 
     def score(boxes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
-        x, ok = points[variables].to_numpy(dtype=float), points["ok"].to_numpy(dtype=bool)
+        x, ok = points[names].to_numpy(dtype=float), points["ok"].to_numpy(dtype=bool)
         lo, hi = boxes[lows].to_numpy(dtype=float), boxes[highs].to_numpy(dtype=float)
         within = np.ones((len(lo), len(x)), dtype=bool)
         for v in range(len(variables)):
@@ -65,6 +174,50 @@ def score_boxes(candidates: DataFrame, cloud: DataFrame, variables: list[str]) -
     return candidates.join(met.groupBy("cid").agg(F.sum("n").alias("inside"), F.sum("g").alias("good")), "cid")
 
 
+def score_boxes(candidates: DataFrame, cloud: DataFrame, variables: list[str], direct: int = DIRECT_PAIRS) -> DataFrame:
+    """Candidates with ``inside`` and ``good``: how many points of the cloud lie within, and how many of those pass.
+
+    Cells that lie wholly within a box are added from running totals. Only points in a column where the box has an edge are
+    compared with it: of any pair the first such axis is the one that counts it. A box is a row for each of its edges, a point
+    one for each axis. Columns of many rows are dealt in blocks of about BLOCK by BLOCK, each one task's arrays; no pair of
+    rows is made into a row, and the driver holds the cells, at most CELLS. ``cid`` must be unique. Up to ``direct`` pairs are
+    compared without an index, whose jobs would take longer; the counts are the same.
+    """
+    names = list(variables)
+    rows = [df.count() for df in (candidates, cloud)]
+    if rows[0] * rows[1] <= direct:
+        return _score_directly(candidates, cloud, names, rows)
+    index = CloudIndex.build(cloud, names)
+    edges, points = cut(_edges(candidates, index)), _in_columns(cloud, index)
+    at = ("axis", "part")
+    parts = lambda df, name: df.groupBy(*at).agg(F.ceil(F.count("*") / BLOCK).alias(name))
+    sizes = parts(edges.where("axis >= 0"), "edge_blocks").join(parts(points, "point_blocks"), list(at))
+    block = lambda key, n: F.pmod(F.xxhash64(key), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = edges.join(sizes, list(at)).withColumns({"a": block("cid", "edge_blocks"), "b": every("point_blocks")})
+    right = points.join(sizes, list(at)).withColumns({"b": block("point_id", "point_blocks"), "a": every("edge_blocks")})
+    lows, highs = [f"lo_{v}" for v in names], [f"hi_{v}" for v in names]
+    keys, places = (*at, "a", "b"), _places(len(names))
+    left, right = left.select(*keys, "cid", *lows, *highs), right.select(*keys, "point_id", *places, "ok")
+    shared = candidates.sparkSession.sparkContext.broadcast(index)
+
+    def score(boxes: pd.DataFrame, points: pd.DataFrame) -> pd.DataFrame:
+        x, ok, own = points[places].to_numpy(dtype=float), points["ok"].to_numpy(dtype=bool), shared.value
+        lo, hi = boxes[lows].to_numpy(dtype=float), boxes[highs].to_numpy(dtype=float)
+        within = np.ones((len(lo), len(x)), dtype=bool)
+        for v in range(len(names)):
+            within &= (x[:, v] >= lo[:, v, None]) & (x[:, v] <= hi[:, v, None])
+        if len(lo) and len(x):
+            first, last, place = own.columns(lo), own.columns(hi), own.columns(x)
+            for v in range(int(boxes["axis"].iloc[0])):
+                within &= (place[:, v] > first[:, v, None]) & (place[:, v] < last[:, v, None])
+        return pd.DataFrame({"cid": boxes["cid"], "n": within.sum(axis=1), "g": (within & ok).sum(axis=1)})
+
+    met = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(score, "cid long, n long, g long")
+    counts = met.unionByName(edges.where("axis < 0").select("cid", "n", "g")).groupBy("cid")
+    return candidates.join(counts.agg(F.sum("n").alias("inside"), F.sum("g").alias("good")), "cid")
+
+
 def best_box(scored: DataFrame, alpha: float) -> DataFrame:
     """The box of greatest volume among those whose share of passing points is at least alpha; of ties the lowest id."""
     fit = scored.where((F.col("inside") > 0) & (F.col("good") >= alpha * F.col("inside")))

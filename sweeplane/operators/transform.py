@@ -156,6 +156,36 @@ def resample_uniform(points: DataFrame, n: int) -> DataFrame:
     return to_points(resample_packed(to_packed(points), n))
 
 
+def resample_targets(points: DataFrame, targets: DataFrame) -> DataFrame:
+    """Points on each sample's own target frequencies, ``targets`` (sample_id, k, f_hz): real and imaginary parts by linear interpolation.
+
+    Grids of any spacing and number, from a table. A source point knows the next one; sources and targets are then merged in
+    one pass in the order of frequency, where each target takes the last source before it. One exchange by sample, no cross of
+    targets with sources. A target outside its sample's span by more than OUTSIDE_HZ raises; one of a sample without points
+    gives no row, and a sample without targets none.
+    """
+    by_sample = points.repartition("sample_id")
+    values = F.array_sort(F.collect_list(F.struct("i", "j", "re", "im")))
+    source = by_sample.groupBy("sample_id", "f_hz").agg(values.alias("e"))
+    along = Window.partitionBy("sample_id").orderBy("f_hz")
+    source = source.withColumn("here", F.struct("f_hz", "e")).withColumn("next", F.lead("here").over(along))
+    source = source.select("sample_id", "f_hz", F.struct("here", "next").alias("at"), F.lit(None).cast("long").alias("t"))
+    merged = source.unionByName(targets.select("sample_id", F.col("f_hz").cast("double"), F.lit(None).cast(source.schema["at"].dataType).alias("at"), F.col("k").cast("long").alias("t")))
+    order = Window.partitionBy("sample_id").orderBy("f_hz", F.col("t").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    first = F.first("at", ignorenulls=True).over(Window.partitionBy("sample_id").orderBy(F.col("at").isNull(), "f_hz"))
+    met = merged.withColumns({"before": F.last("at", ignorenulls=True).over(order), "first": first}).where("t IS NOT NULL AND first IS NOT NULL")
+    # A target a hair below the span goes by its first point.
+    p = met.withColumn("p", F.coalesce("before", "first"))
+    low, high, f = F.col("p.here"), F.coalesce("p.next", "p.here"), F.col("f_hz")
+    weight = F.coalesce(F.try_divide(f - low["f_hz"], high["f_hz"] - low["f_hz"]), F.lit(0.0))
+    outside = (f < low["f_hz"] - OUTSIDE_HZ) | (f > high["f_hz"] + OUTSIDE_HZ)
+    checked = F.when(outside, F.raise_error(F.lit("a target frequency lies outside the sweep"))).otherwise(F.least(F.greatest(weight, F.lit(0.0)), F.lit(1.0)))
+    pair = F.zip_with(low["e"], high["e"], lambda a, b: F.struct(a.alias("a"), b.alias("b")))
+    rows = p.select("sample_id", F.col("t").alias("k"), "f_hz", checked.alias("w"), F.explode(pair).alias("x"))
+    between = lambda c: F.col(f"x.a.{c}") + F.col("w") * (F.col(f"x.b.{c}") - F.col(f"x.a.{c}"))
+    return rows.select("sample_id", "k", "f_hz", F.col("x.a.i").alias("i"), F.col("x.a.j").alias("j"), between("re").alias("re"), between("im").alias("im"))
+
+
 def unwrapped_deg(points: DataFrame, name: str = "deg") -> DataFrame:
     """Phase in degrees without jumps along the sweep: each step is brought into [-180, 180) and summed."""
     sweep = Window.partitionBy("sample_id", "i", "j").orderBy("k")

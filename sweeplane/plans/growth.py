@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sweeplane.functions.tables import shared_path
-from sweeplane.operators import goals, learned, network
+from sweeplane.operators import goals, learned, network, search, transform
 from sweeplane.operators.dataset import split
 from sweeplane.plans.catalog import query
 from sweeplane.plans.stores import KEY, POINT, networks
@@ -72,6 +72,35 @@ def growing_store(spark, d):
     return spark.read.parquet(out).select("family", "arrival", "n", "n_ok")
 
 
+_TARGETS = "SELECT label, k, 1e9 + 3.5e9 * pow(k / (5.0 + label % 4), 1 + label % 3) AS f FROM (SELECT DISTINCT label FROM embeddings WHERE label IS NOT NULL), range(9) t(k) WHERE k <= 5 + label % 4"
+
+
+@query(f"""WITH {sql_points(2)}, t AS ({_TARGETS}), n AS (SELECT *, lead(f_hz) OVER w AS f1, lead(re) OVER w AS re1, lead(im) OVER w AS im1 FROM s WINDOW w AS (PARTITION BY sample_id, i, j ORDER BY k))
+SELECT n.sample_id, t.k, n.i, n.j, round(t.f / 1e9, 6) + 0.0 AS f_ghz, round(re + coalesce((t.f - f_hz) / (f1 - f_hz) * (re1 - re), 0), 6) + 0.0 AS re, round(im + coalesce((t.f - f_hz) / (f1 - f_hz) * (im1 - im), 0), 6) + 0.0 AS im
+FROM n JOIN t ON n.label = t.label AND t.f >= f_hz AND (t.f < f1 OR f1 IS NULL)""")
+def resample_by_family(spark, d):
+    """Every family has a grid of its own, of its own spacing; the grids are a table."""
+    own = table(spark, d, "embeddings").select(F.col("vec_id").alias("sample_id"), F.col("label").cast("long").alias("label")).where("label IS NOT NULL")
+    last = 5 + F.col("label") % 4
+    grids = own.select("label").distinct().withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    grids = grids.withColumn("f_hz", 1e9 + 3.5e9 * F.pow(F.col("k") / last.cast("double"), (1 + F.col("label") % 3).cast("double")))
+    out = transform.resample_targets(points(spark, d), own.join(grids, "label").select("sample_id", "k", "f_hz"))
+    return rounded(out.withColumn("f_ghz", F.col("f_hz") / 1e9), "f_ghz", "re", "im").select(*KEY, "f_ghz", "re", "im")
+
+
+_BAND = "SELECT p_partkey AS point_id, p_size / 25.0 - 1 AS x, p_retailprice / 50.0 - 19 AS y, 0.6 * abs(p_size / 25.0 - 1) + abs(p_retailprice / 50.0 - 19) <= 0.4 AS ok FROM part"
+
+
+@query(f"""WITH c AS ({_BAND}), b AS (SELECT point_id AS cid, -abs(x) AS lx, abs(x) AS hx, -abs(y) AS ly, abs(y) AS hy FROM c WHERE ok)
+SELECT cid, count(*) AS inside, count(*) FILTER (c.ok) AS good FROM b JOIN c ON x BETWEEN lx AND hx AND y BETWEEN ly AND hy GROUP BY cid""")
+def box_index(spark, d):
+    """Boxes around the middle of the parts' sizes and prices against all parts, by the cloud's index."""
+    p = table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), (F.col("p_size") / 25.0 - 1).alias("x"), (F.col("p_retailprice") / 50.0 - 19).alias("y"))
+    cloud = p.withColumn("ok", 0.6 * F.abs("x") + F.abs("y") <= 0.4)
+    boxes = search.candidate_boxes(cloud.where("ok"), {"x": 0.0, "y": 0.0})
+    return search.score_boxes(boxes, cloud, ["x", "y"], direct=0).select("cid", "inside", "good")
+
+
 # -- trained surrogates -------------------------------------------------------------------------------------------
 
 _PART = "SELECT p_size / 50.0 AS a, p_retailprice / 2000.0 AS b, p_size * p_retailprice / 100000.0 AS y FROM part"

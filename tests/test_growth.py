@@ -235,3 +235,54 @@ def test_unwrapping_of_nulls_and_odd_shapes(spark):
     assert np.isnan(got[2][1:]).all() and got[3] == [] and got[4] is None and got[5] is None
     points = {(r.k, r.i, r.j): r.deg for r in transform.unwrapped_deg(network.to_points(df.where("sample_id = 6"))).collect()}
     assert np.allclose(got[6], [points[k, i, j] for k in range(2) for i in range(2) for j in range(2)])
+
+
+def test_resampling_to_targets_of_each_sample(spark):
+    rng = np.random.default_rng(8)
+    source, targets = [], []
+    for s in range(5):
+        f = np.sort(rng.uniform(1e9, 2e9, 6))
+        for k, x in enumerate(f):
+            source += [(s, k, float(x), 0, j, float(rng.normal()), float(rng.normal())) for j in range(2)]
+        want = np.concatenate([f[:1], rng.uniform(f[0], f[-1], s), f[-1:], f[2:3]]) if s else []
+        targets += [(s, k, float(x)) for k, x in enumerate(want)]
+    targets += [(99, 0, 1e9)]
+    points = spark.createDataFrame(source, "sample_id long, k long, f_hz double, i long, j long, re double, im double")
+    out = transform.resample_targets(points, spark.createDataFrame(targets, "sample_id long, k long, f_hz double"))
+    got = {(r.sample_id, r.k, r.j): (r.re, r.im) for r in out.collect()}
+    assert len(got) == 2 * sum(t[0] != 99 for t in targets)
+    for s, k, x in targets:
+        for j in range(2):
+            if s != 99:
+                of = [r for r in source if r[0] == s and r[4] == j]
+                assert np.allclose(got[s, k, j], [np.interp(x, [r[2] for r in of], [r[c] for r in of]) for c in (5, 6)])
+    with pytest.raises(Exception, match="outside"):
+        transform.resample_targets(points, spark.createDataFrame([(1, 0, 3e9)], "sample_id long, k long, f_hz double")).collect()
+
+
+@pytest.mark.parametrize("dims", [1, 2, 3])
+def test_boxes_by_index_equal_brute_force(spark, monkeypatch, dims):
+    from sweeplane.operators import search
+
+    rng = np.random.default_rng(dims)
+    x = np.round(rng.uniform(-1, 1, (400, dims)), 2)
+    x[:130] = x[0]  # a third of the points is one
+    ok = x.sum(axis=1) > -0.5
+    names = ["a", "b", "c"][:dims]
+    cloud = spark.createDataFrame([(i, *map(float, p), bool(o)) for i, (p, o) in enumerate(zip(x, ok, strict=True))], f"point_id long, {', '.join(f'{v} double' for v in names)}, ok boolean")
+    boxes = search.candidate_boxes(cloud.where("ok"), {v: 0.05 for v in names}, "asym")
+    monkeypatch.setattr(search, "CELLS", 9**dims)
+    monkeypatch.setattr(search, "BLOCK", 50)
+    for r in search.score_boxes(boxes, cloud, names, direct=0).collect():
+        within = np.all([(x[:, n] >= r[f"lo_{v}"]) & (x[:, n] <= r[f"hi_{v}"]) for n, v in enumerate(names)], axis=0)
+        assert (r.inside, r.good) == (within.sum(), (within & ok).sum())
+    assert search.score_boxes(boxes.where("false"), cloud, names, direct=0).count() == 0
+
+
+def test_index_compares_few_pairs(spark):
+    from sweeplane.operators import search
+
+    x = np.random.default_rng(1).uniform(-1, 1, (3000, 2))
+    cloud = spark.createDataFrame([(i, float(a), float(b), bool(abs(a) < 0.7)) for i, (a, b) in enumerate(x)], "point_id long, x double, y double, ok boolean")
+    compared, pairs = search.compared_pairs(search.candidate_boxes(cloud.where("ok"), {"x": 0.0, "y": 0.0}), cloud, ["x", "y"])
+    assert 0 < compared < pairs / 25

@@ -259,7 +259,7 @@ def test_yield_and_boxes(spark):
     linear = LinearSurrogate(("a",), ((0, 1e9, 0, 0, {"a": (1.0, 0.0)}, (0.0, 0.0)),))
     assert LinearSurrogate.loads(linear.dumps()) == linear and get_surrogate("linear") is LinearSurrogate
     with pytest.raises(KeyError):
-        get_surrogate("gp")
+        get_surrogate("nothing")
     spec = lambda limit: goals.Specification((goals.Criterion(goals.SMag(None, 1, 1, False), goals.MaxAgg(), goals.LE(limit)),))
     space = design.DesignSpace({"a": design.Continuous(0.0, 1.0)})
     assert search.estimate_yield(spark, space, linear, spec(2.0), 256).first()["yield"] == 1
