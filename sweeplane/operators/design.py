@@ -243,7 +243,9 @@ def sobol_directions(d: int, bits: int = 52, seed: int = 1) -> list[list[int]]:
 
 @register(GENERATORS, "sobol", "qmc_sobol")
 def sobol(spark: SparkSession, n: int, d: int, start: int = 0, scramble: bool = True, seed: int = 0) -> DataFrame:
-    """A digital net in base 2 in Gray-code order; scrambling is a seeded digital shift."""
+    """A digital net in base 2 in Gray-code order; scrambling is a seeded digital shift. There are 2^40 points."""
+    if start + n > 1 << 40:
+        raise ValueError("a net has 2^40 points")
     bits = 52
     gray = F.col("point_id").bitwiseXOR(F.shiftright("point_id", 1))
     columns = []
