@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sweeplane.functions.tables import cut
@@ -224,6 +224,139 @@ def best_box(scored: DataFrame, alpha: float) -> DataFrame:
     return fit.orderBy(F.desc("volume"), "cid").limit(1)
 
 
+@dataclass(frozen=True)
+class AxisZoom:
+    """The box that a search along the axes found: half widths around the centre, and the cloud's points and passing points within."""
+
+    center: dict[str, float]
+    half: dict[str, float]
+    inside: int
+    good: int
+    rounds: int
+    converged: bool
+
+    def within(self) -> Column:
+        """Whether a point of the cloud lies within."""
+        out = F.lit(True)
+        for v, c in self.center.items():
+            out = out & (F.abs(F.col(v) - c) <= self.half[v])
+        return out
+
+
+def _axis_counts(leveled: DataFrame, bins: int, at: list[int]) -> np.ndarray:
+    """Points and passing points up to each level of each axis, of those that the other axes' levels ``at`` admit: (axes, 2, bins)."""
+    names = _places(len(at))
+
+    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros((len(at), 2, bins + 1), dtype=np.int64)
+        for pdf in batches:
+            level, ok = pdf[names].to_numpy(), pdf["ok"].to_numpy(dtype=bool)
+            for axis in range(len(at)):
+                others = np.delete(np.arange(len(at)), axis)
+                rows = (level[:, others] <= np.array(at, dtype=int)[others]).all(axis=1)
+                total[axis, 0] += np.bincount(level[rows, axis], minlength=bins + 1)
+                total[axis, 1] += np.bincount(level[rows & ok, axis], minlength=bins + 1)
+        axis, kind, level = np.nonzero(total)
+        yield pd.DataFrame({"axis": axis, "kind": kind, "level": level, "n": total[axis, kind, level]})
+
+    out = np.zeros((len(at), 2, bins + 1), dtype=np.int64)
+    counted = leveled.mapInPandas(count, "axis long, kind long, level long, n long").groupBy("axis", "kind", "level").agg(F.sum("n").alias("n"))
+    for r in counted.collect():  # two counts for each level of each axis at most
+        out[r["axis"], r["kind"], r["level"]] = r["n"]
+    return out[:, :, :bins].cumsum(axis=2)
+
+
+def _quantiles(df: DataFrame, columns: list[str], bounds: list[tuple[float, float]], bins: int) -> list[np.ndarray]:
+    """Up to ``bins`` quantiles of each column's values between its bounds (both left out), ascending; its least and greatest are among them."""
+    shares = [q / bins for q in range(bins + 1)]
+    between = [F.when((F.col(x) > lo) & (F.col(x) < hi), F.col(x)) for x, (lo, hi) in zip(columns, bounds, strict=True)]
+    row = df.agg(*(F.percentile_approx(b, shares, 10 * bins).alias(x) for x, b in zip(columns, between, strict=True))).first()
+    return [np.unique(np.array(row[x] or [], dtype=float)) for x in columns]
+
+
+def _leveled(df: DataFrame, columns: list[str], levels: list[np.ndarray]) -> DataFrame:
+    """The first level of each axis (x_0, x_1, ...) that reaches a point's value, or their number if none does; ok."""
+    names = _places(len(columns))
+    shared = df.sparkSession.sparkContext.broadcast(levels)
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf.assign(**{x: np.searchsorted(b, pdf[x].to_numpy(), "left") for x, b in zip(names, shared.value, strict=True)})
+
+    rows = df.select(*(F.col(c).alias(x) for c, x in zip(columns, names, strict=True)), "ok")
+    return cut(rows.mapInPandas(place, f"{', '.join(f'{x} int' for x in names)}, ok boolean"))
+
+
+def _first_box(apart: DataFrame, names: list[str], alpha: float, bins: int) -> list[float]:
+    """Half widths of the greatest box of one shape that holds alpha: distances are measured by each axis's median one.
+
+    Quantiles of the points' sizes (of the least such box that holds each) are tried; where none holds alpha, those below the
+    least of them, down to the nearest point.
+    """
+    medians = apart.agg(*(F.percentile_approx(x, 0.5).alias(x) for x in names)).first()
+    size = F.greatest(F.lit(-1.0), *(F.col(x) / (medians[x] or 1.0) for x in names))
+    sized = apart.withColumn("size", size)
+    above, top = -1.0, np.inf
+    while True:
+        (sizes,) = _quantiles(sized, ["size"], [(above, top)], bins)
+        if not len(sizes):
+            raise RuntimeError("no box of this shape holds the share of passing points")
+        n, g = _axis_counts(_leveled(sized, ["size"], [sizes]), len(sizes), [0])[0]
+        fit = np.flatnonzero(g >= alpha * n)
+        if len(fit):
+            return list(sized.where(F.col("size") <= float(sizes[fit[-1]])).agg(*(F.max(x) for x in names)).first())
+        top = float(sizes[0])
+
+
+def axis_zoom(cloud: DataFrame, center: dict[str, float], alpha: float, bins: int = 1024, rounds: int = 64, zooms: int = 2) -> AxisZoom:
+    """Widen a box around the centre axis by axis, while at least ``alpha`` of the cloud's points within it pass.
+
+    The first box is the greatest of one shape that holds alpha. Levels of an axis are quantiles of the points' distances to the
+    centre beyond the box. A round counts, in one aggregation, what every level of every axis would hold with the others as they
+    are, and widens the axis whose widest feasible level adds most volume (of equal ones the first). When none is left, levels
+    are taken anew between each axis's level and the next (a zoom), ``zooms`` times or until no point lies between. Counts are
+    exact, so the box holds alpha; it is the widest along each axis among the levels, and among all distances where alpha is 1
+    or levels are all of them (an axis of at most ``bins`` distances, without a zoom).
+
+    ``cloud`` has the variables and ``ok`` (null fails); points with a null or NaN coordinate are left out. Raises where no box
+    of the first shape holds alpha: for an empty cloud, or at an alpha of 1 where the nearest point fails. ``rounds`` bounds
+    the aggregations; where they run out, ``converged`` is false.
+    """
+    if not 0 < alpha <= 1:
+        raise ValueError("alpha must be in (0, 1]")
+    names = _places(len(center))
+    far = [F.abs(F.col(v).cast("double") - float(c)).alias(x) for (v, c), x in zip(center.items(), names, strict=True)]
+    apart = cloud.select(*far, F.coalesce("ok", F.lit(False)).alias("ok")).dropna(subset=names)
+    half = _first_box(apart, names, alpha, bins)
+    ends, used, moved = [np.inf] * len(names), 0, False
+    for _ in range(1 + zooms):
+        found = _quantiles(apart, names, list(zip(half, ends, strict=True)), bins)
+        if not any(map(len, found)):
+            break
+        levels, at, moved = [np.concatenate([[h], b]) for h, b in zip(half, found, strict=True)], [0] * len(names), True
+        leveled = _leveled(apart, names, levels)
+        while moved and used < rounds:
+            used += 1
+            counts = _axis_counts(leveled, max(map(len, levels)), at)
+            gains = []
+            for (n, g), b, now in zip(counts, levels, at, strict=True):
+                widest = int(np.flatnonzero(g[: len(b)] >= alpha * n[: len(b)])[-1])
+                gains.append((b[widest] / b[now] if b[now] > 0 else np.inf if widest > now else 1.0, widest))
+            axis = max(range(len(gains)), key=lambda a: gains[a][0])
+            moved = gains[axis][1] > at[axis]
+            if moved:
+                at[axis] = gains[axis][1]
+        half = [float(b[k]) for b, k in zip(levels, at, strict=True)]
+        ends = [float(b[k + 1]) if k + 1 < len(b) else end for b, k, end in zip(levels, at, ends, strict=True)]
+        if moved:
+            break
+    within = F.lit(True)
+    for x, h in zip(names, half, strict=True):
+        within = within & (F.col(x) <= h)
+    inside, good = apart.where(within).agg(F.count("*"), F.count_if("ok")).first()
+    return AxisZoom(dict(center), dict(zip(center, half, strict=True)), inside, good, used, not moved)
+
+
 @dataclass
 class BoxFinder:
     """Up to ``rounds`` clouds: score boxes around the centre, keep the largest, zoom in on it."""

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from sweeplane.functions import complexcols, params
 from sweeplane.operators import analyze, dataset, design, goals, network, scale, search, transform
 from sweeplane.operators.codec import Backup, Codec
-from sweeplane.plans import designs, growth, stores  # noqa: F401  (they register their queries)
+from sweeplane.plans import designs, growth, keeping, stores  # noqa: F401  (they register their queries)
 from sweeplane.plans.catalog import QUERIES, SQL, query
 from sweeplane.plans.views import SQL_DB, SQL_PARTS, packed, parts, points, r6, rounded, sql_points, table
 from sweeplane.streaming.running_yield import packed_verdicts
