@@ -92,6 +92,16 @@ class DesignSpace:
         d = {k: delta if isinstance(delta, (int, float)) else delta[k] for k in centers}
         return cls({k: Continuous.around(c, d[k] * abs(c) if relative else d[k]) for k, c in centers.items()})
 
+    @classmethod
+    def of_table(cls, df: DataFrame, columns: list[str]) -> DesignSpace:
+        """Continuous variables between the least and the greatest value of a table's columns, of one aggregation; null and NaN
+        are passed over. A column without two different values raises."""
+        value = lambda c: F.when(~F.isnan(F.col(c).cast("double")), F.col(c).cast("double"))
+        row = df.agg(*(f(value(c)).alias(f"{name}{n}") for n, c in enumerate(columns) for name, f in (("lo", F.min), ("hi", F.max)))).first()
+        if any(row[f"lo{n}"] is None for n in range(len(columns))):
+            raise ValueError("a column has no value")
+        return cls({c: Continuous(row[f"lo{n}"], row[f"hi{n}"]) for n, c in enumerate(columns)})
+
     def add_constraint(self, condition: Column) -> None:
         self.constraints.append(condition)
 

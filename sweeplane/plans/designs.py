@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sweeplane.operators import design, goals, search, transform
 from sweeplane.operators.surrogate import InverseLinear, KernelSurrogate, LinearSurrogate
 from sweeplane.plans.catalog import query
-from sweeplane.plans.views import SQL_DB, points, r6, rounded, sql_points, table
+from sweeplane.plans.views import SQL_DB, SQL_RANGES, points, r6, ranges, rounded, sql_at, sql_points, table
 
 S2 = sql_points(2)
 
@@ -24,30 +24,35 @@ def _strata(designs: DataFrame, n: int) -> DataFrame:
     return by.groupBy("dim").agg(F.count("*").alias("strata"), F.min("n").alias("least"), F.max("n").alias("most"))
 
 
-def _strata_sql(d: int, n: int) -> str:
-    return f"SELECT CAST(c AS INT) AS dim, CAST({n} AS BIGINT) AS strata, CAST(1 AS BIGINT) AS least, CAST(1 AS BIGINT) AS most FROM range({d}) t(c)"
+def _strata_sql(d: int, n: str, rows: str) -> str:
+    return f"SELECT CAST(c AS INT) AS dim, n AS strata, CAST(1 AS BIGINT) AS least, CAST(1 AS BIGINT) AS most FROM range({d}) t(c), (SELECT {n} AS n FROM {rows})"
 
 
-@query(_strata_sql(4, 256))
+@query(_strata_sql(4, "CAST(1 AS BIGINT) << CAST(floor(log2(count(*))) AS BIGINT)", "part"))
 def sobol_strata(spark, d):
-    """Every one of 256 intervals of every dimension has one of 256 points."""
-    return _strata(design.sobol(spark, 256, 4, seed=3), 256)
+    """As many points as the greatest power of two of parts: each of as many intervals of every dimension has one."""
+    n = 1 << (table(spark, d, "part").count().bit_length() - 1)
+    return _strata(design.sobol(spark, n, 4, seed=3), n)
 
 
-@query(_strata_sql(3, 200))
+@query(_strata_sql(3, "count(*)", "part"))
 def lhs_strata(spark, d):
-    return _strata(design.lhs(spark, 200, 3, seed=3), 200)
+    """A point for each part."""
+    n = table(spark, d, "part").count()
+    return _strata(design.lhs(spark, n, 3, seed=3), n)
 
 
-@query(_strata_sql(3, 64))
+@query(_strata_sql(3, "count(*)", "supplier"))
 def maximin_strata(spark, d):
-    return _strata(design.lhs_maximin(spark, 64, 3, seed=3), 64)
+    """A point for each supplier."""
+    n = table(spark, d, "supplier").count()
+    return _strata(design.lhs_maximin(spark, n, 3, seed=3), n)
 
 
-@query("SELECT CAST(c AS INT) AS dim, CAST(4000 AS BIGINT) AS n, true AS inside, true AS centred, true AS spread FROM range(3) t(c)")
+@query("SELECT CAST(c AS INT) AS dim, n, true AS inside, true AS centred, true AS spread FROM range(3) t(c), (SELECT CAST(20 * count(*) AS BIGINT) AS n FROM part)")
 def normal_moments(spark, d):
-    """Within the bounds, around their middle, a sixth of their distance wide."""
-    c = _coordinates(design.gaussian(spark, 4000, 3, seed=3)).groupBy("dim")
+    """Twenty points for each part: within the bounds, around their middle, a sixth of their distance wide."""
+    c = _coordinates(design.gaussian(spark, 20 * table(spark, d, "part").count(), 3, seed=3)).groupBy("dim")
     return c.agg(
         F.count("*").alias("n"), F.bool_and(F.col("u").between(0, 1)).alias("inside"), (F.abs(F.avg("u") - 0.5) < 0.015).alias("centred"),
         (F.abs(F.stddev_pop("u") - 1 / 6) < 0.01).alias("spread"),
@@ -58,19 +63,31 @@ def _wide(designs: DataFrame, names: str) -> DataFrame:
     return designs.select("point_id", *(r6(F.get("u", F.lit(n)), c) for n, c in enumerate(names)))
 
 
-@query("""SELECT CAST(n AS BIGINT) AS point_id, CAST(n & 1 AS DOUBLE) AS a, CAST((n >> 1) & 1 AS DOUBLE) AS b, CAST(1 - ((n & 1) + ((n >> 1) & 1)) % 2 AS DOUBLE) AS c,
- CAST((n & 1) AS DOUBLE) * -1 + 1 AS d FROM range(4) t(n)""")
+def _placed(spark, d, designs: DataFrame) -> DataFrame:
+    """A design in the space that parts and line items span."""
+    space = ranges(spark, d)
+    return rounded(space.denormalize(designs), *space.variables)
+
+
+_BIT = lambda k: f"((n >> {k}) & 1)"
+
+
+@query(f"""WITH {SQL_RANGES} SELECT CAST(n AS BIGINT) AS point_id, {sql_at(_BIT(0), "s")} AS size, {sql_at(_BIT(1), "p")} AS price,
+{sql_at(f"1 - ({_BIT(0)} + {_BIT(1)}) % 2", "q")} AS qty, {sql_at(f"1 - {_BIT(0)}", "d")} AS disc FROM range(4) t(n), r""")
 def factorial_fractional(spark, d):
-    """Factors a, b, their product, and the first turned."""
-    return _wide(design.factorial_fractional(spark, 0, 4, gen="a b ab -a"), "abcd")
+    """Factors size and price, their product for the quantity, the first turned for the discount."""
+    return _placed(spark, d, design.factorial_fractional(spark, 0, 4, gen="a b ab -a"))
 
 
-@query("SELECT CAST(16 AS BIGINT) AS n, CAST(8 AS BIGINT) AS a, CAST(8 AS BIGINT) AS b, CAST(8 AS BIGINT) AS c, CAST(8 AS BIGINT) AS e, CAST(16 AS BIGINT) AS corners")
+@query(f"""WITH {SQL_RANGES} SELECT CAST(16 AS BIGINT) AS n, CAST(8 AS BIGINT) AS size, CAST(8 AS BIGINT) AS price, CAST(8 AS BIGINT) AS qty, CAST(8 AS BIGINT) AS disc, CAST(16 AS BIGINT) AS corners,
+round(8 * (s0 + s1), 4) AS sum_size, round(8 * (q0 + q1), 4) AS sum_qty FROM r""")
 def factorial_shuffled(spark, d):
     """All corners in another order: each once, each variable high in half of them."""
-    u = design.factorial_full(spark, 0, 4, shuffle=True, seed=5)
-    high = lambda n, c: F.sum(F.get("u", F.lit(n))).cast("long").alias(c)
-    return u.agg(F.count_distinct("point_id").alias("n"), *(high(n, c) for n, c in enumerate("abce")), F.count_distinct("u").alias("corners"))
+    space = ranges(spark, d)
+    u = space.denormalize(design.factorial_full(spark, 0, 4, shuffle=True, seed=5))
+    high = lambda c: F.count_if(F.col(c) > sum(space.variables[c].bounds) / 2).alias(c)
+    total = lambda c: F.round(F.sum(c), 4).alias(f"sum_{c}")
+    return u.agg(F.count_distinct("point_id").alias("n"), *map(high, space.variables), F.count_distinct(*space.variables).alias("corners"), total("size"), total("qty"))
 
 
 @query("SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CASE WHEN a = b THEN 12.0 ELSE 0.0 END AS dot FROM range(11) t(a), range(11) u(b)")
@@ -81,12 +98,14 @@ def plackett_burman(spark, d):
     return c.join(other, "point_id").groupBy(F.col("dim").alias("a"), "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
 
 
-@query("""SELECT CAST(p AS BIGINT) AS point_id, round((x + 1) / 2, 6) + 0.0 AS a, round((y + 1) / 2, 6) + 0.0 AS b FROM (
+@query(f"""WITH {SQL_RANGES} SELECT CAST(p AS BIGINT) AS point_id, {sql_at("(x + 1) / 2", "s")} AS size, {sql_at("(y + 1) / 2", "p")} AS price FROM r, (
  SELECT n AS p, (CASE WHEN n // 2 = 0 THEN -1.0 ELSE 1.0 END) AS x, (CASE WHEN n % 2 = 0 THEN -1.0 ELSE 1.0 END) AS y FROM range(4) t(n) UNION ALL
  SELECT 4 + n, 0.0, 0.0 FROM range(4) t(n) UNION ALL SELECT 8 + n, CASE n WHEN 0 THEN -sqrt(2) WHEN 1 THEN sqrt(2) ELSE 0 END, CASE n WHEN 2 THEN -sqrt(2) WHEN 3 THEN sqrt(2) ELSE 0 END FROM range(4) t(n) UNION ALL
  SELECT 12 + n, 0.0, 0.0 FROM range(4) t(n))""")
 def central_composite(spark, d):
-    return _wide(design.central_composite(spark, 0, 2), "ab")
+    """Corners, stars and centres of the parts' sizes and prices."""
+    space = design.DesignSpace(dict(list(ranges(spark, d).variables.items())[:2]))
+    return rounded(space.denormalize(design.central_composite(spark, 0, 2)), "size", "price")
 
 
 @query("""SELECT count(*) AS n, CAST(sum(CASE WHEN a = 0.5 AND b = 0.5 AND c = 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS centres, round(sum(a), 6) AS a, round(sum(b), 6) AS b, round(sum(c), 6) AS c,
@@ -101,13 +120,18 @@ def box_behnken(spark, d):
     )
 
 
-@query("SELECT CAST(400 AS BIGINT) AS n, CAST(400 AS BIGINT) AS valid, true AS steps")
+@query("SELECT count(*) AS n, count(*) AS valid, true AS steps FROM part")
 def constrained_sample(spark, d):
-    """Points that break a constraint are replaced by later ones; whole numbers keep to their step."""
-    space = design.DesignSpace.from_dict({"x": {"center": 0.5, "delta": 0.5}, "y": {"lower": 0.0, "upper": 1.0}, "n": {"type": "integer", "lower": 2, "upper": 8, "step": 2}})
-    space.add_constraint(F.col("x") + F.col("y") <= 1)
-    got = space.sample(spark, 400, "sobol", seed=4)
-    return got.agg(F.count("*").alias("n"), F.count_if(F.col("x") + F.col("y") <= 1).alias("valid"), F.bool_and(F.col("n").isin(2, 4, 6, 8)).alias("steps"))
+    """A point for each part in the space that they and line items span; those that break a constraint are replaced by later ones, whole numbers keep to their step."""
+    size, price = (ranges(spark, d).variables[c] for c in ("size", "price"))
+    middle = lambda v: (v.lower + v.upper) / 2
+    space = design.DesignSpace.from_dict({
+        "x": {"center": middle(size), "delta": size.upper - middle(size)}, "y": {"lower": price.lower, "upper": price.upper}, "n": {"type": "integer", "lower": 2, "upper": 8, "step": 2},
+    })
+    below = (F.col("x") - size.lower) / (size.upper - size.lower) + (F.col("y") - price.lower) / (price.upper - price.lower) <= 1
+    space.add_constraint(below)
+    got = space.sample(spark, table(spark, d, "part").count(), "sobol", seed=4)
+    return got.agg(F.count("*").alias("n"), F.count_if(below).alias("valid"), F.bool_and(F.col("n").isin(2, 4, 6, 8)).alias("steps"))
 
 
 @query(f"WITH {S2} SELECT CAST(i AS BIGINT) AS i, j, count(*) AS n, true AS gain_centred, true AS gain_spread, true AS phase_centred, true AS phase_spread FROM s GROUP BY i, j")
@@ -183,13 +207,15 @@ def inverse_surrogate(spark, d):
     return found.select("sample_id", (F.round(F.get("p", F.lit(0)), 5) + 0.0).alias("a"), (F.round(F.get("p", F.lit(1)), 5) + 0.0).alias("b"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS point_id, round(CAST(n AS DOUBLE) / 15 * 4 - 1, 6) + 0.0 AS x, ['low', 'mid', 'high'][CAST(round_even(n / 15.0 * 2, 0) AS INT) + 1] AS level FROM range(16) t(n)")
+@query(f"""WITH {SQL_RANGES}, z AS (SELECT p_partkey AS point_id, (p_size - s0) / (s1 - s0) AS z, r.* FROM part, r)
+SELECT point_id, {sql_at("z", "p")} AS x, ['low', 'mid', 'high'][CAST(round_even(z * 2, 0) AS INT) + 1] AS level FROM z""")
 def space_from_text(spark, d):
-    """A space written as text and read again: bounds, levels, points."""
-    space = design.DesignSpace({"x": design.Continuous(-1.0, 3.0), "level": design.Levels(("low", "mid", "high"), ordered=True)})
+    """A space of the parts' prices, written as text and read again: every part's place by its size."""
+    price, size = (ranges(spark, d).variables[c] for c in ("price", "size"))
+    space = design.DesignSpace({"x": price, "level": design.Levels(("low", "mid", "high"), ordered=True)})
     again = design.DesignSpace.from_json(space.to_json())
-    z = F.col("id") / 15
-    return rounded(again.denormalize(spark.range(16).select(F.col("id").alias("point_id"), F.array(z, z).alias("u"))), "x")
+    z = size.to_unit(F.col("p_size").cast("double"))
+    return rounded(again.denormalize(table(spark, d, "part").select(F.col("p_partkey").alias("point_id"), F.array(z, z).alias("u"))), "x")
 
 
 @query(f"""WITH {S2}, v AS (SELECT sample_id, stddev_pop({SQL_DB}) AS sd, max({SQL_DB}) AS top FROM s WHERE i = 1 AND j = 0 GROUP BY sample_id)

@@ -10,7 +10,7 @@ from sweeplane.operators import analyze, dataset, design, goals, network, scale,
 from sweeplane.operators.codec import Backup, Codec
 from sweeplane.plans import designs, growth, keeping, stores  # noqa: F401  (they register their queries)
 from sweeplane.plans.catalog import QUERIES, SQL, query
-from sweeplane.plans.views import SQL_DB, SQL_PARTS, packed, parts, points, r6, rounded, sql_points, table
+from sweeplane.plans.views import SQL_DB, SQL_PARTS, SQL_RANGES, packed, parts, points, r6, ranges, rounded, sql_at, sql_points, table
 from sweeplane.streaming.running_yield import packed_verdicts
 
 S2, S4 = sql_points(2), sql_points(4)
@@ -423,28 +423,46 @@ SPACE = design.DesignSpace({
 })
 
 
-@query("SELECT CAST(n AS BIGINT) AS point_id, CAST((n >> 3) & 1 AS DOUBLE) AS a, CAST((n >> 2) & 1 AS DOUBLE) AS b, CAST((n >> 1) & 1 AS DOUBLE) AS c, CAST(n & 1 AS DOUBLE) AS e FROM range(16) t(n)")
+@query(f"""WITH {SQL_RANGES} SELECT CAST(n AS BIGINT) AS point_id, {sql_at("(n >> 3) & 1", "s")} AS size, {sql_at("(n >> 2) & 1", "p")} AS price, {sql_at("(n >> 1) & 1", "q")} AS qty,
+{sql_at("n & 1", "d")} AS disc FROM range(16) t(n), r""")
 def factorial_full(spark, d):
-    u = design.factorial_full(spark, 0, 4)
-    return u.select("point_id", *(F.get("u", F.lit(n)).alias(c) for n, c in enumerate("abce")))
+    """The corners of the space that parts and line items span."""
+    space = ranges(spark, d)
+    return rounded(space.denormalize(design.factorial_full(spark, 0, 4)), *space.variables)
 
 
-@query("""SELECT CAST(n AS BIGINT) AS point_id, round((n&1)/2.0 + ((n>>1)&1)/4.0 + ((n>>2)&1)/8.0 + ((n>>3)&1)/16.0 + ((n>>4)&1)/32.0 + ((n>>5)&1)/64.0 + ((n>>6)&1)/128.0 + ((n>>7)&1)/256.0, 6) + 0.0 AS h2,
- round((n%3)/3.0 + ((n//3)%3)/9.0 + ((n//9)%3)/27.0 + ((n//27)%3)/81.0 + ((n//81)%3)/243.0, 6) + 0.0 AS h3 FROM range(200) t(n)""")
+def _inverse(base: int, digits: int) -> str:
+    """The radical inverse of n in SQL, beside a range of digits b."""
+    return f"sum(CASE WHEN b < {digits} THEN ((n // CAST(pow({base}, b) AS BIGINT)) % {base}) / pow({base}, b + 1) ELSE 0 END)"
+
+
+_NUMBERED = "h AS (SELECT row_number() OVER (ORDER BY p_partkey) - 1 AS n FROM part)"
+
+
+@query(f"WITH {_NUMBERED} SELECT CAST(n AS BIGINT) AS point_id, round({_inverse(2, 40)}, 6) + 0.0 AS h2, round({_inverse(3, 30)}, 6) + 0.0 AS h3 FROM h, range(40) t(b) GROUP BY n")
 def halton(spark, d):
-    u = design.halton(spark, 200, 2)
+    """A point for each part."""
+    u = design.halton(spark, table(spark, d, "part").count(), 2)
     return u.select("point_id", r6(F.get("u", F.lit(0)), "h2"), r6(F.get("u", F.lit(1)), "h3"))
 
 
+def _stock(spark, d) -> tuple[design.DesignSpace, int]:
+    """A space of the parts' sizes with steps and levels, and the number of parts."""
+    return design.DesignSpace({**SPACE.variables, "size": ranges(spark, d).variables["size"]}), table(spark, d, "part").count()
+
+
 @query()
 def sobol(spark, d):
-    """Digital net, tested by its stratification."""
-    return SPACE.sample(spark, 512, "sobol", seed=2)
+    """A point for each part; a digital net, tested by its stratification."""
+    space, n = _stock(spark, d)
+    return space.sample(spark, n, "sobol", seed=2)
 
 
 @query()
 def latin_hypercube(spark, d):
-    return SPACE.sample(spark, 200, "lhs", seed=2)
+    """A point for each part."""
+    space, n = _stock(spark, d)
+    return space.sample(spark, n, "lhs", seed=2)
 
 
 @query("SELECT p_partkey AS point_id, round(p_size / 60.0, 6) + 0.0 AS u_size, round((p_partkey % 49) / 48.0, 6) + 0.0 AS u_qty, (p_partkey % 3) / 2.0 AS u_mat FROM part")
@@ -530,14 +548,16 @@ def box_best(spark, d):
     return rounded(search.best_box(scored, 0.9).select("cid", "volume"), "volume")
 
 
-@query("""WITH h AS (SELECT n, (n&1)/2.0 + ((n>>1)&1)/4.0 + ((n>>2)&1)/8.0 + ((n>>3)&1)/16.0 + ((n>>4)&1)/32.0 + ((n>>5)&1)/64.0 + ((n>>6)&1)/128.0 + ((n>>7)&1)/256.0 AS a FROM range(256) t(n)),
-v AS (SELECT 20 * log10(sqrt(2 * pow(0.1 + 0.4 * a, 2))) AS v FROM h) SELECT CAST(256 AS BIGINT) AS n, avg(CASE WHEN v <= -9 THEN 1.0 ELSE 0.0 END) AS "yield" FROM v""")
+@query(f"""WITH {SQL_RANGES}, {_NUMBERED}, u AS (SELECT n, {_inverse(2, 40)} AS u FROM h, range(40) t(b) GROUP BY n),
+v AS (SELECT 20 * log10(sqrt(2 * pow(0.1 + 0.4 * (s0 + u * (s1 - s0)) / 50, 2))) AS v FROM u, r) SELECT count(*) AS n, avg(CASE WHEN v <= -9 THEN 1.0 ELSE 0.0 END) AS "yield" FROM v""")
 def mc_yield_linear_surrogate(spark, d):
+    """A draw for each part, between the least and the greatest of their sizes."""
     from sweeplane.operators.surrogate import LinearSurrogate
 
-    surrogate = LinearSurrogate(("a",), ((0, 1e9, 0, 0, {"a": (0.4, 0.4)}, (0.1, 0.1)),))
+    surrogate = LinearSurrogate(("size",), ((0, 1e9, 0, 0, {"size": (0.4 / 50, 0.4 / 50)}, (0.1, 0.1)),))
     spec = goals.Specification((goals.Criterion(goals.SMag(None, 1, 1), goals.MaxAgg(), goals.LE(-9.0)),))
-    return search.estimate_yield(spark, design.DesignSpace({"a": design.Continuous(0.0, 1.0)}), surrogate, spec, 256, "halton")
+    space = design.DesignSpace({"size": ranges(spark, d).variables["size"]})
+    return search.estimate_yield(spark, space, surrogate, spec, table(spark, d, "part").count(), "halton")
 
 
 def entry(spark: SparkSession, sf_dir: str) -> DataFrame:

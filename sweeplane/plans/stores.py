@@ -118,9 +118,11 @@ def summary_export(spark, d):
     return rounded(spark.read.parquet(path), "mean", "std").select("k", "i", "j", "frequency_unit", "mean", "std")
 
 
-@query("SELECT CAST(n AS BIGINT) AS sample_id, 1 AS n_ports, CAST(n AS DOUBLE) / 10 AS re, CAST(n % 8 AS DOUBLE) AS process FROM range(300) t(n)")
+@query("SELECT CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS sample_id, 1 AS n_ports, (row_number() OVER (ORDER BY p_partkey) - 1) / 10.0 AS re, CAST((row_number() OVER (ORDER BY p_partkey) - 1) % 8 AS DOUBLE) AS process FROM part")
 def synthetic_source(spark, d):
-    made = store.synthetic(spark, 300, lambda i: {"n_ports": 1, "f_hz": [1e9], "s_re": [i / 10], "s_im": [0.0], "params": {"process": float(i % 8)}})
+    """A generated network for each part."""
+    n = table(spark, d, "part").count()
+    made = store.synthetic(spark, n, lambda i: {"n_ports": 1, "f_hz": [1e9], "s_re": [i / 10], "s_im": [0.0], "params": {"process": float(i % 8)}})
     return made.select("sample_id", "n_ports", F.get("s_re", F.lit(0)).alias("re"), F.try_element_at("params", F.lit("process")).alias("process"))
 
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sweeplane.operators.design import DesignSpace
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -46,6 +48,13 @@ def parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p.select(F.col("p_partkey").alias("sample_id"), F.map_from_entries(F.filter(entries, lambda x: x["v"].isNotNull())).alias("params"))
 
 
+def ranges(spark: SparkSession, sf_dir: str) -> DesignSpace:
+    """The space that parts and line items span: size, price, qty, disc."""
+    p = table(spark, sf_dir, "part").select(F.col("p_size").alias("size"), F.col("p_retailprice").alias("price"))
+    q = table(spark, sf_dir, "lineitem").select(F.col("l_quantity").alias("qty"), F.col("l_discount").alias("disc"))
+    return DesignSpace({**DesignSpace.of_table(p, ["size", "price"]).variables, **DesignSpace.of_table(q, ["qty", "disc"]).variables})
+
+
 def r6(c: Column | str, name: str | None = None) -> Column:
     """Six decimals, without a negative zero."""
     c = F.col(c) if isinstance(c, str) else c
@@ -71,3 +80,13 @@ SQL_PARTS = (
     "p AS (SELECT p_partkey AS sample_id, 'size' AS key, CAST(p_size AS DOUBLE) AS val FROM part UNION ALL SELECT p_partkey, 'price', p_retailprice FROM part "
     "UNION ALL SELECT p_partkey, 'fc', CAST(12.7 AS DOUBLE) FROM part UNION ALL SELECT p_partkey, 'q', CAST(p_partkey % 5 AS DOUBLE) FROM part WHERE p_partkey % 7 <> 0)"
 )
+#: The bounds of the space in SQL, as the relation r.
+SQL_RANGES = (
+    "r AS (SELECT * FROM (SELECT CAST(min(p_size) AS DOUBLE) AS s0, CAST(max(p_size) AS DOUBLE) AS s1, min(p_retailprice) AS p0, max(p_retailprice) AS p1 FROM part), "
+    "(SELECT min(l_quantity) AS q0, max(l_quantity) AS q1, min(l_discount) AS d0, max(l_discount) AS d1 FROM lineitem))"
+)
+
+
+def sql_at(unit: str, axis: str) -> str:
+    """A variable's value in SQL at a place of its unit interval, to six decimals."""
+    return f"round({axis}0 + ({unit}) * ({axis}1 - {axis}0), 6) + 0.0"
