@@ -59,10 +59,6 @@ def normal_moments(spark, d):
     )
 
 
-def _wide(designs: DataFrame, names: str) -> DataFrame:
-    return designs.select("point_id", *(r6(F.get("u", F.lit(n)), c) for n, c in enumerate(names)))
-
-
 def _placed(spark, d, designs: DataFrame) -> DataFrame:
     """A design in the space that parts and line items span."""
     space = ranges(spark, d)
@@ -90,12 +86,19 @@ def factorial_shuffled(spark, d):
     return u.agg(F.count_distinct("point_id").alias("n"), *map(high, space.variables), F.count_distinct(*space.variables).alias("corners"), total("size"), total("qty"))
 
 
-@query("SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, CASE WHEN a = b THEN 12.0 ELSE 0.0 END AS dot FROM range(11) t(a), range(11) u(b)")
+@query("""WITH e AS (SELECT vec_id % 12 AS run, CAST(embedding[1] AS DOUBLE) AS y FROM embeddings), f AS (SELECT CAST(c AS INT) AS a, run <> 11 AND (c - run + 11) % 11 IN (0, 1, 3, 4, 5, 9) AS high, y FROM e, range(11) t(c)),
+m AS (SELECT a, round(avg(y) FILTER (high) - avg(y) FILTER (NOT high), 6) + 0.0 AS effect FROM f GROUP BY a)
+SELECT a, CAST(b AS INT) AS b, CASE WHEN a = b THEN 12.0 ELSE 0.0 END AS dot, effect FROM m, range(11) u(b)""")
 def plackett_burman(spark, d):
-    """Twelve runs of eleven variables, every two of them orthogonal."""
+    """Twelve runs of eleven variables, every two of them orthogonal; main effects on all networks, each made in one of the runs."""
     c = _coordinates(design.plackett_burman(spark, 0, 11)).select("point_id", "dim", (2 * F.col("u") - 1).alias("x"))
     other = c.select("point_id", F.col("dim").alias("b"), F.col("x").alias("y"))
-    return c.join(other, "point_id").groupBy(F.col("dim").alias("a"), "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    dots = c.join(other, "point_id").groupBy(F.col("dim").alias("a"), "b").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
+    made = table(spark, d, "embeddings").select((F.col("vec_id") % 12).alias("point_id"), F.get("embedding", F.lit(0)).cast("double").alias("y"))
+    runs = made.groupBy("point_id").agg(F.sum("y").alias("y"), F.count("y").alias("n"))
+    level = lambda high: F.sum(F.when(F.col("x") == high, F.col("y"))) / F.sum(F.when(F.col("x") == high, F.col("n")))
+    effects = c.join(runs, "point_id").groupBy(F.col("dim").alias("a")).agg(r6(level(1) - level(-1), "effect"))
+    return dots.join(effects, "a")
 
 
 @query(f"""WITH {SQL_RANGES} SELECT CAST(p AS BIGINT) AS point_id, {sql_at("(x + 1) / 2", "s")} AS size, {sql_at("(y + 1) / 2", "p")} AS price FROM r, (
@@ -108,15 +111,19 @@ def central_composite(spark, d):
     return rounded(space.denormalize(design.central_composite(spark, 0, 2)), "size", "price")
 
 
-@query("""SELECT count(*) AS n, CAST(sum(CASE WHEN a = 0.5 AND b = 0.5 AND c = 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS centres, round(sum(a), 6) AS a, round(sum(b), 6) AS b, round(sum(c), 6) AS c,
- CAST(count(DISTINCT (a, b, c)) AS BIGINT) AS runs FROM (SELECT a, b, c FROM (VALUES (0.0), (0.5), (1.0)) x(a), (VALUES (0.0), (0.5), (1.0)) y(b), (VALUES (0.0), (0.5), (1.0)) z(c)
+@query(f"""WITH {SQL_RANGES} SELECT count(*) AS n, CAST(sum(CASE WHEN a = 0.5 AND b = 0.5 AND c = 0.5 THEN 1 ELSE 0 END) AS BIGINT) AS centres, round(sum(s0 + a * (s1 - s0)), 4) AS size,
+ round(sum(p0 + b * (p1 - p0)), 4) AS price, round(sum(q0 + c * (q1 - q0)), 4) AS qty, CAST(count(DISTINCT (a, b, c)) AS BIGINT) AS runs
+FROM r, (SELECT a, b, c FROM (VALUES (0.0), (0.5), (1.0)) x(a), (VALUES (0.0), (0.5), (1.0)) y(b), (VALUES (0.0), (0.5), (1.0)) z(c)
  WHERE (a <> 0.5)::INT + (b <> 0.5)::INT + (c <> 0.5)::INT = 2 UNION ALL SELECT 0.5, 0.5, 0.5 FROM range(3))""")
 def box_behnken(spark, d):
-    """Two of three variables at their bounds, the third at its middle; three centre points."""
-    w = _wide(design.box_behnken(spark, 0, 3), "abc")
-    middle = (F.col("a") == 0.5) & (F.col("b") == 0.5) & (F.col("c") == 0.5)
+    """Two of size, price and quantity at their bounds, the third at its middle; three centre points."""
+    space = design.DesignSpace(dict(list(ranges(spark, d).variables.items())[:3]))
+    w = space.denormalize(design.box_behnken(spark, 0, 3))
+    middle = F.lit(True)
+    for c, v in space.variables.items():
+        middle = middle & (F.abs(F.col(c) - (v.lower + v.upper) / 2) < 1e-9 * (v.upper - v.lower))
     return w.agg(
-        F.count("*").alias("n"), F.count_if(middle).alias("centres"), *(F.round(F.sum(c), 6).alias(c) for c in "abc"), F.count_distinct("a", "b", "c").alias("runs")
+        F.count("*").alias("n"), F.count_if(middle).alias("centres"), *(F.round(F.sum(c), 4).alias(c) for c in space.variables), F.count_distinct(*space.variables).alias("runs")
     )
 
 
@@ -165,24 +172,25 @@ def dereciprocal_sums(spark, d):
 
 
 _SQUARE = KernelSurrogate(("x", "y"), (1e9,), lambda p: np.maximum(np.abs(p[:, 0]), np.abs(p[:, 1])).reshape(-1, 1, 1, 1) + 0j)
-_SMALL = goals.Specification((goals.Criterion(goals.SMag(None, 1, 1, False), goals.MaxAgg(), goals.LE(0.1)),))
-
-
-def _box(spark, mode: str) -> DataFrame:
-    finder = search.BoxFinder(_SMALL, _SQUARE, 0.99, 2048, 4, mode=mode)
-    return search.ToleranceLoop(finder, {"x": 0.25, "y": 0.25}).run(spark, {"x": 0.0, "y": 0.0})
+def _box(spark, d, mode: str) -> DataFrame:
+    """The finder in a square zone whose half width is a five-hundredth of the largest part's size."""
+    largest = ranges(spark, d).variables["size"].upper
+    spec = goals.Specification((goals.Criterion(goals.SMag(None, 1, 1, False), goals.MaxAgg(), goals.LE(largest / 500)),))
+    finder = search.BoxFinder(spec, _SQUARE, 0.99, 2048, 4, mode=mode)
+    return search.ToleranceLoop(finder, {"x": largest / 200, "y": largest / 200}).run(spark, {"x": 0.0, "y": 0.0}).withColumn("zone", F.lit(largest / 500))
 
 
-@query("SELECT * FROM (VALUES ('x', -0.1, 0.1, 0.0), ('y', -0.1, 0.1, 0.0)) t(param, lo, hi, center)")
+@query("SELECT param, round(-max(p_size) / 500.0, 1) AS lo, round(max(p_size) / 500.0, 1) AS hi, CAST(0 AS DOUBLE) AS center FROM part, (VALUES ('x'), ('y')) t(param) GROUP BY param")
 def box_finder_sym(spark, d):
-    """The box found in a square zone of half width 0.1 is that square, to one decimal."""
-    return _box(spark, "sym").select("param", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi"), "center")
+    """The box found in the square zone is that square, to one decimal."""
+    return _box(spark, d, "sym").select("param", F.round("lo", 1).alias("lo"), F.round("hi", 1).alias("hi"), "center")
 
 
-@query("SELECT * FROM (VALUES ('x', true), ('y', true)) t(param, inside)")
+@query("SELECT param, count(*) > 0 AS inside FROM part, (VALUES ('x'), ('y')) t(param) GROUP BY param")
 def box_finder_asym(spark, d):
     """A box between the centre and a point lies within the zone."""
-    return _box(spark, "asym").select("param", ((F.col("lo") >= -0.1001) & (F.col("hi") <= 0.1001) & (F.col("hi") > F.col("lo"))).alias("inside"))
+    edge = F.col("zone") + 1e-4
+    return _box(spark, d, "asym").select("param", ((F.col("lo") >= -edge) & (F.col("hi") <= edge) & (F.col("hi") > F.col("lo"))).alias("inside"))
 
 
 @query("""SELECT p_partkey AS sample_id, p_brand AS brand, round(20 * log10(sqrt(pow(0.1 + 0.01 * p_size, 2) + pow(0.2, 2))), 6) + 0.0 AS v FROM part""")

@@ -342,9 +342,12 @@ def backup_missing(spark, d):
     return rounded(CODEC.backup_points(points(spark, d)).select(*KEY, "re", "im"), "re", "im")
 
 
-@query("SELECT * FROM (VALUES (0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'real'), (1, 0, 0, 'imag'), (2, 1, 0, 'db'), (3, 1, 0, 'deg'), (4, 0, 1, 'mag')) t(c, i, j, part)")
+@query(f"""WITH {S2} SELECT c, i, j, part, count(*) AS n FROM (VALUES (0, CAST(0 AS BIGINT), CAST(0 AS BIGINT), 'real'), (1, 0, 0, 'imag'), (2, 1, 0, 'db'), (3, 1, 0, 'deg'), (4, 0, 1, 'mag')) t(c, i, j, part)
+JOIN s USING (i, j) GROUP BY ALL""")
 def channels(spark, d):
-    return CODEC.channel_table(spark)
+    """The channels of a codec, with how many elements of all networks each takes."""
+    table_of = CODEC.channel_table(spark)
+    return table_of.join(points(spark, d).groupBy("i", "j").agg(F.count("*").alias("n")), ["i", "j"]).select(*table_of.columns, "n")
 
 
 @query("SELECT DISTINCT unnest(['fc', 'price', 'q', 'size']) AS key")

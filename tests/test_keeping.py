@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweeplane.operators import network, search
+from sweeplane.operators import design, network, search
 from sweeplane.operators.rollup import Rollup
 from sweeplane.sources import chunks, indexed, snapshot
 
@@ -250,3 +250,11 @@ def test_axis_zoom_of_odd_clouds(spark):
     assert not short.converged or short.inside == 2000
     with pytest.raises(ValueError):
         search.axis_zoom(_cloud(spark, x, np.ones(2000)), center, 0.0)
+
+
+def test_space_of_a_table(spark):
+    df = spark.createDataFrame([(1, 2.0, None), (5, math.nan, None), (None, -3.0, None)], "a int, b double, c double")
+    assert {n: v.bounds for n, v in design.DesignSpace.of_table(df, ["b", "a"]).variables.items()} == {"b": (-3.0, 2.0), "a": (1.0, 5.0)}
+    for rows, columns in ((df, ["c"]), (df.limit(0), ["a"]), (df.where("a = 1"), ["a"])):
+        with pytest.raises(ValueError):
+            design.DesignSpace.of_table(rows, columns)
