@@ -24,6 +24,8 @@ DIMS = 1 << 13
 #: Ids of each language the model is fitted on, about (a language of up to a fifth more is taken whole); centroids of each.
 LANGUAGE_ROWS = 600
 CENTROIDS = 4
+#: Fitting raises above so many languages: the model, 128 kB of each, is on the driver and in every worker.
+MOST_LANGUAGES = 1024
 #: A text is rejected below this share of the cosine that all but REJECT_TAIL of its language's rows reach, in steps of
 #: 1 / STEPS. A text of less than FULL_SIZE n-grams cannot come as close to a centroid; its bound falls with the root of its size.
 REJECT_SHARE = 0.25
@@ -188,7 +190,7 @@ def fit_languages(
     model; a rare one is fitted on all of them. An id that repeats counts once for each language there. Document
     frequencies and, unless ``bounds`` is false, the least cosines come from all rows. Each language is fitted in its
     own task, and only CENTROIDS rows of DIMS numbers of each (128 kB) reach the driver: the model grows with the
-    number of languages, not with the rows. Without a row there is no centroid.
+    number of languages, not with the rows, and above MOST_LANGUAGES of them fitting raises. Without a row there is no centroid.
     """
     prepare(docs.sparkSession)
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"), learn.alias("learn"))
@@ -196,6 +198,8 @@ def fit_languages(
     languages, share = _shares(rows)
     if not languages:
         return _no_model()
+    if languages > MOST_LANGUAGES:
+        raise ValueError(f"{languages} values of {lang_col}, over MOST_LANGUAGES ({MOST_LANGUAGES}): clean the column first")
     count = languages * LANGUAGE_ROWS
     idf = (np.log((1 + count) / (1 + count * share)) + 0.1).astype(np.float32)
 

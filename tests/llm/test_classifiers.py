@@ -252,3 +252,10 @@ def test_calibration_helpers():
     z, y = np.array([-3.0, -2, -1, 1, 2]), np.array([0, 0, 0, 1, 1])
     assert -1 < toxicity.best_threshold(z, y, np.ones(5)) < 1
     assert Counter(y.tolist())[1] == 2
+
+
+def test_too_many_languages_raise(spark, monkeypatch):
+    monkeypatch.setattr(langid, "MOST_LANGUAGES", 3)
+    rows = [(i, "some words of a text", f"l{i % 4}") for i in range(40)]
+    with pytest.raises(ValueError, match="MOST_LANGUAGES"):
+        langid.fit_languages(spark.createDataFrame(rows, "doc_id long, text string, lang string"), langid.learn_rows())
