@@ -5,7 +5,8 @@ tokens and counted; the counts (at most length/GRAIN of them, whatever the table
 SHORT tokens have a class for every length, and so many of one length are an item that rounding costs next to nothing. A
 linear program picks patterns of items that fill a sequence; a knapsack dynamic program prices new patterns; the rounded
 solution is a table of patterns. Rests are ranked within their class and a rank leads to its sequence by a search in that
-table, so the rows themselves never leave the executors.
+table, so the rows themselves never leave the executors. Pieces that fill a sequence are numbered in the task that cuts
+them, and shifted by the totals of the tasks before it: they are never shuffled.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from sweeplane.llm.common import materialize, prepare, texts_of
+from sweeplane.llm.common import join_marked, materialize, prepare, texts_of
 
 #: Length classes are multiples of so many tokens; up to SHORT tokens every length is a class, whose pieces go together in
 #: items that rounding makes longer by a share of ITEM_SLACK at most, if items of ITEM_TOKENS can.
@@ -269,7 +270,9 @@ class WordIds:
 _TOKENIZERS: dict[int, WordIds] = {}
 
 
-def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id_col: str, text_col: str, keep: bool):
+def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, least: int, end_id: int, id_col: str, text_col: str, keep: bool):
+    """Pieces of at most ``capacity`` ids; ``__nth`` numbers those of ``least`` ids or more within their task, else null."""
+
     with open(tokenizer_path, encoding="utf-8") as f:
         config = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -280,34 +283,37 @@ def _pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id: int, id
         key = zlib.crc32(config.value.encode())
         if key not in _TOKENIZERS:
             _TOKENIZERS[key] = WordIds(config.value)
-        enc, end = _TOKENIZERS[key], int(end_id).to_bytes(4, "little")
+        enc, end, nth = _TOKENIZERS[key], int(end_id).to_bytes(4, "little"), 0
         for batch in batches:
             ids, texts = batch.column(id_col).to_pylist(), texts_of(batch, text_col)
             for at in range(0, len(ids), 128):
-                rows: list[list] = [[], [], [], [], [], []]
+                rows: list[list] = [[], [], [], [], [], [], []]
                 for doc, data in zip(ids[at : at + 128], enc.encode(texts[at : at + 128]), strict=True):
                     data += end
                     for start in range(0, len(data), 4 * capacity):
                         part = data[start : start + 4 * capacity]
-                        values = (doc, start // 4, len(part) // 4, zlib.crc32(part), len(data) // 4)
+                        full = len(part) >= 4 * least
+                        values = (doc, start // 4, len(part) // 4, zlib.crc32(part), len(data) // 4, nth if full else None)
+                        nth += full
                         for column, value in zip(rows, values, strict=False):
                             column.append(value)
                         if keep:
-                            rows[5].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
-                columns = [pa.array(rows[0], batch.column(id_col).type)] + [pa.array(r, pa.int64()) for r in rows[1:5]]
+                            rows[6].append(np.frombuffer(part, dtype="<u4").astype(np.int32))
+                columns = [pa.array(rows[0], batch.column(id_col).type)] + [pa.array(r, pa.int64()) for r in rows[1:6]]
                 if keep:
-                    columns.append(pa.array(rows[5], pa.list_(pa.int32())))
+                    columns.append(pa.array(rows[6], pa.list_(pa.int32())))
                 yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
 
-    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "ids"]
+    names = [id_col, "start", "length", "ids_crc32", "doc_tokens", "__nth", "ids"]
     kind = docs.schema[id_col].dataType.simpleString()
-    schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids array<int>" * keep
+    schema = f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long, __nth long" + ", ids array<int>" * keep
     return docs.select(id_col, text_col).mapInArrow(run, schema)
 
 
-def item_pieces(length: int, grain: int = GRAIN) -> int:
-    """How many pieces of a length are one item: the fewest whose rounding to ``grain`` costs little."""
-    waste = {k: -(-k * length // grain) * grain / (k * length) - 1 for k in range(1, max(1, ITEM_TOKENS // length) + 1)}
+def item_pieces(length: int, capacity: int, grain: int = GRAIN) -> int:
+    """How many pieces of a length are one item: the fewest whose rounding to ``grain`` costs little, that ``capacity`` holds."""
+    most = max(1, min(ITEM_TOKENS, capacity // grain * grain) // length)
+    waste = {k: -(-k * length // grain) * grain / (k * length) - 1 for k in range(1, most + 1)}
     return min(waste, key=lambda k: (max(waste[k], ITEM_SLACK), k))
 
 
@@ -323,7 +329,7 @@ def plan_table(histogram: dict[int, int], capacity: int, grain: int = GRAIN) ->
     items: dict[int, list[tuple[int, int, int]]] = {}
     for c, n in sorted(histogram.items()):
         if c:
-            k = item_pieces(c, grain) if c <= SHORT else 1
+            k = item_pieces(c, capacity, grain) if c <= SHORT else 1
             items.setdefault(-(-k * c // grain), []).append((c, k, -(-n // k)))
     given = {size: [0, 0] for size in items}  # the class whose items are dealt now, and how many of them are
     for times, pattern in plan_patterns({s: sum(n for _, _, n in own) for s, own in items.items()}, capacity // grain):
@@ -360,16 +366,24 @@ def pack_documents(
     dealt by the row's place in the table. An empty table gives no rows. Other columns are not looked at.
     """
     spark = prepare(docs.sparkSession)
-    pieces = _pieces(docs, tokenizer_path, capacity, end_id, id_col, text_col, keep_ids)
+    pieces = _pieces(docs, tokenizer_path, capacity, capacity - grain + 1, end_id, id_col, text_col, keep_ids)
     pieces = materialize(pieces.withColumn("__uid", F.monotonically_increasing_id()), "pieces")
-    size = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / grain) * grain).cast("int")
-    full = F.col("length") > capacity - grain
+    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] + ["ids"] * keep_ids
+    # Full sequences come first: a piece's number in its task, behind those of the tasks before (one row a task).
+    full = pieces.where(F.col("__nth").isNotNull()).withColumn("__task", F.shiftright("__uid", 33))
+    tasks = full.groupBy("__task").agg(F.count("*").alias("__n"))
+    earlier = Window.orderBy("__task").rowsBetween(Window.unboundedPreceding, -1)
+    tasks = materialize(tasks.withColumn("__before", F.coalesce(F.sum("__n").over(earlier), F.lit(0))), "tasks")
+    whole = tasks.agg(F.coalesce(F.sum("__n"), F.lit(0))).first()[0]
+    full = join_marked(full, tasks.drop("__n"), "__task", "inner")
+    full = full.withColumns({"sequence_id": F.col("__before") + F.col("__nth"), "offset": F.lit(0).cast("long")})
     # Ranks without a group that holds a whole class: chunks of the table, their counts, and a running total of those.
-    dealt = pieces.withColumn("__size", F.when(full, F.lit(0)).otherwise(size))
+    size = F.when(F.col("length") <= SHORT, F.col("length")).otherwise(F.ceil(F.col("length") / grain) * grain).cast("int")
+    dealt = pieces.where(F.col("__nth").isNull()).withColumn("__size", size)
     dealt = dealt.withColumn("__chunk", F.pmod(F.xxhash64("__uid"), F.lit(CHUNKS)).cast("int"))
-    counts = materialize(dealt.groupBy("__size", "__chunk").agg(F.count("*").alias("__n")), "counts", pieces.count())
+    counts = materialize(dealt.groupBy("__size", "__chunk").agg(F.count("*").alias("__n")), "counts", dealt.count())
     histogram = {r["__size"]: r["n"] for r in counts.groupBy("__size").agg(F.sum("__n").alias("n")).collect()}
-    plan = spark.sparkContext.broadcast(plan_table(histogram, capacity, grain))
+    plan = spark.sparkContext.broadcast(plan_table({0: whole, **histogram}, capacity, grain))
     before = Window.partitionBy("__size").orderBy("__chunk").rowsBetween(Window.unboundedPreceding, -1)
     counts = counts.withColumn("__before", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
     within = Window.partitionBy("__size", "__chunk").orderBy("__uid")
@@ -387,5 +401,4 @@ def pack_documents(
     placed = ranked.withColumn("sequence_id", sequence(F.col("__size"), F.col("__rank") + F.col("__before")))
     inside = Window.partitionBy("sequence_id").orderBy("__uid").rowsBetween(Window.unboundedPreceding, -1)
     placed = placed.withColumn("offset", F.coalesce(F.sum("length").over(inside), F.lit(0)))
-    columns = [id_col, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-    return placed.select(*columns, *["ids"] * keep_ids)
+    return full.select(columns).unionByName(placed.select(columns))

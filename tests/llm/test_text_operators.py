@@ -313,6 +313,25 @@ def test_short_texts_are_packed_with_little_padding(spark):
     assert sum(filled.values()) > 0.97 * 4096 * (len(filled) - 1)
 
 
+def test_full_sequences_are_numbered_without_a_shuffle_and_rests_follow(spark):
+    sizes = [int(n) for n in np.random.default_rng(8).integers(0, 60, 500)] + [400] * 7 + [63, 64, 127, 128]
+    table = spark.createDataFrame([(i, "the " * n) for i, n in enumerate(sizes)], "doc_id long, text string").repartition(7)
+    rows = packing.pack_documents(table, WORDS, capacity=64).collect()
+    filled = defaultdict(list)
+    for r in rows:
+        filled[r.sequence_id].append((r.offset, r.length))
+    assert sorted(filled) == list(range(len(filled)))
+    assert sum(r.length for r in rows) == sum(n + 1 for n in sizes)
+    full = {s for s, pieces in filled.items() if pieces[0][1] > 64 - packing.GRAIN}
+    assert full == set(range(len(full))) and all(filled[s] == [(0, filled[s][0][1])] for s in full)
+    for pieces in filled.values():
+        ends = np.cumsum([n for _, n in sorted(pieces)]).tolist()
+        assert [o for o, _ in sorted(pieces)] == [0, *ends[:-1]] and ends[-1] <= 64
+    # No piece longer than a sequence less a grain: no full sequence at all.
+    few = packing.pack_documents(table.where("length(text) < 40"), WORDS, capacity=64).collect()
+    assert {r.sequence_id for r in few} == set(range(max(r.sequence_id for r in few) + 1))
+
+
 def test_plan_table_deals_every_rank_within_capacity():
     rng = np.random.default_rng(11)
     for _ in range(20):
