@@ -232,6 +232,19 @@ def test_generators(spark):
     assert math.isclose(design.least_distance(x), min(float(np.linalg.norm(x[i + 1 :] - x[i], axis=1).min()) for i in range(299)))
 
 
+def test_maximin_compares_all_points_in_tasks(spark):
+    for n, d in ((20, 10), (300, 1), (1500, 3), (40, 5)):  # one cell, many, and cells with many neighbours
+        trials = design.lhs(spark, n, d, seed=4).withColumn("trial", F.lit(0)).unionByName(design.lhs(spark, n, d, seed=5).withColumn("trial", F.lit(1)))
+        near = {r["trial"]: r["distance"] for r in design.least_distances(trials, n, d).collect()}
+        rows = trials.collect()
+        for t in (0, 1):
+            want = design.least_distance(np.array([r.u for r in rows if r.trial == t]))
+            assert math.isclose(near[t], want, rel_tol=1e-12)
+    # More points than one machine would compare, as a design for each of a large table's rows has.
+    many = design.lhs_maximin(spark, 20_000, 2, seed=2, iterations=2).select(F.explode(F.transform("u", lambda x: F.floor(x * 20_000))).alias("s"))
+    assert many.groupBy("s").count().agg(F.count("*"), F.min("count"), F.max("count")).first() == (20_000, 2, 2)
+
+
 def test_specifications(sweeps, spark):
     points = network.to_points(sweeps)
     worst = goals.Criterion(goals.SMag((1.0, 1.2), 1, 1), goals.MaxAgg(), goals.LE(-5.0), 2.0)
