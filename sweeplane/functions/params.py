@@ -19,28 +19,34 @@ def raw_params(comments: Column) -> Column:
     return F.regexp_extract(F.array_join(F.transform(comments, F.trim), " "), PATTERN, 1)
 
 
-def _pairs(raw: Column) -> Column:
-    """key -> trimmed text; items without '=' or key are dropped, the last of a repeated key wins."""
-    items = F.filter(F.split(raw, ";"), lambda x: (F.instr(x, "=") > 0) & (F.trim(F.substring_index(x, "=", 1)) != ""))
-    pair = lambda x: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), F.trim(F.substr(x, F.instr(x, "=") + 1)).alias("v"))
-    pairs = F.transform(items, pair)
-    later = lambda x, n: ~F.exists(F.slice(pairs, n + 2, F.greatest(F.size(pairs) - n - 1, F.lit(0))), lambda y: y["k"] == x["k"])
-    return F.map_from_entries(F.filter(pairs, later))
-
-
 def _number(text: Column) -> Column:
     plain = F.replace(text, F.lit(","), F.lit("."))
     return F.when(plain.rlike(_NUMBER), plain.try_cast("double"))
 
 
+def _entries(raw: Column) -> Column:
+    """place, k, v: trimmed keys and texts in their order; items without '=' or key are dropped, the last of a repeated key wins.
+
+    Every step reads the one before it once: an expression named twice is worked out twice, and in a lambda for each item.
+    """
+    item = lambda x, n: F.struct(F.trim(F.substring_index(x, "=", 1)).alias("k"), (-n).alias("back"), F.trim(F.substr(x, F.instr(x, "=") + 1)).alias("v"))
+    items = F.filter(F.transform(F.filter(F.split(raw, ";"), lambda x: F.instr(x, "=") > 0), item), lambda x: x["k"] != "")
+    # Sorted by key, later items first: the first of a key is its last.
+    last = lambda all_: F.filter(all_, lambda x, n: F.coalesce(F.get(all_, n - 1)["k"] != x["k"], F.lit(True)))
+    kept = F.flatten(F.transform(F.array(F.sort_array(items)), last))
+    return F.sort_array(F.transform(kept, lambda x: F.struct((-x["back"]).alias("place"), x["k"].alias("k"), x["v"].alias("v"))))
+
+
 def numeric_params(raw: Column) -> Column:
     """key -> double of the values that read as numbers (a comma counts as the decimal mark)."""
-    return F.transform_values(F.map_filter(_pairs(raw), lambda _, v: _number(v).isNotNull()), lambda _, v: _number(v))
+    read = F.transform(_entries(raw), lambda x: F.struct(x["k"].alias("k"), _number(x["v"]).alias("v")))
+    return F.map_from_entries(F.filter(read, lambda x: x["v"].isNotNull()))
 
 
 def text_params(raw: Column) -> Column:
     """key -> text of the other values."""
-    return F.map_filter(_pairs(raw), lambda _, v: _number(v).isNull())
+    texts = F.filter(_entries(raw), lambda x: _number(x["v"]).isNull())
+    return F.map_from_entries(F.transform(texts, lambda x: F.struct(x["k"].alias("k"), x["v"].alias("v"))))
 
 
 def split_params(raw: str) -> tuple[dict[str, float], dict[str, str]]:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from sweeplane.functions import registry
+from sweeplane.functions import params, registry
 from sweeplane.functions.params import split_params
 from sweeplane.functions.tables import normal, ordered_rank
 from sweeplane.operators import analyze, dataset, design, goals, network, scale, search, transform
@@ -139,6 +139,16 @@ def test_params_and_statistics(sweeps):
     assert [(r.sample_id, r.n_bad) for r in network.check_grid(moved).collect()] == [(4, 20 / 4)]
 
 
+def test_params_of_a_comment_are_parsed_once(spark):
+    lines = ["w=1,5; mat = Cu ;x; =3;n=1_0;d=3d; w = 2", "", "a=1;a=x;b=;c=d=e; a = 2,5 ", "; ".join(f"k{n % 700}={n}" for n in range(1000))]
+    df = spark.createDataFrame([(f"! Parameters = {{{x}}}",) for x in lines] + [("none",), (None,)], "line string")
+    raw = params.raw_params(F.array("line"))
+    for read, at in ((params.numeric_params, 0), (params.text_params, 1)):
+        got = df.select(read(raw).alias("m"))
+        assert [r.m for r in got.collect()] == [split_params(x)[at] for x in [*lines, ""]] + [split_params("")[at]]
+        assert got._jdf.queryExecution().analyzed().toString().count("regexp_extract") == 1
+
+
 def test_codec_round_trip_and_errors(sweeps):
     codec = Codec.infer(sweeps, backup=Backup.FULL)
     assert codec.x_keys == ("fc", "q", "w") and Codec.loads(codec.dumps()) == codec
