@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 import uuid
 from collections.abc import Iterator
@@ -20,6 +21,10 @@ from sweeplane.operators.network import network_fields
 GLOB = "*.[sS][0-9]*[pP]"
 #: Paths, with their numbers, that are broadcast to the rows parsed; more meet them in a shuffled join.
 BROADCAST_PATHS = 1 << 16
+#: Files, and bytes if all were as long as the longest, that one task parses.
+TASK_FILES, TASK_BYTES = 512, 128 << 20
+#: Tasks for each core of work that is counted in files, whose bytes alone would leave most cores idle.
+TASKS_A_CORE = 4
 #: First lines of a file in which parameters may stand outside of comments, up to its option line.
 HEADER_LINES = 100
 PORTS = re.compile(r"\.s(\d+)p$", re.IGNORECASE)
@@ -67,15 +72,25 @@ def parse_touchstone(text: str, n_ports: int) -> dict:
     }
 
 
+def _fewer(files: DataFrame, tasks: int) -> DataFrame:
+    """A scan of files in ``tasks`` tasks, or some a core if that is more; Spark counts 4 MB for the smallest file, which makes a task of 32."""
+    tasks = max(tasks, TASKS_A_CORE * files.sparkSession.sparkContext.defaultParallelism)
+    return files.coalesce(tasks)
+
+
 def read_touchstone(spark: SparkSession, folder: str, glob: str = GLOB) -> DataFrame:
     """All files below a folder as packed networks; sample_id is the rank of the path. No file raises FileNotFoundError.
 
     Files are listed and read by Spark's binary source, so any store and any number of them will do.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).load(folder)
-    files = files.select("path", "content")
-    if files.isEmpty():
+    # Read once, without contents; a file's row costs a look at it each time that its scan runs.
+    paths = cut(_fewer(files.select("path", "length"), 0))
+    count, longest = paths.agg(F.count("*"), F.max("length")).first()
+    if not count:
         raise FileNotFoundError(f"no Touchstone file below {folder}")
+    tasks = max(math.ceil(count / TASK_FILES), math.ceil(count * longest / TASK_BYTES))
+    files = _fewer(files.select("path", "content"), tasks)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -89,8 +104,8 @@ def read_touchstone(spark: SparkSession, folder: str, glob: str = GLOB) -> DataF
     names = [name for name, _ in fields]
     parsed = files.mapInPandas(run, ", ".join(" ".join(f) for f in fields))
     # Paths alone are sorted, without their contents; each file is read and parsed once.
-    ranks = cut(ordered_rank(files.select("path"), "path", "sample_id"))
-    few = ranks.count() <= BROADCAST_PATHS
+    ranks = cut(ordered_rank(paths.select("path"), "path", "sample_id"))
+    few = count <= BROADCAST_PATHS
     return parsed.join(F.broadcast(ranks) if few else ranks, "path").select("sample_id", *names)
 
 
@@ -143,14 +158,16 @@ def write_touchstone(networks: DataFrame, folder: str | None, form: str = "RI")
                 fs.move(part, f"{root}/{names[-1]}")
             yield pd.DataFrame({"sample_id": pdf["sample_id"], "path": [f"{folder}/{n}" for n in names]})
 
-    return networks.mapInPandas(run, "sample_id long, path string")
+    # A row is a file, which takes far longer than its bytes tell: rows are dealt anew, so that every core writes.
+    tasks = TASKS_A_CORE * networks.sparkSession.sparkContext.defaultParallelism
+    return networks.repartition(tasks, "sample_id").mapInPandas(run, "sample_id long, path string")
 
 
 def append_touchstone(networks: DataFrame, folder: str, form: str = "RI") -> DataFrame:
     """Write more files into a folder, with numbers behind those its files have; returns sample_id, path."""
     files = networks.sparkSession.read.format("binaryFile").option("pathGlobFilter", GLOB).load(folder)
     number = F.regexp_extract("path", r"sample_(\d+)\.[^/]*$", 1)
-    stored = files.select(F.when(number != "", number).cast("long").alias("sample_id"))
+    stored = _fewer(files.select("path"), 0).select(F.when(number != "", number).cast("long").alias("sample_id"))
     return write_touchstone(append_ids(stored, networks), folder, form)
 
 

@@ -345,6 +345,23 @@ def test_touchstone_round_trip(sweeps, spark, tmp_path):
         touchstone.read_touchstone(spark, str(tmp_path / "none"))
 
 
+def test_small_touchstone_files_are_few_tasks_on_all_cores(sweeps, spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(touchstone, "TASKS_A_CORE", 1)
+    cores, folder = spark.sparkContext.defaultParallelism, str(tmp_path / "files")
+    many = sweeps.coalesce(1).withColumn("sample_id", F.explode(F.transform(F.sequence(F.lit(0), F.lit(49)), lambda k: k * 6 + F.col("sample_id"))))
+    written = touchstone.write_touchstone(many, folder)
+    assert written.count() == 300 and written.rdd.getNumPartitions() == cores  # one partition of rows is written by all cores
+    (tmp_path / "files" / "below").mkdir()
+    (tmp_path / "files" / "below" / "a.s1p").write_text("# GHz S RI R 50\n1 0.5 0\n")
+    for size, tasks in ((touchstone.TASK_BYTES, lambda n: n == cores), (1, lambda n: n > cores)):
+        monkeypatch.setattr(touchstone, "TASK_BYTES", size)
+        back = touchstone.read_touchstone(spark, folder)
+        assert tasks(back.rdd.getNumPartitions())
+        rows = back.select("sample_id", "path", "n_ports").orderBy("path").collect()
+        assert len(rows) == 301 and [r.sample_id for r in rows] == list(range(301)) and rows[0].n_ports == 1
+    assert touchstone.append_touchstone(sweeps.limit(2), folder).orderBy("sample_id").first().sample_id == 300
+
+
 def test_store_append_and_synthetic(sweeps, spark, tmp_path):
     path = str(tmp_path / "nets.parquet")
     store.write_store(sweeps, path)
